@@ -106,9 +106,27 @@ def last_n(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column], n: in
     return df.withColumn("__rank", rank).filter(F.col("__rank") <= n).drop("__rank")
 
 
-def previous_in_group(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str) -> DataFrame:
-    """``lag`` for groups whose size is fixed by their meaning (the bands of one rate table)."""
-    return df.withColumn(name, F.lag(value).over(Window.partitionBy(*keys).orderBy(order)))
+def lagged(df: DataFrame, keys: Sequence[str], sequence: str, block: Column, values: dict[str, str]) -> DataFrame:
+    """Previous row's values per key (``name -> column``), plus ``is_first``, ``is_last``, ``group_rows``.
+
+    Inside a block this is ``lag``; the first row of a block takes the last row of the block before.
+    """
+    packed = F.struct(*[F.col(c).alias(n) for n, c in values.items()])
+    staged = df.withColumn("__block", block).withColumn("__v", packed)
+    local = Window.partitionBy(*keys, "__block").orderBy(sequence)
+    inner = staged.withColumn("__lag", F.lag("__v").over(local))
+    ends = staged.groupBy(*keys, "__block").agg(F.max_by("__v", sequence).alias("__end"))
+    before = Window.partitionBy(*keys).orderBy("__block")
+    ends = ends.select(*keys, "__block", F.lag("__end").over(before).alias("__prev"))
+    spans = df.groupBy(*keys).agg(
+        F.min(sequence).alias("__lo"), F.max(sequence).alias("__hi"), F.count(F.lit(1)).alias("group_rows")
+    )
+    out = join_back(join_back(inner, ends, [*keys, "__block"]), spans, keys)
+    last = F.coalesce("__lag", "__prev")
+    return out.select(
+        *df.columns, *[last[n].alias(n) for n in values], (F.col(sequence) == F.col("__lo")).alias("is_first"),
+        (F.col(sequence) == F.col("__hi")).alias("is_last"), "group_rows",
+    )
 
 
 def order_violations(df: DataFrame, keys: Sequence[str], sequence: str, moment: str, block: Column) -> DataFrame:

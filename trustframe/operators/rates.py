@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions.numbers import round_half_up, within
+from trustframe.operators.ranking import lagged
 
 Brackets = Sequence[tuple[float | None, float]]
 
@@ -68,34 +69,43 @@ def net_pay_nz(gross: Column, rates: Mapping[str, Any]) -> dict[str, Column]:
     return {"tax": tax, "levy": levy, "net": round_half_up(gross - tax - levy)}
 
 
-def net_pay_ca(gross: Column, province: str, rates: Mapping[str, Any]) -> dict[str, Column]:
-    """Federal and provincial tax, pension and insurance; Ontario adds surtax, health premium and reduction."""
-    pen, ins, fed, prov = rates["pension"], rates["insurance"], rates["federal"], rates["provinces"][province]
-    zero = F.lit(0.0)
-    pensionable = F.greatest(F.least(gross, F.lit(float(pen["ceiling"]))) - float(pen["exempt"]), zero)
-    base = pensionable * pen["base"]
-    additional = pensionable * pen["additional"]
-    second = F.greatest(F.least(gross, F.lit(float(pen["second_max"]))) - float(pen["second_min"]), zero) * pen[
-        "second_rate"
-    ]
-    pension = base + additional + second
-    insurance = capped_levy(gross, ins["rate"], ins["max"])
-    taxable = F.greatest(gross - additional - second, zero)
-    credits = (float(fed["personal"]) + base + insurance + F.least(gross, F.lit(float(fed["employment"])))) * fed[
-        "credit_rate"
-    ]
-    federal = F.greatest(progressive(taxable, fed["brackets"]) - credits, zero)
-    lowest = prov["brackets"][0][1]
-    provincial = F.greatest(
-        progressive(taxable, prov["brackets"]) - (float(prov["personal"]) + base + insurance) * lowest, zero
-    )
-    if province == "on":
-        provincial = _ontario(provincial, taxable, rates["ontario"])
-    total = federal + provincial + pension + insurance
-    return {
-        "federal": federal, "provincial": provincial, "pension": pension, "insurance": insurance,
-        "total": total, "net": round_half_up(gross - total),
-    }
+def net_pay_ca(df: DataFrame, gross: str, rates: Mapping[str, Any], provinces: Sequence[str] = ("on", "bc", "ab")) -> DataFrame:
+    """Adds pension, insurance, federal, and per province ``provincial_x``, ``total_x`` and ``net_x``.
+
+    The steps are columns of their own, so shared parts are computed once and the generated code
+    stays small. Ontario adds surtax, health premium and reduction.
+    """
+    pen, ins, fed = rates["pension"], rates["insurance"], rates["federal"]
+    zero, g = F.lit(0.0), F.col(gross)
+    pensionable = F.greatest(F.least(g, F.lit(float(pen["ceiling"]))) - float(pen["exempt"]), zero)
+    second = F.greatest(F.least(g, F.lit(float(pen["second_max"]))) - float(pen["second_min"]), zero)
+    out = df.withColumns({
+        "__base": pensionable * pen["base"], "__more": pensionable * pen["additional"],
+        "__second": second * pen["second_rate"], "insurance": capped_levy(g, ins["rate"], ins["max"]),
+    })
+    out = out.withColumns({
+        "pension": F.col("__base") + F.col("__more") + F.col("__second"),
+        "__taxable": F.greatest(g - F.col("__more") - F.col("__second"), zero),
+    })
+    base, insurance, taxable = F.col("__base"), F.col("insurance"), F.col("__taxable")
+    credits = (float(fed["personal"]) + base + insurance + F.least(g, F.lit(float(fed["employment"])))) * fed["credit_rate"]
+    steps = {"federal": F.greatest(progressive(taxable, fed["brackets"]) - credits, zero)}
+    for code in provinces:
+        prov = rates["provinces"][code]
+        lowest = prov["brackets"][0][1]
+        credit = (float(prov["personal"]) + base + insurance) * lowest
+        steps[f"__basic_{code}"] = F.greatest(progressive(taxable, prov["brackets"]) - credit, zero)
+    out = out.withColumns(steps)
+    out = out.withColumns({
+        f"provincial_{code}": _ontario(F.col("__basic_on"), taxable, rates["ontario"]) if code == "on" else F.col(f"__basic_{code}")
+        for code in provinces
+    })
+    out = out.withColumns({
+        f"total_{code}": F.col("federal") + F.col(f"provincial_{code}") + F.col("pension") + F.col("insurance")
+        for code in provinces
+    })
+    out = out.withColumns({f"net_{code}": round_half_up(g - F.col(f"total_{code}")) for code in provinces})
+    return out.drop("__base", "__more", "__second", "__taxable", *[f"__basic_{c}" for c in provinces])
 
 
 def _ontario(basic: Column, taxable: Column, on: Mapping[str, Any]) -> Column:
@@ -197,45 +207,35 @@ def semantic_probes(df: DataFrame, kind: Column, low: Column, high: Column, delt
     return df.withColumn("__p", F.explode(points)).select(*df.columns, "__p.*")
 
 
-def bracket_problems(brackets: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Problems of rate tables (scope, seq, cap, rate): one row per broken band.
+def _codes(checks: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(c)) for c, b in checks.items()]))
+
 
-    The window runs over one rate table, whose bands are few by meaning.
+def bracket_problems(brackets: DataFrame, scope: Sequence[str], block: Column) -> DataFrame:
+    """Problems of rate tables (scope, seq, cap, rate): one row per broken band and code.
+
+    ``block`` cuts ``seq`` into ranges so that one huge table is spread over tasks.
     """
-    w = Window.partitionBy(*scope).orderBy("seq")
-    all_rows = Window.partitionBy(*scope)
-    staged = brackets.select(
-        *scope, "seq", "cap", "rate",
-        F.lag("cap").over(w).alias("__prev"), F.count(F.lit(1)).over(all_rows).alias("__n"),
-        F.row_number().over(w).alias("__i"), F.lead("seq").over(w).isNull().alias("__last"),
-    )
     cap, rate = F.col("cap"), F.col("rate")
-    checks = {
-        "TOO_FEW_BANDS": (F.col("__i") == 1) & (F.col("__n") < 2),
+    rows = lagged(brackets.select(*scope, "seq", "cap", "rate"), scope, "seq", block, {"prev_cap": "cap"})
+    return rows.select(*scope, "seq", F.explode(_codes({
+        "TOO_FEW_BANDS": F.col("is_first") & (F.col("group_rows") < 2),
         "NEGATIVE_RATE": rate.isNull() | F.isnan(rate) | (rate < 0),
-        "LAST_NOT_OPEN": F.col("__last") & cap.isNotNull(),
-        "OPEN_NOT_LAST": ~F.col("__last") & cap.isNull(),
-        "CAP_NOT_POSITIVE": ~F.col("__last") & (cap <= 0),
-        "CAP_NOT_INCREASING": ~F.col("__last") & (cap <= F.col("__prev")),
-    }
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(c)) for c, b in checks.items()]))
-    return staged.select(*scope, "seq", F.explode(codes).alias("code"))
+        "LAST_NOT_OPEN": F.col("is_last") & cap.isNotNull(),
+        "OPEN_NOT_LAST": ~F.col("is_last") & cap.isNull(),
+        "CAP_NOT_POSITIVE": ~F.col("is_last") & (cap <= 0),
+        "CAP_NOT_INCREASING": ~F.col("is_last") & (cap <= F.col("prev_cap")),
+    })).alias("code"))
 
 
-def contiguity_problems(rows: DataFrame, scope: Sequence[str]) -> DataFrame:
+def contiguity_problems(ranges: DataFrame, scope: Sequence[str], block: Column) -> DataFrame:
     """Labelled ranges (scope, seq, lower, upper): start at 0, integer-contiguous, open end."""
-    w = Window.partitionBy(*scope).orderBy("seq")
-    staged = rows.select(
-        *scope, "seq", "lower", "upper", F.lag("upper").over(w).alias("__prev"),
-        F.row_number().over(w).alias("__i"), F.lead("seq").over(w).isNull().alias("__last"),
-    )
-    checks = {
-        "START_NOT_ZERO": (F.col("__i") == 1) & (F.col("lower") != 0),
-        "GAP": (F.col("__i") > 1) & ~F.col("lower").eqNullSafe(F.col("__prev") + 1),
-        "LAST_NOT_OPEN": F.col("__last") & F.col("upper").isNotNull(),
-    }
-    codes = F.array_compact(F.array(*[F.when(F.coalesce(b, F.lit(False)), F.lit(c)) for c, b in checks.items()]))
-    return staged.select(*scope, "seq", F.explode(codes).alias("code"))
+    rows = lagged(ranges.select(*scope, "seq", "lower", "upper"), scope, "seq", block, {"prev_upper": "upper"})
+    return rows.select(*scope, "seq", F.explode(_codes({
+        "START_NOT_ZERO": F.col("is_first") & (F.col("lower") != 0),
+        "GAP": ~F.col("is_first") & ~F.col("lower").eqNullSafe(F.col("prev_upper") + 1),
+        "LAST_NOT_OPEN": F.col("is_last") & F.col("upper").isNotNull(),
+    })).alias("code"))
 
 
 def taper_problems(max_offset: Column, full_to: Column, taper1_to: Column, taper1_rate: Column,

@@ -19,6 +19,7 @@ def build_session(app: str = "trustframe", master: str | None = None, **conf: st
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -54,4 +55,4 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
     """True when the optimizer's own size estimate proves ``df`` small enough to broadcast."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes().toString())) <= max_bytes
+    return int(str(stats.sizeInBytes())) <= max_bytes

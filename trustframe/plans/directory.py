@@ -136,7 +136,7 @@ def near_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan("near_duplicates", NEAR_SQL + """
-SELECT first_id, second_id, CAST(floor(d + 0.5) AS BIGINT) AS metres, CASE WHEN sn AND sc THEN 'same-name-and-contact' WHEN sn THEN 'same-name' ELSE 'same-contact' END AS reason, first_rows, second_rows FROM p WHERE d <= 200
+SELECT first_id, second_id, CAST(floor(round(d, 1) + 0.5) AS BIGINT) AS metres, CASE WHEN sn AND sc THEN 'same-name-and-contact' WHEN sn THEN 'same-name' ELSE 'same-contact' END AS reason, first_rows, second_rows FROM p WHERE d <= 200
 UNION ALL SELECT site, id, 0, CASE WHEN e.contact_key<>'' THEN 'same-name-and-contact' ELSE 'same-name' END, 1, 1 FROM e JOIN s USING (name_key, contact_key, lat, lng) WHERE id<>site
 """)
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,9 +48,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the table to the shared folder and read it back.
+
+    Survives executor loss and keeps iterative plans short. A written table is used rather than
+    ``checkpoint()`` because a checkpointed plan carries the constraints of everything before it, and
+    the optimizer's work on them grows with every round of a loop.
+    """
+    path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:

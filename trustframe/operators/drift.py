@@ -84,10 +84,17 @@ def first_sightings(log: DataFrame, key: str = "request_key", observation: str =
 def transient_trend(log: DataFrame, key: str = "request_key", observation: str = "observation_id",
                     moment: str = "observed_at", status: str = "status",
                     keep_events: int = MAX_TREND_EVENTS) -> DataFrame:
+    """Trend state of every key that was ever transient, from its whole observation log."""
+    return trend_summary(log, key, observation, moment, status, keep_events).drop("from_start")
+
+
+def trend_summary(log: DataFrame, key: str = "request_key", observation: str = "observation_id",
+                  moment: str = "observed_at", status: str = "status",
+                  keep_events: int = MAX_TREND_EVENTS) -> DataFrame:
     """Trend state of every key that was ever transient, from its whole observation log.
 
     The state depends only on the last run of transient observations and on the first other
-    observation after it. Both are found with partial aggregates keyed by request and one bounded
+    observation after it (``from_start``: the run begins with the log). Both are found with partial aggregates keyed by request and one bounded
     top-n, so a key with a huge log is spread over tasks.
     """
     rows = first_sightings(log.select(key, observation, moment, status), key, observation, moment)
@@ -112,6 +119,7 @@ def transient_trend(log: DataFrame, key: str = "request_key", observation: str =
     counts = run.groupBy(key).agg(
         F.count_if("__tr").alias("__streak"), F.min(F.when(F.col("__tr"), F.col(moment))).alias("first_seen"),
         F.max("__end").alias("__end"), F.max("__after").alias("__after"),
+        F.bool_and(F.col("__before").isNull()).alias("from_start"),
     )
     newest = last_n(run.select(key, moment, observation, status), [key],
                     [F.col(moment).desc(), F.col(observation).desc()], keep_events)
@@ -132,7 +140,7 @@ def transient_trend(log: DataFrame, key: str = "request_key", observation: str =
         F.col("__after.__at.t").alias("recovered_at"),
         F.when(over, F.col("__after.s")).otherwise(F.lit("transient")).alias("last_status"),
         F.coalesce(F.col("__after.__at.o"), F.col("__end.o")).alias("last_observation_id"),
-        "events",
+        "events", "from_start",
     )
 
 
@@ -174,6 +182,45 @@ def advance_trend(state: DataFrame, report: DataFrame, key: str = "request_key",
     )
 
 
+def merge_trend(state: DataFrame, log: DataFrame, key: str = "request_key",
+                keep_events: int = MAX_TREND_EVENTS) -> DataFrame:
+    """State after a further stretch of log (key, observation_id, observed_at, status).
+
+    The stretch is summarised with partial aggregates first, then merged key by key, so a hot key
+    costs one state row. Observations among the kept events of a key are replays and are skipped.
+    """
+    kept = state.select(F.col(key).alias("__k"), F.explode("events").alias("__e")).select("__k", F.col("__e.observation_id").alias("__o"))
+    fresh = log.join(kept, (F.col(key) == F.col("__k")) & (F.col("observation_id") == F.col("__o")), "left_anti")
+    run = trend_summary(fresh, key, keep_events=keep_events)
+    run = run.select(F.col(key).alias("__k"), *[F.col(c).alias(f"n_{c}") for c in run.columns if c != key])
+    other = fresh.filter("status <> 'transient'").groupBy(F.col(key).alias("__ok")).agg(
+        F.min(F.struct("observed_at", "observation_id", "status")).alias("__first")
+    )
+    j = state.join(run, F.col(key) == F.col("__k"), "full_outer").join(other, F.coalesce(key, "__k") == F.col("__ok"), "left")
+    active = F.coalesce(F.col("last_status") == "transient", F.lit(False))
+    has_run = F.col("__k").isNotNull()
+    extends = has_run & active & F.col("n_from_start")
+    ends = ~has_run & active & F.col("__first").isNotNull()
+    grown = (
+        F.when(extends, F.concat("events", "n_events")).when(has_run, F.col("n_events"))
+        .when(ends, F.concat("events", F.array("__first"))).otherwise(F.col("events"))
+    )
+
+    def pick(name: str, at_end: Column) -> Column:
+        return F.when(has_run, F.col(f"n_{name}")).when(ends, at_end).otherwise(F.col(name)).alias(name)
+
+    streak = F.when(extends & (F.col("n_streak") > 0), F.col("streak") + F.col("n_streak")).when(has_run, F.col("n_streak")).when(
+        ends, F.lit(0)
+    ).otherwise(F.col("streak"))
+    return j.select(
+        F.coalesce(key, "__k").alias(key), streak.cast("bigint").alias("streak"),
+        F.when(has_run & ~extends, F.col("n_first_seen")).otherwise(F.col("first_seen")).alias("first_seen"),
+        pick("last_seen", F.col("__first.observed_at")), pick("recovered_at", F.col("__first.observed_at")),
+        pick("last_status", F.col("__first.status")), pick("last_observation_id", F.col("__first.observation_id")),
+        F.slice(grown, F.greatest(F.size(grown) - keep_events + 1, F.lit(1)), keep_events).alias("events"),
+    )
+
+
 def case_actions(findings: DataFrame, cases: DataFrame, key: str) -> DataFrame:
     """create / reopen / update / noop / close per case.
 

@@ -145,41 +145,35 @@ def id_categories(claim_id: Column) -> Column:
     )
 
 
-def number_allowed(category: Column, value: Column, left: Column, right: Column, clause: Column,
-                   in_date: Column, require_keyword: bool = True) -> Column:
-    """Whether a number token counts as a fact of ``category`` in its clause and neighbourhood."""
-    text = value.cast("string")
-    whole = F.regexp_extract(text, r"^-?(\d+)", 1)
-    is_year = (value == F.floor(value)) & value.between(2000, 2099)
-    is_visa = (value == F.floor(value)) & value.cast("bigint").cast("string").isin(*P.VISA_IDENTIFIERS)
-    base = ~in_date & ~is_year & ~is_visa & (F.length(whole) < 8)
-    near = F.concat_ws("", left, F.lit("#"), right)
-    age = (
-        (value <= 100)
-        & (near.rlike(r"(?i)(?:세|歳|years?\s*old)") | near.rlike(r"(?i)(?:age|연령|나이)"))
-        & ~right.rlike(r"(?i)\A\s*(?:점|points?\b)")
-    )
-    timed = near.rlike(P.TIME_UNIT) | ((category == "processing") & F.contains(near, F.lit("%")))
+def clause_categories(clause: Column) -> Column:
+    """Categories a clause gives its numbers: its own wording, or a price next to a visa word (fee)."""
+    has = {name: clause.rlike(pattern) for name, pattern in P.CATEGORY_PATTERNS.items()}
+    has["fee"] = has["fee"] | (clause.rlike(r"(?i)(?:NZD|CAD|AUD|\$)") & clause.rlike(P.IMMIGRATION_WORDS))
+    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in has.items()]))
+
+
+def countable(value: Column, in_date: Column) -> Column:
+    """Numbers that can be facts at all: no dates or years, no visa subclass, fewer than eight digits."""
+    whole = value == F.floor(value)
+    special = whole & (value.between(2000, 2099) | value.cast("bigint").isin(*map(int, P.VISA_IDENTIFIERS)))
+    return F.coalesce(~in_date & ~special & (value < 10_000_000), F.lit(False))
+
+
+def fitting_categories(value: Column, left: Column, right: Column) -> Column:
+    """Categories whose unit and size rules a number passes in its neighbourhood (8 left, 12 right)."""
+    near = F.concat_ws("#", left, right)
+    points = right.rlike(r"(?i)\A\s*(?:점|points?\b)")
+    age = (value <= 100) & near.rlike(r"(?i)(?:세|歳|years?\s*old|age|연령|나이)") & ~points
+    timed = near.rlike(P.TIME_UNIT)
     span = right.rlike(r"(?i)\A\s*(?:h(?:ours?)?\b|시간|개월|か月|ヶ月|년|年|주|週|일|日)") & ~right.rlike(
         r"(?i)\A\s*/\s*h\b"
     )
-    wage = ~span & ~right.rlike(r"(?i)\A\s*(?:점|points?\b)")
     large = value >= 100
-    by_category = (
-        F.when(category == "age", age)
-        .when(category.isin("duration", "processing"), timed)
-        .when(category == "wage", wage)
-        .when(category.isin("quota", "funds"), large)
-        .otherwise(F.lit(True))
-    )
-    keyword = F.lit(True)
-    if require_keyword:
-        keyword = F.lit(False)
-        for name, pattern in P.CATEGORY_PATTERNS.items():
-            keyword = keyword | ((category == name) & clause.rlike(pattern))
-        priced = clause.rlike(r"(?i)(?:NZD|CAD|AUD|\$)") & clause.rlike(P.IMMIGRATION_WORDS)
-        keyword = keyword | ((category == "fee") & priced)
-    return F.coalesce(base & keyword & by_category, F.lit(False))
+    rules = {
+        "fee": F.lit(True), "age": age, "quota": large, "wage": ~span & ~points, "tax": F.lit(True),
+        "funds": large, "processing": timed | F.contains(near, F.lit("%")), "duration": timed,
+    }
+    return F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in rules.items()]))
 
 
 def evidence_level(source_class: Column) -> Column:

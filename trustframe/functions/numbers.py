@@ -41,24 +41,28 @@ def mask_dates(text: Column) -> Column:
     return F.regexp_replace(text, P.DATE_SPAN, "\u0001")
 
 
-def tokens_in_context(text: Column) -> Column:
-    """``array<struct<token,left,right,clause,in_date>>``: each token with its clause and neighbourhood.
+def tokens_in_context(text: Column, clause_note: Callable[[Column], Column] | None = None) -> Column:
+    """``array<struct<token,value,left,right,clause,in_date>>``: tokens with clause and neighbourhood.
 
-    Works on one text at a time inside the JVM: the token list over the whole text and the token
-    lists of its clauses have the same order because no clause break can fall inside a token.
+    All regular expressions run once per text (or clause) and are zipped: the token list over the whole
+    text and the token lists of its clauses have the same order because no clause break can fall
+    inside a token. ``clause_note`` replaces the clause text by something computed once per clause.
     """
     token = P.NUMBER_TOKEN
     left = r"(?:(?<=(.{8}))|(?<=^(.{0,7})))"
+    raw = number_tokens(text)
     head = F.regexp_extract_all(text, F.lit("(?s)" + left + token), F.lit(1))
-    head_start = F.regexp_extract_all(text, F.lit("(?s)" + left + token), F.lit(2))
+    start = F.regexp_extract_all(text, F.lit("(?s)" + left + token), F.lit(2))
     tail = F.regexp_extract_all(text, F.lit("(?s)" + token + r"(?=(.{0,12}))"), F.lit(1))
-    raw = number_tokens(text)
-    clauses = F.split(text, P.CLAUSE_BREAK)
-    owner = F.flatten(F.transform(clauses, lambda c: F.transform(number_tokens(c), lambda _t: c)))
-    # a token inside a date span disappears when the span is cut out of a copy of the text
+    note = clause_note or (lambda c: c)
+    per_clause = F.transform(
+        F.split(text, P.CLAUSE_BREAK), lambda c: F.struct(number_tokens(c).alias("t"), note(c).alias("n"))
+    )
+    clause = F.flatten(F.transform(per_clause, lambda c: F.transform(c["t"], lambda _t: c["n"])))
+    # tokens inside a date span, found by marking date spans and tokens in one pass
     marked = F.regexp_replace(text, "(" + P.DATE_SPAN + ")|(" + token + ")", "\u0001$1\u0002$2\u0003")
     pieces = F.regexp_extract_all(marked, F.lit("(?s)\u0001([^\u0002]*)\u0002[^\u0003]*\u0003"), F.lit(1))
-    flags = F.flatten(
+    in_date = F.flatten(
         F.transform(
             pieces,
             lambda d: F.when(d == "", F.array(F.lit(False))).otherwise(
@@ -66,19 +70,17 @@ def tokens_in_context(text: Column) -> Column:
             ),
         )
     )
-    n = F.size(raw)
-    return F.when(
-        (F.size(owner) == n) & (F.size(flags) == n),
-        F.transform(
-            raw,
-            lambda t, i: F.struct(
-                t.alias("token"),
-                # a lookbehind group can keep a stale value, so the full-width one decides
-                F.when(F.length(head[i]) == 8, head[i]).otherwise(head_start[i]).alias("left"),
-                tail[i].alias("right"),
-                owner[i].alias("clause"),
-                flags[i].alias("in_date"),
-            ),
+    zipped = F.arrays_zip(
+        raw.alias("token"), F.transform(raw, token_value).alias("value"), head.alias("head"), start.alias("start"),
+        tail.alias("tail"), clause.alias("clause"), in_date.alias("in_date"),
+    )
+    return F.transform(
+        zipped,
+        lambda z: F.struct(
+            z["token"].alias("token"), z["value"].alias("value"),
+            # a lookbehind group can keep a stale value, so the full-width one decides
+            F.when(F.length(z["head"]) == 8, z["head"]).otherwise(z["start"]).alias("left"),
+            z["tail"].alias("right"), z["clause"].alias("clause"), z["in_date"].alias("in_date"),
         ),
     )
 

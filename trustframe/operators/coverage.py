@@ -14,41 +14,40 @@ from trustframe.operators.rules import blank
 from trustframe.functions.dates import strict_date
 
 
-def category_numbers(category: Column, tokens: Column, require_keyword: bool = True) -> Column:
-    """Distinct canonical numbers of a category among tokens in context."""
-    kept = F.filter(
-        tokens,
-        lambda t: classify.number_allowed(
-            category, numbers.token_value(t["token"]), t["left"], t["right"], t["clause"], t["in_date"],
-            require_keyword,
+def facts_in(body: Column) -> Column:
+    """``array<struct<number,worded,fitting>>`` of the countable numbers of a text."""
+    tokens = numbers.tokens_in_context(body, classify.clause_categories)
+    kept = F.filter(tokens, lambda t: classify.countable(t["value"], t["in_date"]))
+    return F.transform(
+        kept,
+        lambda t: F.struct(
+            numbers.canonical_decimal(t["value"]).alias("number"), t["clause"].alias("worded"),
+            classify.fitting_categories(t["value"], t["left"], t["right"]).alias("fitting"),
         ),
     )
-    return F.array_distinct(F.transform(kept, lambda t: numbers.canonical_decimal(numbers.token_value(t["token"]))))
 
 
 def numeric_facts(df: DataFrame, body: str, own_mark: str | None = None) -> DataFrame:
-    """(…, category, numbers) for every category with at least one number; ``body`` is normalised text."""
-    staged = df.withColumn("__tokens", numbers.tokens_in_context(F.col(body)))
-    staged = staged.filter(F.size("__tokens") > 0)
-    worded = classify.text_categories(F.col(body))
-    if own_mark is None:
-        rows = staged.withColumn("category", F.explode(worded))
-        found = category_numbers(F.col("category"), F.col("__tokens"))
-    else:
-        by_id = F.coalesce(classify.id_categories(F.col(own_mark)), F.array().cast("array<string>"))
-        rows = staged.withColumn("__w", worded).withColumn("__i", by_id)
-        rows = rows.withColumn("category", F.explode(F.array_union("__w", "__i")))
-        none = F.array().cast("array<string>")
-        strict = F.when(
-            F.array_contains("__w", F.col("category")), category_numbers(F.col("category"), F.col("__tokens"))
-        ).otherwise(none)
-        loose = F.when(
-            F.array_contains("__i", F.col("category")),
-            category_numbers(F.col("category"), F.col("__tokens"), require_keyword=False),
-        ).otherwise(none)
-        found = F.array_union(strict, loose)
-    rows = rows.withColumn("numbers", found).filter(F.size("numbers") > 0)
-    return rows.drop("__tokens", "__w", "__i")
+    """(…, category, numbers) for every category with at least one number; ``body`` is normalised text.
+
+    Categories come from the wording of the text; a mark adds the categories of its identifier, and
+    for those the clause needs no keyword.
+    """
+    text_has = classify.text_categories(F.col(body))
+    by_id = F.array().cast("array<string>")
+    if own_mark is not None:
+        by_id = F.coalesce(classify.id_categories(F.col(own_mark)), by_id)
+    staged = df.filter(F.col(body).rlike(r"\d")).withColumns({"__w": text_has, "__i": by_id})
+    staged = staged.filter((F.size("__w") > 0) | (F.size("__i") > 0)).withColumn("__f", facts_in(F.col(body)))
+    rows = staged.withColumn("category", F.explode(F.array_union("__w", "__i")))
+    worded, marked = F.array_contains("__w", F.col("category")), F.array_contains("__i", F.col("category"))
+    kept = F.filter(
+        "__f",
+        lambda f: F.array_contains(f["fitting"], F.col("category"))
+        & (marked | (worded & F.array_contains(f["worded"], F.col("category")))),
+    )
+    out = rows.withColumn("numbers", F.array_distinct(F.transform(kept, lambda f: f["number"])))
+    return out.filter(F.size("numbers") > 0).drop("__w", "__i", "__f")
 
 
 def page_candidates(elements: DataFrame) -> DataFrame:

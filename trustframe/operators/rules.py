@@ -260,8 +260,12 @@ def state_contract_breaks(streak: Column, first_seen: Column, last_seen: Column,
     )
 
 
-def tokens_missing(normalized_text: Column, normalized_tokens: Column) -> Column:
-    return ~F.forall(normalized_tokens, lambda t: F.contains(normalized_text, t))
+def tokens_missing(normalized_text: Column, normalized_tokens: Sequence[str]) -> Column:
+    """Some reviewed token does not occur in the normalised text."""
+    present = F.lit(True)
+    for token in normalized_tokens:
+        present = present & F.contains(normalized_text, F.lit(token))
+    return ~F.coalesce(present, F.lit(False))
 
 
 def invalid_numeric_text(text: Column) -> Column:

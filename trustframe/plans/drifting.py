@@ -140,7 +140,7 @@ def transient_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("transient_trend_merged", "WITH" + trend_sql("s") + " SELECT * FROM s")
 def transient_trend_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same state, built from two stretches of log with a replayed day between them."""
+    """The same state, built from two successive stretches of the log."""
     log = observation_log(load_table(spark, sf_dir, "events"))
     first = D.transient_trend(log.filter("observed_at < '2024-01-16'"))
     return readable(D.merge_trend(first, log.filter("observed_at >= '2024-01-16'")))

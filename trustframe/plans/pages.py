@@ -1 +1,134 @@
-"""placeholder"""
+"""Page corpus queries: contracts, links, markers, elements, tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trustframe.operators import coverage as C
+from trustframe.operators import pages as G
+from trustframe.operators import reconcile as R
+from trustframe.operators import rules
+from trustframe.plans.registry import plan
+from trustframe.session import load_table
+from trustframe.sources.readers import named_links
+
+LANG = "^[a-z]+://[^/]*/([a-z]+)/"
+
+
+@plan("page_contract", rf"""
+WITH p AS (SELECT page_id, html, regexp_extract(url,'{LANG}',1) AS lang, regexp_extract(html,'<h1>([^<]*)</h1>',1) AS title FROM pages)
+SELECT page_id, code FROM (SELECT page_id, 'DOCTYPE' AS code FROM p WHERE NOT contains(lower(substr(html,1,100)),'<!doctype html>') UNION ALL SELECT page_id, 'LANGUAGE' FROM p WHERE NOT contains(substr(html,1,300),'<html lang="' || CASE WHEN lang='es' THEN 'en' ELSE lang END || '">')
+ UNION ALL SELECT page_id, 'TITLE' FROM p WHERE NOT contains(html,'<title>' || title || '</title>'))
+""")
+def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    lang = F.regexp_extract("url", LANG, 1)
+    wanted = F.when(lang == "es", F.lit("en")).otherwise(lang)
+    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
+    return p.select("page_id", F.explode(rules.page_contract_breaks(F.col("html"), wanted, title)).alias("code"))
+
+
+LINK_SQL = r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html,'<a\b[^>]*href="([^"]+)"[^>]*>',1)) AS href, unnest(regexp_extract_all(html,'<a\b[^>]*href="[^"]+"[^>]*>([^<]*)</a>',1)) AS name FROM pages)
+"""
+
+
+@plan("page_links", LINK_SQL + "SELECT href, count(DISTINCT page_id) AS pages, min(page_id) AS first_page, count(DISTINCT name) AS names FROM l GROUP BY 1")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = G.page_links(load_table(spark, sf_dir, "pages"), "page_id", "html")
+    return links.groupBy("href").agg(
+        F.countDistinct("page_id").alias("pages"), F.min("page_id").alias("first_page"), F.countDistinct("name").alias("names")
+    )
+
+
+@plan("named_links", LINK_SQL + """
+SELECT DISTINCT page_id, name, href FROM l WHERE name IN (SELECT DISTINCT name FROM l WHERE href LIKE '/a%')
+""")
+def named_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "pages")
+    names = G.page_links(p, "page_id", "html").filter(F.col("href").like("/a%")).select("name").distinct()
+    return named_links(p, "page_id", "html", names)
+
+
+@plan("marker_gaps", LINK_SQL + """
+, d AS (SELECT page_id, unnest(['/The','/and','/Nicht','/En']) AS marker FROM pages)
+SELECT page_id, marker FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.page_id=d.page_id AND l.href=d.marker)
+""")
+def marker_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "pages")
+    declared = p.select("page_id", F.explode(F.array(*map(F.lit, ["/The", "/and", "/Nicht", "/En"]))).alias("marker"))
+    found = G.page_markers(p, "page_id", "html", mark="href")
+    return R.unmatched(declared, found, ["page_id", "marker"])
+
+
+@plan("page_elements", r"""
+SELECT page_id, tag, n FROM (SELECT page_id, 'p' AS tag, len(regexp_extract_all(html,'<p>')) AS n FROM pages UNION ALL SELECT page_id, 'li', len(regexp_extract_all(html,'<li>')) FROM pages
+ UNION ALL SELECT page_id, 'a', len(regexp_extract_all(html,'<a ')) FROM pages UNION ALL SELECT page_id, 'h1', len(regexp_extract_all(html,'<h1>')) FROM pages) WHERE n > 0
+""")
+def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.page_elements(load_table(spark, sf_dir, "pages"), "page_id", "html")
+    rows = e.filter(F.col("tag").isin("p", "li", "a", "h1") & ~F.col("hidden"))
+    return rows.groupBy(F.col("page").cast("bigint").alias("page_id"), "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@plan("page_fact_coverage")
+def page_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numeric facts of all page elements and their coverage; every page gets one marked fee sentence."""
+    p = load_table(spark, sf_dir, "pages")
+    n = F.col("page_id").cast("string")
+    front = F.concat(
+        F.lit('<div data-claim-id="nz-visa-fee"><p>Visa fee NZD $'), n, F.lit("0</p></div><p>The visa fee is NZD $"), n,
+        F.lit("0 today</p><p>quota 10"), n, F.lit(" places</p>"),
+    )
+    body = F.replace(F.col("html"), F.lit("<article>"), F.concat(F.lit("<article>"), front))
+    e = G.page_elements(p.select("page_id", body.alias("html")), "page_id", "html")
+    cand = C.page_candidates(e)
+    none = spark.createDataFrame([], "selector string, fingerprint string, expires_at date")
+    out = C.coverage_outcomes(cand, none, F.lit("2026-07-19").cast("date"))
+    return out.groupBy("category", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per order: a heading, a definition list and a table of its lines (an order is small)."""
+    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
+    cell = F.concat(
+        F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.floor("l_quantity").cast("string"), F.lit("</td><td>"),
+        F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), F.lit("%</td>"), F.when(F.col("l_quantity") > 49, F.lit("<td>extra</td>")).otherwise(F.lit("")), F.lit("</tr>"),
+    )
+    table = li.groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cell.alias("c")))), lambda x: x["c"]), "").alias("body"),
+        F.count(F.lit(1)).alias("lines"),
+    )
+    html = F.concat(
+        F.lit("<html><body><h2>Order</h2><dl><dt>Unit</dt><dd>NZD</dd><dt>Lines</dt><dd>"), F.col("lines").cast("string"),
+        F.lit("</dd></dl><p hidden>secret</p><h3>Items</h3><table><caption>Lines</caption><tr><th>No</th><th>Qty</th><th>Rate</th></tr>"), "body", F.lit("</table></body></html>"),
+    )
+    return table.select("l_orderkey", html.alias("html"))
+
+
+@plan("table_extraction", """
+SELECT l_orderkey, count(*) FILTER (WHERE l_quantity <= 49) AS rows, coalesce(sum(CAST(floor(l_quantity) AS BIGINT)) FILTER (WHERE l_quantity <= 49), 0)::BIGINT AS quantity, count(*) FILTER (WHERE l_quantity > 49) AS partial FROM lineitem GROUP BY 1
+""")
+def table_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.page_elements(order_pages(spark, sf_dir), "l_orderkey", "html")
+    good, problems = G.typed_table(G.table_rows(e), ["No", "Qty", "Rate"], ["integer", "integer", "percent-to-decimal"])
+    both = good.select("page", F.col("values")[1].alias("q"), F.lit(None).cast("string").alias("code")).unionByName(
+        problems.select("page", F.lit(None).cast("double").alias("q"), "code")
+    )
+    return both.groupBy(F.col("page").cast("bigint").alias("l_orderkey")).agg(
+        F.count("q").alias("rows"), F.coalesce(F.sum("q"), F.lit(0)).cast("bigint").alias("quantity"), F.count_if(F.col("code") == "PARTIAL_ROW").alias("partial")
+    )
+
+
+@plan("definition_lookup", """
+SELECT l_orderkey, count(*) AS lines, 'NZD' AS unit, CAST(0 AS BIGINT) AS hidden_found FROM lineitem GROUP BY 1
+""")
+def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = G.page_elements(order_pages(spark, sf_dir), "l_orderkey", "html")
+    dd = e.filter((F.col("tag") == "dd") & (F.col("section") == "Order") & ~F.col("hidden"))
+    found = e.groupBy("page").agg(F.count_if((F.col("text") == "secret") & ~F.col("hidden")).alias("hidden_found"))
+    wide = dd.groupBy("page").agg(
+        F.max(F.when(F.col("label") == "Lines", F.col("text"))).cast("bigint").alias("lines"), F.max(F.when(F.col("label") == "Unit", F.col("text"))).alias("unit")
+    )
+    return wide.join(found, "page").select(F.col("page").cast("bigint").alias("l_orderkey"), "lines", "unit", "hidden_found")

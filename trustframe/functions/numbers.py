@@ -26,8 +26,8 @@ def token_value(token: Column) -> Column:
     """Decimal of ``1,234.5``, ``12k`` or ``3m``; NULL when it does not fit."""
     suffix = F.lower(F.right(token, F.lit(1)))
     scale = F.when(suffix == "k", F.lit(1000)).when(suffix == "m", F.lit(1000000)).otherwise(F.lit(1))
-    digits = F.replace(F.regexp_replace(token, r"[kKmM]\z", ""), F.lit(","), F.lit(""))
-    fits = F.length(F.regexp_extract(digits, r"^(\d+)", 1)) <= 14
+    digits = F.translate(token, ",kKmM", "")
+    fits = F.length(F.substring_index(digits, ".", 1)) <= 14
     return F.when(fits, (digits.try_cast("decimal(32,12)") * scale).cast(DECIMAL))
 
 
@@ -88,7 +88,8 @@ def tokens_in_context(text: Column, clause_note: Callable[[Column], Column] | No
 def single_match(text: Column, pattern: str, group: int = 1) -> Column:
     """The captured group when the pattern occurs exactly once, else NULL."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    return F.when(F.size(found) == 1, found[0])
+    # bound once inside the array, so the pattern is not evaluated a second time for the value
+    return F.try_element_at(F.filter(F.array(found), lambda f: F.size(f) == 1), F.lit(1))[0]
 
 
 def plain_number(text: Column) -> Column:

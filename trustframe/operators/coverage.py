@@ -38,7 +38,8 @@ def numeric_facts(df: DataFrame, body: str, own_mark: str | None = None) -> Data
     if own_mark is not None:
         by_id = F.coalesce(classify.id_categories(F.col(own_mark)), by_id)
     staged = df.filter(F.col(body).rlike(r"\d")).withColumns({"__w": text_has, "__i": by_id})
-    staged = staged.filter((F.size("__w") > 0) | (F.size("__i") > 0)).withColumn("__f", facts_in(F.col(body)))
+    some = (F.size("__w") > 0) | (F.size("__i") > 0)
+    staged = staged.withColumn("__f", F.when(some, facts_in(F.col(body))))
     rows = staged.withColumn("category", F.explode(F.array_union("__w", "__i")))
     worded, marked = F.array_contains("__w", F.col("category")), F.array_contains("__i", F.col("category"))
     kept = F.filter(

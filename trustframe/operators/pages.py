@@ -20,6 +20,7 @@ ELEMENTS = (
     "text string, marked boolean, own_mark string, ignored boolean, hidden boolean, href string"
 )
 _COLUMNS = [part.split()[0] for part in ELEMENTS.split(", ")]
+FLUSH_ROWS = 20_000
 _EMIT = frozenset(P.SEMANTIC_TAGS) | {"td", "th", "dt", "dd", "a", "caption", "title"}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -31,7 +32,7 @@ class _Elements(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.page, self.mark, self.skip_context = page, mark, skip_context
         self.open: list[dict] = []
-        self.rows: list[dict] = []
+        self.rows: list[tuple] = []
         self.heads: list[tuple[int, str]] = []
         self.tables: list[dict] = []
         self.count = self.table_count = 0
@@ -52,7 +53,7 @@ class _Elements(HTMLParser):
         else:
             base = up["selector"] + ">" if up else f"{self.page}::"
             selector = f"{base}{tag}:nth-of-type({kin[tag] if up else 1})"
-        style = {d.replace(" ", "").lower() for d in given.get("style", "").split(";")}
+        style = {"".join(d.split()).lower() for d in given["style"].split(";")} if "style" in given else set()
         away = (
             tag in P.IGNORED_TAGS[:2] or tag in P.IGNORED_TAGS[3:] or "hidden" in given
             or given.get("aria-hidden", "").strip().lower() == "true" or ident.startswith("History_")
@@ -67,13 +68,14 @@ class _Elements(HTMLParser):
         elif table and tag in ("td", "th"):
             table["cell"] += 1
         in_cell = table if tag in ("td", "th", "tr", "caption") else None
-        wanted = tag in _EMIT or self.mark in given
+        own = self.mark in given
+        wanted = tag in _EMIT or own
         self.open.append({
             "tag": tag, "selector": selector, "kin": {}, "line": self.getpos()[0], "seq": self.count,
             "ignored": bool(up and up["ignored"]) or tag in P.IGNORED_TAGS
-            or bool(self.skip_context.search(f"{ident} {given.get('class', '')}")),
+            or (bool(given) and bool(self.skip_context.search(f"{ident} {given.get('class', '')}"))),
             "hidden": bool(up and up["hidden"]) or (away and tag not in _VOID),
-            "marked": bool(up and up["marked"]) or self.mark in given, "own_mark": given.get(self.mark),
+            "marked": bool(up and up["marked"]) or own, "own_mark": given.get(self.mark),
             "href": given.get("href"), "text": [] if wanted else None,
             "at": (in_cell["no"], in_cell["row"], in_cell["cell"] if tag in ("td", "th") else None) if in_cell else None,
             "head": self._heads(),
@@ -124,11 +126,11 @@ class _Elements(HTMLParser):
                     self._note_summary(body)
             no, row, cell = f["at"] or (None, None, None)
             summary = next((o["summary"] for o in reversed(self.open) if "summary" in o), "")
-            self.rows.append(dict(zip(_COLUMNS, (
+            self.rows.append((
                 self.page, f["seq"], tag, f["selector"], f["line"], *f["head"], no, row, cell,
                 table["caption"] if table and no else "", summary, self.term if tag == "dd" else "", body,
                 f["marked"], f["own_mark"], f["ignored"], f["hidden"], f["href"],
-            ))))
+            ))
         if tag == "table" and self.tables and self.tables[-1]["at"] == len(self.open):
             self.tables.pop()
 
@@ -148,6 +150,7 @@ def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-clai
     skip = re.compile(P.IGNORED_CONTEXT)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for key, body in zip(batch["page"], batch["html"]):
                 if body is None:
@@ -155,8 +158,12 @@ def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-clai
                 parser = _Elements(key, mark, skip)
                 parser.feed(body)
                 parser.close()
-                if parser.rows:
-                    yield pd.DataFrame(parser.rows, columns=_COLUMNS)
+                rows += parser.rows
+                if len(rows) >= FLUSH_ROWS:
+                    yield pd.DataFrame(rows, columns=_COLUMNS)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=_COLUMNS)
 
     narrow = pages.select(F.col(page).cast("string").alias("page"), F.col(html).alias("html"))
     return narrow.mapInPandas(parse, ELEMENTS)

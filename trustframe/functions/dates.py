@@ -6,22 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MONTHS = (
+    "january", "february", "march", "april", "may", "june", "july", "august", "september", "october",
+    "november", "december",
+)
+
+
 def strict_date(text: Column) -> Column:
     """Real calendar day in canonical ``YYYY-MM-DD`` text, else NULL."""
-    shaped = F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), text)
-    return F.try_to_date(shaped, "yyyy-MM-dd")
+    return F.when(text.rlike(r"\A\d{4}-\d{2}-\d{2}\z"), text.try_cast("date"))
+
+
+def _by_parts(day: Column, month_name: Column, year: Column) -> Column:
+    # position in a literal list and a plain cast: much cheaper than a formatter with month names
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(month_name))
+    iso = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
+    return F.when(month > 0, iso.try_cast("date"))
 
 
 def english_date(text: Column) -> Column:
     """``d MMMM yyyy`` with an English month name, any letter case."""
-    shaped = F.when(text.rlike(r"\A\d{1,2} [A-Za-z]+ \d{4}\z"), F.initcap(F.lower(text)))
-    return F.try_to_date(shaped, "d MMMM yyyy")
+    part = F.split(text, " ")
+    return F.when(text.rlike(r"\A\d{1,2} [A-Za-z]+ \d{4}\z"), _by_parts(*[F.get(part, F.lit(i)) for i in (0, 1, 2)]))
 
 
 def long_date(text: Column) -> Column:
     """``MMMM d, yyyy``."""
-    shaped = F.when(text.rlike(r"\A[A-Z][a-z]+ \d{1,2}, \d{4}\z"), text)
-    return F.try_to_date(shaped, "MMMM d, yyyy")
+    part = F.split(F.translate(text, ",", ""), " ")
+    return F.when(text.rlike(r"\A[A-Z][a-z]+ \d{1,2}, \d{4}\z"), _by_parts(*[F.get(part, F.lit(i)) for i in (1, 0, 2)]))
 
 
 def zoned_timestamp(text: Column) -> Column:
@@ -46,12 +58,10 @@ def cohort_date(label: Column) -> Column:
     start = F.regexp_extract(text, year, 1).try_cast("int")
     end = F.regexp_extract(text, year, 2).try_cast("int")
     consecutive = (start + 1) % 100 == end
-    from_day = F.regexp_extract(text, r"\AFrom (\d{1,2} [A-Z][a-z]+ \d{4})\z", 1)
-    apply_day = F.regexp_extract(text, r"\AIf you apply on or after ([A-Z][a-z]+ \d{1,2}, \d{4})\z", 1)
-    return F.coalesce(
-        F.when(consecutive, F.make_date(start, F.lit(7), F.lit(1))),
-        english_date(from_day),
-        long_date(apply_day),
+    return (
+        F.when(F.startswith(text, F.lit("From ")), english_date(F.substring(text, 6, 40)))
+        .when(F.startswith(text, F.lit("If you apply on or after ")), long_date(F.substring(text, 26, 40)))
+        .when(consecutive, F.make_date(start, F.lit(7), F.lit(1)))
     )
 
 

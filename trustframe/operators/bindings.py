@@ -25,7 +25,13 @@ def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame,
     e = editions.select(F.col("edition").alias("__e"), *[F.col(x).alias(f"e_{x}") for x in ("page", "country", "locale")])
     joined = bindings.join(F.broadcast(e) if fits_broadcast(editions) else e, F.col("edition") == F.col("__e"), "left")
     joined = joined.join(c, F.col("claim_id") == F.col("__c"), "left")
-    value = arrays.transform_value(F.col("op"), F.col("numbers"), F.col("text"), F.col("factor"))
+    # columns of their own, so that several rules share one evaluation
+    joined = joined.withColumns({
+        "__value": arrays.transform_value(F.col("op"), F.col("numbers"), F.col("text"), F.col("factor")),
+        "__runtime_url": urls.normalize_source_url(F.col("runtime_url")),
+        "__claim_url": urls.normalize_source_url(F.col("c_source_url")),
+    })
+    value = F.col("__value")
     has_claim = F.col("__c").isNotNull()
     in_edition = (
         F.col("c_country").eqNullSafe(F.col("e_country")) & F.col("c_locale").eqNullSafe(F.col("e_locale"))
@@ -43,7 +49,7 @@ def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame,
         Rule(
             "PROVENANCE_URL", "runtime_url",
             has_claim & F.col("runtime_url").isNotNull()
-            & ~urls.normalize_source_url(F.col("runtime_url")).eqNullSafe(urls.normalize_source_url(F.col("c_source_url"))),
+            & ~F.col("__runtime_url").eqNullSafe(F.col("__claim_url")),
             F.col("runtime_url"), F.col("c_source_url"),
         ),
         Rule(

@@ -57,7 +57,11 @@ def read_pages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return raw.filter(F.col("html").isNotNull()), issues
 
 
-CSV_CHARSETS = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "windows-1252": "windows-1252"}
+CSV_CHARSETS = {"utf-8": "UTF-8", "utf-8-bom": "UTF-8", "windows-1252": "ISO-8859-1"}
+# windows-1252 is Latin-1 except for these bytes; bytes it leaves undefined stay control characters
+_C1 = {bytes([b]).decode("latin-1"): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+_FROM, _TO = (("".join(part) for part in zip(*[(k, v) for k, v in _C1.items() if v])))
+_UNDEFINED = "[" + "".join(k for k, v in _C1.items() if not v) + "]"
 
 
 def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns: int = 16, max_cell: int = 500,
@@ -76,11 +80,17 @@ def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns:
         ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', enforceSchema=True,
     ).select(F.col("_metadata.file_path").alias("file"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("__c"))
     used = F.coalesce(F.array_max(F.transform("__c", lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1))), F.lit(0))
-    cells = F.transform(F.slice("__c", 1, used), lambda c: F.coalesce(c, F.lit("")))
+    latin = encoding == "windows-1252"
+    cells = F.transform(
+        F.slice("__c", 1, used),
+        lambda c: F.translate(F.coalesce(c, F.lit("")), _FROM, _TO) if latin else F.coalesce(c, F.lit("")),
+    )
+    undecodable = F.exists("__c", lambda c: F.coalesce(c.rlike(_UNDEFINED if latin else "\ufffd"), F.lit(False)))
     rows = rows.withColumn("used", used)
     sized = rows.groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.max("used").alias("columns"),
         F.max(F.array_max(F.transform("__c", lambda c: F.length(c)))).alias("longest"),
+        F.bool_or(undecodable).alias("undecodable"),
     )
     heads = spark.read.format("binaryFile").load(path).select(
         F.col("path").alias("__f"), (F.hex(F.substring("content", 1, 3)) == "EFBBBF").alias("bom"),
@@ -90,6 +100,7 @@ def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns:
     n = F.coalesce("rows", F.lit(0))
     issues = run_rules(joined, "csv", F.col("__f"), [
         Rule("BOM", "encoding", F.col("bom") != (encoding == "utf-8-bom"), F.col("bom"), encoding),
+        Rule("UNDECODABLE", "encoding", F.col("undecodable"), None, encoding),
         Rule("ROWS", "rows", ~n.between(low, high), n, f"{low}..{high}"),
         Rule("COLUMNS", "columns", F.col("columns") > max_columns, F.col("columns"), f"<= {max_columns}"),
         Rule("CELL", "cell", F.col("longest") > max_cell, F.col("longest"), f"<= {max_cell}"),

@@ -123,7 +123,7 @@ def nearest_centre(lat: Column, lng: Column, centres: Sequence[tuple[str, float,
 
 
 def match_one_to_one(left: DataFrame, right: DataFrame, max_rounds: int = 10_000, first_cell: float = 2e-5,
-                     growth: float = 16.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+                     growth: float = 64.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Greedy one-to-one nearest match by name, in left order, without walking the rows one by one.
 
     ``left``: id, ord, name_key, lat, lng; ``right``: the same columns. Taking left rows in ``ord``

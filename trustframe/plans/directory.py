@@ -159,14 +159,14 @@ def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan("one_to_one_match")
 def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers against a shifted copy of the same table; names repeat, so nearest points decide."""
-    c = load_table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    name = F.concat_ws(" ", "c_mktsegment", F.col("c_nationkey").cast("string"))
+    """Suppliers against a shifted copy of the same table; names repeat, so nearest points decide."""
+    c = load_table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    name = F.concat_ws(" ", F.lit("nation"), F.col("s_nationkey").cast("string"))
     lat, lng = F.lit(-36.8) + (k * 7919 % 1000) * 0.001, F.lit(174.7) + (k * 104729 % 1000) * 0.001
-    shift = F.when(F.col("c_acctbal") < 0, F.lit(0.01)).otherwise(F.lit(0.0))
+    shift = F.when(F.col("s_acctbal") < 0, F.lit(0.01)).otherwise(F.lit(0.0))
     left = c.select(k.alias("id"), k.alias("ord"), name.alias("name_key"), lat.alias("lat"), lng.alias("lng"))
-    right = c.filter("c_acctbal < 9500").select(k.alias("id"), k.alias("ord"), name.alias("name_key"), (lat + shift).alias("lat"), lng.alias("lng"))
+    right = c.filter("s_acctbal < 9500").select(k.alias("id"), k.alias("ord"), name.alias("name_key"), (lat + shift).alias("lat"), lng.alias("lng"))
     matches, lost_left, lost_right = E.match_one_to_one(left, right)
     none = F.lit(None).cast("bigint")
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustframe import policies as P
 from trustframe.operators import coverage as C
 from trustframe.operators import pages as G
 from trustframe.operators import reconcile as R
@@ -72,7 +73,10 @@ def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("page").cast("bigint").alias("page_id"), "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-@plan("page_fact_coverage")
+@plan("page_fact_coverage", f"""
+SELECT 'fee' AS category, 'marked' AS outcome, 3 * count(*) AS n FROM pages WHERE page_id * 10 NOT IN ({', '.join(P.VISA_IDENTIFIERS)}) AND NOT (page_id * 10 BETWEEN 2000 AND 2099)
+UNION ALL SELECT 'quota', 'uncovered', count(*) FROM pages
+""")
 def page_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric facts of all page elements and their coverage; every page gets one marked fee sentence."""
     p = load_table(spark, sf_dir, "pages")
@@ -90,45 +94,40 @@ def page_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per order: a heading, a definition list and a table of its lines (an order is small)."""
-    li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount")
-    cell = F.concat(
-        F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td>"), F.floor("l_quantity").cast("string"), F.lit("</td><td>"),
-        F.floor(F.col("l_discount") * 100 + 0.5).cast("string"), F.lit("%</td>"), F.when(F.col("l_quantity") > 49, F.lit("<td>extra</td>")).otherwise(F.lit("")), F.lit("</tr>"),
-    )
-    table = li.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", cell.alias("c")))), lambda x: x["c"]), "").alias("body"),
-        F.count(F.lit(1)).alias("lines"),
-    )
+    """One page per order: a heading, a definition list, a hidden paragraph and a table."""
+    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    qty, more = F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string")
+    extra = F.when(F.col("o_orderstatus") == "P", F.lit("<td>extra</td>")).otherwise(F.lit(""))
     html = F.concat(
-        F.lit("<html><body><h2>Order</h2><dl><dt>Unit</dt><dd>NZD</dd><dt>Lines</dt><dd>"), F.col("lines").cast("string"),
-        F.lit("</dd></dl><p hidden>secret</p><h3>Items</h3><table><caption>Lines</caption><tr><th>No</th><th>Qty</th><th>Rate</th></tr>"), "body", F.lit("</table></body></html>"),
+        F.lit("<html><body><h2>Order</h2><dl><dt>Unit</dt><dd>NZD</dd><dt>Customer</dt><dd>"), qty,
+        F.lit("</dd></dl><p hidden>secret</p><h3>Items</h3><table><caption>Lines</caption><tr><th>No</th><th>Qty</th><th>Rate</th></tr><tr><td>1</td><td>"),
+        qty, F.lit("</td><td>5%</td></tr><tr><td>2</td><td>"), more, F.lit("</td><td>7 %</td>"), extra, F.lit("</tr></table></body></html>"),
     )
-    return table.select("l_orderkey", html.alias("html"))
+    return o.select("o_orderkey", html.alias("html"))
 
 
 @plan("table_extraction", """
-SELECT l_orderkey, count(*) FILTER (WHERE l_quantity <= 49) AS rows, coalesce(sum(CAST(floor(l_quantity) AS BIGINT)) FILTER (WHERE l_quantity <= 49), 0)::BIGINT AS quantity, count(*) FILTER (WHERE l_quantity > 49) AS partial FROM lineitem GROUP BY 1
+SELECT o_orderkey, CAST(CASE WHEN o_orderstatus='P' THEN 1 ELSE 2 END AS BIGINT) AS rows, CAST(CASE WHEN o_orderstatus='P' THEN o_custkey ELSE 2 * o_custkey + 1 END AS BIGINT) AS quantity, CAST(CASE WHEN o_orderstatus='P' THEN 1 ELSE 0 END AS BIGINT) AS partial FROM orders
 """)
 def table_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.page_elements(order_pages(spark, sf_dir), "l_orderkey", "html")
+    e = G.page_elements(order_pages(spark, sf_dir), "o_orderkey", "html")
     good, problems = G.typed_table(G.table_rows(e), ["No", "Qty", "Rate"], ["integer", "integer", "percent-to-decimal"])
     both = good.select("page", F.col("values")[1].alias("q"), F.lit(None).cast("string").alias("code")).unionByName(
         problems.select("page", F.lit(None).cast("double").alias("q"), "code")
     )
-    return both.groupBy(F.col("page").cast("bigint").alias("l_orderkey")).agg(
+    return both.groupBy(F.col("page").cast("bigint").alias("o_orderkey")).agg(
         F.count("q").alias("rows"), F.coalesce(F.sum("q"), F.lit(0)).cast("bigint").alias("quantity"), F.count_if(F.col("code") == "PARTIAL_ROW").alias("partial")
     )
 
 
 @plan("definition_lookup", """
-SELECT l_orderkey, count(*) AS lines, 'NZD' AS unit, CAST(0 AS BIGINT) AS hidden_found FROM lineitem GROUP BY 1
+SELECT o_orderkey, o_custkey AS customer, 'NZD' AS unit, CAST(0 AS BIGINT) AS hidden_found FROM orders
 """)
 def definition_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.page_elements(order_pages(spark, sf_dir), "l_orderkey", "html")
-    dd = e.filter((F.col("tag") == "dd") & (F.col("section") == "Order") & ~F.col("hidden"))
-    found = e.groupBy("page").agg(F.count_if((F.col("text") == "secret") & ~F.col("hidden")).alias("hidden_found"))
-    wide = dd.groupBy("page").agg(
-        F.max(F.when(F.col("label") == "Lines", F.col("text"))).cast("bigint").alias("lines"), F.max(F.when(F.col("label") == "Unit", F.col("text"))).alias("unit")
+    e = G.page_elements(order_pages(spark, sf_dir), "o_orderkey", "html")
+    label = F.when((F.col("tag") == "dd") & (F.col("section") == "Order") & ~F.col("hidden"), F.col("label"))
+    wide = e.groupBy("page").agg(
+        F.max(F.when(label == "Customer", F.col("text"))).cast("bigint").alias("customer"), F.max(F.when(label == "Unit", F.col("text"))).alias("unit"),
+        F.count_if((F.col("text") == "secret") & ~F.col("hidden")).alias("hidden_found"),
     )
-    return wide.join(found, "page").select(F.col("page").cast("bigint").alias("l_orderkey"), "lines", "unit", "hidden_found")
+    return wide.select(F.col("page").cast("bigint").alias("o_orderkey"), "customer", "unit", "hidden_found")

@@ -71,9 +71,8 @@ UNION ALL SELECT 'orders','DUPLICATE',count(*) FROM orders JOIN firsts USING (o_
 def trust_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     day = F.col("o_orderdate").cast("date")
-    as_of = orders.agg(F.max(day).alias("as_of"))
-    dated = orders.crossJoin(F.broadcast(as_of))  # one aggregate row
-    found = run_rules(dated, "orders", F.col("o_orderkey"), [
+    as_of = orders.agg(F.max(day)).scalar()
+    found = run_rules(orders.withColumn("as_of", as_of), "orders", F.col("o_orderkey"), [
         Rule("STATUS", "o_orderstatus", rules.not_in(F.col("o_orderstatus"), ["O", "F"]), F.col("o_orderstatus"), "O or F"),
         Rule("STALE", "o_orderdate", rules.stale(day, F.col("as_of"), severity()), day, "within its limit"),
     ])
@@ -93,8 +92,7 @@ FROM o
 """)
 def stale_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
-    as_of = orders.agg(F.max(F.col("o_orderdate").cast("date")).alias("as_of"))
-    dated = orders.crossJoin(F.broadcast(as_of))  # one aggregate row
+    dated = orders.withColumn("as_of", orders.agg(F.max(F.col("o_orderdate").cast("date"))).scalar())
     day = dates.strict_date(F.date_format("o_orderdate", "yyyy-MM-dd"))
     due = dates.review_due(day, 365)
     return dated.select(

@@ -39,7 +39,9 @@ def start_trend_stream(log: DataFrame, state_path: str, checkpoint: str, **trigg
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = read_state(spark, state_path, batch_id)
-        merge_trend(state, batch).select(*state.columns).write.mode("overwrite").parquet(_version(state_path, batch_id + 1))
+        rows = batch.persist()  # the merge reads the batch more than once
+        merge_trend(state, rows).select(*state.columns).write.mode("overwrite").parquet(_version(state_path, batch_id + 1))
+        rows.unpersist()
 
     writer = log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -14,7 +14,7 @@ from trustframe.operators import drift as D
 from trustframe.operators import ranking, rules
 from trustframe.operators.reconcile import prune_retired
 from trustframe.plans.registry import plan
-from trustframe.session import checkpoint_root, load_table
+from trustframe.session import checkpoint_root, cut_lineage, load_table
 from trustframe.streaming import trend as S
 
 STATUS_SQL = "CASE event_type WHEN 'error' THEN 'transient' WHEN 'view' THEN 'changed' WHEN 'signup' THEN 'blocked' ELSE 'ready' END"
@@ -142,7 +142,7 @@ def transient_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transient_trend_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same state, built from two successive stretches of the log."""
     log = observation_log(load_table(spark, sf_dir, "events"))
-    first = D.transient_trend(log.filter("observed_at < '2024-01-16'"))
+    first = cut_lineage(D.transient_trend(log.filter("observed_at < '2024-01-16'")))  # the stored state
     return readable(D.merge_trend(first, log.filter("observed_at >= '2024-01-16'")))
 
 

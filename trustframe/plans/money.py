@@ -121,9 +121,10 @@ SELECT o_orderkey, probe, {cents_sql(sql_progressive('v', NZ['brackets']))} AS t
 """)
 def boundary_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every order total as a threshold: probes around it, closed form against the table-driven form."""
-    probes = rates.probe_points(income(spark, sf_dir), G).withColumn("scope", F.lit("nz"))
+    rows = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.col("o_orderstatus").alias("scope"))
+    probes = rates.probe_points(rows, G)
     table = spark.createDataFrame(
-        [("nz", i, None if c is None else float(c), float(r)) for i, (c, r) in enumerate(NZ["brackets"])],
+        [(s, i, None if c is None else float(c), float(r)) for s in "FOP" for i, (c, r) in enumerate(NZ["brackets"])],
         "scope string, seq int, cap double, rate double",
     )
     both = rates.progressive_by_table(probes, "probe_value", table, "scope", out="by_table")

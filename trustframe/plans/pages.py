@@ -87,7 +87,7 @@ def page_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.replace(F.col("html"), F.lit("<article>"), F.concat(F.lit("<article>"), front))
     e = G.page_elements(p.select("page_id", body.alias("html")), "page_id", "html")
-    cand = C.page_candidates(e)
+    cand = C.page_candidates(e).persist()  # parsed once, read by several joins
     none = spark.createDataFrame([], "selector string, fingerprint string, expires_at date")
     out = C.coverage_outcomes(cand, none, F.lit("2026-07-19").cast("date"))
     return out.groupBy("category", "outcome").agg(F.count(F.lit(1)).alias("n"))
@@ -111,7 +111,8 @@ SELECT o_orderkey, CAST(CASE WHEN o_orderstatus='P' THEN 1 ELSE 2 END AS BIGINT)
 """)
 def table_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = G.page_elements(order_pages(spark, sf_dir), "o_orderkey", "html")
-    good, problems = G.typed_table(G.table_rows(e), ["No", "Qty", "Rate"], ["integer", "integer", "percent-to-decimal"])
+    rows = G.table_rows(e).persist()  # parsed once, read by several joins
+    good, problems = G.typed_table(rows, ["No", "Qty", "Rate"], ["integer", "integer", "percent-to-decimal"])
     both = good.select("page", F.col("values")[1].alias("q"), F.lit(None).cast("string").alias("code")).unionByName(
         problems.select("page", F.lit(None).cast("double").alias("q"), "code")
     )

@@ -41,7 +41,6 @@ def stale_rows(actual: DataFrame, expected: DataFrame, columns: Sequence[str]) -
 
 def same_output(actual: DataFrame, expected: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row (same): order-free fingerprints of both tables compared."""
-    a = report_fingerprint(actual, list(columns)).select(F.col("fingerprint").alias("a"))
-    b = report_fingerprint(expected, list(columns)).select(F.col("fingerprint").alias("b"))
-    both = a.select(F.lit(1).alias("k"), "a").join(b.select(F.lit(1).alias("k"), "b"), "k", "full_outer")
-    return both.select(F.col("a").eqNullSafe(F.col("b")).alias("same"))
+    parts = [report_fingerprint(df, list(columns)).select("fingerprint") for df in (actual, expected)]
+    both = parts[0].unionByName(parts[1])
+    return both.agg((F.countDistinct("fingerprint") == 1).alias("same"))

@@ -36,11 +36,6 @@ def number_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(" + P.NUMBER_TOKEN + ")"), F.lit(1))
 
 
-def mask_dates(text: Column) -> Column:
-    """Blank out date spans with same-length filler so their digits are no tokens."""
-    return F.regexp_replace(text, P.DATE_SPAN, "\u0001")
-
-
 def tokens_in_context(text: Column, clause_note: Callable[[Column], Column] | None = None) -> Column:
     """``array<struct<token,value,left,right,clause,in_date>>``: tokens with clause and neighbourhood.
 

@@ -58,10 +58,6 @@ def collapse_ws(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"(?U)\s+", " "), r"^ | \z", "")
 
 
-def ascii_collapse_ws(col: Column) -> Column:
-    return F.trim(F.regexp_replace(col, r"\s+", " "))
-
-
 def norm_name(col: Column) -> Column:
     """Directory name key: folded, ``&`` spelled out, runs of non-word characters to one space."""
     spelled = F.replace(nfkc_casefold(col), F.lit("&"), F.lit(" and "))

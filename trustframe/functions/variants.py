@@ -10,16 +10,11 @@ from trustframe.functions.numbers import canonical_decimal
 
 def json_type(value: Column) -> Column:
     """null, boolean, number, string, array or object; NULL for a missing value."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None).cast("string"))
-        .when(shape == "VOID", F.lit("null"))
-        .when(shape == "BOOLEAN", F.lit("boolean"))
-        .when(shape == "STRING", F.lit("string"))
-        .when(F.startswith(shape, F.lit("ARRAY")), F.lit("array"))
-        .when(F.startswith(shape, F.lit("OBJECT")), F.lit("object"))
-        .otherwise(F.lit("number"))
-    )
+    names = {"VOID": "null", "BOOLEAN": "boolean", "STRING": "string", "ARRAY": "array", "OBJECT": "object"}
+    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    # one look at the value: the schema text up to its first bracket names the type
+    head = F.substring_index(F.schema_of_variant(value), "<", 1)
+    return F.when(value.isNotNull(), F.coalesce(F.try_element_at(lookup, head), F.lit("number")))
 
 
 def scalar_text(value: Column) -> Column:

@@ -56,7 +56,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_root(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    cut = df.sparkSession.read.schema(df.schema).parquet(path)
+    cut._cut_path = path
+    return cut
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut_lineage`` wrote, once nothing reads them any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_cut_path", None)
+        if path:
+            spark = table.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:

@@ -9,9 +9,9 @@ first n - ceil(t n) + k. The order puts rare tokens first:
   that fall in the same of G groups; G + 1 shared tokens put two in one group. G grows with the size of a set, so the
   pairs stay linear in it.
 
-Sets that share an index key are candidates. They are joined by stars: every set of a key with the key's leader, in two
-rounds with different leaders, then, where a key still spans several components, every set outside the largest one with
-all others. Only pairs inside one component are never compared, so no link between components is lost, while a group
+Sets that share an index key are candidates. They are joined in rounds: every set of a key with the key's leader; then, where
+a key still spans several components, with its neighbour in a seeded order that differs from key to key, so that a set
+meets as many others as it has keys; at last every set outside a key's largest component with all others. Only pairs inside one component are never compared, so no link between components is lost, while a group
 of thousands of near copies costs a few comparisons per copy. Candidates are pruned by the overlap of their stored low
 hashes, which is exact, and verified on all tokens.
 
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustframe.llm.common import TO_BLANK
-from trustframe.session import cut_lineage, load_table
+from trustframe.session import cut_lineage, load_table, release
 
 #: Sets that hold a token, up to which it is rare.
 RARE = 24
@@ -258,6 +258,8 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     sets = cut_lineage(signed.where("n > 0").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("whole").alias("whole"), F.first("tokens").alias("tokens"), F.min("text_key").alias("text_key"),
     ).withColumn("sid", F.monotonically_increasing_id()))
+    wide, signed = signed, cut_lineage(signed.select("doc_id", "text_key", "n", "d1", "d2"))
+    release(wide)
     limit = F.lit(int(low_limit(percent)) - (1 << 63))
     counted = sets.select(F.explode("tokens").alias("t")).where(F.col("t").bitwiseXOR(F.lit(-(1 << 63))) < limit)
     often = counted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
@@ -267,13 +269,20 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     index = first.where("key is not null")
     if not lacking.isEmpty():
         full = tokens_of(docs, lacking.select("text_key").distinct(), width).join(lacking, "text_key").select("sid", "n", F.lit(True).alias("whole"), "tokens")
-        index = index.union(cut_lineage(postings(full, percent, table)))
+        more = cut_lineage(postings(full, percent, table))
+        index = index.union(more)
+    else:
+        more = None
     several = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     shared = cut_lineage(index.join(several, "key", "left_semi"))
-    check = Verifier(docs, sets, width, percent)
+    # only sets that share a key are compared
+    held = cut_lineage(sets.join(shared.select("sid").distinct(), "sid", "left_semi"))
+    wide, sets = sets, cut_lineage(sets.select("sid", "d1", "d2", "rep"))
+    release(first, more, lacking, wide)
+    check = Verifier(docs, held, width, percent)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     links = tested = roots = None
-    for turn in (0, 1, 2):
+    for turn in ("leader", "chain", "chain again", "rest"):
         now = shared
         if roots is not None:
             now = shared.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -281,9 +290,12 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             now = cut_lineage(now.join(split, "key", "left_semi"))
         else:
             now = now.withColumn("root", F.col("sid"))
-        if turn < 2:
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("p"), "sid", "n", "root")).alias("l"))
+        if turn == "leader":
+            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("p"), "sid", "n", "root")).alias("l"))
             paired = now.join(lead, "key").select("sid", "n", "root", F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
+        elif turn != "rest":
+            order = Window.partitionBy("key").orderBy(F.xxhash64("sid", "key", F.lit(turn)))
+            paired = now.select("sid", "n", "root", *[F.lag(c).over(order).alias(c + "2") for c in ("sid", "n", "root")]).where("sid2 is not null")
         else:
             per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
@@ -294,7 +306,7 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if pairs.isEmpty():
-            break
+            continue
         tested = pairs if tested is None else tested.union(pairs)
         found = cut_lineage(check.links(pairs))
         links = found if links is None else links.union(found)

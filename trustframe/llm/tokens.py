@@ -13,6 +13,8 @@ document lies in one shard whatever its length; an empty table gives no file and
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +35,7 @@ SHARD_TOKENS = 1 << 21
 STEP = 512
 MAGIC = b"WVM1"
 #: Words whose ids a worker keeps; beyond them it starts anew.
-MOST_KEPT = 300_000
+MOST_KEPT = 200_000
 
 
 class WaveletMatrix:
@@ -164,28 +166,60 @@ def select_bit(plane: np.ndarray, counts: np.ndarray, size: int, n: int, one: in
     return low
 
 
-class _Encoder(dict):
-    """Run of text between blanks -> its ids as little-endian bytes; the tokenizer never joins across blanks."""
+class _Encoder:
+    """Ids of texts, kept by run of text between blanks and by word, as little-endian bytes.
+
+    The tokenizer never joins across blanks, nor a run of letters with a run of other signs, so a text's ids are those
+    of its parts. Plain parts are encoded many at once, parted by blanks, and cut after each id that ends a word.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 200):
+            own = words[at : at + 200]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(own) and cuts[-1] == len(ids):
+                data, begin = ids.tobytes(), 0
+                for word, end in zip(own, (4 * cuts).tolist(), strict=True):
+                    self.words[word] = data[begin:end]
+                    begin = end
+            else:
+                self.words.update((w, self._one(w)) for w in own)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.translate(_BLANKS).split(" ") for t in texts]
-        if len(self) > MOST_KEPT:
-            self.clear()
-        new = list({c for chunks in split for c in chunks if c not in self})
-        for chunk, made in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self[chunk] = np.array(made.ids, "<u4").tobytes()
-        get = self.__getitem__
+        for kept in (self.runs, self.words):
+            if len(kept) > MOST_KEPT:
+                kept.clear()
+        new = {c for chunks in split for c in chunks if c not in self.runs}
+        parts = {c: _PARTS.findall(c.lower()) for c in new if _PLAIN.fullmatch(c)}
+        self._learn_words(list({w for own in parts.values() for w in own if w not in self.words}))
+        for chunk in new:
+            own = parts.get(chunk)
+            self.runs[chunk] = self._one(chunk) if own is None else b"".join([self.words[w] for w in own])
+        get = self.runs.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
 
 
 #: Blanks that the tokenizer drops, whatever stands beside them.
 _BLANKS = {9: 32, 10: 32, 13: 32}
+#: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+)*")
 _ENCODERS: dict[str, _Encoder] = {}
 
 
@@ -193,7 +227,9 @@ def write_wavelet_shards(docs: DataFrame, tokenizer: str, path: str, shard_token
     """docs(doc_id, text) -> files of shards in ascending doc_id order; names of records hold their order."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _ENCODERS.setdefault(tokenizer, _Encoder(tokenizer)) if tokenizer not in _ENCODERS else _ENCODERS[tokenizer]
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = _Encoder(tokenizer)
+        encoder = _ENCODERS[tokenizer]
         partition, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []

@@ -209,6 +209,8 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[float]]:
                             own[w[:k] + "*"] += n
                 held[int(toxic)].update(own.keys()), uses[int(toxic)].update(own)
             for toxic in (0, 1):
+                if not uses[toxic]:
+                    continue
                 yield pd.DataFrame({"term": list(uses[toxic]), "toxic": toxic, "n": [held[toxic][t] for t in uses[toxic]], "uses": list(uses[toxic].values())})
 
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -263,7 +265,7 @@ def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
         matcher = Matcher(shared.value)
         for pdf in batches:
             chunks = {c for t in pdf["text"] for c in t.lower().translate(TO_BLANK).split(" ")}
-            yield pd.DataFrame({"word": sorted({clean_word(c) for c in chunks if matcher[c] < 0})})
+            yield pd.DataFrame({"word": np.array(sorted({clean_word(c) for c in chunks if matcher[c] < 0}), dtype=object)})
 
     # bounded by the words of the sample
     return [r["word"] for r in sample.where("toxic = 0").select("text").mapInPandas(near, "word string").distinct().collect()]

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but a blank and the control characters from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
-#: What separates words, for ``str.translate``: every separator becomes a blank.
-TO_BLANK = {i: 32 for i in range(9, 14)}
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -35,11 +33,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def split_words(text: str) -> list[str]:
-    """The words of a text, split at the six separators only (not at other Unicode blanks)."""
-    return [w for w in text.translate(TO_BLANK).split(" ") if w]
-
-
 def bounded_sample(df: DataFrame, by: str, per_class: int, identity: Iterable[str]) -> DataFrame:
     """About ``per_class`` rows of each value of ``by``, chosen by a hash of ``identity``.
 

@@ -32,7 +32,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import TO_BLANK
 from trustframe.session import cut_lineage, load_table, release
 
 #: Sets that hold a token, up to which it is rare.
@@ -42,15 +41,16 @@ SMALL = 128
 #: Bits of the tables of frequent tokens and of wanted texts; fixed, so they are broadcast whatever the input is.
 BITS = 23
 MOST_KEPT = 400_000
-LOWER = TO_BLANK | {c: c + 32 for c in range(65, 91)}
+#: UTF-8 bytes with A to Z in lower case; bytes.split() then parts at the six separators only.
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTORS = (np.random.default_rng(9).integers(1, 1 << 62, size=64, dtype=np.int64) * 2 + 1).astype(np.uint64)
 
 
 class _Words(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > MOST_KEPT:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
@@ -65,7 +65,7 @@ def mix_bits(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams."""
-    words = [w for w in (text or "").translate(LOWER).split(" ") if w]
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))

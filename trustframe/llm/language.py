@@ -152,7 +152,8 @@ def fit(labelled: DataFrame, vocabulary: list[str]) -> tuple[list[str], np.ndarr
                 seen: Counter = Counter()
                 for text in texts:
                     seen.update(LETTERS.findall(text.lower()))
-                yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())})
+                if seen:
+                    yield pd.DataFrame({"lang": lang, "word": list(seen), "n": list(seen.values())})
 
     words = cut_lineage(labelled.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())

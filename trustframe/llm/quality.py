@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import TO_BLANK, bounded_sample, remainder
+from trustframe.llm.common import bounded_sample, remainder
 from trustframe.session import cut_lineage, load_table
 
 #: Labelled rows of either class that are broadcast.
@@ -61,7 +61,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def features(text: str | None) -> np.ndarray:
     """Feature vector of a whole text."""
     out = np.zeros(WIDTH, np.float32)
-    chunks = [c for c in (text or "").translate(TO_BLANK).split(" ") if c]
+    chunks = (text or "").split()
     out[-1] = 1.0
     if not chunks:
         return out

@@ -201,7 +201,7 @@ class _Encoder:
                 self.words.update((w, self._one(w)) for w in own)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.translate(_BLANKS).split(" ") for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         for kept in (self.runs, self.words):
             if len(kept) > MOST_KEPT:
                 kept.clear()
@@ -215,8 +215,6 @@ class _Encoder:
         return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
 
 
-#: Blanks that the tokenizer drops, whatever stands beside them.
-_BLANKS = {9: 32, 10: 32, 13: 32}
 #: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
 _PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+)*")

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import TO_BLANK, bounded_sample, remainder
+from trustframe.llm.common import bounded_sample, remainder
 from trustframe.session import cut_lineage, load_table
 
 #: Labelled rows of either class that the model is fitted on.
@@ -55,7 +55,7 @@ class Trie:
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]
         self.stem: list[int] = [-1]
-        self.heads, self.middles = set(), set()
+        self.heads, self.middles, self.seams = set(), set(), set()
         for i, term in enumerate(terms):
             text, at = term.rstrip("*"), 0
             for c in text:
@@ -67,6 +67,7 @@ class Trie:
             if len(text) >= LEAST_FUZZY and not term.endswith("*"):
                 half = len(text) // 2
                 self.heads.add(text[:half]), self.middles.add(text[half:])
+                self.seams.add(text[: half - 1] + text[half] + text[half - 1] + text[half + 1 :])
 
     def exact(self, word: str) -> int:
         """Term that the word is or starts with; -1: none."""
@@ -116,9 +117,11 @@ class Trie:
         return best
 
     def may_be_near(self, word: str) -> bool:
-        """A term within one edit keeps its first half at the start or its second half at the end (or both are swapped at the seam)."""
+        """A term within one edit keeps its first half at the start or its second half at the end, or is swapped where they meet."""
         n = len(word)
-        return any(word[:k] in self.heads or word[n - k :] in self.middles or word[n - k - 1 :] in self.middles for k in self.halves) if n >= LEAST_FUZZY - 1 else False
+        if n < LEAST_FUZZY - 1:
+            return False
+        return word in self.seams or any(word[:k] in self.heads or word[n - k :] in self.middles for k in self.halves if k <= n)
 
     @property
     def halves(self) -> list[int]:
@@ -172,7 +175,7 @@ FUZZY = 0.8
 
 
 def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
-    chunks = [c for c in text.lower().translate(TO_BLANK).split(" ") if c]
+    chunks = text.lower().split()
     found = list(map(matcher.__getitem__, chunks))
     if not any(found):
         return [0.0] * FEATURES
@@ -199,7 +202,7 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[float]]:
         for pdf in batches:
             held, uses = (Counter(), Counter()), (Counter(), Counter())
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                words = Counter(clean_word(c) for c in text.lower().translate(TO_BLANK).split(" "))
+                words = Counter(clean_word(c) for c in text.lower().split())
                 words.pop("", None)
                 uses[int(toxic)][""] += sum(words.values())
                 own: Counter = Counter(words)
@@ -264,7 +267,7 @@ def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(shared.value)
         for pdf in batches:
-            chunks = {c for t in pdf["text"] for c in t.lower().translate(TO_BLANK).split(" ")}
+            chunks = {c for t in pdf["text"] for c in t.lower().split()}
             yield pd.DataFrame({"word": np.array(sorted({clean_word(c) for c in chunks if matcher[c] < 0}), dtype=object)})
 
     # bounded by the words of the sample

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustframe.llm.common import WORD, fresh
 from trustframe.session import cut_lineage, load_table, release
 
 #: Sets that hold a token, up to which it is rare.
@@ -103,7 +104,8 @@ def index_keys(tokens: np.ndarray, whole: bool, percent: int, frequent: np.ndarr
     keys = [rare]
     smallest, largest = max(1, least), 100 * n // percent
     for level in range(smallest.bit_length() - 1, largest.bit_length()):
-        groups = max(1, int((1 << level) * (100 - percent) / 400))
+        # as many groups as the prefix has tokens make the fewest pairs
+        groups = max(1, int((1 << level) * (100 - percent) / 100))
         rest = other[: max(0, min(n, n - least + groups + 1) - len(rare))]
         of = rest % np.uint64(groups)
         order = np.argsort(of, kind="stable")
@@ -152,7 +154,8 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     n=sizes, d1=pairs[:, 0], d2=pairs[:, 1], whole=sizes <= SMALL,
                     tokens=[_signed(s if len(s) <= SMALL else s[s < limit]) for s in made])
 
-    return docs.mapInPandas(measure, "doc_id long, text_key string, n long, d1 long, d2 long, whole boolean, tokens array<long>")
+    kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
+    return docs.mapInPandas(measure, f"doc_id {kind}, text_key string, n long, d1 long, d2 long, whole boolean, tokens array<long>")
 
 
 def tokens_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -325,17 +328,28 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each component of near-equal texts; texts without a word all stay.
 
-    The one that stays has the smallest doc_id, then the smallest text digest, and is the first of equal rows.
+    The one that stays has the smallest doc_id (NULL last), then the smallest text digest; of equal rows with that id
+    and text one stays. Texts are shuffled only if a table of fixed size says that they may belong to a group.
     """
-    from trustframe.llm.common import fresh
-
-    (tag,) = fresh(docs, "row_tag")
-    tagged = cut_lineage(docs.withColumn(tag, F.monotonically_increasing_id()))
-    # rows stand for themselves by their tag, so NULL and repeated ids are told apart
-    classes = near_components(tagged.select(F.col(tag).alias("doc_id"), "text"), width, percent)
-    least = classes.join(tagged.select(F.col(tag).alias("doc_id"), F.col("doc_id").alias("own")), "doc_id")
-    chosen = least.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.col("own").isNull(), "own", "text_key", "doc_id")).alias(tag)).select(tag)
-    return tagged.join(chosen, tag, "left_semi").drop(tag)
+    key, may_go, own, own_key = fresh(docs, "text_key", "may_go", "own_id", "own_key")
+    # texts stand for themselves by their digest, so NULL and repeated ids are told apart
+    named = near_components(docs.select(F.md5("text").alias("doc_id"), "text"), width, percent)
+    classes = cut_lineage(named.where("n_shingles > 0").select("text_key", "component_id").distinct())
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("text_key"))
+    members = rows.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("m")).join(classes, "text_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "text_key")).alias("b")
+    best = cut_lineage(members.groupBy("component_id").agg(first, F.sum("m").alias("m")))
+    groups = classes.join(best.where("m > 1").select("component_id"), "component_id")
+    flags = docs.sparkSession.sparkContext.broadcast(flags_of(groups.select(F.xxhash64("text_key").alias("h")), "h"))
+
+    @F.pandas_udf("boolean")
+    def in_group(h: pd.Series) -> pd.Series:
+        return pd.Series(read_flags(flags.value)[h.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)])
+
+    keyed = docs.withColumn(key, F.md5("text")).withColumn(may_go, in_group(F.xxhash64(key)) & F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    stay = best.select(F.col("b.doc_id").alias(own), F.col("b.text_key").alias(own_key))
+    chosen = keyed.where(may_go).join(stay, F.col("doc_id").eqNullSafe(F.col(own)) & (F.col(key) == F.col(own_key)), "left_semi")
+    return keyed.where(~F.col(may_go)).select(*docs.columns).union(chosen.dropDuplicates(["doc_id", key]).select(*docs.columns))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

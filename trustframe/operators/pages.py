@@ -22,7 +22,12 @@ ELEMENTS = (
 _COLUMNS = [part.split()[0] for part in ELEMENTS.split(", ")]
 FLUSH_ROWS = 20_000
 _EMIT = frozenset(P.SEMANTIC_TAGS) | {"td", "th", "dt", "dd", "a", "caption", "title"}
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Open tags that a start tag ends when their end tag is left out, and the tags that bound the search for them.
+_IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}), "p": ({"p"}, {"div", "section", "article", "li", "td", "th", "dd", "body"}),
+    "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
+}
 
 
 class _Elements(HTMLParser):
@@ -33,6 +38,7 @@ class _Elements(HTMLParser):
         self.page, self.mark, self.skip_context = page, mark, skip_context
         self.open: list[dict] = []
         self.rows: list[tuple] = []
+        self.pieces: list[str] = []  # texts of the page in order; an element's own begin at its start tag
         self.heads: list[tuple[int, str]] = []
         self.tables: list[dict] = []
         self.count = self.table_count = 0
@@ -40,14 +46,13 @@ class _Elements(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
+        self._end_implied(tag)
         up = self.open[-1] if self.open else None
         kin = up["kin"] if up else {}
         kin[tag] = kin.get(tag, 0) + 1
         ident = given.get("id", "")
         if ident:
-            simple = ident.replace("_", "a").replace("-", "0").isalnum() and ident.isascii() and not (
-                ident[0].isdigit() or ident[0] == "-"
-            )
+            simple = re.fullmatch(P.SIMPLE_ID, ident)
             quoted = ident.replace("\\", "\\\\").replace('"', '\\"')
             selector = f"{self.page}::" + (f"#{ident}" if simple else f'[id="{quoted}"]')
         else:
@@ -55,7 +60,7 @@ class _Elements(HTMLParser):
             selector = f"{base}{tag}:nth-of-type({kin[tag] if up else 1})"
         style = {"".join(d.split()).lower() for d in given["style"].split(";")} if "style" in given else set()
         away = (
-            tag in P.IGNORED_TAGS[:2] or tag in P.IGNORED_TAGS[3:] or "hidden" in given
+            tag in P.SUPPRESSED_TAGS or "hidden" in given
             or given.get("aria-hidden", "").strip().lower() == "true" or ident.startswith("History_")
             or bool(style & {"display:none", "visibility:hidden"})
         )
@@ -74,13 +79,25 @@ class _Elements(HTMLParser):
             "tag": tag, "selector": selector, "kin": {}, "line": self.getpos()[0], "seq": self.count,
             "ignored": bool(up and up["ignored"]) or tag in P.IGNORED_TAGS
             or (bool(given) and bool(self.skip_context.search(f"{ident} {given.get('class', '')}"))),
-            "hidden": bool(up and up["hidden"]) or (away and tag not in _VOID),
+            "hidden": bool(up and up["hidden"]) or away,
             "marked": bool(up and up["marked"]) or own, "own_mark": given.get(self.mark),
-            "href": given.get("href"), "text": [] if wanted else None,
+            "href": given.get("href"), "text": len(self.pieces) if wanted else None,
             "at": (in_cell["no"], in_cell["row"], in_cell["cell"] if tag in ("td", "th") else None) if in_cell else None,
             "head": self._heads(),
         })
         self.count += 1
+        if tag in P.VOID_TAGS:
+            self._finish(self.open.pop())
+
+    def _end_implied(self, tag):
+        ended, bounds = _IMPLIED.get(tag, ((), ()))
+        for at in range(len(self.open) - 1, -1, -1) if ended else ():
+            if self.open[at]["tag"] in ended:
+                while len(self.open) > at:
+                    self._finish(self.open.pop())
+                return
+            if self.open[at]["tag"] in bounds:
+                return
 
     def _heads(self):
         now = self.heads[-1] if self.heads else (0, "")
@@ -92,9 +109,7 @@ class _Elements(HTMLParser):
         self.handle_endtag(tag)
 
     def handle_data(self, data):
-        for frame in self.open:
-            if frame["text"] is not None:
-                frame["text"].append(data)
+        self.pieces.append(data)
 
     def handle_endtag(self, tag):
         if any(f["tag"] == tag for f in self.open):
@@ -112,7 +127,7 @@ class _Elements(HTMLParser):
     def _finish(self, f):
         tag = f["tag"]
         if f["text"] is not None:
-            body = " ".join("".join(f["text"]).split())
+            body = " ".join("".join(self.pieces[f["text"]:]).split())
             table = self.tables[-1] if self.tables else None
             if tag == "caption" and table:
                 table["caption"] = body

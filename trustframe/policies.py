@@ -130,6 +130,12 @@ TOWN_OR_REGION_AU = r"(?i)/|district|region|projects|area|전국|basin|goldfield
 # --- fixed values: numeric facts in page text ---------------------------------------
 SEMANTIC_TAGS = ("p", "li", "tr", "label", "summary", "h1", "h2", "h3", "h4", "h5", "h6")
 IGNORED_TAGS = ("style", "script", "svg", "template", "noscript")
+SUPPRESSED_TAGS = ("script", "style", "template", "noscript")
+VOID_TAGS = (
+    "area", "base", "br", "col", "embed", "hr", "img", "input",
+    "link", "meta", "param", "source", "track", "wbr",
+)
+SIMPLE_ID = r"[A-Za-z_][A-Za-z0-9_-]*"
 IGNORED_CONTEXT = r"(?i)(?:scenario|changeline|flight|calendar|season(?:al)?-map|city-map|diagnose)"
 VISA_IDENTIFIERS = ("186", "189", "190", "191", "417", "462", "482", "485", "491", "500", "820")
 NUMBER_TOKEN = (

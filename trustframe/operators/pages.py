@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
@@ -30,130 +31,173 @@ _IMPLIED = {
 }
 
 
-class _Elements(HTMLParser):
-    """Collects one row per element of interest; nesting decides marks, ignored and hidden flags."""
+class _Tree(HTMLParser):
+    """The nodes of one page in document order, as parallel lists; a node's text is a span of ``pieces``.
 
-    def __init__(self, page: str, mark: str, skip_context) -> None:
+    Building knows nothing of marks, sections or tables: those are derived from the lists afterwards.
+    """
+
+    def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.page, self.mark, self.skip_context = page, mark, skip_context
-        self.open: list[dict] = []
-        self.rows: list[tuple] = []
-        self.pieces: list[str] = []  # texts of the page in order; an element's own begin at its start tag
-        self.heads: list[tuple[int, str]] = []
-        self.tables: list[dict] = []
-        self.count = self.table_count = 0
-        self.term = self.h3 = ""
+        self.tags: list[str] = []
+        self.given: list[dict[str, str]] = []
+        self.parent: list[int] = []
+        self.line: list[int] = []
+        self.begin: list[int] = []
+        self.end: list[int] = []
+        self.closed: list[int] = []  # number of nodes that had started when this one ended
+        self.pieces: list[str] = []
+        self.now = -1
+        self.unclosed: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
-        given = {k: v or "" for k, v in attrs}
-        self._end_implied(tag)
-        up = self.open[-1] if self.open else None
-        kin = up["kin"] if up else {}
-        kin[tag] = kin.get(tag, 0) + 1
-        ident = given.get("id", "")
-        if ident:
-            simple = re.fullmatch(P.SIMPLE_ID, ident)
-            quoted = ident.replace("\\", "\\\\").replace('"', '\\"')
-            selector = f"{self.page}::" + (f"#{ident}" if simple else f'[id="{quoted}"]')
-        else:
-            base = up["selector"] + ">" if up else f"{self.page}::"
-            selector = f"{base}{tag}:nth-of-type({kin[tag] if up else 1})"
-        style = {"".join(d.split()).lower() for d in given["style"].split(";")} if "style" in given else set()
-        away = (
-            tag in P.SUPPRESSED_TAGS or "hidden" in given
-            or given.get("aria-hidden", "").strip().lower() == "true" or ident.startswith("History_")
-            or bool(style & {"display:none", "visibility:hidden"})
-        )
-        if tag == "table":
-            self.table_count += 1
-            self.tables.append({"no": self.table_count, "row": 0, "cell": 0, "caption": "", "at": len(self.open)})
-        table = self.tables[-1] if self.tables else None
-        if table and tag == "tr":
-            table["row"], table["cell"] = table["row"] + 1, 0
-        elif table and tag in ("td", "th"):
-            table["cell"] += 1
-        in_cell = table if tag in ("td", "th", "tr", "caption") else None
-        own = self.mark in given
-        wanted = tag in _EMIT or own
-        self.open.append({
-            "tag": tag, "selector": selector, "kin": {}, "line": self.getpos()[0], "seq": self.count,
-            "ignored": bool(up and up["ignored"]) or tag in P.IGNORED_TAGS
-            or (bool(given) and bool(self.skip_context.search(f"{ident} {given.get('class', '')}"))),
-            "hidden": bool(up and up["hidden"]) or away,
-            "marked": bool(up and up["marked"]) or own, "own_mark": given.get(self.mark),
-            "href": given.get("href"), "text": len(self.pieces) if wanted else None,
-            "at": (in_cell["no"], in_cell["row"], in_cell["cell"] if tag in ("td", "th") else None) if in_cell else None,
-            "head": self._heads(),
-        })
-        self.count += 1
+        ended, bounds = _IMPLIED.get(tag, ((), ()))
+        if any(self.unclosed[t] for t in ended):
+            at = self.now
+            while at >= 0 and self.tags[at] not in ended and self.tags[at] not in bounds:
+                at = self.parent[at]
+            if at >= 0 and self.tags[at] in ended:
+                self._close_through(at)
+        self.tags.append(tag)
+        self.given.append({name: value or "" for name, value in attrs})
+        self.parent.append(self.now)
+        self.line.append(self.getpos()[0])
+        self.begin.append(len(self.pieces))
+        self.end.append(-1)
+        self.closed.append(-1)
+        self.now = len(self.tags) - 1
+        self.unclosed[tag] += 1
         if tag in P.VOID_TAGS:
-            self._finish(self.open.pop())
+            self._close_through(self.now)
 
-    def _end_implied(self, tag):
-        ended, bounds = _IMPLIED.get(tag, ((), ()))
-        for at in range(len(self.open) - 1, -1, -1) if ended else ():
-            if self.open[at]["tag"] in ended:
-                while len(self.open) > at:
-                    self._finish(self.open.pop())
-                return
-            if self.open[at]["tag"] in bounds:
-                return
-
-    def _heads(self):
-        now = self.heads[-1] if self.heads else (0, "")
-        outer = next((t for lv, t in reversed(self.heads) if lv < now[0]), "")
-        return now[1], outer, self.h3
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        self.handle_endtag(tag)
+    def handle_endtag(self, tag):
+        if self.unclosed[tag]:
+            at = self.now
+            while self.tags[at] != tag:
+                at = self.parent[at]
+            self._close_through(at)
 
     def handle_data(self, data):
         self.pieces.append(data)
 
-    def handle_endtag(self, tag):
-        if any(f["tag"] == tag for f in self.open):
-            while True:
-                done = self.open.pop()
-                self._finish(done)
-                if done["tag"] == tag:
-                    break
-
     def close(self):
         super().close()
-        while self.open:
-            self._finish(self.open.pop())
-
-    def _finish(self, f):
-        tag = f["tag"]
-        if f["text"] is not None:
-            body = " ".join("".join(self.pieces[f["text"]:]).split())
-            table = self.tables[-1] if self.tables else None
-            if tag == "caption" and table:
-                table["caption"] = body
-            if not f["hidden"]:
-                if len(tag) == 2 and tag[0] == "h" and tag[1] in "123456":
-                    self.heads = [h for h in self.heads if h[0] < int(tag[1])] + [(int(tag[1]), body)]
-                    self.h3 = body if tag == "h3" else self.h3
-                elif tag == "dt":
-                    self.term = body
-                elif tag == "summary":
-                    self._note_summary(body)
-            no, row, cell = f["at"] or (None, None, None)
-            summary = next((o["summary"] for o in reversed(self.open) if "summary" in o), "")
-            self.rows.append((
-                self.page, f["seq"], tag, f["selector"], f["line"], *f["head"], no, row, cell,
-                table["caption"] if table and no else "", summary, self.term if tag == "dd" else "", body,
-                f["marked"], f["own_mark"], f["ignored"], f["hidden"], f["href"],
-            ))
-        if tag == "table" and self.tables and self.tables[-1]["at"] == len(self.open):
-            self.tables.pop()
-
-    def _note_summary(self, body):
-        for frame in reversed(self.open):
-            if frame["tag"] == "details":
-                frame["summary"] = body
-                return
+        self._close_through(0)
+
+    def _close_through(self, last: int) -> None:
+        while self.now >= max(last, 0):
+            at = self.now
+            self.end[at], self.closed[at] = len(self.pieces), len(self.tags)
+            self.unclosed[self.tags[at]] -= 1
+            self.now = self.parent[at]
+
+    def text(self, at: int) -> str:
+        return " ".join("".join(self.pieces[self.begin[at]:self.end[at]]).split())
+
+
+def _inherited(tree: _Tree, own: list[bool]) -> list[bool]:
+    """True for nodes that have the property or sit below one that has it (parents come first)."""
+    out: list[bool] = []
+    for up, mine in zip(tree.parent, own):
+        out.append(mine or (up >= 0 and out[up]))
+    return out
+
+
+def _nearest(tree: _Tree, tag: str) -> list[int]:
+    """Per node the closest node of that tag on its path, itself included; -1 without one."""
+    out: list[int] = []
+    for at, up in enumerate(tree.parent):
+        out.append(at if tree.tags[at] == tag else out[up] if up >= 0 else -1)
+    return out
+
+
+def _is_away(tag: str, given: dict[str, str]) -> bool:
+    styles = {"".join(part.split()).lower() for part in given.get("style", "").split(";")}
+    return (
+        tag in P.SUPPRESSED_TAGS or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+        or given.get("id", "").startswith(P.HIDDEN_ID_PREFIX) or not styles.isdisjoint(P.HIDDEN_STYLES)
+    )
+
+
+def _element_rows(page: str, tree: _Tree, mark: str, skip_context: re.Pattern) -> Iterator[tuple]:
+    """One row per element of interest, from the finished node lists."""
+    tags, given, size = tree.tags, tree.given, len(tree.tags)
+    hidden = _inherited(tree, [_is_away(t, g) for t, g in zip(tags, given)])
+    marked = _inherited(tree, [mark in g for g in given])
+    ignored = _inherited(tree, [
+        t in P.IGNORED_TAGS or (bool(g) and bool(skip_context.search(f"{g.get('id', '')} {g.get('class', '')}")))
+        for t, g in zip(tags, given)
+    ])
+    table, details = _nearest(tree, "table"), _nearest(tree, "details")
+    order: Counter[tuple[int, str]] = Counter()  # position among the siblings of one tag
+    nth, place = [0] * size, [(None, None, None)] * size
+    table_no: dict[int, int] = {}
+    row_no: Counter[int] = Counter()
+    cell_no: dict[int, int] = {}
+    caption: dict[int, str] = {}
+    summary: dict[int, str] = {}
+    for at, tag in enumerate(tags):
+        order[tree.parent[at], tag] += 1
+        nth[at] = order[tree.parent[at], tag] if tree.parent[at] >= 0 else 1
+        inside = table[at]
+        if tag == "table":
+            table_no[at] = len(table_no) + 1
+        elif tag == "summary" and not hidden[at] and details[at] >= 0:
+            summary[details[at]] = tree.text(at)
+        elif inside >= 0 and tag in ("tr", "td", "th", "caption"):
+            cell = None
+            if tag == "tr":
+                row_no[inside] += 1
+                cell_no[inside] = 0
+            elif tag == "caption":
+                caption[inside] = tree.text(at)
+            else:
+                cell = cell_no[inside] = cell_no.get(inside, 0) + 1
+            place[at] = (table_no[inside], row_no[inside], cell)
+
+    def selector(at: int) -> str:
+        steps: list[str] = []
+        while at >= 0:
+            ident = given[at].get("id", "")
+            if re.fullmatch(P.SIMPLE_ID, ident):
+                steps.append(f"#{ident}")
+                break
+            if ident:
+                steps.append(f"""[id="{re.sub(P.QUOTED_IN_SELECTOR, lambda m: chr(92) + m.group(), ident)}"]""")
+                break
+            steps.append(f"{tags[at]}:nth-of-type({nth[at]})")
+            at = tree.parent[at]
+        return f"{page}::" + ">".join(reversed(steps))
+
+    def summary_of(at: int) -> str:
+        at = details[at]
+        while at >= 0 and at not in summary:
+            at = details[tree.parent[at]] if tree.parent[at] >= 0 else -1
+        return summary.get(at, "")
+
+    # headings and terms take effect for what starts after their end
+    ends = sorted(
+        (at for at in range(size) if not hidden[at] and (tags[at] in P.HEADING_TAGS or tags[at] == "dt")),
+        key=lambda at: (tree.closed[at], -at),
+    )
+    done, path, h3, term = 0, [], "", ""
+    for at, tag in enumerate(tags):
+        while done < len(ends) and tree.closed[ends[done]] <= at:
+            body, kind = tree.text(ends[done]), tags[ends[done]]
+            done += 1
+            if kind == "dt":
+                term = body
+                continue
+            path = [h for h in path if h[0] < kind] + [(kind, body)]
+            h3 = body if kind == "h3" else h3
+        if tag not in _EMIT and mark not in given[at]:
+            continue
+        yield (
+            page, at, tag, selector(at), tree.line[at], path[-1][1] if path else "", path[-2][1] if len(path) > 1 else "",
+            h3, *place[at], caption.get(table[at], "") if place[at][0] else "", summary_of(at),
+            term if tag == "dd" else "", tree.text(at), marked[at], given[at].get(mark), ignored[at], hidden[at],
+            given[at].get("href"),
+        )
 
 
 def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id") -> DataFrame:
@@ -170,13 +214,14 @@ def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-clai
             for key, body in zip(batch["page"], batch["html"]):
                 if body is None:
                     continue
-                parser = _Elements(key, mark, skip)
-                parser.feed(body)
-                parser.close()
-                rows += parser.rows
-                if len(rows) >= FLUSH_ROWS:
-                    yield pd.DataFrame(rows, columns=_COLUMNS)
-                    rows = []
+                tree = _Tree()
+                tree.feed(body)
+                tree.close()
+                for row in _element_rows(key, tree, mark, skip):
+                    rows.append(row)
+                    if len(rows) >= FLUSH_ROWS:
+                        yield pd.DataFrame(rows, columns=_COLUMNS)
+                        rows = []
         if rows:
             yield pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -185,20 +230,18 @@ def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-clai
 
 
 def page_markers(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id") -> DataFrame:
-    """Marker values per page by pattern only (no parser): (page, marker)."""
-    found = F.regexp_extract_all(F.col(html), F.lit(rf"(?i)<[^>]*\s{mark}\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return pages.select(F.col(page), F.explode(F.array_distinct(found)).alias("marker"))
+    """Distinct marker values per page: (page, marker). Pages without the word are not parsed."""
+    some = pages.filter(F.contains(F.lower(F.col(html)), F.lit(mark)))
+    found = page_elements(some, page, html, mark).filter(F.col("own_mark").isNotNull())
+    key = F.col("page").cast(pages.schema[page].dataType).alias(page)
+    return found.select(key, F.col("own_mark").alias("marker")).distinct()
 
 
 def page_links(pages: DataFrame, page: str, html: str) -> DataFrame:
-    """Anchors per page by pattern only: (page, href, name)."""
-    anchor = r'(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1))
-    names = F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(2))
-    pairs = pages.select(F.col(page), F.explode(F.arrays_zip(hrefs.alias("href"), names.alias("name"))).alias("l"))
-    name = F.trim(F.regexp_replace(F.regexp_replace(F.col("l.name"), r"<[^>]*>", " "), r"\s+", " "))
-    plain = F.replace(F.replace(name, F.lit("&#x27;"), F.lit("'")), F.lit("&amp;"), F.lit("&"))
-    return pairs.select(page, F.col("l.href").alias("href"), plain.alias("name"))
+    """Anchors per page in document order: (page, seq, href, name)."""
+    links = page_elements(pages, page, html).filter((F.col("tag") == "a") & (F.col("href") != ""))
+    key = F.col("page").cast(pages.schema[page].dataType).alias(page)
+    return links.select(key, "seq", "href", F.col("text").alias("name"))
 
 
 def table_rows(elements: DataFrame) -> DataFrame:

@@ -30,35 +30,46 @@ def page_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", F.explode(rules.page_contract_breaks(F.col("html"), wanted, title)).alias("code"))
 
 
+#: Links in every quoting, one in a comment, one without an end tag, and a name that is linked twice.
+LINK_VARIANTS = "<!-- <a href=\"/gone\">gone</a> --><a href='/single'>twice</a><a href=/bare>twice</a><a title=\">\" href=\"/angle\">angle</a>"
+
 LINK_SQL = r"""
-WITH l AS (SELECT page_id, unnest(regexp_extract_all(html,'<a\b[^>]*href="([^"]+)"[^>]*>',1)) AS href, unnest(regexp_extract_all(html,'<a\b[^>]*href="[^"]+"[^>]*>([^<]*)</a>',1)) AS name FROM pages)
+WITH l0 AS (SELECT page_id, regexp_extract_all(html,'<a\b[^>]*href="([^"]+)"[^>]*>',1) AS hs, regexp_extract_all(html,'<a\b[^>]*href="[^"]+"[^>]*>([^<]*)</a>',1) AS ns FROM pages),
+l AS (SELECT page_id, unnest(hs) AS href, unnest(ns) AS name, unnest(range(len(hs))) AS ord FROM l0
+  UNION ALL SELECT page_id, v.* FROM pages, (VALUES ('/single','twice',-3), ('/bare','twice',-2), ('/angle','angle',-1)) v(href, name, ord))
 """
 
 
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "pages")
+    return p.select("page_id", F.concat(F.lit(LINK_VARIANTS), "html").alias("html"))
+
+
 @plan("page_links", LINK_SQL + "SELECT href, count(DISTINCT page_id) AS pages, min(page_id) AS first_page, count(DISTINCT name) AS names FROM l GROUP BY 1")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = G.page_links(load_table(spark, sf_dir, "pages"), "page_id", "html")
+    links = G.page_links(linked_pages(spark, sf_dir), "page_id", "html")
     return links.groupBy("href").agg(
         F.countDistinct("page_id").alias("pages"), F.min("page_id").alias("first_page"), F.countDistinct("name").alias("names")
     )
 
 
 @plan("named_links", LINK_SQL + """
-SELECT DISTINCT page_id, name, href FROM l WHERE name IN (SELECT DISTINCT name FROM l WHERE href LIKE '/a%')
+SELECT page_id, name, arg_max(href, ord) AS href FROM l WHERE name IN (SELECT DISTINCT name FROM l WHERE href LIKE '/a%' OR href='/bare') GROUP BY 1, 2
 """)
 def named_links_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load_table(spark, sf_dir, "pages")
-    names = G.page_links(p, "page_id", "html").filter(F.col("href").like("/a%")).select("name").distinct()
+    p = linked_pages(spark, sf_dir)
+    names = G.page_links(p, "page_id", "html").filter(F.col("href").like("/a%") | (F.col("href") == "/bare")).select("name").distinct()
     return named_links(p, "page_id", "html", names)
 
 
 @plan("marker_gaps", LINK_SQL + """
-, d AS (SELECT page_id, unnest(['/The','/and','/Nicht','/En']) AS marker FROM pages)
+, d AS (SELECT page_id, unnest(['/The','/and','/Nicht','/En','/gone','/bare','/angle']) AS marker FROM pages)
 SELECT page_id, marker FROM d WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.page_id=d.page_id AND l.href=d.marker)
 """)
 def marker_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = load_table(spark, sf_dir, "pages")
-    declared = p.select("page_id", F.explode(F.array(*map(F.lit, ["/The", "/and", "/Nicht", "/En"]))).alias("marker"))
+    p = linked_pages(spark, sf_dir)
+    wanted = ["/The", "/and", "/Nicht", "/En", "/gone", "/bare", "/angle"]
+    declared = p.select("page_id", F.explode(F.array(*map(F.lit, wanted))).alias("marker"))
     found = G.page_markers(p, "page_id", "html", mark="href")
     return R.unmatched(declared, found, ["page_id", "marker"])
 

@@ -135,7 +135,11 @@ VOID_TAGS = (
     "area", "base", "br", "col", "embed", "hr", "img", "input",
     "link", "meta", "param", "source", "track", "wbr",
 )
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+HIDDEN_STYLES = ("display:none", "visibility:hidden")
+HIDDEN_ID_PREFIX = "History_"
 SIMPLE_ID = r"[A-Za-z_][A-Za-z0-9_-]*"
+QUOTED_IN_SELECTOR = r'["\\]'
 IGNORED_CONTEXT = r"(?i)(?:scenario|changeline|flight|calendar|season(?:al)?-map|city-map|diagnose)"
 VISA_IDENTIFIERS = ("186", "189", "190", "191", "417", "462", "482", "485", "491", "500", "820")
 NUMBER_TOKEN = (

@@ -64,21 +64,33 @@ _FROM, _TO = (("".join(part) for part in zip(*[(k, v) for k, v in _C1.items() if
 _UNDEFINED = "[" + "".join(k for k, v in _C1.items() if not v) + "]"
 
 
+def _record_cells(raw: Column) -> Column:
+    """Cells of one CSV record as written: commas inside quotes do not separate, doubled quotes are one."""
+    line = F.concat(F.lit(","), F.regexp_replace(raw, r"\A\ufeff|\r?\n?\z", ""))
+    cells = F.regexp_extract_all(line, F.lit(r',((?s:"[^"]*+(?:""[^"]*+)*+")?[^,]*+)'), F.lit(1))
+    inner = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(cells, lambda c: F.when(c.rlike(r'(?s)\A".*"\z'), inner(c)).otherwise(c))
+
+
 def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns: int = 16, max_cell: int = 500,
                     rows_between: tuple[int, int] = (2, 256)) -> tuple[DataFrame, DataFrame]:
     """Small reviewed CSV files: (rows: file, cells), (issues per file).
 
     Encoding is one of utf-8, utf-8-bom, windows-1252 and the byte-order mark must match it. Blank
-    rows are dropped. Bounds are rules: nothing is cut off.
+    rows are dropped. Bounds are rules: nothing is cut off, a row has as many cells as its record.
     """
     if encoding not in CSV_CHARSETS:
         raise ValueError(f"unsupported encoding {encoding!r}")
-    width = max_columns + 1
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    # a record of more than one cell does not fit the schema of one: the reader then hands over its whole text
+    schema = "first string, record string"
     rows = spark.read.csv(
         path, schema=schema, encoding=CSV_CHARSETS[encoding], header=False, multiLine=True, mode="PERMISSIVE",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"', enforceSchema=True,
-    ).select(F.col("_metadata.file_path").alias("file"), F.array(*[F.col(f"c{i}") for i in range(width)]).alias("__c"))
+        columnNameOfCorruptRecord="record", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, escape='"',
+        enforceSchema=True, maxCharsPerColumn=-1,
+    ).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.coalesce(_record_cells(F.col("record")), F.array(F.col("first"))).alias("__c"),
+    )
     used = F.coalesce(F.array_max(F.transform("__c", lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1))), F.lit(0))
     latin = encoding == "windows-1252"
     cells = F.transform(
@@ -87,7 +99,7 @@ def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns:
     )
     undecodable = F.exists("__c", lambda c: F.coalesce(c.rlike(_UNDEFINED if latin else "\ufffd"), F.lit(False)))
     rows = rows.withColumn("used", used)
-    sized = rows.groupBy("file").agg(
+    sized = rows.filter("used > 0").groupBy("file").agg(
         F.count(F.lit(1)).alias("rows"), F.max("used").alias("columns"),
         F.max(F.array_max(F.transform("__c", lambda c: F.length(c)))).alias("longest"),
         F.bool_or(undecodable).alias("undecodable"),
@@ -183,9 +195,15 @@ def unnest_field_list(df: DataFrame, record_id: str, title: str, field_list: str
 
 
 def named_links(pages: DataFrame, page: str, html: str, names: DataFrame) -> DataFrame:
-    """Links whose anchor name is allow-listed: (name, href); the last link of a name in a page wins."""
+    """Links whose anchor name is allow-listed: (page, name, href); the last link of a name in a page wins."""
     links = page_links(pages, page, html).join(names.select("name").distinct(), "name", "left_semi")
-    return links.select(page, "name", "href").distinct()
+    return links.groupBy(page, "name").agg(F.max_by("href", "seq").alias("href"))
+
+
+def missing_names(links: DataFrame, names: DataFrame) -> DataFrame:
+    """Issues for declared names that no page links."""
+    lost = names.select("name").distinct().join(links.select("name").distinct(), "name", "left_anti")
+    return run_rules(lost, "links", F.col("name"), [Rule("NAME_WITHOUT_LINK", "name", F.lit(True), F.col("name"), "one link")])
 
 
 def url_roles(df: DataFrame, owner: str, source_url: str, contact_url: str) -> DataFrame:

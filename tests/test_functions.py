@@ -76,7 +76,9 @@ def test_dates(spark):
 def test_number_tokens(spark):
     texts = ["fee $1,234.50 and 12k, v2 x3 4_5 10m"]
     assert run(spark, texts, numbers.number_tokens(X)) == [["1,234.50", "12k", "10m"]]
-    vals = run(spark, ["1,234.50", "12k", "0.0", "3m"], numbers.canonical_decimal(numbers.token_value(X)))
+    long = run(spark, ["123456789012345", "0012,345,678,901,234,567.50", "1.23456789k", "1.5m", "0.0005k"], numbers.canonical_token(X))
+    assert long == ["123456789012345", "12345678901234567.5", "1234.56789", "1500000", "0.5"]
+    vals = run(spark, ["1,234.50", "12k", "0.0", "3m"], numbers.canonical_token(X))
     assert vals == ["1234.5", "12000", "0", "3000000"]
 
 
@@ -173,6 +175,9 @@ def test_latency_and_challenge(spark):
     assert run(spark, [0.0, 250.0, 1000.0, 5000.0, 15000.0], classify.latency_bucket(X), "double") == [
         "lt250ms", "250ms-999ms", "1s-4.999s", "5s-14.999s", "15s-plus"]
     bodies = ["<form> <input type=\"password\"> Log in", "<title> Just a moment... </title>", "plain"]
+    late = " " * 300_000 + '<form>Log in<input type="password"></form>'
+    assert run(spark, [late], classify.challenge_page(F.lit("text/html"), X)) == [True]
+    assert run(spark, [late], classify.link_challenge(X)) == [True]
     assert run(spark, bodies, classify.challenge_page(F.lit("text/html; charset=utf-8"), X)) == [True, True, False]
 
 
@@ -189,7 +194,7 @@ def test_response_profiles_differ(spark):
 
     assert cls("request") == ["changed", "transient", "unsupported", "transient", "unsupported", "changed"]
     assert cls("result") == ["blocked", "blocked", "unsupported", "transient", "unsupported", "changed"]
-    assert cls("link") == ["changed", "transient", "unsupported", "transient", "match", "changed"]
+    assert cls("link") == ["changed", "transient", "blocked", "transient", "match", "changed"]  # 401 before the host
 
 
 def test_multiset_fingerprint(spark):

@@ -382,3 +382,34 @@ def test_directory_and_season_filters(spark):
     assert [r.name for r in filters.directory_filter(df, work_type="mining", status="active").collect()] == ["Acme"]
     s = spark.createDataFrame([("a", [1, 2]), ("b", [3])], "n string, months array<int>")
     assert filters.season_filter(s, 0).count() == 2 and filters.season_filter(s, 3).count() == 1
+
+
+def test_equal_rows_stay_apart(spark):
+    df = spark.createDataFrame([("a.example.com",), ("a.example.com",), ("x.test",)], "host string")
+    allow = spark.createDataFrame([("example.com",)], "domain string")
+    assert R.allowed_hosts(df, "host", allow).count() == 2
+
+
+def test_range_of_any_length(spark):
+    p = spark.createDataFrame([("k", 5), ("k", 10**11), ("k", 10**11 + 1), ("k", -1)], "k string, v bigint")
+    r = spark.createDataFrame([("k", 0, 10**11, "long"), ("k", 5, 5, "point"), ("k", 9, 3, "empty")], "k string, lo bigint, hi bigint, n string")
+    got = sorted((x.v, x.n) for x in R.range_join(p, r, ["k"], "v", "lo", "hi", 25).collect())
+    assert got == [(5, "long"), (5, "point"), (10**11, "long")]
+    left = R.range_join(p, r, ["k"], "v", "lo", "hi", 25, "left_anti")
+    assert sorted(x.v for x in left.collect()) == [-1, 10**11 + 1]
+
+
+def test_page_tree_is_linear_and_reads_markers(spark):
+    tree = pages._Tree()
+    tree.feed("<div>" + "<br>x" * 8000 + "<li>y" * 8000)
+    tree.close()
+    assert max(tree.parent) == 0 and len(tree.tags) == 16001 and tree.now == -1
+    page = "<!-- <p data-claim-id='a'> --><p title='>' data-claim-id=b>x</p><p data-claim-id='c'>y"
+    df = spark.createDataFrame([(7, page)], "id bigint, html string")
+    assert sorted(map(tuple, pages.page_markers(df, "id", "html").collect())) == [(7, "b"), (7, "c")]
+
+
+def test_unknown_overrides(spark):
+    base = spark.createDataFrame([(1, "a")], "id int, v string")
+    over = spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
+    assert [r.entity_id for r in R.unknown_overrides(base, over, "id").collect()] == ["2"]

@@ -28,10 +28,11 @@ def test_date_modes(spark):
 def test_lifecycle(spark):
     d = DAY
     rows = [("active", d(2026, 1, 1), d(2026, 8, 1), "x"), ("expired", None, d(2026, 1, 1), "x"), ("expired", d(2026, 1, 1), d(2026, 1, 1), "x"),
-            ("active", None, d(2026, 7, 18), "x"), ("active", None, d(2026, 8, 1), "unverified"), ("uncertain", None, d(2026, 8, 1), "unverified")]
+            ("active", None, d(2026, 7, 18), "x"), ("active", None, d(2026, 8, 1), "unverified"), ("uncertain", None, d(2026, 8, 1), "unverified"),
+            ("active", d(2026, 1, 1), d(2026, 7, 1), "unverified")]
     got = flags(spark, rows, "s string, e date, n date, k string",
-                x=rules.lifecycle_problem(F.col("s"), F.col("e"), F.col("n"), F.col("k"), F.lit("2026-07-19").cast("date")))
-    assert [g["x"] for g in got] == ["ELAPSED_NOT_EXPIRED", "EXPIRED_NOT_ELAPSED", None, "REVIEW_PASSED", "UNVERIFIED_PROMOTED", None]
+                x=F.concat_ws(" ", *[F.when(b, F.lit(code)) for code, b in rules.lifecycle_problems(F.col("s"), F.col("e"), F.col("n"), F.col("k"), F.lit("2026-07-19").cast("date")).items()]))
+    assert [g["x"] for g in got] == ["ELAPSED_NOT_EXPIRED", "EXPIRED_NOT_ELAPSED", "", "REVIEW_PASSED", "UNVERIFIED_PROMOTED", "", "ELAPSED_NOT_EXPIRED REVIEW_PASSED UNVERIFIED_PROMOTED"]
 
 
 def test_postcodes_and_boxes(spark):
@@ -113,3 +114,10 @@ def test_state_contract(spark):
     got = flags(spark, rows, schema, x=rules.state_contract_breaks(*[F.col(c) for c in ("streak", "a", "b", "r", "s", "o", "e")]))
     assert got[0]["x"] == [] and got[1]["x"] == ["ACTIVE_STATUS"]
     assert set(got[2]["x"]) == {"EVENT_ORDER", "LAST_STATUS", "LAST_TIME", "RECOVERY"}
+
+
+def test_white_space_is_unicode(spark):
+    rows = [("\t",), ("\n",), ("\u00a0",), ("\u3000",), ("\u3000a",), ("a\u00a0",), ("a b",), (None,)]
+    got = flags(spark, rows, "t string", b=rules.blank(F.col("t")), u=rules.unsafe_text(F.col("t")))
+    assert [g["b"] for g in got] == [True, True, True, True, False, False, False, True]
+    assert [g["u"] for g in got] == [True] * 6 + [False, True]

@@ -70,3 +70,22 @@ def test_report_order_and_staleness(spark, tmp_path):
     writers.publish_partitions(a.withColumn("country", F.lit("NZ")), str(tmp_path / "out"), F.lit("2026-07-19"))
     meta = spark.read.parquet(str(tmp_path / "out/meta")).first()
     assert (meta.country, meta["count"], meta.schema_version) == ("NZ", 2, 1)
+
+
+def test_csv_keeps_every_cell(spark, tmp_path):
+    wide = ",".join(f"c{i}" for i in range(30))
+    (tmp_path / "t.csv").write_text(wide + '\n"a ""b"", c",,"two\nlines",end\n,x\n', encoding="utf-8")
+    rows, issues = readers.read_csv_strict(spark, str(tmp_path), "utf-8")
+    assert sorted(map(tuple, (r.cells for r in rows.collect()))) == sorted(
+        [tuple(wide.split(",")), ('a "b", c', "", "two\nlines", "end"), ("", "x")]
+    )
+    assert [(r.code, r.actual) for r in issues.collect()] == [("COLUMNS", "30")]
+
+
+def test_last_named_link_wins(spark):
+    page = "<!-- <a href='/gone'>n</a> --><a href='/one'>n</a><a href=/two>n</a>"
+    df = spark.createDataFrame([(1, page)], "id int, html string")
+    names = spark.createDataFrame([("n",), ("lost",)], "name string")
+    links = readers.named_links(df, "id", "html", names)
+    assert [tuple(r) for r in links.collect()] == [(1, "n", "/two")]
+    assert [r.entity_id for r in readers.missing_names(links, names).collect()] == ["lost"]

@@ -40,9 +40,9 @@ def media_allowed(mode: Column, raw_media: Column) -> Column:
     return F.coalesce(ok, F.lit(False))
 
 
-def challenge_page(raw_media: Column, body: Column, head: int = 200_000) -> Column:
-    """Login form or bot challenge instead of the page; only the head of the body is a signal."""
-    text = F.lower(F.substring(body, 1, head))
+def challenge_page(raw_media: Column, body: Column) -> Column:
+    """Login form or bot challenge anywhere in the whole body."""
+    text = F.lower(body)
     password = F.contains(text, F.lit('type="password"')) | F.contains(text, F.lit("type='password'"))
     sign_in = F.contains(text, F.lit("sign in")) | F.contains(text, F.lit("log in")) | F.contains(text, F.lit("login"))
     hit = (
@@ -54,8 +54,8 @@ def challenge_page(raw_media: Column, body: Column, head: int = 200_000) -> Colu
     return F.coalesce(media_type(raw_media).isin(*P.HTML_MEDIA) & hit, F.lit(False))
 
 
-def link_challenge(body: Column, head: int = 64_000) -> Column:
-    text = F.lower(F.substring(body, 1, head))
+def link_challenge(body: Column) -> Column:
+    text = F.lower(body)
     return F.coalesce(
         F.contains(text, F.lit("verify you are human"))
         | (F.contains(text, F.lit("<input")) & F.contains(text, F.lit('type="password"'))),
@@ -120,10 +120,11 @@ def response_class(
     if profile == "link":
         return (
             F.when(error.isNotNull(), F.lit("transient"))
-            .when(~host_ok, F.lit("unsupported"))
             .when(denied, F.lit("blocked"))
             .when((code == 429) | (code >= 500), F.lit("transient"))
-            .when(not_ok | _blank(body), F.lit("changed"))
+            .when(not_ok, F.lit("changed"))
+            .when(~host_ok, F.lit("unsupported"))  # only an answer that succeeded is held to its site
+            .when(_blank(body), F.lit("changed"))
             .when(link_challenge(body), F.lit("blocked"))
             .otherwise(F.lit("match"))
         )
@@ -155,7 +156,7 @@ def clause_categories(clause: Column) -> Column:
 def countable(value: Column, in_date: Column) -> Column:
     """Numbers that can be facts at all: no dates or years, no visa subclass, fewer than eight digits."""
     whole = value == F.floor(value)
-    special = whole & (value.between(2000, 2099) | value.cast("bigint").isin(*map(int, P.VISA_IDENTIFIERS)))
+    special = whole & (value.between(2000, 2099) | value.isin(*map(float, P.VISA_IDENTIFIERS)))
     return F.coalesce(~in_date & ~special & (value < 10_000_000), F.lit(False))
 
 

@@ -22,13 +22,22 @@ def canonical_decimal(value: Column) -> Column:
     return F.when(zero, F.lit("0")).otherwise(plain)
 
 
-def token_value(token: Column) -> Column:
-    """Decimal of ``1,234.5``, ``12k`` or ``3m``; NULL when it does not fit."""
+def canonical_token(token: Column) -> Column:
+    """Shortest plain text of ``1,234.5``, ``12k`` or ``3m`` at any length: the point is shifted as text."""
     suffix = F.lower(F.right(token, F.lit(1)))
-    scale = F.when(suffix == "k", F.lit(1000)).when(suffix == "m", F.lit(1000000)).otherwise(F.lit(1))
+    shift = F.when(suffix == "k", F.lit(3)).when(suffix == "m", F.lit(6)).otherwise(F.lit(0))
     digits = F.translate(token, ",kKmM", "")
-    fits = F.length(F.substring_index(digits, ".", 1)) <= 14
-    return F.when(fits, (digits.try_cast("decimal(32,12)") * scale).cast(DECIMAL))
+    whole = F.substring_index(digits, ".", 1)
+    part = F.substring(digits, F.length(whole) + 2, F.length(digits))
+    part = F.rpad(part, F.greatest(F.length(part), shift), F.lit("0"))
+    whole = F.regexp_replace(F.concat(whole, F.substring(part, F.lit(1), shift)), r"\A0+(?=\d)", "")
+    part = F.rtrim(F.substring(part, shift + 1, F.length(part)), F.lit("0"))
+    return F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
+
+
+def token_value(token: Column) -> Column:
+    """Number of a token for comparisons only; its exact digits are those of ``canonical_token``."""
+    return canonical_token(token).cast("double")
 
 
 def number_tokens(text: Column) -> Column:

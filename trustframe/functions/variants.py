@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustframe import policies as P
 from trustframe.functions.numbers import canonical_decimal
 
 
@@ -24,10 +25,6 @@ def scalar_text(value: Column) -> Column:
     return F.when(json_type(value) == "number", F.coalesce(number, as_text)).otherwise(as_text)
 
 
-def object_keys(json_text: Column) -> Column:
-    return F.json_object_keys(json_text)
-
-
 def pointer_to_path(pointer: str) -> str:
     """Fixed JSON pointer (``/a/0/b``, ``~1`` ``~0`` escapes) to a variant path (``$["a"][0]["b"]``)."""
     if pointer == "/":
@@ -43,10 +40,6 @@ def pointer_to_path(pointer: str) -> str:
     return out
 
 
-def at_pointer(value: Column, pointer: str, as_type: str) -> Column:
-    return F.try_variant_get(value, pointer_to_path(pointer), as_type)
-
-
 def pointer_ancestors(pointer: Column) -> Column:
     """``/a/b`` -> [``/``, ``/a``, ``/a/b``]: turns 'path covers path' into an equi join."""
     parts = F.filter(F.split(pointer, "/"), lambda p: p != "")
@@ -57,7 +50,7 @@ def pointer_ancestors(pointer: Column) -> Column:
     return F.concat(F.array(F.lit("/")), longer)
 
 
-def explode_leaves(df: DataFrame, value: str, keep: list[str], max_depth: int = 8) -> DataFrame:
+def explode_leaves(df: DataFrame, value: str, keep: list[str], max_depth: int = P.MAX_POINTER_DEPTH) -> DataFrame:
     """One row per leaf: ``keep`` + (pointer, leaf_type, leaf_value); empty containers are leaves.
 
     One linear chain of generators without a shuffle. A container still open after ``max_depth``

@@ -10,7 +10,6 @@ from trustframe.functions import arrays, urls
 from trustframe.operators.issues import Rule, issue_rows, run_rules, union_issues
 from trustframe.operators.ranking import duplicate_rows
 from trustframe.operators.reconcile import unmatched
-from trustframe.session import fits_broadcast
 
 
 def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame, scope: DataFrame) -> DataFrame:
@@ -23,7 +22,7 @@ def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame,
     """
     c = claims.select(F.col("claim_id").alias("__c"), *[F.col(x).alias(f"c_{x}") for x in claims.columns if x != "claim_id"])
     e = editions.select(F.col("edition").alias("__e"), *[F.col(x).alias(f"e_{x}") for x in ("page", "country", "locale")])
-    joined = bindings.join(F.broadcast(e) if fits_broadcast(editions) else e, F.col("edition") == F.col("__e"), "left")
+    joined = bindings.join(e, F.col("edition") == F.col("__e"), "left")
     joined = joined.join(c, F.col("claim_id") == F.col("__c"), "left")
     # columns of their own, so that several rules share one evaluation
     joined = joined.withColumns({

@@ -21,7 +21,7 @@ def facts_in(body: Column) -> Column:
     return F.transform(
         kept,
         lambda t: F.struct(
-            numbers.canonical_decimal(t["value"]).alias("number"), t["clause"].alias("worded"),
+            numbers.canonical_token(t["token"]).alias("number"), t["clause"].alias("worded"),
             classify.fitting_categories(t["value"], t["left"], t["right"]).alias("fitting"),
         ),
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from trustframe.functions import urls
 from trustframe.functions.variants import pointer_ancestors
+from trustframe.operators.issues import Rule, run_rules
 from trustframe.operators.ranking import join_back
-from trustframe.session import fits_broadcast
 
 
 def _rename(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
@@ -155,32 +155,47 @@ def component_owners(leaves: DataFrame, components: DataFrame, target: str, leaf
 def allowed_hosts(df: DataFrame, host: str, allow: DataFrame, key: str | None = None) -> DataFrame:
     """Rows whose host is allow-listed for its key: suffix explosion turns it into an equi join.
 
-    ``allow`` has ``domain`` (and ``key``). It is broadcast only when its size is known to be small.
+    ``allow`` has ``domain`` (and ``key``). Only distinct hosts are exploded; equal rows stay apart.
     """
     keys = [key] if key else []
-    small = allow.select(*keys, "domain").distinct()
-    if fits_broadcast(allow):
-        small = F.broadcast(small)
-    rows = df.withColumn("domain", F.explode(urls.host_suffixes(F.col(host))))
-    return rows.join(small, [*keys, "domain"], "left_semi").drop("domain").distinct()
+    hosts = df.select(*keys, host).distinct().withColumn("domain", F.explode(urls.host_suffixes(F.col(host))))
+    good = hosts.join(allow.select(*keys, "domain"), [*keys, "domain"], "left_semi").select(*keys, host).distinct()
+    return df.join(good, [*keys, host], "left_semi").select(*df.columns)
 
 
 def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, low: str, high: str,
                width: float, how: str = "inner") -> DataFrame:
-    """Points inside ranges of the same keys. Both sides are bucketed by ``width`` so it is an equi join.
+    """Points inside ranges of the same keys, as an equi join on buckets.
 
-    ``how``: inner or left_anti. Choose ``width`` near the typical range length.
+    ``how``: inner or left_anti. Buckets are ``width`` times a power of two; a range takes the power that
+    is no smaller than itself, so it lies in at most two buckets, whatever its length. The powers that
+    occur (some sixty at most for doubles of one unit) are read first: a point asks one bucket of each.
     """
-    r = ranges.withColumn(
-        "__b", F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
+    span = F.greatest((F.col(high) - F.col(low)).cast("double") / width, F.lit(1.0))
+    leveled = ranges.filter(F.col(low) <= F.col(high)).withColumn("__lv", F.ceil(F.log2(span)).cast("int"))
+    levels = sorted(row[0] for row in leveled.select("__lv").distinct().collect())
+
+    def bucket(at: Column, level: Column) -> Column:
+        return F.floor(at.cast("double") / (F.pow(F.lit(2.0), level) * width))
+
+    first, last = (bucket(F.col(c), F.col("__lv")) for c in (low, high))
+    r = leveled.withColumn("__b", F.explode(F.array_distinct(F.array(first, last))))
+    renamed = r.select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys], "__lv", "__b", *[c for c in ranges.columns if c not in keys]
     )
-    renamed = r.select(*[F.col(k).alias(f"__r_{k}") for k in keys], "__b", *[c for c in ranges.columns if c not in keys])
-    p = points.withColumn("__pb", F.floor(F.col(value) / width))
-    cond = (F.col("__pb") == F.col("__b")) & (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
+    inside = (F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high))
     for k in keys:
-        cond = cond & (F.col(k) == F.col(f"__r_{k}"))
-    out = p.join(renamed, cond, how)
-    return out.drop("__pb", "__b", *[f"__r_{k}" for k in keys])
+        inside = inside & (F.col(k) == F.col(f"__r_{k}"))
+    drop = ["__pl", "__pb", "__lv", "__b", *[f"__r_{k}" for k in keys]]
+    if how == "left_anti":
+        for level in levels:
+            asked = bucket(F.col(value), F.lit(level))
+            points = points.join(renamed.filter(F.col("__lv") == level), (asked == F.col("__b")) & inside, "left_anti")
+        return points
+    powers = F.array(*map(F.lit, levels)).cast("array<int>")
+    asked = points.withColumn("__pl", F.explode(powers)).withColumn("__pb", bucket(F.col(value), F.col("__pl")))
+    met = (F.col("__pl") == F.col("__lv")) & (F.col("__pb") == F.col("__b"))
+    return asked.join(renamed, met & inside, how).drop(*drop)
 
 
 def evidence_window_problems(evidence_verified: Column, evidence_from: Column, evidence_to: Column,
@@ -208,6 +223,12 @@ def override_upsert(base: DataFrame, overrides: DataFrame, key: str, columns: Se
     return joined.select(*kept, F.col("__k").isNotNull().alias("overridden"))
 
 
+def unknown_overrides(base: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
+    """Issues for overrides of keys that the base table lacks."""
+    lost = overrides.join(base.select(key), key, "left_anti")
+    return run_rules(lost, "override", F.col(key), [Rule("UNKNOWN_KEY", key, F.lit(True), F.col(key), "a key of the base table")])
+
+
 def group_completeness(members: DataFrame, group: str, member: str, bound: DataFrame,
                        minimum: int = 2) -> DataFrame:
     """Groups that are too small, or have members without a binding: (group, members, unbound, code)."""
@@ -222,13 +243,8 @@ def group_completeness(members: DataFrame, group: str, member: str, bound: DataF
 
 
 def owner_mismatches(df: DataFrame, owner: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Rows whose edition attributes differ from those of the edition table (or name no edition).
-
-    The edition table is broadcast when its size is known to be small.
-    """
+    """Rows whose edition attributes differ from those of the edition table (or name no edition)."""
     o = owner.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__o_{c}") for c in columns])
-    if fits_broadcast(owner):
-        o = F.broadcast(o)
     joined = df.join(o, F.col(key) == F.col("__k"), "left")
     differs = F.col("__k").isNull()
     for c in columns:

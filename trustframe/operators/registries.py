@@ -84,7 +84,7 @@ def directory_issues(rows: DataFrame, as_of: Column) -> DataFrame:
     checked, until, review = (dates.strict_date(c(n)) for n in ("checked", "until", "review"))
     au, nz = c("country") == "AU", c("country") == "NZ"
     web = c("c_kind").isin("company", "recruitment")
-    problem = R.lifecycle_problem(c("status"), until, review, c("kind"), as_of)
+    problems = R.lifecycle_problems(c("status"), until, review, c("kind"), as_of)
     checks = [
         Rule("KEYS", "entry", R.keys_not_exact(c("row_json"), P.ENTRY_KEYS)), Rule("ID", "id", R.not_matching(c("id"), P.ID_PATTERN) | (F.length("id") > 100), c("id")),
         Rule("COUNTRY", "country", R.not_in(c("country"), P.COUNTRIES), c("country")),
@@ -101,7 +101,7 @@ def directory_issues(rows: DataFrame, as_of: Column) -> DataFrame:
         Rule("OTHER_SITE", "contact.url", (c("kind") == "employer-official") & c("c_kind").isin("company", "email") & R.other_registrable_host(c("url"), c("c_url")), c("c_url")),
         *[Rule("DATE", n, R.not_iso_date(c(n)), c(n)) for n in ("checked", "until", "review")],
         Rule("FUTURE", "checked", R.in_future(checked, as_of), c("checked")), Rule("ORDER", "review", R.out_of_order(checked, review), c("review")),
-        Rule("STATUS", "status", R.not_in(c("status"), P.DIRECTORY_STATUSES), c("status")), Rule("LIFECYCLE", "status", problem.isNotNull(), problem),
+        Rule("STATUS", "status", R.not_in(c("status"), P.DIRECTORY_STATUSES), c("status")), *[Rule("LIFECYCLE", "status", broken, F.lit(code)) for code, broken in problems.items()],
         Rule("TYPES", "workTypes", R.bad_enum_array(c("types"), P.WORK_TYPES)), Rule("VACANCY", "vacancyStatus", R.not_in(c("vacancy"), P.VACANCY_STATUSES), c("vacancy")),
         Rule("VACANCY_TEXT", "text", R.banned_phrase([c("name"), c("label"), c("address")])),
         Rule("ELIGIBILITY", "eligibility", R.eligibility_conflict(c("country"), c("scheme"), c("class"), c("role"), c("loc"))),

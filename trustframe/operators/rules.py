@@ -12,6 +12,11 @@ from trustframe.functions import dates, urls
 from trustframe.functions.variants import json_type
 
 
+#: White space is what Unicode calls so, not only the blank.
+NOT_SPACE = r"(?U)\S"
+EDGE_SPACE = r"(?U)\A\s|\s\z"
+
+
 def missing_keys(json_text: Column, keys: Sequence[str]) -> Column:
     """Required keys that are absent (not merely null)."""
     return F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(json_text))
@@ -29,16 +34,12 @@ def keys_not_exact(json_text: Column, required: Sequence[str], optional: Sequenc
 
 def blank(col: Column) -> Column:
     """NULL or white space only."""
-    return F.coalesce(F.trim(col) == "", F.lit(True))
-
-
-def blank_when_present(col: Column) -> Column:
-    return col.isNotNull() & (F.trim(col) == "")
+    return ~F.coalesce(col.rlike(NOT_SPACE), F.lit(False))
 
 
 def not_text(value: Column, required: bool = True) -> Column:
     """Variant field that is not a non-blank string; an absent optional field is fine."""
-    ok = (json_type(value) == "string") & (F.trim(F.try_variant_get(value, "$", "string")) != "")
+    ok = (json_type(value) == "string") & F.try_variant_get(value, "$", "string").rlike(NOT_SPACE)
     bad = ~F.coalesce(ok, F.lit(False))
     return bad if required else value.isNotNull() & bad
 
@@ -91,15 +92,15 @@ def required_when(condition: Column, col: Column) -> Column:
     return condition & col.isNull()
 
 
-def lifecycle_problem(status: Column, effective_to: Column, next_review: Column, source_kind: Column,
-                      as_of: Column) -> Column:
-    """First lifecycle problem as a code, NULL when the status agrees with the dates."""
-    return (
-        F.when((effective_to < as_of) & (status != "expired"), F.lit("ELAPSED_NOT_EXPIRED"))
-        .when((status == "expired") & F.coalesce(effective_to >= as_of, F.lit(True)), F.lit("EXPIRED_NOT_ELAPSED"))
-        .when(status.isin("active", "uncertain") & (next_review < as_of), F.lit("REVIEW_PASSED"))
-        .when((source_kind == "unverified") & (status != "uncertain"), F.lit("UNVERIFIED_PROMOTED"))
-    )
+def lifecycle_problems(status: Column, effective_to: Column, next_review: Column, source_kind: Column,
+                       as_of: Column) -> dict[str, Column]:
+    """Lifecycle rules by code; they are independent, so one row can break several."""
+    return {
+        "ELAPSED_NOT_EXPIRED": (effective_to < as_of) & (status != "expired"),
+        "EXPIRED_NOT_ELAPSED": (status == "expired") & F.coalesce(effective_to >= as_of, F.lit(True)),
+        "REVIEW_PASSED": status.isin("active", "uncertain") & (next_review < as_of),
+        "UNVERIFIED_PROMOTED": (source_kind == "unverified") & (status != "uncertain"),
+    }
 
 
 def outside_box(country: Column, lat: Column, lng: Column,
@@ -127,7 +128,7 @@ def not_matching(col: Column, pattern: str) -> Column:
 
 
 def unsafe_text(col: Column, max_length: int = 500) -> Column:
-    ok = (F.trim(col) != "") & (F.trim(col) == col) & (F.length(col) <= max_length) & ~col.rlike(r"[\x00-\x1f]")
+    ok = col.rlike(NOT_SPACE) & ~col.rlike(EDGE_SPACE) & (F.length(col) <= max_length) & ~col.rlike(r"[\x00-\x1f]")
     return ~F.coalesce(ok, F.lit(False))
 
 

@@ -259,6 +259,15 @@ def override_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.override_upsert(p, o, "p_partkey", ["p_brand", "p_size"]).drop("p_type")
 
 
+@plan("unknown_overrides", """
+SELECT CAST(-p_partkey - 1 AS VARCHAR) AS entity_id, 'UNKNOWN_KEY' AS code FROM part WHERE p_type='ECONOMY'
+""")
+def unknown_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = load_table(spark, sf_dir, "part")
+    o = p.select(F.when(F.col("p_type") == "ECONOMY", -F.col("p_partkey") - 1).otherwise(F.col("p_partkey")).alias("p_partkey"))
+    return R.unknown_overrides(p, o, "p_partkey").select("entity_id", "code")
+
+
 @plan("enum_labels", """
 WITH p AS (SELECT p_partkey, p_name, p_type, p_brand, CASE p_type WHEN 'SMALL' THEN '광업' WHEN 'LARGE' THEN '농장/원예' ELSE lower(p_type) END AS label FROM part)
 SELECT p_partkey, CASE label WHEN '광업' THEN 'mining' WHEN '농장/원예' THEN 'horticulture' ELSE label END AS work_type,

@@ -40,7 +40,7 @@ r AS (SELECT event_id, k=50 AS err, user_id<>7 AS host_ok, CASE event_type WHEN
   k < 20 AS blank, k BETWEEN 20 AND 39 AS login, k > 90 AS big FROM e)
 SELECT event_id, CASE WHEN err THEN 'transient' WHEN NOT host_ok THEN 'unsupported' WHEN code=503 THEN 'transient' WHEN code=401 THEN 'blocked' WHEN code<>200 OR blank THEN 'changed' WHEN login THEN 'blocked' WHEN big THEN 'unsupported' ELSE 'ready' END AS request,
  CASE WHEN err THEN 'transient' WHEN NOT host_ok THEN 'unsupported' WHEN code=401 OR login THEN 'blocked' WHEN code=503 THEN 'transient' WHEN big THEN 'unsupported' WHEN code<>200 OR blank THEN 'changed' ELSE 'match' END AS result,
- CASE WHEN err THEN 'transient' WHEN NOT host_ok THEN 'unsupported' WHEN code=401 THEN 'blocked' WHEN code=503 THEN 'transient' WHEN code<>200 OR blank THEN 'changed' WHEN login THEN 'blocked' ELSE 'match' END AS link FROM r
+ CASE WHEN err THEN 'transient' WHEN code=401 THEN 'blocked' WHEN code=503 THEN 'transient' WHEN code<>200 THEN 'changed' WHEN NOT host_ok THEN 'unsupported' WHEN blank THEN 'changed' WHEN login THEN 'blocked' ELSE 'match' END AS link FROM r
 """
 
 

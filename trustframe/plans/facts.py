@@ -16,17 +16,15 @@ from trustframe.session import load_table
 TOKEN = r"\b(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?[kKmM]?\b"
 NUMBER_SQL = rf"""
 tok AS (SELECT doc_id, unnest(regexp_extract_all(text, '{TOKEN}')) AS t FROM documents),
-num AS (SELECT doc_id, t, length(regexp_extract(replace(t,',',''),'^(\d+)',1)) AS w, CASE WHEN length(regexp_extract(replace(t,',',''),'^(\d+)',1)) <= 14 THEN
-  CAST(regexp_replace(replace(t,',',''),'[kKmM]$','') AS DECIMAL(32,12)) * CASE lower(right(t,1)) WHEN 'k' THEN 1000 WHEN 'm' THEN 1000000 ELSE 1 END END AS v FROM tok),
-can AS (SELECT doc_id, v, CASE WHEN v = 0 THEN '0' ELSE rtrim(rtrim(CAST(v AS VARCHAR),'0'),'.') END AS number FROM num WHERE v IS NOT NULL)
+num AS (SELECT doc_id, CASE lower(right(t,1)) WHEN 'k' THEN 3 WHEN 'm' THEN 6 ELSE 0 END AS s, regexp_replace(replace(t,',',''),'[kKmM]$','') AS d FROM tok),
+par AS (SELECT doc_id, s, split_part(d,'.',1) AS w, split_part(d,'.',2) || repeat('0', CAST(greatest(s - length(split_part(d,'.',2)), 0) AS INTEGER)) AS f FROM num),
+can AS (SELECT doc_id, CASE WHEN ltrim(w || substr(f,1,s),'0') = '' THEN '0' ELSE ltrim(w || substr(f,1,s),'0') END || CASE WHEN rtrim(substr(f,s+1),'0') = '' THEN '' ELSE '.' || rtrim(substr(f,s+1),'0') END AS number FROM par)
 """
 
 
 def document_numbers(documents: DataFrame, keep: list[str]) -> DataFrame:
     """Distinct canonical numbers of every whole text."""
-    values = F.array_compact(
-        F.transform(numbers.number_tokens(F.col("text")), lambda t: numbers.canonical_decimal(numbers.token_value(t)))
-    )
+    values = F.transform(numbers.number_tokens(F.col("text")), numbers.canonical_token)
     return documents.select(*keep, F.array_distinct(values).alias("numbers"))
 
 

@@ -154,12 +154,13 @@ UNION ALL SELECT event_id, '/p/k', 'number', CAST(k AS VARCHAR) FROM e
 UNION ALL SELECT event_id, '/v/0', 'number', CAST(event_id AS VARCHAR) FROM e
 UNION ALL SELECT event_id, '/v/1', 'null', NULL FROM e
 UNION ALL SELECT event_id, '/e', 'array', '[]' FROM e
+UNION ALL SELECT event_id, '/d' || repeat('/0', 19), 'boolean', 'true' FROM e
 """)
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load_table(spark, sf_dir, "events").select("event_id", "event_type", "props")
-    doc = F.concat(F.lit('{"t":"'), "event_type", F.lit('","p":'), "props", F.lit(',"v":['), F.col("event_id").cast("string"), F.lit(',null],"e":[]}'))
+    doc = F.concat(F.lit('{"t":"'), "event_type", F.lit('","p":'), "props", F.lit(',"v":['), F.col("event_id").cast("string"), F.lit(',null],"e":[],"d":' + "[" * 19 + "true" + "]" * 19 + "}"))
     docs = e.select("event_id", F.try_parse_json(doc).alias("doc"))
-    return variants.explode_leaves(docs, "doc", ["event_id"], max_depth=3)
+    return variants.explode_leaves(docs, "doc", ["event_id"])
 
 
 @plan("key_contract", """

@@ -117,10 +117,10 @@ SELECT CAST(o_orderkey AS VARCHAR) AS entity_id, code FROM (
   UNION ALL SELECT o_orderkey, 'RANGE' FROM c WHERE ef > hi
   UNION ALL SELECT o_orderkey, 'CURRENT_ORDER' FROM c WHERE cur > od
   UNION ALL SELECT o_orderkey, 'UNZONED' FROM c WHERE st='O'
-  UNION ALL SELECT o_orderkey, CASE WHEN hi < DATE '1999-01-01' AND status<>'expired' THEN 'ELAPSED_NOT_EXPIRED'
-     WHEN status='expired' AND (hi IS NULL OR hi >= DATE '1999-01-01') THEN 'EXPIRED_NOT_ELAPSED'
-     WHEN status IN ('active','uncertain') AND od + 90 < DATE '1999-01-01' THEN 'REVIEW_PASSED'
-     WHEN kind='unverified' AND status<>'uncertain' THEN 'UNVERIFIED_PROMOTED' END AS code FROM c) WHERE code IS NOT NULL
+  UNION ALL SELECT o_orderkey, 'ELAPSED_NOT_EXPIRED' FROM c WHERE hi < DATE '1999-01-01' AND status<>'expired'
+  UNION ALL SELECT o_orderkey, 'EXPIRED_NOT_ELAPSED' FROM c WHERE status='expired' AND (hi IS NULL OR hi >= DATE '1999-01-01')
+  UNION ALL SELECT o_orderkey, 'REVIEW_PASSED' FROM c WHERE status IN ('active','uncertain') AND od + 90 < DATE '1999-01-01'
+  UNION ALL SELECT o_orderkey, 'UNVERIFIED_PROMOTED' FROM c WHERE kind='unverified' AND status<>'uncertain')
 """)
 def date_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship = load_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
@@ -137,17 +137,14 @@ def date_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("T00:00:00"), F.when(st == "O", F.lit("")).otherwise(F.lit("Z"))).alias("stamp"),
     )
     as_of = F.lit("1999-01-01").cast("date")
-    problem = rules.lifecycle_problem(F.col("status"), F.col("hi"), F.date_add("od", 90), F.col("kind"), as_of)
+    problems = rules.lifecycle_problems(F.col("status"), F.col("hi"), F.date_add("od", 90), F.col("kind"), as_of)
     found = [
         Rule("DATE_MODE", "effective_from", rules.date_mode_conflict(F.col("ef"), F.col("cur"), F.col("why"))),
         Rule("RANGE", "effective_to", rules.out_of_order(F.col("ef"), F.col("hi"))),
         Rule("CURRENT_ORDER", "current_as_of", rules.out_of_order(F.col("cur"), F.col("od"))),
         Rule("UNZONED", "stamp", dates.zoned_timestamp(F.col("stamp")).isNull()),
     ]
-    found += [
-        Rule(code, "status", problem == code)
-        for code in ("ELAPSED_NOT_EXPIRED", "EXPIRED_NOT_ELAPSED", "REVIEW_PASSED", "UNVERIFIED_PROMOTED")
-    ]
+    found += [Rule(code, "status", broken) for code, broken in problems.items()]
     return run_rules(c, "dates", F.col("o_orderkey"), found).select("entity_id", "code")
 
 

@@ -69,9 +69,3 @@ def release(*tables: DataFrame | None) -> None:
             spark = table.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
-    """True when the optimizer's own size estimate proves ``df`` small enough to broadcast."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes())) <= max_bytes

@@ -210,3 +210,14 @@ def test_category_words(spark):
     assert run(spark, texts, classify.text_categories(X)) == [["fee"], ["processing"], ["duration"], []]
     assert run(spark, ["nz-visa-fee-2026", "au-tax-cap"], classify.id_categories(X)) == [["fee"], ["quota", "tax"]]
     assert set(P.CATEGORY_BY_ID) == set(P.CATEGORY_PATTERNS)
+
+
+def test_serialized_brackets(spark):
+    kind = "array<struct<cap:decimal(38,18),rate:decimal(38,18)>>"
+    df = spark.createDataFrame([("[[10,0.3],[null,0.45]]",), ("[[1,null]]",), ("[]",)], "t string").select(
+        F.transform(F.from_json("t", "array<array<string>>"), lambda p: F.struct(p[0].alias("cap"), p[1].alias("rate"))).cast(kind).alias("b")
+    )
+    none = F.lit(None)
+    got = [df.select(arrays.transform_value(F.lit("serializeBrackets"), F.array().cast("array<decimal(38,18)>"), none.cast("string"),
+                                            none.cast("decimal(38,18)"), F.col("b"), label, scale)).collect() for label, scale in (("above", False), ("rest", True))]
+    assert [[r[0] for r in rows] for rows in got] == [["10@0.3;above@0.45", None, None], ["10@0.30;rest@0.45", None, None]]

@@ -57,11 +57,17 @@ def extract_range(text: Column, separator: str = "-") -> Column:
     return F.when(clean.rlike(RANGE), F.concat(low, F.lit(separator), high))
 
 
-def transform_value(op: Column, numbers: Column, text: Column, factor: Column) -> Column:
+def transform_value(op: Column, numbers: Column, text: Column, factor: Column, brackets: Column | None = None,
+                    infinity: str = "above", keep_rate_scale: bool = False) -> Column:
     """Allow-listed value transforms, chosen per row; canonical text out, NULL when not applicable.
 
-    ``numbers`` is the array of bound numbers, ``text`` the bound text, ``factor`` for ``multiply``.
+    ``numbers`` is the array of bound numbers, ``text`` the bound text, ``factor`` for ``multiply``,
+    ``brackets`` the array of cap and rate for ``serializeBrackets``; an empty one or a NULL rate gives NULL.
     """
+    serialized = F.lit(None).cast("string")
+    if brackets is not None:
+        sound = (F.size(brackets) > 0) & F.forall(brackets, lambda b: b["rate"].isNotNull())
+        serialized = F.when(sound, serialize_brackets(brackets, infinity, rate_keeping_scale if keep_rate_scale else None))
     first = F.try_element_at(numbers, F.lit(1))
     total = F.aggregate(numbers, F.lit(0).cast("decimal(38,18)"), lambda acc, n: (acc + n).cast("decimal(38,18)"))
     product = (first * factor).cast("decimal(38,18)")
@@ -71,6 +77,7 @@ def transform_value(op: Column, numbers: Column, text: Column, factor: Column) -
         .when((op == "sum") & (F.size(numbers) >= 2), canonical_decimal(total))
         .when(op == "joinRange", join_range(numbers))
         .when(op == "extractRange", extract_range(text))
+        .when(op == "serializeBrackets", serialized)
     )
 
 

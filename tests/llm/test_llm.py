@@ -158,6 +158,26 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [3, 4, 5]
 
 
+def test_decontamination_of_items_with_few_literals(spark):
+    items = [
+        "What is 12 + 7?", "Compute 3 * 4 + 5 = 17.", "Wer war Kanzler?", "Die Hauptstadt Österreichs heißt Wien.",
+        "Paris, Berlin, Madrid, Rome, Vienna, Lisbon, Athens, Dublin", "2 4 8 16 32 64 128 256 512",
+        "Tom Ann Bob Eve Max Kim Lea Jan Ben Mia Leo Zoe went to the old market square and bought 3 kg of 4 8 15 16 23 42"]
+    other = [
+        "What is 19 + 5?", "Compute 2 * 9 + 6 = 24.", "Wer war Minister?", "Die Hauptstadt Frankreichs heißt Paris.",
+        "Oslo, Bern, Prague, Warsaw, Sofia, Zagreb, Riga, Tallinn", "3 9 27 81 243 729 2187 6561 19683"]
+    changed = "Tim Amy Rob Ada Sam Kit Liv Jon Bea Mae Lou Zac went to the old market square and bought 5 kg of 7 9 13 18 25 47"
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    # the last: the few literal tokens of an item in another text
+    texts = ["some words, then " + x + " and more" for x in items] + [x.lower() for x in items[:6]] + other + [changed, "they went to the old market square"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.covered, r.total, r.reparameterised) for r in decontaminate.find_leaks(docs, bench).collect()}
+    assert set(found) == {(i, i) for i in range(7)} | {(7 + i, i) for i in range(6)} | {(19, 6)}
+    assert all(c == n == max(1, len(decontaminate.templates(items[i])[0]) - 5) for (_, i), (c, n, _) in found.items() if i != 6)
+    assert found[6, 6] == (24, 24, False) and found[19, 6] == (24, 24, True)
+    assert sorted(r.doc_id for r in decontaminate.without_leaks(docs, bench).collect()) == [13, 14, 15, 16, 17, 18, 20]
+
+
 def test_language_model_sums_all_segmentations():
     names = ["a", "b", "ab", "▁", "▁a", "abb"]
     pieces, table = language.Pieces(names), np.array([[0.1], [0.2], [0.3], [0.05], [0.15], [0.2], [1e-7]])

@@ -7,10 +7,14 @@ and the values in their slots are compared: an item's value must stand for one v
 way round. An exact copy maps each value to itself, a re-parameterised question maps values consistently, and a
 chance match of a template does not.
 
-Sentence-initial capitals are ambiguous, so every text is read twice: as plain words and as names.
+Sentence-initial capitals are ambiguous, so every text is read twice: as plain words and as names. A third reading
+has the exact tokens: windows of an item with too few literal tokens for a template are matched by it, so that they
+find verbatim copies. On a diagonal where a template of the item matches, they are compared as templates too.
+
 
 Defined cases: NULL and empty texts or items match nothing; an item shorter than a window is one window of its own
-length; repeated rows give the same answer once per (doc_id, text); an empty benchmark flags nothing.
+length; repeated rows give the same answer once per (doc_id, text); an empty benchmark flags nothing. Case and signs
+that are no token (such as + and *) are not compared.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.llm.common import fresh
 from trustframe.session import cut_lineage, load_table
 
 WINDOW = 6
-#: Literal tokens that a window needs, so that placeholders alone match nothing.
+#: Literal tokens that a template needs to match by itself, so that placeholders alone match nothing.
 LEAST_LITERAL = 3
 #: Share of an item's windows, or else number of them, that make a leak.
 LEAST_SHARE = 0.5
@@ -48,12 +52,17 @@ UNITS = (
     "cent cents dollar dollars euro euros mph kmh hz khz mhz v w kw kwh j kj percent degree degrees % $ € £ ¥ °"
 )
 LITERAL, NUMBER, CAPITAL, UNIT, STOP = range(5)
+EXACT_READING = 2
 MARKS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 FACTORS = (np.random.default_rng(5).integers(1, 1 << 62, size=64, dtype=np.int64) * 2 + 1).astype(np.uint64)
+#: Added to the ids of the exact reading, so that they equal no template's.
+EXACT_MARK = np.uint64(0xD6E8FEB86659FD93)
 #: Words that a worker keeps the class of; beyond them it starts anew.
 MOST_KEPT = 400_000
+#: Kinds of windows: enough literal tokens, exact tokens, too few literal tokens.
+TEMPLATE, EXACT, SPARSE = range(3)
 
-BENCH_SCHEMA = "item_id long, item_pos int, total int, hash long, item_slots array<string>"
+BENCH_SCHEMA = "item_id long, item_pos int, total int, width int, kind int, hash long, item_slots array<string>"
 
 
 class _Classes(dict):
@@ -80,7 +89,7 @@ _CLASSES = _Classes()
 
 
 def templates(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, and for either reading the template ids and the literal flags (2 x n each)."""
+    """Tokens, and for both readings and the exact one the template ids and the literal flags (3 x n each)."""
     found = TOKEN.findall(text)
     codes = np.fromiter(map(_CLASSES.__getitem__, found), dtype=np.uint64, count=len(found))
     kind = (codes & np.uint64(7)).astype(np.int8)
@@ -88,12 +97,13 @@ def templates(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     keep = kind != STOP
     tokens = [t for t, k in zip(found, keep.tolist(), strict=True) if k]
     codes, kind, before = codes[keep] & ~np.uint64(7), kind[keep], before[keep]
-    ids, literal = np.empty((2, len(kind)), np.uint64), np.empty((2, len(kind)), bool)
+    ids, literal = np.empty((3, len(kind)), np.uint64), np.empty((3, len(kind)), bool)
     for reading in (0, 1):
         name = (kind == CAPITAL) & ((before != STOP) | bool(reading))
         unit, number = (kind == UNIT) & (before == NUMBER), kind == NUMBER
         literal[reading] = ~(name | unit | number)
         ids[reading] = np.where(name, MARKS[0], np.where(number, MARKS[1], np.where(unit, MARKS[2], codes)))
+    ids[EXACT_READING], literal[EXACT_READING] = codes + EXACT_MARK, True
     return tokens, ids, literal
 
 
@@ -117,7 +127,7 @@ def slot_values(tokens: list[str], literal: np.ndarray, at: int, width: int) ->
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """benchmark(item_id, text) -> its windows in both readings."""
+    """benchmark(item_id, text) -> its windows: templates in both readings, exact ones where a reading has too few literal tokens."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -127,16 +137,19 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                 width = min(WINDOW, len(tokens))
                 if not width:
                     continue
-                made = [window_hashes(ids[r], literal[r], width) for r in (0, 1)]
-                total = int((made[0][1] | made[1][1]).sum())
+                made = [window_hashes(ids[r], literal[r], width) for r in (0, 1, EXACT_READING)]
+                total, sparse = len(tokens) - width + 1, ~(made[0][1] & made[1][1])
+                # without a template of its own, an item is found by exact windows only
+                whole = bool((made[0][1] | made[1][1]).any())
                 seen = set()
-                for r in (0, 1):
-                    for at in np.flatnonzero(made[r][1]).tolist():
-                        h = int(made[r][0][at].astype(np.int64))
+                for r, (hashes, good) in enumerate(made):
+                    for at in np.flatnonzero(sparse if r == EXACT_READING else good | whole).tolist():
+                        h = int(hashes[at].astype(np.int64))
                         if (at, h) not in seen:
                             seen.add((at, h))
-                            out.append((item, at, total, h, slot_values(tokens, literal[r], at, width)))
-            yield pd.DataFrame(out, columns=["item_id", "item_pos", "total", "hash", "item_slots"])
+                            kind = EXACT if r == EXACT_READING else TEMPLATE if good[at] else SPARSE
+                            out.append((item, at, total, width, kind, h, slot_values(tokens, literal[r], at, width)))
+            yield pd.DataFrame(out, columns=["item_id", "item_pos", "total", "width", "kind", "hash", "item_slots"])
 
     return benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select("item_id", "text").mapInPandas(cut, BENCH_SCHEMA)
 
@@ -156,9 +169,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text_key, item_id, covered, total, coverage, reparameterised, slots) of every leaked item."""
     spark = docs.sparkSession
     bench = cut_lineage(benchmark_windows(benchmark))
-    n_windows = bench.count()
+    # a few rows: one for each width and kind
+    counts = {(r["width"], r["kind"]): r["count"] for r in bench.groupBy("width", "kind").count().collect()}
     table = spark.sparkContext.broadcast(np.packbits(bit_table(bench)))
-    widths = sorted({WINDOW, *short_widths(benchmark)})
+    widths = sorted({w for w, _ in counts})
+    any_sparse = any(kind == SPARSE for _, kind in counts)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags = np.unpackbits(table.value).astype(bool)
@@ -167,25 +182,36 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for doc, key, text in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], strict=True):
                 tokens, ids, literal = templates(text)
                 for width in widths:
-                    seen = set()
-                    for r in (0, 1):
+                    seen, sparse, strong = set(), [], False
+                    for r in (0, 1, EXACT_READING) if (width, EXACT) in counts else (0, 1):
                         hashes, good = window_hashes(ids[r], literal[r], width)
-                        for at in np.flatnonzero(good & flags[hashes >> np.uint64(64 - BITS)]).tolist():
+                        for at in np.flatnonzero(flags[hashes >> np.uint64(64 - BITS)]).tolist():
                             h = int(hashes[at].astype(np.int64))
-                            if (at, h) not in seen:
-                                seen.add((at, h))
-                                out.append((doc, key, at, h, slot_values(tokens, literal[r], at, width)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_key", "pos", "hash", "slots"]).astype({"doc_id": "Int64"})
+                            if (at, h) in seen:
+                                continue
+                            seen.add((at, h))
+                            kind = EXACT if r == EXACT_READING else TEMPLATE if good[at] else SPARSE
+                            strong |= kind == TEMPLATE
+                            (sparse if kind == SPARSE else out).append((doc, key, at, kind, h, slot_values(tokens, literal[r], at, width)))
+                    if strong:
+                        out += sparse
+            yield pd.DataFrame(out, columns=["doc_id", "text_key", "pos", "kind", "hash", "slots"]).astype({"doc_id": "Int64"})
 
     keyed = docs.where(F.col("text").isNotNull()).select("doc_id", F.md5("text").alias("text_key"), "text")
-    found = keyed.mapInPandas(match, "doc_id long, text_key string, pos int, hash long, slots array<string>")
-    windows = F.broadcast(bench) if n_windows <= MOST_BROADCAST else bench
+    found = keyed.mapInPandas(match, "doc_id long, text_key string, pos int, kind int, hash long, slots array<string>")
+    if any_sparse:
+        found = cut_lineage(found)
+    windows = bench.where(F.col("kind") != SPARSE).drop("width")
+    if sum(n for (_, kind), n in counts.items() if kind != SPARSE) <= MOST_BROADCAST:
+        windows = F.broadcast(windows)
     pairs = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("item"), x["slots"].alias("doc")))
-    hits = found.join(windows, "hash").select(
-        "doc_id", "text_key", "item_id", "total", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
+    hits = found.where(F.col("kind") != SPARSE).join(windows, ["hash", "kind"]).select(
+        "doc_id", "text_key", "item_id", "total", "item_pos", "kind", (F.col("pos") - F.col("item_pos")).alias("shift"), pairs.alias("pairs"))
     # a diagonal holds at most as many windows as its item
-    lines = hits.groupBy("doc_id", "text_key", "item_id", "total", "shift").agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    gathered = [F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")]
+    lines = hits.groupBy("doc_id", "text_key", "item_id", "total", "shift").agg(*gathered, F.bool_or(F.col("kind") == TEMPLATE).alias("strong"))
+    if any_sparse:
+        lines = with_sparse(cut_lineage(lines), found, bench, pairs, gathered)
     size = F.size("pairs")
     one_to_one = F.least(F.size(F.array_distinct(F.col("pairs.item"))), F.size(F.array_distinct(F.col("pairs.doc"))))
     lines = lines.where(one_to_one >= LEAST_CONSISTENT * size)
@@ -198,15 +224,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.exists("slots", lambda s: s["item"] != s["doc"]).alias("reparameterised"), "slots")
 
 
-def short_widths(benchmark: DataFrame) -> list[int]:
-    """Token counts below ``WINDOW`` that items have: a few numbers at most."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"w": [len(templates(t)[0]) for t in pdf["text"]]})
+def with_sparse(lines: DataFrame, found: DataFrame, bench: DataFrame, pairs: Column, gathered: list[Column]) -> DataFrame:
+    """``lines`` with the windows of few literal tokens on diagonals that hold a template of the item.
 
-    short = benchmark.where(F.col("text").isNotNull()).select("text").mapInPandas(count, "w int")
-    return [r["w"] for r in short.where((F.col("w") > 0) & (F.col("w") < WINDOW)).distinct().collect()]
+    They are looked up by place, so there are at most as many as the item has windows for each diagonal.
+    """
+    keys = ["text_key", "item_id", "total", "shift"]
+    places = lines.where("strong").select(*keys).distinct().join(bench.where(F.col("kind") == SPARSE), ["item_id", "total"]).withColumn(
+        "pos", F.col("item_pos") + F.col("shift"))
+    own = found.where(F.col("kind") == SPARSE).dropDuplicates(["text_key", "pos", "hash"]).select("text_key", "pos", "hash", "slots")
+    more = places.join(own, ["text_key", "pos", "hash"]).withColumn("pairs", pairs).groupBy(*keys).agg(*gathered)
+    more = more.withColumnsRenamed({"at": "more_at", "pairs": "more_pairs"})
+    both = lambda a, b: F.when(F.col(b).isNull(), F.col(a)).otherwise(F.array_union(a, b)).alias(a)
+    return lines.join(more, keys, "left").select("doc_id", *keys, both("at", "more_at"), both("pairs", "more_pairs"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

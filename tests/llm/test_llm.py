@@ -220,6 +220,19 @@ def test_levenshtein_trie():
     assert plain[0] > 0 and plain[1] == 0 and quoted[0] == 0 and quoted[1] > 0
 
 
+def test_terms_of_a_minor_group(spark):
+    # 12 of 1,200 toxic documents have terms of their own, each in 10 of them
+    rng = np.random.default_rng(3)
+    usual = ["".join(rng.choice(list("abcdefghijklm"), 7)) for _ in range(300)]
+    text = lambda *more: " ".join([*rng.choice(usual, 30), *more])
+    rows = [(text("zzgrumpf"), 1) for _ in range(1188)] + [(text("qurvandel" if i > 1 else "", "wostrek" if i < 10 else ""), 1) for i in range(12)]
+    rows += [(text(), 0) for _ in range(4800)]
+    terms, rates = toxicity.learn_terms(spark.createDataFrame(rows, "text string, toxic int"))
+    trie = toxicity.Trie(terms)
+    assert all(trie.exact(w) >= 0 for w in ("zzgrumpf", "qurvandel", "wostrek")) and min(rates) > 2
+    assert not any(trie.exact(w) >= 0 for w in usual)
+
+
 def test_votes_follow_the_nearest():
     known = np.eye(3)
     labels = np.array([1.0, 0.0, 0.0])

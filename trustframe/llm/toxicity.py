@@ -1,6 +1,6 @@
 """Toxicity from a learned lexicon, misspellings and the context of each hit.
 
-A lexicon of words and stems that mark toxic documents is learned from a bounded sample of labelled rows. Its trie
+A lexicon of words and stems that mark toxic documents is learned from counts over all labelled rows. Its trie
 is intersected with the Levenshtein automaton (distance 1) of a word, which finds misspelled terms without trying
 every term; digits and signs that stand for letters are read as letters. A window of words around each hit says
 whether the term is quoted or reported; such hits count apart, and a logistic model on the counts gives the score.
@@ -24,13 +24,14 @@ from pyspark.sql import functions as F
 from trustframe.llm.common import bounded_sample, remainder
 from trustframe.session import cut_lineage, load_table
 
-#: Labelled rows of either class that the model is fitted on.
+#: Labelled rows of either class that the weights of the counts are fitted on.
 SAMPLE = 2500
-#: Terms of the lexicon at most, the best supported first, and lengths of stems.
-MOST_TERMS = 500
+#: Lengths of stems.
 STEMS = range(4, 11)
 #: Toxic documents that must hold a term, and the share of its documents that must be toxic (classes in balance).
-LEAST_SUPPORT, LEAST_PRECISION = 0.02, 0.75
+LEAST_DOCUMENTS, LEAST_PRECISION = 3, 0.75
+#: Share of the toxic documents that admits a term without a test (small tables), and chance terms expected of the test.
+LEAST_SUPPORT, CHANCE = 0.02, 0.05
 #: Least log ratio of a term's rates in toxic and other documents; lower ones occur by chance.
 LEAST_RATE = 2.2
 #: Share of the toxic class when the weights are fitted.
@@ -192,10 +193,11 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
     return [math.log1p(plain), math.log1p(quoted), math.log1p(len(terms)), math.log1p(100 * plain / len(chunks))]
 
 
-def learn_terms(sample: DataFrame) -> tuple[list[str], list[float]]:
-    """sample(text, toxic) -> words and stems (with ``*``) that mark toxic documents, and their weights.
+def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
+    """labelled(text, toxic) -> words and stems (with ``*``) that mark toxic documents, and their weights.
 
-    A term's weight is the log ratio of its rates among the words of toxic and of other documents.
+    A term's weight is the log ratio of its rates among the words of toxic and of other documents. Rare terms are
+    admitted by a binomial tail (Chernoff bound), corrected for the number of terms.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,17 +218,20 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[float]]:
                     continue
                 yield pd.DataFrame({"term": list(uses[toxic]), "toxic": toxic, "n": [held[toxic][t] for t in uses[toxic]], "uses": list(uses[toxic].values())})
 
-    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return [], []
     of = lambda c, label: F.sum(F.when(F.col("toxic") == label, F.col(c)).otherwise(0))
-    counts = sample.mapInPandas(count, "term string, toxic int, n long, uses long").groupBy("term").agg(
-        of("n", 1).alias("a"), of("n", 0).alias("b"), of("uses", 1).alias("ua"), of("uses", 0).alias("ub"))
+    counts = cut_lineage(labelled.mapInPandas(count, "term string, toxic int, n long, uses long").groupBy("term").agg(
+        of("n", 1).alias("a"), of("n", 0).alias("b"), of("uses", 1).alias("ua"), of("uses", 0).alias("ub")).where(
+        (F.col("term") == "") | (F.col("a") >= LEAST_DOCUMENTS)))
     share = (F.col("a") / bad) / (F.col("a") / bad + F.col("b") / good)
-    # the limit is the size of the lexicon's candidates
-    rows = counts.where((F.col("term") == "") | (F.col("a") >= max(3.0, LEAST_SUPPORT * bad)) & (share >= LEAST_PRECISION)).orderBy(
-        F.col("term") != "", F.desc("a"), F.desc(F.length("term")), "term").limit(40 * MOST_TERMS).collect()
+    part = lambda c, size: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("a") + F.col("b")) * ((bad + good) / size))).otherwise(0.0)
+    admitted = (F.col("a") >= LEAST_SUPPORT * bad) | (part("a", bad) + part("b", good) >= math.log(max(1, counts.count()) / CHANCE))
+    # the candidates of the lexicon: they grow with the words that mark toxic texts, not with the rows
+    rows = counts.where((F.col("term") == "") | admitted & (share >= LEAST_PRECISION)).orderBy(
+        F.col("term") != "", F.desc("a"), F.desc(F.length("term")), "term").collect()
     if not rows or rows[0]["term"]:
         return [], []
     words_bad, words_good = rows[0]["ua"], rows[0]["ub"]
@@ -243,7 +248,7 @@ def learn_terms(sample: DataFrame) -> tuple[list[str], list[float]]:
         if longer.get(t, 0) < 0.9 * support[t + "*"] and not any(t[:k] in stems for k in STEMS):
             stems.add(t)
     main = {w for w in whole if not any(w[:k] in stems for k in STEMS) or any(w[:k] in stems and support[w] >= 0.5 * support[w[:k] + "*"] for k in STEMS)}
-    kept = sorted({s + "*" for s in stems} | main, key=lambda t: (-support[t], t))[:MOST_TERMS]
+    kept = sorted({s + "*" for s in stems} | main, key=lambda t: (-support[t], t))
     return kept, [rate[t] for t in kept]
 
 
@@ -302,12 +307,12 @@ def with_features(df: DataFrame, model: Model) -> DataFrame:
     return df.select("toxic", "text").mapInPandas(measure, "toxic int, f array<double>")
 
 
-def fit(labelled: DataFrame) -> Model:
-    """labelled(doc_id, text, toxic) -> model; a bounded sample is read."""
-    sample = cut_lineage(labelled)
-    terms, rates = learn_terms(sample)
+def fit(labelled: DataFrame, sample: DataFrame) -> Model:
+    """All labelled(text, toxic) and a bounded sample of them -> model."""
+    terms, rates = learn_terms(labelled)
     if not terms:
         return NOTHING
+    sample = cut_lineage(sample)
     usual = usual_words(sample, terms)
     rows = with_features(sample, (terms, rates, usual, [])).collect()  # two times SAMPLE rows of counts
     w = fit_logistic(np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows], float))
@@ -320,12 +325,12 @@ def scores(f: np.ndarray, weights: list[float]) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-(f @ np.array(weights[:-1]) + weights[-1])))
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, keep) -> DataFrame:
-    """(doc_id, text, toxic) of about ``SAMPLE`` labelled documents of either class."""
+def labelled_documents(docs: DataFrame, labels: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, toxic) of all labelled documents, and of about ``SAMPLE`` of either class."""
     best = labels.where(F.col("toxic").isin(0, 1) & keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(best, "toxic", SAMPLE, ["doc_id"])
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(F.broadcast(chosen), "doc_id")  # two times SAMPLE rows
+    return texts.join(best, "doc_id"), texts.join(F.broadcast(chosen), "doc_id")  # two times SAMPLE rows
 
 
 def score_documents(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
@@ -347,13 +352,13 @@ def score_documents(docs: DataFrame, model: Model, keep_below: float | None = No
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without those predicted to be toxic; learned from all labelled rows."""
-    return score_documents(docs, fit(labelled_documents(docs, labels, F.lit(True))), THRESHOLD)
+    return score_documents(docs, fit(*labelled_documents(docs, labels, F.lit(True))), THRESHOLD)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; learned from those whose id has another remainder than 2."""
     docs, labels = load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "labels")
     rest = remainder(F.col("doc_id"), 4)
-    model = fit(labelled_documents(docs, labels, rest != 2))
+    model = fit(*labelled_documents(docs, labels, rest != 2))
     scored = score_documents(docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text"), model)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

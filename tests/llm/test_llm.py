@@ -220,6 +220,22 @@ def test_levenshtein_trie():
     assert plain[0] > 0 and plain[1] == 0 and quoted[0] == 0 and quoted[1] > 0
 
 
+def test_misspelled_stems_and_short_terms():
+    terms = ["grand*", "achlich*", "boor", "smug*"]
+    matcher = toxicity.Matcher(terms)
+    one_edit = lambda w: {w[:i] + c + w[j:] for i in range(len(w) + 1) for j in (i, i + 1) if j <= len(w) for c in ["", *"abchlxz"]} | {w[:i] + w[i + 1] + w[i] + w[i + 2:] for i in range(len(w) - 1)}
+    for number, stem in enumerate(("grand", "achlich")):
+        for typo in one_edit(stem):
+            for word in (typo, typo + "er", typo + "zzezizo"):
+                assert abs(matcher[word]) == number + 1, word
+    assert matcher["boro"] == matcher["obor"] == -3 and matcher["b00r"] == 3
+    assert matcher["msugly"] == matcher["smgu"] == -4
+    # a word that starts as a usual one of other documents is no misspelled stem
+    usual = toxicity.Matcher(terms, frozenset(["granite", "grani*", "granit*"]))
+    assert usual["granite"] == usual["granitic"] == 0 and usual["granditic"] == 1 and usual["gramditic"] == -1
+    assert matcher["gxaxd"] == 0 and matcher["bxor"] == 0 and matcher["achxxch"] == 0
+
+
 def test_terms_of_a_minor_group(spark):
     # 12 of 1,200 toxic documents have terms of their own, each in 10 of them
     rng = np.random.default_rng(3)

@@ -6,7 +6,8 @@ every term; digits and signs that stand for letters are read as letters. A windo
 whether the term is quoted or reported; such hits count apart, and a logistic model on the counts gives the score.
 
 Defined cases: NULL and empty texts have no hit and get the score of a text without one; nothing learned: score 0;
-a document labelled twice is toxic if any label says so; words of any length are read whole.
+a document labelled twice is toxic if any label says so; words of any length are read whole; of terms under
+``LEAST_FUZZY`` letters only swaps of neighbours and signs for letters count as misspellings.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ LEAST_SUPPORT, CHANCE = 0.02, 0.05
 LEAST_RATE = 2.2
 #: Share of the toxic class when the weights are fitted.
 CLASS_SHARE = 0.15
-#: Shortest term that misspellings are looked for.
+#: Shortest term that all misspellings are looked for; of shorter ones only swaps.
 LEAST_FUZZY = 5
 #: Words before and after a hit that make its context.
 CONTEXT = 6
@@ -57,6 +58,8 @@ class Trie:
         self.word: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.heads, self.middles, self.seams = set(), set(), set()
+        self.stem_tails: dict[tuple[int, int], set[str]] = {}
+        self.stem_seams, self.swapped, self.stem_swapped = set(), {}, {}
         for i, term in enumerate(terms):
             text, at = term.rstrip("*"), 0
             for c in text:
@@ -65,10 +68,16 @@ class Trie:
                     self.children.append({}), self.word.append(-1), self.stem.append(-1)
                 at = self.children[at][c]
             (self.stem if term.endswith("*") else self.word)[at] = i
-            if len(text) >= LEAST_FUZZY and not term.endswith("*"):
-                half = len(text) // 2
-                self.heads.add(text[:half]), self.middles.add(text[half:])
-                self.seams.add(text[: half - 1] + text[half] + text[half - 1] + text[half + 1 :])
+            stem, half = term.endswith("*"), len(text) // 2
+            if len(text) >= LEAST_FUZZY:
+                self.heads.add(text[:half])
+                self.stem_tails.setdefault((half, len(text) - half), set()).add(text[half:]) if stem else self.middles.add(text[half:])
+                (self.stem_seams if stem else self.seams).add(text[: half - 1] + text[half] + text[half - 1] + text[half + 1 :])
+            else:
+                for k in range(len(text) - 1):
+                    if text[k] != text[k + 1]:
+                        (self.stem_swapped if stem else self.swapped).setdefault(text[:k] + text[k + 1] + text[k] + text[k + 2 :], i)
+        self.stem_sizes, self.short_sizes = sorted({len(x) for x in self.stem_seams}), sorted({len(x) for x in self.stem_swapped})
 
     def exact(self, word: str) -> int:
         """Term that the word is or starts with; -1: none."""
@@ -81,18 +90,25 @@ class Trie:
                 return self.stem[at]
         return self.word[at]
 
-    def near(self, word: str) -> int:
+    def near(self, word: str, usual: frozenset[str] = frozenset()) -> int:
         """Term within one insertion, deletion, replacement or swap of neighbours; the smallest number wins.
 
-        The automaton's state is the set of (letters of ``word`` read, edits made) that a term's prefix can reach.
+        A stem is held against every prefix of the word, unless the word's start of its length is in ``usual``. The automaton's state is the set of (letters of ``word``
+        read, edits made) that a term's prefix can reach.
         """
-        best, n = -1, len(word)
+        n = len(word)
+        best = min(self._short_swaps(word), default=-1)
+        if best >= 0 and word[: LEAST_FUZZY - 1] + "*" in usual:
+            best = -1
         stack = [(0, frozenset({(0, 0), (1, 1)}) if n else frozenset({(0, 0)}), 0)]
         while stack:
             node, state, depth = stack.pop()
             term = self.word[node]
             if term >= 0 and depth >= LEAST_FUZZY and (best < 0 or term < best) and any(n - i <= 1 - e for i, e in state if e < 2):
                 best = term
+            term = self.stem[node]
+            if term >= 0 and depth >= LEAST_FUZZY and (best < 0 or term < best) and any(e < 2 for _, e in state) and word[:depth] + "*" not in usual:
+                best = term
             for c, child in self.children[node].items():
                 reached = set()
                 for i, e in state:
@@ -117,12 +133,26 @@ class Trie:
                     stack.append((child, reached, depth + 1))
         return best
 
+    def _short_swaps(self, word: str) -> list[int]:
+        """Short terms that the word is, or short stems that it starts with, after a swap of neighbours."""
+        found = [self.swapped.get(word, -1), *(self.stem_swapped.get(word[:k], -1) for k in self.short_sizes)]
+        return [x for x in found if x >= 0]
+
     def may_be_near(self, word: str) -> bool:
-        """A term within one edit keeps its first half at the start or its second half at the end, or is swapped where they meet."""
+        """A term within one edit keeps its first half at the start or its second half at the end, or is swapped where they meet.
+
+        A stem keeps its second half at its place or one letter before or behind.
+        """
         n = len(word)
+        if self._short_swaps(word):
+            return True
         if n < LEAST_FUZZY - 1:
             return False
-        return word in self.seams or any(word[:k] in self.heads or word[n - k :] in self.middles for k in self.halves if k <= n)
+        if word in self.seams or any(word[:k] in self.heads or word[n - k :] in self.middles for k in self.halves if k <= n):
+            return True
+        if any(word[:k] in self.stem_seams for k in self.stem_sizes):
+            return True
+        return any(word[at : at + size] in tails for (half, size), tails in self.stem_tails.items() for at in (half - 1, half, half + 1))
 
     @property
     def halves(self) -> list[int]:
@@ -155,7 +185,7 @@ class Matcher(dict):
             if term >= 0:
                 out = term + 1
             elif word not in self.usual and self.trie.may_be_near(word):
-                term = self.trie.near(word)
+                term = self.trie.near(word, self.usual)
                 out = -(term + 1) if term >= 0 else 0
         self[chunk] = out
         return out
@@ -266,14 +296,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int
 
 
 def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
-    """Words of documents that aren't toxic within one edit of a term: they are no misspellings."""
+    """Words of documents that aren't toxic within one edit of a term, and (with ``*``) their starts of the stems' lengths: no misspellings."""
     shared = sample.sparkSession.sparkContext.broadcast(terms)
 
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(shared.value)
         for pdf in batches:
             chunks = {c for t in pdf["text"] for c in t.lower().split()}
-            yield pd.DataFrame({"word": np.array(sorted({clean_word(c) for c in chunks if matcher[c] < 0}), dtype=object)})
+            words = {clean_word(c) for c in chunks if matcher[c] < 0}
+            yield pd.DataFrame({"word": np.array(sorted(words | {w[:k] + "*" for w in words for k in STEMS}), dtype=object)})
 
     # bounded by the words of the sample
     return [r["word"] for r in sample.where("toxic = 0").select("text").mapInPandas(near, "word string").distinct().collect()]

@@ -256,6 +256,12 @@ def test_votes_follow_the_nearest():
     assert quality.features(None)[-1] == 1 and quality.features("a b")[:-1].any()
 
 
+def test_shapes_of_whole_chunks():
+    start = "aB0/" * 16
+    one, two = (quality.features(start + end)[: quality.SHAPES] for end in ("aB0/aB0/", "--==--=="))
+    assert one.any() and two.any() and (one != two).any()
+
+
 def test_top_k_with_ties_and_copies(spark):
     rng = np.random.default_rng(0)
     rows = [[int(x) for x in v] for v in rng.integers(-300, 300, (400, 5))] + [[7, 7, 7, 7, 7]] * 300

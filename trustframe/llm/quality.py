@@ -44,7 +44,7 @@ class _Codes(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > MOST_KEPT:
             self.clear()
-        shape = RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk[:64]))
+        shape = RUNS.sub(r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in chunk))
         value = xxhash.xxh32_intdigest(shape) % SHAPES * WORDS + xxhash.xxh32_intdigest(chunk.lower()) % WORDS
         self[chunk] = value
         return value

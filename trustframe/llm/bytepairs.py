@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from trustframe.session import load_table
 
 #: Characters of the texts that are cut and merged together, about.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 #: Bytes of words and their ids that a partition keeps.
-MOST_KEPT = 48 << 20
+MOST_KEPT = 32 << 20
 #: Bytes counted for a kept word besides its letters and ids.
 PER_WORD = 150
 _SHIFT = 32

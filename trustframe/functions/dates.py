@@ -59,8 +59,8 @@ def cohort_date(label: Column) -> Column:
     end = F.regexp_extract(text, year, 2).try_cast("int")
     consecutive = (start + 1) % 100 == end
     return (
-        F.when(F.startswith(text, F.lit("From ")), english_date(F.substring(text, 6, 40)))
-        .when(F.startswith(text, F.lit("If you apply on or after ")), long_date(F.substring(text, 26, 40)))
+        F.when(F.startswith(text, F.lit("From ")), english_date(F.substr(text, F.lit(6))))
+        .when(F.startswith(text, F.lit("If you apply on or after ")), long_date(F.substr(text, F.lit(26))))
         .when(consecutive, F.make_date(start, F.lit(7), F.lit(1)))
     )
 

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe import policies as P
 from trustframe.functions import arrays, urls
+from trustframe.functions.selectors import selector_values
+from trustframe.functions.variants import children, json_type
 from trustframe.operators.issues import Rule, issue_rows, run_rules, union_issues
 from trustframe.operators.ranking import duplicate_rows
 from trustframe.operators.reconcile import unmatched
 
 
+def _value(bindings: DataFrame) -> Column:
+    """The transformed value; ``brackets`` is an optional column."""
+    brackets = F.col("brackets") if "brackets" in bindings.columns else None
+    return arrays.transform_value(F.col("op"), F.col("numbers"), F.col("text"), F.col("factor"), brackets)
+
+
 def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame, scope: DataFrame) -> DataFrame:
     """All binding problems.
 
@@ -26,7 +34,7 @@ def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame,
     joined = joined.join(c, F.col("claim_id") == F.col("__c"), "left")
     # columns of their own, so that several rules share one evaluation
     joined = joined.withColumns({
-        "__value": arrays.transform_value(F.col("op"), F.col("numbers"), F.col("text"), F.col("factor")),
+        "__value": _value(bindings),
         "__runtime_url": urls.normalize_source_url(F.col("runtime_url")),
         "__claim_url": urls.normalize_source_url(F.col("c_source_url")),
     })
@@ -67,11 +75,39 @@ def binding_issues(bindings: DataFrame, claims: DataFrame, editions: DataFrame,
 
 
 
+def boundary_sets(bindings: DataFrame) -> DataFrame:
+    """Numeric boundaries of bound values: (claim_id, edition, kind, unit, values); those of ``boundary_issues`` are left out."""
+    value = _value(bindings)
+    kept = bindings.filter(F.col("boundary_kind").isin(*P.BOUNDARY_KINDS))
+    made = kept.select("claim_id", "edition", F.col("boundary_kind").alias("kind"), "unit", arrays.boundary_values(value).alias("values"))
+    return made.filter(F.size("values") > 0)
 
 
+def bound_values(bindings: DataFrame, documents: DataFrame) -> DataFrame:
+    """``bindings`` with what their ``runtime_path`` selects: ``numbers``, ``text``, ``brackets``, ``type``, ``path_problem``.
 
-def boundary_sets(bindings: DataFrame) -> DataFrame:
-    """Numeric boundaries of bound values: (claim_id, edition, kind, unit, values), NULL kinds left out."""
-    value = arrays.transform_value(F.col("op"), F.col("numbers"), F.col("text"), F.col("factor"))
-    kept = bindings.filter(F.col("boundary_kind").isin(*P.BOUNDARY_KINDS))
-    return kept.select("claim_id", "edition", F.col("boundary_kind").alias("kind"), "unit", arrays.boundary_values(value).alias("values"))
+    ``documents``: (page, document VARIANT), the constants of each page. A number or an array of numbers gives ``numbers``, a string gives
+    ``text``, an array of pairs gives ``brackets`` (cap NULL where it is not a number). Columns of these names are replaced.
+    """
+    base = bindings.drop("numbers", "text", "brackets", "type", "path_problem")
+    found = selector_values(bindings, documents, "page", "runtime_path", "document")
+    items = children(F.col("value"))[1]
+    number = lambda v: F.when(json_type(v) == "number", F.try_variant_get(v, "$", "decimal(38,18)"))
+    listed = F.transform(items, number)
+    numbers = F.when(F.col("value_type") == "number", F.array(number(F.col("value")))).when(F.forall(listed, lambda x: x.isNotNull()), listed)
+    pairs = F.transform(items, lambda v: F.struct(
+        number(F.get(children(v)[1], F.lit(0))).alias("cap"), number(F.get(children(v)[1], F.lit(1))).alias("rate")))
+    is_pair = F.forall(items, lambda v: F.coalesce(F.size(children(v)[1]) == 2, F.lit(False)))
+    values = found.select(
+        F.col("page").alias("__p"), F.col("runtime_path").alias("__r"), numbers.alias("numbers"), F.when(F.col("value_type") == "string", F.col("value_text")).alias("text"),
+        F.when(is_pair & (F.size(items) > 0), pairs).alias("brackets"), F.col("value_type").alias("type"), F.col("problem").alias("path_problem"))
+    joined = base.join(values, F.col("page").eqNullSafe(F.col("__p")) & F.col("runtime_path").eqNullSafe(F.col("__r")), "left")
+    return joined.drop("__p", "__r")
+
+
+def boundary_issues(bindings: DataFrame) -> DataFrame:
+    """Bindings whose boundary cannot be used: (claim_id, edition, code): a kind that is not supported, or a value without a number."""
+    value = _value(bindings)
+    kind_ok = F.col("boundary_kind").isin(*P.BOUNDARY_KINDS)
+    code = F.when(~kind_ok, "INVALID_KIND").when(F.coalesce(F.size(arrays.boundary_values(value)), F.lit(0)) == 0, "NO_BOUNDARY")
+    return bindings.filter(F.col("boundary_kind").isNotNull()).select("claim_id", "edition", code.alias("code")).filter("code is not null")

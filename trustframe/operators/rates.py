@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustframe.functions.numbers import round_half_up, within
+from trustframe.functions.numbers import canonical_decimal, round_half_up, within
 from trustframe.operators.ranking import lagged
 
 Brackets = Sequence[tuple[float | None, float]]
@@ -254,3 +254,86 @@ def taper_problems(max_offset: Column, full_to: Column, taper1_to: Column, taper
 
 def probe_mismatch(actual: Column, expected: Column, tolerance: float = 0.01) -> Column:
     return ~within(actual, expected, tolerance)
+
+
+_LABEL_NUMBER = r"([0-9]+(?:\.[0-9]+)?)"
+
+
+def bracket_of_label(label: Column, rate_text: Column) -> Column:
+    """struct<lower,upper,rate,rate_text> of a label such as ``18,201 – 45,000`` or ``Over 45,000`` and a percentage; NULL otherwise.
+
+    ``rate_text`` keeps the written places: ``16.50%`` is ``0.1650``.
+    """
+    clean = F.regexp_replace(F.trim(F.regexp_replace(label, r"(?U)\s+", " ")), ",", "")
+    numbers = F.transform(F.regexp_extract_all(clean, F.lit(_LABEL_NUMBER), F.lit(1)), lambda x: x.try_cast("decimal(38,18)"))
+    closed = (F.size(numbers) == 2) & clean.rlike(r"[-–—]|\bto\b")
+    open_ = (F.size(numbers) == 1) & clean.rlike(r"(?i)\b(?:over|above|more)\b|\+\z")
+    shape = r"(?U)\A([0-9]+)(?:\.([0-9]+))?\s*%\z"
+    rate = F.trim(rate_text)
+    whole, part = F.regexp_extract(rate, shape, 1), F.regexp_extract(rate, shape, 2)
+    places = F.char_length(part) + 2
+    digits = F.regexp_replace(F.concat(whole, part), r"\A0+", "")
+    padded = F.lpad(digits, F.greatest(F.char_length(digits), places + 1), F.lit("0"))
+    shifted = F.concat(F.substr(padded, F.lit(1), F.char_length(padded) - places), F.lit("."), F.substr(padded, F.char_length(padded) - places + 1))
+    value = F.struct(
+        F.get(numbers, F.lit(0)).alias("lower"), F.when(closed, F.get(numbers, F.lit(1))).alias("upper"),
+        (shifted.try_cast("decimal(38,18)")).alias("rate"), F.when(digits == "", F.lit("0")).otherwise(shifted).alias("rate_text"),
+    )
+    return F.when((closed | open_) & rate.rlike(shape), value)
+
+
+def labelled_brackets(rows: DataFrame, page: str = "page", row: str = "row_no", label: str = "label", rate: str = "rate") -> DataFrame:
+    """Bracket tables in the labelled text rows of pages: (page, table_no, seq, lower, upper, rate, rate_text).
+
+    Rows that are brackets and follow each other without another row between them are one table (gaps and islands by
+    position). A window holds the rows of one page.
+    """
+    in_page = Window.partitionBy(page).orderBy(row)
+    read = rows.select(page, row, bracket_of_label(F.col(label), F.col(rate)).alias("b")).withColumn("at", F.row_number().over(in_page))
+    found = read.filter("b is not null")
+    # the place among all rows less that among brackets is the same for neighbours
+    found = found.withColumn("island", F.col("at") - F.row_number().over(in_page))
+    found = found.withColumn("table_no", F.dense_rank().over(Window.partitionBy(page).orderBy("island")))
+    seq = F.row_number().over(Window.partitionBy(page, "table_no").orderBy(row))
+    return found.select(page, "table_no", seq.alias("seq"), "b.*")
+
+
+def bracket_table_problems(tables: DataFrame, page: str = "page") -> DataFrame:
+    """(page, table_no, seq, code) for tables that do not start at zero, have a gap or an overlap, or no open end."""
+    own = Window.partitionBy(page, "table_no").orderBy("seq")
+    before, has_before = F.lag("upper").over(own), F.lag("seq").over(own).isNotNull()
+    rows = tables.select(page, "table_no", "seq", "lower", "upper", before.alias("before"), has_before.alias("has_before"), F.lead("seq").over(own).isNull().alias("is_last"))
+    codes = _codes({
+        "START_NOT_ZERO": ~F.col("has_before") & (F.col("lower") != 0),
+        "GAP": F.col("has_before") & (F.col("lower") > F.col("before") + 1),
+        "OVERLAP": F.col("has_before") & (F.col("before").isNull() | (F.col("lower") <= F.col("before"))),
+        "LAST_NOT_OPEN": F.col("is_last") & F.col("upper").isNotNull(),
+    })
+    return rows.select(page, "table_no", "seq", F.explode(codes).alias("code"))
+
+
+def serialized_tables(tables: DataFrame, page: str = "page", infinity: str = "above") -> DataFrame:
+    """(page, table_no, brackets): ``upper@rate`` of every table, with the rate's written places."""
+    item = F.concat(F.coalesce(canonical_decimal(F.col("upper")), F.lit(infinity)), F.lit("@"), F.col("rate_text"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("t")))), lambda x: x["t"])
+    return tables.groupBy(page, "table_no").agg(F.array_join(listed, ";").alias("brackets"))
+
+
+def claims_against_constants(claims: DataFrame, reviewed: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """claims(claim_id, assertion, value_text), reviewed(assertion, constant, brackets, percent) -> (claim_id, assertion, status).
+
+    A claim of bracket text is parsed and compared bracket by bracket; a number is compared with the constant, times a hundred if
+    ``percent``. Status: match, changed, or unasserted where nothing is reviewed for the assertion.
+    """
+    joined = claims.join(reviewed.withColumn("known", F.lit(True)), "assertion", "left")
+    parsed = F.transform(F.split("value_text", ";"), lambda t: F.struct(
+        F.when(t.rlike(r"\A(?:above|Infinity)@"), F.lit(None).cast("double")).otherwise(F.substring_index(t, "@", 1).try_cast("double")).alias("cap"),
+        F.regexp_extract(t, r"\A[^@]+@([0-9]+(?:\.[0-9]+)?)\z", 1).try_cast("double").alias("rate")))
+    pairs = F.zip_with(parsed, F.col("brackets"), lambda a, b: (
+        (a["cap"].isNull() == b["cap"].isNull()) & F.coalesce(F.abs(a["cap"] - b["cap"]) <= tolerance, F.lit(True)) & F.coalesce(F.abs(a["rate"] - b["rate"]) <= tolerance, F.lit(False))))
+    listed = (F.size(parsed) == F.size("brackets")) & F.forall(pairs, lambda ok: F.coalesce(ok, F.lit(False)))
+    wanted = F.when(F.col("percent"), F.col("constant") * 100).otherwise(F.col("constant"))
+    number = F.abs(F.col("value_text").try_cast("double") - wanted) <= tolerance
+    same = F.when(F.col("brackets").isNotNull(), listed).otherwise(number)
+    status = F.when(F.col("known").isNull(), "unasserted").when(F.coalesce(same, F.lit(False)), "match").otherwise("changed")
+    return joined.select("claim_id", "assertion", status.alias("status"))

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from trustframe.functions import classify
 from trustframe.functions.fingerprints import short_sha
@@ -146,15 +147,45 @@ def transient_trend_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readable(D.merge_trend(first, log.filter("observed_at >= '2024-01-16'")))
 
 
-@plan("transient_trend_stream", "WITH" + trend_sql("s") + " SELECT * FROM s")
-def transient_trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same state from a file stream over the events table."""
-    schema = load_table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
+def stream_in_stretches(spark: SparkSession, stretches: list[DataFrame]) -> tuple[StreamingQuery, str]:
+    """Run the trend over stretches of a log that arrive one after another, a micro-batch each; the folder of its state."""
     work = f"{checkpoint_root(spark)}/trend-{uuid.uuid4().hex}"
-    query = S.start_trend_stream(observation_log(source), f"{work}/state", f"{work}/checkpoint")
+    for stretch in stretches:
+        stretch.coalesce(1).write.mode("append").parquet(f"{work}/log")
+    source = spark.readStream.schema(stretches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/log")
+    query = S.start_trend_stream(source, f"{work}/state", f"{work}/checkpoint")
     query.awaitTermination()
-    return readable(S.finished_state(spark, query, f"{work}/state"))
+    return query, f"{work}/state"
+
+
+CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "9999-01-01")
+
+
+def log_stretches(log: DataFrame) -> list[DataFrame]:
+    moment = F.col("observed_at")
+    first = [log.filter(moment < CUTS[1])]
+    return first + [log.filter((moment >= a) & (moment < b)) for a, b in zip(CUTS[1:], CUTS[2:], strict=False)]
+
+
+@plan("transient_trend_stream", "WITH" + trend_sql("s") + " SELECT * FROM s")
+def transient_trend_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state from a stream of three micro-batches over the events table."""
+    query, state = stream_in_stretches(spark, log_stretches(observation_log(load_table(spark, sf_dir, "events"))))
+    return readable(S.finished_state(spark, query, state))
+
+
+@plan("late_observations", """
+SELECT CAST(user_id AS VARCHAR) AS request_key, 'late-' || event_id AS observation_id FROM events e
+WHERE ts < TIMESTAMP '2024-01-11' AND event_id % 50 = 0 AND EXISTS (SELECT 1 FROM events n WHERE n.user_id = e.user_id AND n.ts >= TIMESTAMP '2024-01-11' AND n.ts < TIMESTAMP '2024-01-21')
+""")
+def late_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of the first stretch that arrive with the third, under other names: all that are older than what is known."""
+    log = observation_log(load_table(spark, sf_dir, "events"))
+    first, second, third = log_stretches(log)
+    late = first.filter(F.col("observation_id").cast("bigint") % 50 == 0).withColumn("observation_id", F.concat(F.lit("late-"), "observation_id"))
+    seen = second.select("request_key").distinct()  # a key's rows of one batch are in order whatever their place in it
+    _, state = stream_in_stretches(spark, [first, second, late.join(seen, "request_key", "left_semi"), third])
+    return S.late_observations(spark, state).select("request_key", "observation_id")
 
 
 @plan("advance_trend", """

@@ -32,7 +32,7 @@ def plan(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def all_plans() -> dict[str, Plan]:
     from trustframe.plans import (  # noqa: F401
-        directory, drifting, facts, graph, money, pages, reconciling, registry_rules, storage,
+        directory, drifting, evidence, facts, graph, money, pages, reconciling, registry_rules, storage,
     )
 
     return PLANS

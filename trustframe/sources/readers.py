@@ -64,7 +64,7 @@ _FROM, _TO = (("".join(part) for part in zip(*[(k, v) for k, v in _C1.items() if
 _UNDEFINED = "[" + "".join(k for k, v in _C1.items() if not v) + "]"
 
 
-def _record_cells(raw: Column) -> Column:
+def record_cells(raw: Column) -> Column:
     """Cells of one CSV record as written: commas inside quotes do not separate, doubled quotes are one."""
     line = F.concat(F.lit(","), F.regexp_replace(raw, r"\A\ufeff|\r?\n?\z", ""))
     cells = F.regexp_extract_all(line, F.lit(r',((?s:"[^"]*+(?:""[^"]*+)*+")?[^,]*+)'), F.lit(1))
@@ -89,7 +89,7 @@ def read_csv_strict(spark: SparkSession, path: str, encoding: str, max_columns:
         enforceSchema=True, maxCharsPerColumn=-1,
     ).select(
         F.col("_metadata.file_path").alias("file"),
-        F.coalesce(_record_cells(F.col("record")), F.array(F.col("first"))).alias("__c"),
+        F.coalesce(record_cells(F.col("record")), F.array(F.col("first"))).alias("__c"),
     )
     used = F.coalesce(F.array_max(F.transform("__c", lambda c, i: F.when(c.isNotNull() & (c != ""), i + 1))), F.lit(0))
     latin = encoding == "windows-1252"

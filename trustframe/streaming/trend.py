@@ -1,18 +1,28 @@
-"""Transient trend as a stream: micro-batches are summarised, then merged into a versioned state table."""
+"""Transient trend as a stream: one keyed state per request, kept by Spark's state store."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from trustframe.operators.drift import EVENT, apply_case_actions, case_actions, merge_trend
+from trustframe.operators.drift import EVENT, MAX_TREND_EVENTS, apply_case_actions, case_actions
 
 KEY = "request_key"
 STATE_SCHEMA = (
     f"{KEY} string, streak bigint, first_seen timestamp_ntz, last_seen timestamp_ntz, recovered_at timestamp_ntz, "
     f"last_status string, last_observation_id string, events array<{EVENT}>"
 )
+#: Moments travel as microseconds.
+_MOVED = (
+    f"{KEY} string, kind string, streak bigint, first_seen bigint, last_seen bigint, recovered_at bigint, last_status string, "
+    "last_observation_id string, events array<struct<observed_at:bigint,observation_id:string,status:string>>"
+)
+_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def _version(path: str, number: int) -> str:
@@ -23,36 +33,115 @@ def empty_state(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE_SCHEMA)
 
 
-def read_state(spark: SparkSession, path: str, version: int) -> DataFrame:
-    """State after ``version`` micro-batches (0 is empty)."""
-    return empty_state(spark) if version == 0 else spark.read.schema(STATE_SCHEMA).parquet(_version(path, version))
+class TrendProcessor(StatefulProcessor):
+    """State of a key: the newest observation seen, the run of transient ones and its last events.
 
+    A micro-batch's rows of a key are applied in order of time. A row older than the newest one of an earlier batch
+    comes out as ``late`` and changes nothing; an observation among the kept events is a replay. Only keys whose state changed come
+    out, so a batch writes as many keys as it touches.
+    """
 
-def start_trend_stream(log: DataFrame, state_path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    def __init__(self, keep_events: int, ttl_ms: int | None):
+        self.keep_events, self.ttl_ms = keep_events, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "at bigint, observation_id string", self.ttl_ms)
+        self.trend = handle.getValueState(
+            "trend", "streak bigint, first_seen bigint, last_seen bigint, recovered_at bigint, last_status string, last_observation_id string", self.ttl_ms)
+        self.events = handle.getListState("events", "observed_at bigint, observation_id string, status string", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        seen: dict[str, tuple[int, str]] = {}  # an observation counts once, at its earliest
+        for pdf in rows:
+            for at, observation, status in zip(pdf["at"].tolist(), pdf["observation_id"].tolist(), pdf["status"].tolist(), strict=True):
+                if observation not in seen or (at, status) < seen[observation]:
+                    seen[observation] = (at, status)
+        newest = self.newest.get() if self.newest.exists() else None
+        trend = tuple(self.trend.get()) if self.trend.exists() else None
+        events = [tuple(e) for e in self.events.get()] if trend else []
+        known, late, changed = {e[1] for e in events}, [], False
+        last = newest and (newest[0], newest[1])
+        for at, observation, status in sorted((at, o, s) for o, (at, s) in seen.items()):
+            if observation in known:
+                continue
+            if newest and (at, observation) <= (newest[0], newest[1]):
+                if (at, observation) != (newest[0], newest[1]):
+                    late.append((at, observation, status))
+                continue
+            last = (at, observation)
+            running = trend is not None and trend[4] == "transient"
+            if status == "transient":
+                streak, first = (trend[0] + 1, trend[1]) if running else (1, at)
+                events = [*events, (at, observation, status)] if running else [(at, observation, status)]
+                trend = (streak, first, at, None, status, observation)
+            elif running:
+                events = [*events, (at, observation, status)]
+                trend = (0, trend[1], at, at, status, observation)
+            else:
+                continue
+            events, changed = events[-self.keep_events :], True
+            known = {e[1] for e in events}
+        if last:
+            self.newest.update(last)
+        out = [(key[0], "late", None, None, at, None, status, observation, None) for at, observation, status in late]
+        if changed:
+            self.trend.update(trend)
+            self.events.put(events)
+            out.append((key[0], "state", *trend, [{"observed_at": a, "observation_id": o, "status": s} for a, o, s in events]))
+        yield pd.DataFrame(out, columns=[KEY, "kind", "streak", "first_seen", "last_seen", "recovered_at", "last_status", "last_observation_id", "events"]).astype(
+            dict.fromkeys(["streak", "first_seen", "last_seen", "recovered_at"], "Int64"))
+
+    def close(self) -> None:
+        pass
+
+
+def start_trend_stream(log: DataFrame, state_path: str, checkpoint: str, ttl_ms: int | None = None,
+                       keep_events: int = MAX_TREND_EVENTS, **trigger) -> StreamingQuery:
     """Run the trend over a streaming log (request_key, observation_id, observed_at, status).
 
-    Batch ``n`` reads state version ``n`` and writes version ``n + 1``; a repeated batch writes the
-    same version again, so the result is exactly-once without a transaction log. ``state_path`` and
-    ``checkpoint`` belong in a shared folder.
+    State lives in the state store, with the checkpoint; with ``ttl_ms`` that of a key goes when it was not written for so long.
+    Batch ``n`` writes the changed keys and the late rows to ``state_path/batch=n``; a repeated batch writes the
+    same folder again. Both folders must be shared ones.
     """
+    spark = log.sparkSession
+    rows = log.select(KEY, "observation_id", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, observed_at)").alias("at"), "status")
+    changes = rows.groupBy(KEY).transformWithStateInPandas(
+        TrendProcessor(keep_events, ttl_ms), _MOVED, "Update", "ProcessingTime" if ttl_ms else "None")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        state = read_state(spark, state_path, batch_id)
-        rows = batch.persist()  # the merge reads the batch more than once
-        merge_trend(state, rows).select(*state.columns).write.mode("overwrite").parquet(_version(state_path, batch_id + 1))
-        rows.unpersist()
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{state_path}/batch={batch_id}")
 
-    writer = log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    spark.createDataFrame([], _MOVED).write.mode("overwrite").parquet(f"{state_path}/batch=-1")  # a stream without rows has a state, too
+    before = spark.conf.get(_ROCKS[0])
+    spark.conf.set(*_ROCKS)  # only this store holds several states a key; a query keeps the setting that it started with
+    try:
+        writer = changes.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+    finally:
+        spark.conf.set(_ROCKS[0], before)
+
+
+def _changes(spark: SparkSession, state_path: str, kind: str) -> DataFrame:
+    return spark.read.schema(f"{_MOVED}, batch bigint").parquet(state_path).filter(F.col("kind") == kind)
+
+
+def _moment(micros: str) -> str:
+    return f"timestampadd(MICROSECOND, {micros}, {_EPOCH})"
 
 
 def finished_state(spark: SparkSession, query: StreamingQuery, state_path: str) -> DataFrame:
-    """State after the last finished micro-batch of a stopped query."""
-    progress = query.lastProgress
-    if progress is None:
-        return empty_state(spark)
-    return read_state(spark, state_path, int(progress["batchId"]) + 1)
+    """State after the last finished micro-batch of a stopped query: the newest change of every key."""
+    names = [c for c in spark.createDataFrame([], _MOVED).columns if c not in (KEY, "kind")]
+    newest = _changes(spark, state_path, "state").groupBy(KEY).agg(F.max_by(F.struct(*names), "batch").alias("s")).select(KEY, "s.*")
+    times = {c: F.expr(_moment(c)) for c in ("first_seen", "last_seen", "recovered_at")}
+    moved = f"transform(events, e -> named_struct('observed_at', {_moment('e.observed_at')}, 'observation_id', e.observation_id, 'status', e.status))"
+    return newest.withColumns(times | {"events": F.expr(moved)}).select(*empty_state(spark).columns)
+
+
+def late_observations(spark: SparkSession, state_path: str) -> DataFrame:
+    """(request_key, observation_id, observed_at, status) of the rows that came after newer ones of their key; no state holds them."""
+    return _changes(spark, state_path, "late").select(
+        KEY, F.col("last_observation_id").alias("observation_id"), F.expr(_moment("last_seen")).alias("observed_at"), F.col("last_status").alias("status"))
 
 
 def start_case_stream(findings: DataFrame, case_path: str, checkpoint: str, key: str, **trigger) -> StreamingQuery:
@@ -71,8 +160,3 @@ def start_case_stream(findings: DataFrame, case_path: str, checkpoint: str, key:
 
     writer = findings.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
-
-
-def distinct_observations(log: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop replays of (key, observation) inside the watermark before any other work."""
-    return log.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark([KEY, "observation_id"])

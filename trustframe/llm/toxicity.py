@@ -13,7 +13,6 @@ a document labelled twice is toxic if any label says so; words of any length are
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import bounded_sample, remainder
+from trustframe.llm.common import bounded_sample, fresh, remainder
 from trustframe.session import cut_lineage, load_table
 
 #: Labelled rows of either class that the weights of the counts are fitted on.
@@ -41,7 +40,10 @@ CLASS_SHARE = 0.15
 LEAST_FUZZY = 5
 #: Words before and after a hit that make its context.
 CONTEXT = 6
-MOST_KEPT = 300_000
+#: Words that a partition keeps; beyond them it starts anew.
+MOST_KEPT = 200_000
+#: Terms whose counts a task adds up before it hands them on.
+MOST_COUNTED = 400_000
 THRESHOLD = 0.3
 # fixed values: characters read as letters inside words, marks that open or close a quotation, words of reporting
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -51,33 +53,44 @@ EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”
 
 
 class Trie:
-    """Lexicon terms; a stem ends in ``*`` and covers every word that starts with it."""
+    """Lexicon terms; a stem ends in ``*`` and covers every word that starts with it.
+
+    ``near`` intersects the trie with the Levenshtein automaton of a word for distance 1 (insertion, deletion, replacement, swap of
+    neighbours). The automaton's states are (letters read, edits made). Those without an edit lie along the word's own
+    path in the trie; each leaves it by one edit and is deterministic from there on. The edits that do not depend on the word
+    are compiled: ``skip`` leads from a node past any one child by the letter behind it, ``below`` lists the children that end a term.
+    """
 
     def __init__(self, terms: list[str]):
         self.children: list[dict[str, int]] = [{}]
         self.word: list[int] = [-1]
         self.stem: list[int] = [-1]
-        self.heads, self.middles, self.seams = set(), set(), set()
-        self.stem_tails: dict[tuple[int, int], set[str]] = {}
-        self.stem_seams, self.swapped, self.stem_swapped = set(), {}, {}
+        self.depth: list[int] = [0]
+        #: short terms and stems after a swap of neighbours
+        self.swapped: dict[str, int] = {}
+        self.stem_swapped: dict[str, int] = {}
         for i, term in enumerate(terms):
-            text, at = term.rstrip("*"), 0
+            text, at, stem = term.rstrip("*"), 0, term.endswith("*")
             for c in text:
                 if c not in self.children[at]:
                     self.children[at][c] = len(self.children)
-                    self.children.append({}), self.word.append(-1), self.stem.append(-1)
+                    self.children.append({}), self.word.append(-1), self.stem.append(-1), self.depth.append(self.depth[at] + 1)
                 at = self.children[at][c]
-            (self.stem if term.endswith("*") else self.word)[at] = i
-            stem, half = term.endswith("*"), len(text) // 2
-            if len(text) >= LEAST_FUZZY:
-                self.heads.add(text[:half])
-                self.stem_tails.setdefault((half, len(text) - half), set()).add(text[half:]) if stem else self.middles.add(text[half:])
-                (self.stem_seams if stem else self.seams).add(text[: half - 1] + text[half] + text[half - 1] + text[half + 1 :])
-            else:
+            (self.stem if stem else self.word)[at] = i
+            if len(text) < LEAST_FUZZY:
                 for k in range(len(text) - 1):
                     if text[k] != text[k + 1]:
                         (self.stem_swapped if stem else self.swapped).setdefault(text[:k] + text[k + 1] + text[k] + text[k + 2 :], i)
-        self.stem_sizes, self.short_sizes = sorted({len(x) for x in self.stem_seams}), sorted({len(x) for x in self.stem_swapped})
+        self.short_sizes = sorted({len(x) for x in self.stem_swapped})
+        self.skip: list[dict[str, list[int]]] = []
+        self.below: list[list[int]] = []
+        for own in self.children:
+            past: dict[str, list[int]] = {}
+            for child in own.values():
+                for c, node in self.children[child].items():
+                    past.setdefault(c, []).append(node)
+            self.skip.append(past)
+            self.below.append([c for c in own.values() if self.depth[c] >= LEAST_FUZZY and (self.word[c] >= 0 or self.stem[c] >= 0)])
 
     def exact(self, word: str) -> int:
         """Term that the word is or starts with; -1: none."""
@@ -91,75 +104,70 @@ class Trie:
         return self.word[at]
 
     def near(self, word: str, usual: frozenset[str] = frozenset()) -> int:
-        """Term within one insertion, deletion, replacement or swap of neighbours; the smallest number wins.
+        """Term within one edit; the smallest number wins.
 
-        A stem is held against every prefix of the word, unless the word's start of its length is in ``usual``. The automaton's state is the set of (letters of ``word``
-        read, edits made) that a term's prefix can reach.
+        A stem is held against every prefix of the word, unless the word's start of its length is in ``usual``.
         """
-        n = len(word)
-        best = min(self._short_swaps(word), default=-1)
-        if best >= 0 and word[: LEAST_FUZZY - 1] + "*" in usual:
-            best = -1
-        stack = [(0, frozenset({(0, 0), (1, 1)}) if n else frozenset({(0, 0)}), 0)]
-        while stack:
-            node, state, depth = stack.pop()
-            term = self.word[node]
-            if term >= 0 and depth >= LEAST_FUZZY and (best < 0 or term < best) and any(n - i <= 1 - e for i, e in state if e < 2):
-                best = term
-            term = self.stem[node]
-            if term >= 0 and depth >= LEAST_FUZZY and (best < 0 or term < best) and any(e < 2 for _, e in state) and word[:depth] + "*" not in usual:
-                best = term
-            for c, child in self.children[node].items():
-                reached = set()
-                for i, e in state:
-                    if e == 2:  # first letter of a swap read
-                        if word[i] == c:
-                            reached.add((i + 2, 1))
-                        continue
-                    if i < n and word[i] == c:
-                        reached.add((i + 1, e))
-                        if e == 0:
-                            reached.add((i + 2, 1))
-                    elif e == 0:
-                        reached.add((i, 1))
-                        if i < n:
-                            reached.add((i + 1, 1))
-                        if i + 1 < n and word[i + 1] == c:
-                            reached.add((i + 2, 1)), reached.add((i, 2))
-                    if e == 0 and i < n and word[i] == c:
-                        reached.add((i, 1))
-                reached = frozenset((i, e) for i, e in reached if i <= n)
-                if reached:
-                    stack.append((child, reached, depth + 1))
-        return best
+        n, children = len(word), self.children
+        found = self._short_swaps(word)
+        if found and word[: LEAST_FUZZY - 1] + "*" in usual:
+            found = []
+        node, at = 0, 0
+        while True:
+            # states without an edit: a letter may lack at the end; what ends here needs none of the word's rest
+            if at >= n - 1:
+                self._ends(node, n, n, word, usual, found)
+            elif self.stem[node] >= 0:
+                self._ends(node, at, n, word, usual, found)
+            # an edit that ends a term: a letter of the term lacks in the word, or another stands for it
+            for child in self.below[node]:
+                self._ends(child, at, n, word, usual, found)
+                if at < n:
+                    self._ends(child, at + 1, n, word, usual, found)
+            if at < n:
+                c, skip = word[at], self.skip[node]
+                for past in skip.get(c, ()):
+                    self._follow(past, at + 1, n, word, usual, found)
+                after = children[node].get(word[at + 1], -1) if at + 1 < n else -1
+                if at + 1 < n:
+                    for past in skip.get(word[at + 1], ()):
+                        self._follow(past, at + 2, n, word, usual, found)
+                    if after >= 0:
+                        self._follow(after, at + 2, n, word, usual, found)  # a letter too many
+                        swapped = children[after].get(c, -1)
+                        if swapped >= 0:
+                            self._follow(swapped, at + 2, n, word, usual, found)
+                node = children[node].get(c, -1)
+                at += 1
+                if node >= 0:
+                    continue
+            return min(found, default=-1)
+
+    def _follow(self, node: int, at: int, n: int, word: str, usual: frozenset[str], found: list[int]) -> None:
+        """The rest of the word after its one edit."""
+        children = self.children
+        while node >= 0:
+            if self.word[node] >= 0 or self.stem[node] >= 0:
+                self._ends(node, at, n, word, usual, found)
+            if at >= n:
+                return
+            node = children[node].get(word[at], -1)
+            at += 1
+
+    def _ends(self, node: int, at: int, n: int, word: str, usual: frozenset[str], found: list[int]) -> None:
+        """Note the term of a node, if ``at`` letters of the word are enough for it."""
+        depth = self.depth[node]
+        if depth >= LEAST_FUZZY:
+            if at == n and self.word[node] >= 0:
+                found.append(self.word[node])
+            if self.stem[node] >= 0 and word[:depth] + "*" not in usual:
+                found.append(self.stem[node])
 
     def _short_swaps(self, word: str) -> list[int]:
         """Short terms that the word is, or short stems that it starts with, after a swap of neighbours."""
         found = [self.swapped.get(word, -1), *(self.stem_swapped.get(word[:k], -1) for k in self.short_sizes)]
         return [x for x in found if x >= 0]
 
-    def may_be_near(self, word: str) -> bool:
-        """A term within one edit keeps its first half at the start or its second half at the end, or is swapped where they meet.
-
-        A stem keeps its second half at its place or one letter before or behind.
-        """
-        n = len(word)
-        if self._short_swaps(word):
-            return True
-        if n < LEAST_FUZZY - 1:
-            return False
-        if word in self.seams or any(word[:k] in self.heads or word[n - k :] in self.middles for k in self.halves if k <= n):
-            return True
-        if any(word[:k] in self.stem_seams for k in self.stem_sizes):
-            return True
-        return any(word[at : at + size] in tails for (half, size), tails in self.stem_tails.items() for at in (half - 1, half, half + 1))
-
-    @property
-    def halves(self) -> list[int]:
-        if not hasattr(self, "_halves"):
-            self._halves = sorted({len(x) for x in self.heads | self.middles})
-        return self._halves
-
 
 def clean_word(chunk: str) -> str:
     """Lower-case word without marks at its ends, with signs inside it read as letters."""
@@ -169,6 +177,16 @@ def clean_word(chunk: str) -> str:
     return word
 
 
+class CleanWords(dict):
+    """lower-case chunk -> clean word."""
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) > MOST_KEPT:
+            self.clear()
+        word = self[chunk] = clean_word(chunk)
+        return word
+
+
 class Matcher(dict):
     """lower-case chunk -> 0 (no term), term number + 1, or minus that for a misspelled one."""
 
@@ -184,7 +202,7 @@ class Matcher(dict):
             term = self.trie.exact(word)
             if term >= 0:
                 out = term + 1
-            elif word not in self.usual and self.trie.may_be_near(word):
+            elif word not in self.usual:
                 term = self.trie.near(word, self.usual)
                 out = -(term + 1) if term >= 0 else 0
         self[chunk] = out
@@ -231,22 +249,33 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        clean = CleanWords()
+        # (documents that hold the term, its uses), by class
+        held, uses = (Counter(), Counter()), (Counter(), Counter())
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for toxic in (0, 1):
+                if uses[toxic]:
+                    yield pd.DataFrame({"term": list(uses[toxic]), "toxic": toxic, "n": [held[toxic][t] for t in uses[toxic]], "uses": list(uses[toxic].values())})
+                held[toxic].clear(), uses[toxic].clear()
+
         for pdf in batches:
-            held, uses = (Counter(), Counter()), (Counter(), Counter())
             for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                words = Counter(clean_word(c) for c in text.lower().split())
+                words: Counter = Counter()
+                for chunk, n in Counter(text.lower().split()).items():
+                    words[clean[chunk]] += n
                 words.pop("", None)
                 uses[int(toxic)][""] += sum(words.values())
                 own: Counter = Counter(words)
                 for w, n in words.items():
                     for k in STEMS:
-                        if len(w) >= k:
-                            own[w[:k] + "*"] += n
+                        if len(w) < k:
+                            break
+                        own[w[:k] + "*"] += n
                 held[int(toxic)].update(own.keys()), uses[int(toxic)].update(own)
-            for toxic in (0, 1):
-                if not uses[toxic]:
-                    continue
-                yield pd.DataFrame({"term": list(uses[toxic]), "toxic": toxic, "n": [held[toxic][t] for t in uses[toxic]], "uses": list(uses[toxic].values())})
+                if len(uses[0]) + len(uses[1]) > MOST_COUNTED:
+                    yield from rows()
+        yield from rows()
 
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -310,16 +339,6 @@ def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
     return [r["word"] for r in sample.where("toxic = 0").select("text").mapInPandas(near, "word string").distinct().collect()]
 
 
-_KEPT: dict = {}
-
-
-def _matcher(terms: list[str], usual: list[str], key: str) -> Matcher:
-    if _KEPT.get("key") != key:
-        _KEPT.clear()
-        _KEPT.update(key=key, matcher=Matcher(terms, frozenset(usual)))
-    return _KEPT["matcher"]
-
-
 #: Terms, their weights, words that are no misspellings, weights of the counts.
 Model = tuple[list[str], list[float], list[str], list[float]]
 NOTHING: Model = ([], [], [], [])
@@ -327,11 +346,11 @@ NOTHING: Model = ([], [], [], [])
 
 def with_features(df: DataFrame, model: Model) -> DataFrame:
     """df(toxic, text) -> (toxic, f): the counts of each document."""
-    key, shared = uuid.uuid4().hex, df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, rates, usual, _ = shared.value
-        matcher = _matcher(terms, usual, key)
+        matcher = Matcher(terms, frozenset(usual))
         for pdf in batches:
             yield pdf[["toxic"]].assign(f=[features(t, matcher, rates) for t in pdf["text"]])
 
@@ -361,24 +380,27 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, keep) -> tuple[DataFr
     best = labels.where(F.col("toxic").isin(0, 1) & keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(best, "toxic", SAMPLE, ["doc_id"])
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    return texts.join(best, "doc_id"), texts.join(F.broadcast(chosen), "doc_id")  # two times SAMPLE rows
+    sample = texts.join(F.broadcast(chosen), "doc_id")  # two times SAMPLE ids
+    # one text an id, so that the rows that the driver fits on are bounded, too
+    return texts.join(best, "doc_id"), sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def score_documents(docs: DataFrame, model: Model, keep_below: float | None = None) -> DataFrame:
-    """docs(..., text) -> the other columns and score; or, with ``keep_below``, the rows that score less, whole."""
-    key, kept = uuid.uuid4().hex, [c for c in docs.columns if c != "text"]
+    """docs(..., text) -> the other columns and score (``score_`` beside one of that name); or, with ``keep_below``, the rows that score less, whole."""
+    kept = [c for c in docs.columns if c != "text"]
+    name = fresh(docs, "score")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms, rates, usual, weights = shared.value
-        matcher = _matcher(terms, usual, key)
+        matcher = Matcher(terms, frozenset(usual))
         for pdf in batches:
             f = np.array([features(t, matcher, rates) if t else [0.0] * FEATURES for t in pdf["text"]]).reshape(len(pdf), FEATURES)
             score = scores(f, weights) if weights else np.zeros(len(pdf))
-            yield pdf[kept].assign(score=score) if keep_below is None else pdf[score < keep_below]
+            yield pdf[kept].assign(**{name: score}) if keep_below is None else pdf[score < keep_below]
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text")
-    return docs.mapInPandas(measure, f"{fields}, score double" if keep_below is None else docs.schema)
+    return docs.mapInPandas(measure, f"{fields}, `{name}` double" if keep_below is None else docs.schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

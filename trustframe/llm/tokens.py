@@ -2,17 +2,18 @@
 
 Documents are range-partitioned by id and encoded; a shard is a run of whole documents. Its file holds the ids that
 occur, the documents' first positions and one bit plane per bit of an id's place among them, most significant first;
-each plane is a stable partition of the one before (zeros first). Counts of ones at every 512th bit give rank, and with
+each plane is a stable partition of the one before (zeros first), and the counts of ones at every 512th bit of each. They give rank, and with
 it access to a single token, counting of an id in a range and the place of its n-th occurrence, without unpacking.
 
 Files are written and read by Spark (a file is one raw record), so any file system that Spark knows will do.
 
-Defined cases: a NULL text is empty and has only the end id; NULL ids come first, equal ids are ordered by text; a
+Defined cases: a NULL text is empty and has only the end id; NULL ids come first, equal ids are ordered by a digest of the text; a
 document lies in one shard whatever its length; an empty table gives no file and no row.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -26,24 +27,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustframe.session import checkpoint_root, load_table
+from trustframe.session import checkpoint_root, cut_lineage, load_table
 
 END = 2
 #: Ids of a shard, about; a shard ends with the document that reaches it.
 SHARD_TOKENS = 1 << 21
 #: Bits between two counts of ones.
 STEP = 512
-MAGIC = b"WVM1"
-#: Words whose ids a worker keeps; beyond them it starts anew.
-MOST_KEPT = 200_000
+MAGIC = b"WVM2"
+#: Words whose ids a partition keeps; beyond them it starts anew.
+MOST_KEPT = 150_000
 
 
 class WaveletMatrix:
     """One shard in memory: planes, counts and the documents' first positions."""
 
-    def __init__(self, symbols: np.ndarray, starts: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, planes: list[np.ndarray], size: int):
+    def __init__(self, symbols: np.ndarray, starts: np.ndarray, doc_ids: np.ndarray, known: np.ndarray, planes: list[np.ndarray], size: int,
+                 counts: list[np.ndarray] | None = None):
         self.symbols, self.starts, self.doc_ids, self.known, self.planes, self.size = symbols, starts, doc_ids, known, planes, size
-        self.counts = [ones_before(p) for p in planes]
+        self.counts = [ones_before(p) for p in planes] if counts is None else counts
         self.zeros = [size - int(rank_one(p, c, size)) for p, c in zip(planes, self.counts, strict=True)]
 
     @classmethod
@@ -62,7 +64,7 @@ class WaveletMatrix:
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<4sQQQI", MAGIC, self.size, len(self.starts), len(self.symbols), len(self.planes))
-        parts = [self.starts.astype("<i8"), self.doc_ids.astype("<i8"), np.packbits(self.known, bitorder="little"), self.symbols.astype("<u4"), *self.planes]
+        parts = [self.starts.astype("<i8"), self.doc_ids.astype("<i8"), np.packbits(self.known, bitorder="little"), self.symbols.astype("<u4"), *self.planes, *[c.astype("<u8") for c in self.counts]]
         return head + b"".join(p.tobytes() for p in parts)
 
     @classmethod
@@ -81,7 +83,8 @@ class WaveletMatrix:
         starts, doc_ids, known = take("<i8", docs), take("<i8", docs), take("u1", -(-docs // 8))
         known = np.unpackbits(known, bitorder="little")[:docs].astype(bool)
         names = take("<u4", symbols)
-        return cls(names, starts, doc_ids, known, [take("u1", -(-size // 8)) for _ in range(planes)], size)
+        own = [take("u1", -(-size // 8)) for _ in range(planes)]
+        return cls(names, starts, doc_ids, known, own, size, [take("<u8", -(-(-(-size // 8)) // (STEP // 8)) + 1) for _ in own])
 
     def decode(self) -> np.ndarray:
         """All ids in order: from the lowest plane upwards, each plane undoes its partition."""
@@ -143,7 +146,7 @@ def ones_before(plane: np.ndarray) -> np.ndarray:
     ones = _POPCOUNT[plane]
     if len(ones) % (STEP // 8):
         ones = np.concatenate([ones, np.zeros(-len(ones) % (STEP // 8), np.uint8)])
-    return np.concatenate([[0], np.cumsum(ones.reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))])
+    return np.concatenate([np.zeros(1, np.int64), np.cumsum(ones.reshape(-1, STEP // 8).sum(axis=1, dtype=np.int64))])
 
 
 def rank_one(plane: np.ndarray, counts: np.ndarray, at: int) -> int:
@@ -166,68 +169,66 @@ def select_bit(plane: np.ndarray, counts: np.ndarray, size: int, n: int, one: in
     return low
 
 
+#: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
+_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+)*")
+
+
+@functools.lru_cache(maxsize=1)
+def _tokenizer(path: str):
+    """The tokenizer and every id packed: of fixed size, so a worker keeps them."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    own = Tokenizer.from_file(path)
+    # the letter that stands for a byte in the vocabulary
+    letters = {}
+    for c in map(chr, range(192, 256)):
+        if c not in "×÷":
+            (piece, _), = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)
+            letters[ord(c)] = piece
+    return own, [struct.pack("<I", i) for i in range(max(own.get_vocab().values()) + 1)], letters
+
+
 class _Encoder:
-    """Ids of texts, kept by run of text between blanks and by word, as little-endian bytes.
+    """Ids of texts, kept for a partition by run of text between blanks and by word, as little-endian bytes.
 
     The tokenizer never joins across blanks, nor a run of letters with a run of other signs, so a text's ids are those
-    of its parts. Plain parts are encoded many at once, parted by blanks, and cut after each id that ends a word.
+    of its parts. New plain parts go straight to the tokenizer's model, other runs through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.tokenizer, self.packed, self.letters = _tokenizer(path)
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 200):
-            own = words[at : at + 200]
-            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(own) and cuts[-1] == len(ids):
-                data, begin = ids.tobytes(), 0
-                for word, end in zip(own, (4 * cuts).tolist(), strict=True):
-                    self.words[word] = data[begin:end]
-                    begin = end
-            else:
-                self.words.update((w, self._one(w)) for w in own)
+        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         for kept in (self.runs, self.words):
             if len(kept) > MOST_KEPT:
                 kept.clear()
-        new = {c for chunks in split for c in chunks if c not in self.runs}
-        parts = {c: _PARTS.findall(c.lower()) for c in new if _PLAIN.fullmatch(c)}
-        self._learn_words(list({w for own in parts.values() for w in own if w not in self.words}))
-        for chunk in new:
-            own = parts.get(chunk)
-            self.runs[chunk] = self._one(chunk) if own is None else b"".join([self.words[w] for w in own])
+        words, packed, tokens, letters = self.words, self.packed, self.tokenizer.model.tokenize, self.letters
+        for chunk in set().union(*split).difference(self.runs):
+            if not _PLAIN.fullmatch(chunk):
+                self.runs[chunk] = self._one(chunk)
+                continue
+            parts = _PARTS.findall(chunk.lower())
+            for word in parts:
+                if word not in words:
+                    words[word] = b"".join([packed[t.id] for t in tokens(word if word.isascii() else word.translate(letters))])
+            self.runs[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
         get = self.runs.__getitem__
         return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
 
 
-#: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+)*")
-_ENCODERS: dict[str, _Encoder] = {}
-
-
 def write_wavelet_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """docs(doc_id, text) -> files of shards in ascending doc_id order; names of records hold their order."""
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = _Encoder(tokenizer)
-        encoder = _ENCODERS[tokenizer]
+        encoder = _Encoder(tokenizer)
         partition, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
@@ -287,7 +288,7 @@ def op6_wavelet_tokens(spark: SparkSession, sf_dir: str, tokenizer: str | None =
 
     path = f"{checkpoint_root(spark)}/wavelet-{uuid.uuid4().hex}"
     write_wavelet_shards(load_table(spark, sf_dir, "documents"), tokenizer or public_tokenizers.path("word_bpe_49k.json"), path)
-    read = read_wavelet_shards(spark, path)
+    read = cut_lineage(read_wavelet_shards(spark, path))  # files are decoded once
     sums = read.groupBy("part", "number").agg(F.sum("n_tokens").alias("n"))
     parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range partition

@@ -56,7 +56,7 @@ def test_odd_and_empty_tables(spark, folder, name, kind):
 
 def test_oracles(spark, small):
     con = duckdb.connect()
-    for table in ("embeddings", "conversations"):
+    for table in ("embeddings", "conversations", "documents"):
         con.execute(f"create view {table} as select * from '{small}/{table}.parquet'")
     for name, sql in SQL.items():
         cur = con.execute(sql)

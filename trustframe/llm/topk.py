@@ -78,6 +78,15 @@ class Subtree:
         self.routes = np.array([picked[parents[p[0]]] for p in self.pages])
         self.parent_distance = gap
         self.radius = np.array([gap[p].max() for p in self.pages])
+        self.page_sizes = np.array([len(p) for p in self.pages])
+        self.most = float(np.abs(rows).max(initial=0)) * rows.shape[1]
+        self.floats = rows.astype(np.float64)
+
+    def products_with(self, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Whole-number products of some stored vectors with one; in floating point where that is exact."""
+        if self.most * float(np.abs(row).max(initial=0)) < 2**52:
+            return (self.floats[at] @ row.astype(np.float64)).astype(np.int64)
+        return self.rows[at] @ row
 
     def between(self, at: int) -> np.ndarray:
         """Distances of all stored vectors to one of them."""
@@ -86,18 +95,29 @@ class Subtree:
         return np.sqrt(np.maximum(squared, 0.0))
 
     def search(self, query_id: int, norm: int, to_routes: np.ndarray, row: np.ndarray, bound: float, k: int) -> list[tuple[int, int]]:
-        """The k best (score, -vec_id) within ``bound``; pages in order of their lower bound."""
+        """The k best (score, -vec_id) within ``bound``; blocks of pages in order of their lower bound."""
         best: list[tuple[int, int]] = []
         lower = to_routes - self.radius
         base = norm + self.top
-        for at in np.argsort(lower, kind="stable").tolist():
-            if lower[at] > bound * (1 + SLACK) + SLACK:
+        order = np.argsort(lower, kind="stable")
+        begin, step = 0, 1
+        while begin < len(order):
+            limit = bound * (1 + SLACK) + SLACK
+            pages = order[begin : begin + step]
+            pages = pages[lower[pages] <= limit]
+            if not len(pages):
                 break
-            page = self.pages[at]
-            near = page[np.abs(to_routes[at] - self.parent_distance[page]) <= bound * (1 + SLACK) + SLACK]
+            # a page alone first, then twice as many at a time: the bound is tight soon, and blocks are cheaper than pages
+            begin, step = begin + step, 2 * step
+            held = np.concatenate([self.pages[p] for p in pages.tolist()])
+            ahead = np.repeat(to_routes[pages], self.page_sizes[pages])
+            near = held[np.abs(ahead - self.parent_distance[held]) <= limit]
             if not len(near):
                 continue
-            scores = products(self.rows[near], row[None])[:, 0]
+            scores = self.products_with(near, row)
+            if len(best) == k:
+                good = scores >= best[0][0]
+                scores, near = scores[good], near[good]
             for score, vec in zip(scores.tolist(), self.ids[near].tolist(), strict=True):
                 if vec != query_id:
                     entry = (score, -vec)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +44,38 @@ def bounded_sample(df: DataFrame, by: str, per_class: int, identity: Iterable[st
     counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
     unit = F.pmod(F.xxhash64(*[F.col(c) for c in identity], F.lit(20240229)), F.lit(1 << 30)) / float(1 << 30)
     return df.join(counts, by).where(unit < F.lit(float(per_class)) / F.col("__n")).drop("__n")
+
+
+#: Bits of a table of hashes; fixed, so it is broadcast whatever the input is.
+BITS = 23
+
+
+def flags_of(keys: DataFrame, column: str) -> np.ndarray:
+    """Bit table by the leading bits of a hash; the driver gets one number per 32 bits at most."""
+    slots = keys.select(F.shiftrightunsigned(column, 64 - BITS).alias("slot"))
+    rows = slots.groupBy(F.expr("shiftright(slot, 5)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).collect()
+    words = np.zeros(1 << (BITS - 5), np.uint32)
+    for r in rows:
+        words[r["at"]] = r["bits"]
+    return words.view(np.uint8)
+
+
+def read_flags(table: np.ndarray) -> np.ndarray:
+    return np.unpackbits(table, bitorder="little").astype(bool)
+
+
+def may_hold(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """Rows whose hash ``key`` may be among ``wanted`` (one column h): none that is gets lost, some others stay.
+
+    It thins a side of an equi join before its shuffle. The table has a fixed size; with far more keys than it has bits, all
+    rows stay and the join is a plain one.
+    """
+    table = df.sparkSession.sparkContext.broadcast(flags_of(wanted, "h"))
+
+    @F.pandas_udf("boolean")
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        flags = read_flags(table.value)
+        for h in batches:
+            yield pd.Series(flags[h.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)])
+
+    return df.where(known(key))

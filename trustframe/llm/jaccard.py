@@ -5,6 +5,9 @@ global order of tokens, sets whose Jaccard similarity reaches the threshold t sh
 first n - ceil(t n) + k. The order puts rare tokens first:
 
 * a set whose prefix (k = 1) holds rare tokens only is indexed by those single tokens;
+* the sets that lack such tokens count their other tokens among themselves; those that few of them hold come next in the
+  order, and a set whose prefix they fill is indexed by single tokens, too. Texts with a passage that many others hold
+  are told apart by what is their own;
 * any other set extends its prefix to k = G + 1 and is indexed by its rare tokens and by pairs of its other tokens
   that fall in the same of G groups; G + 1 shared tokens put two in one group. G grows with the size of a set, so the
   pairs stay linear in it.
@@ -15,7 +18,7 @@ meets as many others as it has keys; at last every set outside a key's largest c
 of thousands of near copies costs a few comparisons per copy. Candidates are pruned by the overlap of their stored low
 hashes, which is exact, and verified on all tokens.
 
-Rare means: among the tokens with a low hash, one that few sets hold, counted over all documents. The classes of tokens
+Low tokens, those with a low hash, are counted over all documents. The classes of tokens
 only steer the order; a mistake there (the table of frequent tokens has a fixed size) costs time, not links.
 
 Defined cases: a NULL or blank text has no n-gram, size 0, and is linked with nothing; fewer words than n are one
@@ -24,24 +27,24 @@ sequence; repeated rows have the same component; a component without any doc_id
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import WORD, fresh
+from trustframe.llm.common import BITS, WORD, flags_of, fresh, read_flags
 from trustframe.session import cut_lineage, load_table, release
 
 #: Sets that hold a token, up to which it is rare.
 RARE = 24
 #: Sets up to this size keep all tokens in the table of sets; larger ones their low hashes.
 SMALL = 128
-#: Bits of the tables of frequent tokens and of wanted texts; fixed, so they are broadcast whatever the input is.
-BITS = 23
-MOST_KEPT = 400_000
+#: Words whose hashes a partition keeps; beyond them it starts anew.
+MOST_KEPT = 200_000
 #: UTF-8 bytes with A to Z in lower case; bytes.split() then parts at the six separators only.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FACTORS = (np.random.default_rng(9).integers(1, 1 << 62, size=64, dtype=np.int64) * 2 + 1).astype(np.uint64)
@@ -55,21 +58,18 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def mix_bits(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of a text's word n-grams."""
+def shingles(text: str | None, width: int, known: _Words) -> np.ndarray:
+    """Sorted distinct hashes of a text's word n-grams; ``known`` keeps the hashes of words for a partition."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     n = len(words) - width + 1
     total = np.full(n, width, np.uint64)
@@ -88,19 +88,27 @@ def low_limit(percent: int) -> np.uint64:
     return np.uint64(int(min(1.0, 1.6 * (1 - percent / 100) + 0.06) * (2**64 - 1)))
 
 
-def index_keys(tokens: np.ndarray, whole: bool, percent: int, frequent: np.ndarray) -> np.ndarray | None:
-    """Index keys of a set from all its tokens, or (not ``whole``) from its low ones; None: all are needed."""
-    n = tokens[1] if isinstance(tokens, tuple) else len(tokens)
-    tokens = tokens[0] if isinstance(tokens, tuple) else tokens
+def rare_keys(tokens: np.ndarray, n: int, percent: int, frequent: np.ndarray) -> np.ndarray | None:
+    """Index keys of a set of n tokens from its low ones, if the rare ones among them fill its prefix; None: they do not."""
     least = needed(n, percent)
     if least == n and 100 * n // percent == n:
         return np.empty(0, np.uint64)  # only an equal set is similar
     rare = tokens[(tokens < low_limit(percent)) & ~frequent[tokens >> np.uint64(64 - BITS)]]
+    return rare[: n - least + 1] if len(rare) > n - least else None
+
+
+def all_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray, frequent_here: np.ndarray) -> np.ndarray:
+    """Index keys of a set from all its tokens: rare ones alone, then pairs of the others.
+
+    Rare are low tokens that few sets hold and, behind them in the order, other tokens that few of the sets indexed here hold.
+    """
+    n, low = len(tokens), low_limit(percent)
+    least, slot = needed(n, percent), tokens >> np.uint64(64 - BITS)
+    first, second = (tokens < low) & ~frequent[slot], (tokens >= low) & ~frequent_here[slot]
+    rare = np.concatenate([tokens[first], tokens[second]])
     if len(rare) > n - least:
         return rare[: n - least + 1]
-    if not whole:
-        return None
-    other = np.setdiff1d(tokens, rare, assume_unique=True)
+    other = tokens[~(first | second)]
     keys = [rare]
     smallest, largest = max(1, least), 100 * n // percent
     for level in range(smallest.bit_length() - 1, largest.bit_length()):
@@ -120,20 +128,6 @@ def index_keys(tokens: np.ndarray, whole: bool, percent: int, frequent: np.ndarr
     return np.unique(np.concatenate(keys))
 
 
-def flags_of(keys: DataFrame, column: str) -> np.ndarray:
-    """Bit table by the leading bits of a hash; the driver gets one number per 32 bits at most."""
-    slots = keys.select(F.shiftrightunsigned(column, 64 - BITS).alias("slot"))
-    rows = slots.groupBy(F.expr("shiftright(slot, 5)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 32 as int)))").alias("bits")).collect()
-    words = np.zeros(1 << (BITS - 5), np.uint32)
-    for r in rows:
-        words[r["at"]] = r["bits"]
-    return words.view(np.uint8)
-
-
-def read_flags(table: np.ndarray) -> np.ndarray:
-    return np.unpackbits(table, bitorder="little").astype(bool)
-
-
 def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
@@ -143,10 +137,11 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     limit = low_limit(percent)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Words()
         for pdf in batches:
             texts = pdf["text"].tolist()
             for at in range(0, len(texts), 1000):
-                made = [shingles(t, width) for t in texts[at : at + 1000]]
+                made = [shingles(t, width, known) for t in texts[at : at + 1000]]
                 digest = np.array([xxhash.xxh3_128_digest(s.tobytes()) for s in made], "S16")
                 pairs = np.frombuffer(b"".join(d.ljust(16, b"\0") for d in digest.tolist()), np.int64).reshape(-1, 2)
                 sizes = np.array([len(s) for s in made], np.int64)
@@ -164,29 +159,29 @@ def tokens_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     wanted = spark.sparkContext.broadcast(flags_of(keys.select(F.xxhash64("text_key").alias("h")), "h"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = read_flags(wanted.value)
+        flags, known = read_flags(wanted.value), _Words()
         for pdf in batches:
             hashes = pdf["h"].to_numpy(np.int64).view(np.uint64)
             pdf = pdf[flags[hashes >> np.uint64(64 - BITS)]].drop_duplicates("text_key")
             for at in range(0, len(pdf), 1000):
                 own = pdf.iloc[at : at + 1000]
-                yield pd.DataFrame({"text_key": own["text_key"], "tokens": [_signed(shingles(t, width)) for t in own["text"]]})
+                yield pd.DataFrame({"text_key": own["text_key"], "tokens": [_signed(shingles(t, width, known)) for t in own["text"]]})
 
     made = docs.where(F.col("text").isNotNull()).select("text_key", F.xxhash64("text_key").alias("h"), "text").mapInPandas(measure, "text_key string, tokens array<long>")
     return made.join(keys, "text_key", "left_semi").groupBy("text_key").agg(F.first("tokens").alias("tokens"))
 
 
-def postings(sets: DataFrame, percent: int, table) -> DataFrame:
-    """sets(sid, n, whole, tokens) -> (key, sid, n); key NULL: the set needs all its tokens."""
+def _index(sets: DataFrame, keys_of: Callable[[], Callable[[np.ndarray, int], np.ndarray | None]]) -> DataFrame:
+    """sets(sid, n, tokens) -> (key, sid, n); key NULL: the set needs all its tokens. ``keys_of`` is called once a partition."""
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frequent = read_flags(table.value)
+        keys_for = keys_of()
         for pdf in batches:
             for at in range(0, len(pdf), 1000):
                 own = pdf.iloc[at : at + 1000]
                 keys, sids, sizes, lacking = [], [], [], []
-                for sid, n, whole, tokens in zip(own["sid"].tolist(), own["n"].tolist(), own["whole"].tolist(), own["tokens"], strict=True):
-                    made = index_keys((np.sort(np.asarray(tokens, np.int64).view(np.uint64)), n), whole, percent, frequent)
+                for sid, n, tokens in zip(own["sid"].tolist(), own["n"].tolist(), own["tokens"], strict=True):
+                    made = keys_for(np.sort(np.asarray(tokens, np.int64).view(np.uint64)), n)
                     if made is None:
                         lacking.append((sid, n))
                     else:
@@ -196,7 +191,27 @@ def postings(sets: DataFrame, percent: int, table) -> DataFrame:
                 if lacking:
                     yield pd.DataFrame({"key": pd.array([pd.NA] * len(lacking), "Int64"), "sid": [s for s, _ in lacking], "n": [n for _, n in lacking]})
 
-    return sets.select("sid", "n", "whole", "tokens").mapInPandas(index, "key long, sid long, n long")
+    return sets.select("sid", "n", "tokens").mapInPandas(index, "key long, sid long, n long")
+
+
+def rare_postings(sets: DataFrame, percent: int, table) -> DataFrame:
+    """Postings of the sets whose rare low tokens fill their prefix."""
+
+    def keys_of() -> Callable[[np.ndarray, int], np.ndarray | None]:
+        frequent = read_flags(table.value)
+        return lambda tokens, n: rare_keys(tokens, n, percent, frequent)
+
+    return _index(sets, keys_of)
+
+
+def all_postings(sets: DataFrame, percent: int, table, table_here) -> DataFrame:
+    """Postings of sets(sid, n, tokens) with all their tokens."""
+
+    def keys_of() -> Callable[[np.ndarray, int], np.ndarray]:
+        frequent, frequent_here = read_flags(table.value), read_flags(table_here.value)
+        return lambda tokens, n: all_keys(tokens, percent, frequent, frequent_here)
+
+    return _index(sets, keys_of)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,24 +279,30 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     wide, signed = signed, cut_lineage(signed.select("doc_id", "text_key", "n", "d1", "d2"))
     release(wide)
     limit = F.lit(int(low_limit(percent)) - (1 << 63))
-    counted = sets.select(F.explode("tokens").alias("t")).where(F.col("t").bitwiseXOR(F.lit(-(1 << 63))) < limit)
-    often = counted.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
-    table = spark.sparkContext.broadcast(flags_of(often, "t"))
-    first = cut_lineage(postings(sets, percent, table))
-    lacking = cut_lineage(first.where("key is null").select("sid").join(sets.select("sid", "n", "text_key"), "sid"))
+    is_low = F.col("t").bitwiseXOR(F.lit(-(1 << 63))) < limit
+
+    def often(tokens: DataFrame) -> Broadcast:
+        held = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > RARE)
+        return spark.sparkContext.broadcast(flags_of(held, "t"))
+
+    table = often(sets.select(F.explode("tokens").alias("t")).where(is_low))
+    first = cut_lineage(rare_postings(sets, percent, table))
+    lacking = cut_lineage(first.where("key is null").select("sid").join(sets.select("sid", "n", "text_key", "whole", F.when(F.col("whole"), F.col("tokens")).alias("own")), "sid"))
     index = first.where("key is not null")
+    more = full = None
     if not lacking.isEmpty():
-        full = tokens_of(docs, lacking.select("text_key").distinct(), width).join(lacking, "text_key").select("sid", "n", F.lit(True).alias("whole"), "tokens")
-        more = cut_lineage(postings(full, percent, table))
+        read = tokens_of(docs, lacking.where("not whole").select("text_key").distinct(), width).join(lacking.where("not whole"), "text_key")
+        full = cut_lineage(read.select("sid", "n", "tokens").union(lacking.where("whole").select("sid", "n", F.col("own").alias("tokens"))))
+        # only these sets are indexed by other than low tokens, so rare among them will do
+        table_here = often(full.select(F.explode("tokens").alias("t")).where(~is_low))
+        more = cut_lineage(all_postings(full, percent, table, table_here))
         index = index.union(more)
-    else:
-        more = None
     several = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     shared = cut_lineage(index.join(several, "key", "left_semi"))
     # only sets that share a key are compared
     held = cut_lineage(sets.join(shared.select("sid").distinct(), "sid", "left_semi"))
     wide, sets = sets, cut_lineage(sets.select("sid", "d1", "d2", "rep"))
-    release(first, more, lacking, wide)
+    release(first, more, full, lacking, wide)
     check = Verifier(docs, held, width, percent)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     links = tested = roots = None
@@ -343,8 +364,10 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     flags = docs.sparkSession.sparkContext.broadcast(flags_of(groups.select(F.xxhash64("text_key").alias("h")), "h"))
 
     @F.pandas_udf("boolean")
-    def in_group(h: pd.Series) -> pd.Series:
-        return pd.Series(read_flags(flags.value)[h.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)])
+    def in_group(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = read_flags(flags.value)
+        for h in batches:
+            yield pd.Series(table[h.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITS)])
 
     keyed = docs.withColumn(key, F.md5("text")).withColumn(may_go, in_group(F.xxhash64(key)) & F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
     stay = best.select(F.col("b.doc_id").alias(own), F.col("b.text_key").alias(own_key))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import bounded_sample, fresh, remainder
+from trustframe.llm.common import bounded_sample, fresh, may_hold, remainder
 from trustframe.session import cut_lineage, load_table
 
 #: Labelled rows of either class that the weights of the counts are fitted on.
@@ -42,8 +42,6 @@ LEAST_FUZZY = 5
 CONTEXT = 6
 #: Words that a partition keeps; beyond them it starts anew.
 MOST_KEPT = 200_000
-#: Terms whose counts a task adds up before it hands them on.
-MOST_COUNTED = 400_000
 THRESHOLD = 0.3
 # fixed values: characters read as letters inside words, marks that open or close a quotation, words of reporting
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -82,6 +80,7 @@ class Trie:
                     if text[k] != text[k + 1]:
                         (self.stem_swapped if stem else self.swapped).setdefault(text[:k] + text[k + 1] + text[k] + text[k + 2 :], i)
         self.short_sizes = sorted({len(x) for x in self.stem_swapped})
+        self.starts: dict[str, bool] = {}
         self.skip: list[dict[str, list[int]]] = []
         self.below: list[list[int]] = []
         for own in self.children:
@@ -103,6 +102,42 @@ class Trie:
                 return self.stem[at]
         return self.word[at]
 
+    def may_follow(self, start: str) -> bool:
+        """Whether a word of four letters or more with this start of four can be or begin a term, or be near one.
+
+        The states that are left after the start: the word's own path short of its last letter, where any edit may come, or a
+        path behind an edit that reads the whole start or a stem. Terms found by edits have five letters, so none ends before.
+        """
+        kept = self.starts
+        if start not in kept:
+            if len(kept) > MOST_KEPT:
+                kept.clear()
+            kept[start] = self._reaches(start)
+        return kept[start]
+
+    def _reaches(self, start: str) -> bool:
+        children, node, last = self.children, 0, len(start) - 1
+
+        def reads(at_node: int, at: int) -> bool:
+            while at_node >= 0 and at <= last:
+                if self.stem[at_node] >= 0:
+                    return True
+                at_node = children[at_node].get(start[at], -1)
+                at += 1
+            return at_node >= 0
+
+        for at in range(last):
+            c, d, skip = start[at], start[at + 1], self.skip[node]
+            after = children[node].get(d, -1)
+            if any(reads(x, at + 1) for x in skip.get(c, ())) or any(reads(x, at + 2) for x in skip.get(d, ())) or reads(after, at + 2):
+                return True
+            if after >= 0 and reads(children[after].get(c, -1), at + 2):
+                return True
+            node = children[node].get(c, -1)
+            if node < 0 or self.stem[node] >= 0:
+                return node >= 0
+        return True
+
     def near(self, word: str, usual: frozenset[str] = frozenset()) -> int:
         """Term within one edit; the smallest number wins.
 
@@ -198,7 +233,7 @@ class Matcher(dict):
         if len(self) > MOST_KEPT:
             self.clear()
         word, out = clean_word(chunk), 0
-        if word:
+        if word and (len(word) < 4 or self.trie.may_follow(word[:4])):
             term = self.trie.exact(word)
             if term >= 0:
                 out = term + 1
@@ -248,42 +283,44 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
     admitted by a binomial tail (Chernoff bound), corrected for the number of terms.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(word, toxic, n, shared): distinct words of each document in order, with the letters shared with the one before."""
         clean = CleanWords()
-        # (documents that hold the term, its uses), by class
-        held, uses = (Counter(), Counter()), (Counter(), Counter())
-
-        def rows() -> Iterator[pd.DataFrame]:
-            for toxic in (0, 1):
-                if uses[toxic]:
-                    yield pd.DataFrame({"term": list(uses[toxic]), "toxic": toxic, "n": [held[toxic][t] for t in uses[toxic]], "uses": list(uses[toxic].values())})
-                held[toxic].clear(), uses[toxic].clear()
-
         for pdf in batches:
-            for text, toxic in zip(pdf["text"], pdf["toxic"], strict=True):
-                words: Counter = Counter()
-                for chunk, n in Counter(text.lower().split()).items():
-                    words[clean[chunk]] += n
-                words.pop("", None)
-                uses[int(toxic)][""] += sum(words.values())
-                own: Counter = Counter(words)
-                for w, n in words.items():
-                    for k in STEMS:
-                        if len(w) < k:
-                            break
-                        own[w[:k] + "*"] += n
-                held[int(toxic)].update(own.keys()), uses[int(toxic)].update(own)
-                if len(uses[0]) + len(uses[1]) > MOST_COUNTED:
-                    yield from rows()
-        yield from rows()
+            for begin in range(0, len(pdf), 200):
+                part = pdf.iloc[begin : begin + 200]
+                found: tuple[list, list, list, list] = ([], [], [], [])
+                for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                    own: Counter = Counter()
+                    for chunk, n in Counter(text.lower().split()).items():
+                        own[clean[chunk]] += n
+                    own.pop("", None)
+                    last = ""
+                    found[0].append(""), found[1].append(toxic), found[2].append(sum(own.values())), found[3].append(0)
+                    for word in sorted(own):
+                        shared = 0
+                        for x, y in zip(word, last):
+                            if x != y or shared == STEMS[-1]:
+                                break
+                            shared += 1
+                        found[0].append(word), found[1].append(toxic), found[2].append(own[word]), found[3].append(shared)
+                        last = word
+                yield pd.DataFrame(dict(zip(("word", "toxic", "n", "shared"), found, strict=True)))
 
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return [], []
     of = lambda c, label: F.sum(F.when(F.col("toxic") == label, F.col(c)).otherwise(0))
-    counts = cut_lineage(labelled.mapInPandas(count, "term string, toxic int, n long, uses long").groupBy("term").agg(
-        of("n", 1).alias("a"), of("n", 0).alias("b"), of("uses", 1).alias("ua"), of("uses", 0).alias("ub")).where(
+    # a stem is new to its document where the word before, in order, does not share it
+    used = labelled.select("text", "toxic").mapInPandas(words, "word string, toxic int, n long, shared int")
+    k = F.char_length("word")
+    stems = F.transform(
+        F.when(k >= STEMS[0], F.sequence(F.lit(STEMS[0]), F.least(k, F.lit(STEMS[-1])))).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.concat(F.substr("word", F.lit(1), i), F.lit("*")).alias("term"), (i > F.col("shared")).cast("int").alias("held")))
+    terms = used.select("toxic", "n", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("held"))), stems)).alias("t")).select("toxic", "n", "t.term", "t.held")
+    counts = cut_lineage(terms.groupBy("term").agg(
+        of("held", 1).alias("a"), of("held", 0).alias("b"), of("n", 1).alias("ua"), of("n", 0).alias("ub")).where(
         (F.col("term") == "") | (F.col("a") >= LEAST_DOCUMENTS)))
     share = (F.col("a") / bad) / (F.col("a") / bad + F.col("b") / good)
     part = lambda c, size: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (F.col("a") + F.col("b")) * ((bad + good) / size))).otherwise(0.0)
@@ -380,6 +417,7 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, keep) -> tuple[DataFr
     best = labels.where(F.col("toxic").isin(0, 1) & keep).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded_sample(best, "toxic", SAMPLE, ["doc_id"])
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    texts = may_hold(texts, F.xxhash64("doc_id"), best.select(F.xxhash64("doc_id").alias("h")))  # spares others the shuffle
     sample = texts.join(F.broadcast(chosen), "doc_id")  # two times SAMPLE ids
     # one text an id, so that the rows that the driver fits on are bounded, too
     return texts.join(best, "doc_id"), sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))

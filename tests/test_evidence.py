@@ -218,3 +218,30 @@ def test_trend_stream_late_rows_and_touched_keys(spark, tmp_path):
     assert {(r.request_key, r.observation_id, r.observed_at.minute) for r in trend.late_observations(spark, str(tmp_path / "state")).collect()} == {("a", "late", 15), ("b", "late2", 5)}
     third = spark.read.parquet(str(tmp_path / "state" / "batch=2")).filter("kind = 'state'").collect()
     assert [r.request_key for r in third] == ["a"]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_close_pairs_counted_by_cells(spark, seed):
+    import math
+
+    from trustframe.operators import entities
+
+    rnd = random.Random(seed)
+    spread = 0.004 if seed else 0.0008
+    rows = [(i, rnd.choice(["a", "a", "b", None]), rnd.choice(["", "x"]), round(-36.8 + rnd.random() * spread, 4 + seed), round(174.7 + rnd.random() * spread, 5)) for i in range(400)]
+
+    def metres(p, q):
+        a, b, c, d = map(math.radians, (p[3], p[4], q[3], q[4]))
+        return 2 * 6371000 * math.asin(math.sqrt(min(1, math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2)))
+
+    df = spark.createDataFrame(rows, "id int, name_key string, contact_key string, lat double, lng double")
+    assert entities.near_duplicate_count(df.filter("name_key is not null")).first().pairs == sum(
+        1 for i, p in enumerate(rows) for q in rows[:i] if p[1] and q[1] and (p[1] == q[1] or p[2] and p[2] == q[2]) and (p[3:] == q[3:] or metres(p, q) <= 200))
+
+
+def test_a_dense_cell_lists_one_row(spark):
+    from trustframe.operators import entities
+
+    df = spark.range(20_000).select(F.col("id"), F.lit("n").alias("name_key"), F.lit("").alias("contact_key"), (F.lit(-36.8) + F.col("id") * 1e-9).alias("lat"), F.lit(174.7).alias("lng"))
+    (row,) = entities.near_duplicate_cells(df).collect()
+    assert (row.first_id, row.second_id, row.pairs) == (0, None, 20_000 * 19_999 // 2)

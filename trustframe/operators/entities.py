@@ -90,14 +90,127 @@ def near_duplicates(df: DataFrame, radius_m: float = 200.0) -> DataFrame:
     return _site_pairs(sites, radius_m).unionByName(star)
 
 
-def near_duplicate_count(df: DataFrame, radius_m: float = 200.0) -> DataFrame:
-    """Exact number of near-duplicate row pairs, counted from site sizes without listing them."""
+#: Levels of cells below the first; each has a quarter of the side, the last one some micrometres for 200 m.
+_FINEST = 12
+#: Pairs of points of two cells up to which their distances are measured one by one.
+_MEASURED = 256
+_CELL = ("cx", "cy", "cz")
+
+
+def _cells(points: DataFrame, level: int) -> DataFrame:
+    """Cells of a level: rows and points in them, their first row, and the box around the points."""
+    cell = [F.shiftright(f, 2 * (_FINEST - level)).alias(f) for f in _CELL]
+    box = [f(x).alias(f"{n}_{x}") for x in ("x", "y", "z") for n, f in (("low", F.min), ("high", F.max))]
+    return points.groupBy("key", *cell).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("points"), F.min("id").alias("first"), *box)
+
+
+def _bounds(near: float, far: float) -> Column:
+    """Whether all pairs of two boxes a and b are close; NULL: some may be; rows where none is are to be left out by the caller."""
+    gaps, spans = [], []
+    for x in ("x", "y", "z"):
+        a_low, a_high, b_low, b_high = (F.col(f"{s}.{n}_{x}") for s in "ab" for n in ("low", "high"))
+        gaps.append(F.pow(F.greatest(F.lit(0.0), a_low - b_high, b_low - a_high), 2))
+        spans.append(F.pow(F.greatest(a_high - b_low, b_high - a_low), 2))
+    least, most = F.sqrt(gaps[0] + gaps[1] + gaps[2]), F.sqrt(spans[0] + spans[1] + spans[2])
+    return F.when(most <= near, F.lit(True)).when(least > far, F.lit(False))
+
+
+def close_cells(points: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """Numbers of close pairs by cell: (key, first, rows, pairs) inside cells and (key, first, second, pairs) between two.
+
+    ``points``: id, key, lat, lng, n (rows at the point), one row per key and point. A cell's diagonal is shorter than the
+    radius, so its rows are close by construction. Of two cells, the boxes around their points often say that all pairs are
+    close or none; only where they do not, both are cut into quarters by side and asked again, or measured if they
+    hold few points. ``first`` and ``second`` are the smallest ids of the cells. Nothing is listed per pair of rows.
+    """
+    side = radius_m * 0.999 / 3**0.5
+    near, far = radius_m - 0.001 - radius_m**3 / (24 * geo.EARTH_M**2), radius_m + 0.001  # chords are shorter than arcs
+    axes = dict(zip(("x", "y", "z"), _axes(F.col("lat"), F.col("lng"))))
+    places = {c: F.floor(F.col(x) / (side / 4**_FINEST)).cast("bigint") for c, x in zip(_CELL, axes)}
+    points = cut_lineage(points.select("id", "key", "lat", "lng", "n").withColumns(axes).withColumns(places))
+    cells = cut_lineage(_cells(points, 0))
+    inside = cells.select("key", "first", F.col("n").alias("rows"), (F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)").alias("pairs"))
+    # close points are at most two cells apart; cells meet in blocks of four by side
+    around = cells
+    for c in _CELL:
+        around = around.withColumn(f"b{c}", F.explode(F.sequence(F.shiftright(F.col(c) - 2, 2), F.shiftright(F.col(c) + 2, 2))))
+    home = cells.withColumns({f"b{c}": F.shiftright(c, 2) for c in _CELL})
+    a, b = around.alias("a"), home.alias("b")
+    meet = F.col("a.key") == F.col("b.key")
+    for c in _CELL:
+        meet = meet & (F.col(f"a.b{c}") == F.col(f"b.b{c}")) & (F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= 2)
+    place = lambda s: F.struct(*[F.col(f"{s}.{c}") for c in _CELL])
+    sides = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in (*_CELL, "n", "points")]
+    met = a.join(b, meet & (place("a") < place("b"))).select(
+        F.col("a.key").alias("key"), F.col("a.first").alias("first"), F.col("b.first").alias("second"), *sides, _bounds(near, far).alias("close"))
+    between: DataFrame | None = None
+
+    def add(rows: DataFrame) -> None:
+        nonlocal between
+        own = rows.select("key", "first", "second", (F.col("a_n") * F.col("b_n")).cast("decimal(38,0)").alias("pairs"))
+        between = own if between is None else between.unionByName(own)
+
+    for level in range(_FINEST + 1):
+        state = cut_lineage(met.filter(F.col("close").isNull() | F.col("close")))
+        add(state.filter("close"))
+        unsure = state.filter("close is null")
+        few = (F.col("a_points") * F.col("b_points") <= _MEASURED) | F.lit(level == _FINEST)
+        here = points.select("key", "lat", "lng", "n", *[F.shiftright(c, 2 * (_FINEST - level)).alias(c) for c in _CELL])
+        ends = unsure.filter(few).drop("a_n", "b_n")
+        for s in "ab":
+            ends = ends.join(here.toDF("key", f"{s}_lat", f"{s}_lng", f"{s}_n", *[f"{s}_{c}" for c in _CELL]), ["key", *[f"{s}_{c}" for c in _CELL]])
+        add(ends.filter(geo.haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")) <= radius_m))
+        many = unsure.filter(~few)
+        if level == _FINEST or many.isEmpty():
+            break
+        finer = _cells(points, level + 1)
+        parents = [F.shiftright(F.col(c), 2) for c in _CELL]
+        met = many.select("key", "first", "second", *[f"{s}_{c}" for s in "ab" for c in _CELL]).alias("m")
+        for s in "ab":
+            own = finer.select("*", *[p.alias(f"p{c}") for p, c in zip(parents, _CELL)]).alias(s)
+            on = F.col("m.key") == F.col(f"{s}.key")
+            for c in _CELL:
+                on = on & (F.col(f"m.{s}_{c}") == F.col(f"{s}.p{c}"))
+            met = met.join(own, on)
+        met = met.select(F.col("m.key").alias("key"), F.col("m.first").alias("first"), F.col("m.second").alias("second"), *sides, _bounds(near, far).alias("close"))
+    return inside, between.groupBy("key", "first", "second").agg(F.sum("pairs").alias("pairs"))
+
+
+def _keyed_points(df: DataFrame) -> DataFrame:
+    """Points by name, by contact and by both: id, key, lat, lng, n."""
     sites = _sites(df)
-    inside = sites.select((F.col("site_rows") * (F.col("site_rows") - 1) / 2).cast("decimal(38,0)").alias("n"))
-    between = _site_pairs(sites, radius_m).select(
-        (F.col("first_rows") * F.col("second_rows")).cast("decimal(38,0)").alias("n")
+    kinds = F.array(
+        F.struct(F.lit("name").alias("kind"), F.col("name_key").alias("name"), F.lit("").alias("contact")),
+        F.when(F.col("contact_key") != "", F.struct(F.lit("contact").alias("kind"), F.lit("").alias("name"), F.col("contact_key").alias("contact"))),
+        F.when(F.col("contact_key") != "", F.struct(F.lit("both").alias("kind"), F.col("name_key").alias("name"), F.col("contact_key").alias("contact"))),
     )
-    return inside.unionByName(between).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"))
+    rows = sites.select(F.explode(F.array_compact(kinds)).alias("key"), "lat", "lng", "site_id", "site_rows")
+    return rows.filter("key.kind <> 'name' or key.name is not null").groupBy("key", "lat", "lng").agg(F.min("site_id").alias("id"), F.sum("site_rows").alias("n"))
+
+
+def near_duplicate_cells(df: DataFrame, radius_m: float = 200.0) -> DataFrame:
+    """Near duplicates by cell, in place of pairs: (kind, name, contact, first_id, second_id, pairs).
+
+    One row per cell with several rows of a key (``second_id`` NULL) and one per two cells with close rows; ``pairs`` counts
+    the pairs of rows. The size is linear in the cells however many rows a cell holds. Kinds: name and contact.
+    """
+    inside, between = close_cells(_keyed_points(df).filter("key.kind <> 'both'"), radius_m)
+    none = F.lit(None).cast(df.schema["id"].dataType)
+    rows = inside.filter("rows > 1").select("key.*", F.col("first").alias("first_id"), none.alias("second_id"), "pairs")
+    return rows.unionByName(between.select("key.*", F.col("first").alias("first_id"), F.col("second").alias("second_id"), "pairs"))
+
+
+def near_duplicate_count(df: DataFrame, radius_m: float = 200.0) -> DataFrame:
+    """Exact number of near-duplicate row pairs, counted by cells without listing them.
+
+    Pairs of one name, and of one contact less those that share the name, too.
+    """
+    inside, between = close_cells(_keyed_points(df), radius_m)
+    both = inside.select("key", "pairs").unionByName(between.select("key", "pairs"))
+    signed = F.when(F.col("key.kind") == "both", -F.col("pairs")).otherwise(F.col("pairs"))
+    # rows at one point without a name are one site, as in near_duplicates
+    nameless = _sites(df).filter("name_key is null").select((F.col("site_rows") * (F.col("site_rows") - 1) / 2).cast("decimal(38,0)").alias("n"))
+    return both.select(signed.alias("n")).unionByName(nameless).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("pairs"))
 
 
 def exact_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -122,7 +235,7 @@ def nearest_centre(lat: Column, lng: Column, centres: Sequence[tuple[str, float,
     )["name"]
 
 
-def match_one_to_one(left: DataFrame, right: DataFrame, max_rounds: int = 10_000, first_cell: float = 2e-5,
+def match_one_to_one(left: DataFrame, right: DataFrame, first_cell: float = 2e-5,
                      growth: float = 64.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Greedy one-to-one nearest match by name, in left order, without walking the rows one by one.
 
@@ -159,9 +272,7 @@ def match_one_to_one(left: DataFrame, right: DataFrame, max_rounds: int = 10_000
     rows = left.select("id", "ord", "name_key", "lat", "lng")
     free = cut_lineage(rows.join(names, "name_key", "left_semi").withColumn("level", F.lit(0)))
     held = None
-    for _ in range(max_rounds):
-        if free.isEmpty():
-            break
+    while not free.isEmpty():  # each round settles a row, drops a bid for good or widens a search, so the rounds end
         size_now = F.element_at(sizes, F.col("level"))
         looking = free.withColumn("cy", F.explode(geo.neighbours(F.floor(F.col("lat") / size_now)))).withColumn(
             "cx", F.explode(geo.neighbours(F.floor(F.col("lng") / size_now)))
@@ -188,8 +299,6 @@ def match_one_to_one(left: DataFrame, right: DataFrame, max_rounds: int = 10_000
             "id", "ord", "name_key", "lat", "lng", (F.col("level") + 1).alias("level")
         )
         free = cut_lineage(beaten.unionByName(wider))
-    else:
-        raise RuntimeError("one-to-one match did not settle")
 
     if held is None:
         held = free.withColumn("site", F.col("id")).withColumn("distance", F.lit(0.0))

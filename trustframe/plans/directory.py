@@ -151,13 +151,41 @@ def near_duplicate_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.near_duplicate_count(near_entities(spark, sf_dir), 200.0)
 
 
+_SIDE = 200.0 * 0.999 / 3**0.5 / 4**12
+_CELL_SQL = ", ".join(f"floor(floor({axis} * 6371000.0 / {_SIDE!r}) / {4**12}.0) AS c{i}" for i, axis in enumerate(
+    ("cos(radians(lat)) * cos(radians(lng))", "cos(radians(lat)) * sin(radians(lng))", "sin(radians(lat))")))
+
+
+@plan("near_duplicate_cells", NEAR_SQL + f"""
+, k AS (SELECT 'name' AS kind, name_key AS name, '' AS contact, id, lat, lng FROM e UNION ALL SELECT 'contact', '', contact_key, id, lat, lng FROM e WHERE contact_key <> ''),
+pt AS (SELECT kind, name, contact, lat, lng, min(id) AS id, count(*) AS n, {_CELL_SQL} FROM k GROUP BY 1,2,3,4,5),
+c AS (SELECT *, min(id) OVER (PARTITION BY kind, name, contact, c0, c1, c2) AS f FROM pt)
+SELECT kind, name, contact, f AS first_id, NULL AS second_id, CAST(sum(n) * (sum(n) - 1) // 2 AS BIGINT) AS pairs FROM c GROUP BY 1,2,3,4 HAVING sum(n) > 1
+UNION ALL SELECT a.kind, a.name, a.contact, a.f, b.f, CAST(sum(a.n * b.n) AS BIGINT) FROM c a JOIN c b USING (kind, name, contact)
+ WHERE (a.c0, a.c1, a.c2) < (b.c0, b.c1, b.c2) AND {_hav('a.lat', 'a.lng', 'b.lat', 'b.lng')} <= 200 GROUP BY 1,2,3,4,5
+""")
+def near_duplicate_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = E.near_duplicate_cells(near_entities(spark, sf_dir), 200.0)
+    return out.withColumn("pairs", F.col("pairs").cast("bigint"))
+
+
 @plan("repeated_names", "SELECT p_name || ' ' || p_brand AS name, count(*) AS branches FROM part GROUP BY 1 HAVING count(*) > 1")
 def repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load_table(spark, sf_dir, "part").select(text.norm_name(F.concat_ws(" ", "p_name", "p_brand")).alias("key"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
     return E.repeated_names(p, "name")
 
 
-@plan("one_to_one_match")
+@plan("one_to_one_match", """
+WITH RECURSIVE s AS (SELECT s_suppkey AS k, 'nation ' || s_nationkey AS name, -36.8 + (s_suppkey * 7919 % 1000) * 0.001 AS lat, 174.7 + (s_suppkey * 104729 % 1000) * 0.001 AS lng, s_acctbal FROM supplier),
+l AS (SELECT row_number() OVER (ORDER BY k) AS i, * FROM s), r AS (SELECT k, name, lat + CASE WHEN s_acctbal < 0 THEN 0.01 ELSE 0.0 END AS lat, lng FROM s WHERE s_acctbal < 9500),
+o AS (SELECT l.i, list(r.k ORDER BY sqrt((l.lat - r.lat) ** 2 + (l.lng - r.lng) ** 2), r.k) AS wishes FROM l JOIN r ON l.name = r.name GROUP BY 1),
+step(i, used, best) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT)
+  UNION ALL SELECT l.i, CASE WHEN b IS NULL THEN used ELSE list_append(used, b) END, b
+  FROM (SELECT step.i + 1 AS i, step.used, list_filter(coalesce(wishes, []), lambda x: NOT list_contains(step.used, x))[1] AS b FROM step LEFT JOIN o ON o.i = step.i + 1) n JOIN l ON l.i = n.i)
+SELECT CASE WHEN best IS NULL THEN 'no record' ELSE 'match' END AS outcome, l.k AS left_id, best AS right_id FROM step JOIN l ON l.i = step.i
+UNION ALL SELECT 'orphan record', NULL, k FROM r WHERE k NOT IN (SELECT best FROM step WHERE best IS NOT NULL)
+""")
 def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers against a shifted copy of the same table; names repeat, so nearest points decide."""
     c = load_table(spark, sf_dir, "supplier")

@@ -52,3 +52,15 @@ def test_directory_mutations(spark, tmp_path):
     got = codes(directory_issues(read_registry(spark, str(tmp_path), "employers"), F.lit(DAY).cast("date")))
     assert got == sorted([("x1", "BOX", "lat/lng"), ("x2", "LIFECYCLE", "status"), ("x3", "LIFECYCLE", "status"), ("x4", "VACANCY_TEXT", "text"), ("x5", "CONTACT", "contact"),
                           ("nz-acme", "DUPLICATE_ID", "id"), ("x6", "ELIGIBILITY", "eligibility"), ("x7", "SOURCE_HOST", "source.url")])
+
+
+def test_nested_keys_and_optional_text(spark, tmp_path):
+    entries = [changed(ENTRY, id="y1", location__zip="1"), changed(ENTRY, id="y2", location__address="  "), changed(ENTRY, id="y3", location__postcode="12"),
+               changed(ENTRY, id="y4", contact=[]), changed(ENTRY, id="y5", source__note=1), changed(ENTRY, id="y6", location__lng=True), changed(ENTRY, id="y7", eligibility__extra=0),
+               changed(ENTRY, id="y8", location__address=None)]
+    del entries[4]["source"]["checkedAt"]
+    (tmp_path / "e.json").write_text(json.dumps({"employers": entries}))
+    got = codes(directory_issues(read_registry(spark, str(tmp_path), "employers"), F.lit(DAY).cast("date")))
+    want = {("y1", "LOCATION_KEYS", "location"), ("y2", "TEXT", "address"), ("y3", "POSTCODE", "postcode"), ("y4", "CONTACT_KEYS", "contact"), ("y4", "CONTACT", "contact"),
+            ("y5", "SOURCE_KEYS", "source"), ("y6", "NUMBER", "lng"), ("y7", "ELIGIBILITY_KEYS", "eligibility"), ("y8", "TEXT", "address")}
+    assert want <= set(got) and {e for e, _, _ in got} == {f"y{i}" for i in range(1, 9)}

@@ -100,8 +100,16 @@ def plain_number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit("")).try_cast("double")
 
 
+def single_number(text: Column, pattern: str, group: int = 1) -> Column:
+    """Number of the one occurrence of a pattern whose group is digits, commas and a point; NULL for none or several.
+
+    Matched once, in generated code: several numbers joined by a bar are no number.
+    """
+    return plain_number(F.array_join(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), "|"))
+
+
 def _amount(pattern: str, group: int) -> Callable[[Column], Column]:
-    return lambda text: plain_number(single_match(text, pattern, group))
+    return lambda text: single_number(text, pattern, group)
 
 
 _AMOUNT = r"([0-9][0-9,]*(?:\.[0-9]+)?)"
@@ -117,11 +125,11 @@ def _same_days(text: Column) -> Column:
 
 
 def _days(text: Column) -> Column:
-    return plain_number(single_match(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)\s+days?\b"))
+    return single_number(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)\s+days?\b")
 
 
 def _years(text: Column) -> Column:
-    return plain_number(single_match(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)\s+years?\b"))
+    return single_number(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)\s+years?\b")
 
 
 def _days_to_months(text: Column) -> Column:
@@ -130,7 +138,7 @@ def _days_to_months(text: Column) -> Column:
 
 
 def _service_standard(text: Column) -> Column:
-    months = plain_number(single_match(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)-month service standard\b"))
+    months = single_number(text, rf"(?i){_EDGE_L}([0-9][0-9,]*)-month service standard\b")
     target = single_match(text, rf"(?i){_EDGE_L}(80%)\s+of cases\b")
     return F.when(target.isNotNull() & (months > 0), months)
 
@@ -138,7 +146,7 @@ def _service_standard(text: Column) -> Column:
 def _leading_currency(text: Column) -> Column:
     token = rf"{_EDGE_L}(?:NZD|CAD|AUD) \${_AMOUNT}{_EDGE_R}"
     leads = text.rlike(r"\A(?:NZD|CAD|AUD) \$[0-9][0-9,]*(?:\.[0-9]+)?" + _EDGE_R)
-    return F.when(leads, plain_number(single_match(text, token)))
+    return F.when(leads, single_number(text, token))
 
 
 def _embedded_percent(text: Column) -> Column:
@@ -149,7 +157,7 @@ def _embedded_percent(text: Column) -> Column:
 
 
 def _percent(text: Column) -> Column:
-    return plain_number(single_match(text, rf"{_EDGE_L}([0-9]+(?:\.[0-9]+)?)\s*%{_EDGE_R}"))
+    return single_number(text, rf"{_EDGE_L}([0-9]+(?:\.[0-9]+)?)\s*%{_EDGE_R}")
 
 
 def _bare_percentage(text: Column) -> Column:
@@ -170,7 +178,7 @@ def _inclusive_range(text: Column) -> Column:
     by_words = _whole_range(
         plain_number(F.regexp_extract(text, english, 1)), plain_number(F.regexp_extract(text, english, 2))
     )
-    by_marks = _whole_range(plain_number(single_match(text, loose, 1)), plain_number(single_match(text, loose, 2)))
+    by_marks = _whole_range(single_number(text, loose, 1), single_number(text, loose, 2))
     return (
         F.when(text.rlike(english), by_words)
         .when(text.rlike(r"(?i)\bbetween the ages of\b"), F.lit(None).cast("string"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trustframe import policies as P
 from trustframe.functions import dates, urls
-from trustframe.functions.variants import scalar_text
+from trustframe.functions.variants import json_type, scalar_text
 from trustframe.operators import rules as R
 from trustframe.operators.issues import Rule, issue_rows, run_rules, union_issues
 from trustframe.operators.ranking import deviating_rows, duplicate_rows
@@ -30,8 +30,8 @@ def claim_issues(rows: DataFrame, markers: DataFrame, as_of: Column) -> DataFram
     text_fields = {n: _field(n) for n in {*P.CLAIM_REQUIRED_TEXT, *P.CLAIM_OPTIONAL_TEXT}}
     flat = rows.select(
         "ord", "row", "row_json", *[v.alias(n) for n, v in text_fields.items()],
-        _field("pages", "array<string>").alias("pages"), _whole("value").alias("value"), scalar_text(_whole("value")).alias("value_text"),
-    ).withColumn("claim", F.coalesce(F.when(F.trim("id") != "", F.col("id")), F.concat(F.lit("#"), F.col("ord") + 1)))
+        _field("pages", "array<string>").alias("pages"), _whole("value").alias("value"), F.when(~R.not_finite_scalar(_whole("value")), scalar_text(_whole("value"))).alias("value_text"),
+    ).withColumn("claim", F.coalesce(F.when(~R.blank(F.col("id")), F.col("id")), F.concat(F.lit("#"), F.col("ord") + 1)))
     day = {n: dates.strict_date(F.col(n)) for n in ("verifiedAt", "effectiveFrom", "effectiveTo", "currentAsOf")}
     url, country = F.col("sourceUrl"), F.col("country")
     known = country.isin(*P.OFFICIAL_DOMAINS, "COMMON")
@@ -59,7 +59,7 @@ def claim_issues(rows: DataFrame, markers: DataFrame, as_of: Column) -> DataFram
         Rule("EXEMPT_WITHOUT_KEY", "parityExemptReason", R.forbidden_when(F.col("parityKey").isNull(), F.col("parityExemptReason"))),
     ]
     found = run_rules(flat, "claims", F.col("claim"), checks)
-    named = flat.filter(F.trim("id") != "")
+    named = flat.filter(~R.blank(F.col("id")))
     again = issue_rows(duplicate_rows(named.select("ord", "id"), ["id"], "ord"), "claims", "DUPLICATE_ID", F.col("id"), "id", F.col("first_ord"))
     declared = named.select(F.explode("pages").alias("page"), F.col("id").alias("marker"))
     gaps = issue_rows(unmatched(declared, markers, ["page", "marker"]), "claims", "NO_MARKER", F.col("marker"), "pages", F.col("page"))
@@ -79,7 +79,14 @@ def directory_issues(rows: DataFrame, as_of: Column) -> DataFrame:
         "status": _field("status"), "review": _field("nextReviewAt"), "vacancy": _field("vacancyStatus"), "scheme": _field("eligibility.scheme"),
         "class": _field("eligibility.classification"), "role": _field("eligibility.requiresRoleCheck", "boolean"), "loc": _field("eligibility.requiresLocationCheck", "boolean"),
     }
-    flat = rows.select("ord", "row_json", *[v.alias(n) for n, v in d.items()]).withColumn("entry", F.coalesce("id", F.concat(F.lit("#"), F.col("ord") + 1)))
+    parts = {
+        "location": (P.LOCATION_KEYS, P.LOCATION_OPTIONAL_KEYS), "source": (P.SOURCE_KEYS, P.SOURCE_OPTIONAL_KEYS),
+        "contact": (P.CONTACT_KEYS, P.CONTACT_OPTIONAL_KEYS), "eligibility": (P.ELIGIBILITY_KEYS, ()),
+    }
+    nested = [F.to_json(_whole(n)).alias(f"{n}_json") for n in parts]
+    numbers = [json_type(_whole(f"location.{n}")).alias(f"{n}_type") for n in ("lat", "lng")]
+    present = [_whole(f"location.{n}").isNotNull().alias(f"has_{n}") for n in ("address", "state", "postcode")]
+    flat = rows.select("ord", "row_json", *nested, *numbers, *present, *[v.alias(n) for n, v in d.items()]).withColumn("entry", F.coalesce("id", F.concat(F.lit("#"), F.col("ord") + 1)))
     c = F.col
     checked, until, review = (dates.strict_date(c(n)) for n in ("checked", "until", "review"))
     au, nz = c("country") == "AU", c("country") == "NZ"
@@ -88,7 +95,11 @@ def directory_issues(rows: DataFrame, as_of: Column) -> DataFrame:
     checks = [
         Rule("KEYS", "entry", R.keys_not_exact(c("row_json"), P.ENTRY_KEYS)), Rule("ID", "id", R.not_matching(c("id"), P.ID_PATTERN) | (F.length("id") > 100), c("id")),
         Rule("COUNTRY", "country", R.not_in(c("country"), P.COUNTRIES), c("country")),
+        # a part that is lacking or no object is a broken key of the entry, too
+        *[Rule(f"{n.upper()}_KEYS", n, R.keys_not_exact(c(f"{n}_json"), *keys), c(f"{n}_json")) for n, keys in parts.items()],
         *[Rule("TEXT", n, R.unsafe_text(c(n)), c(n)) for n in ("name", "label", "region")],
+        *[Rule("TEXT", n, c(f"has_{n}") & R.unsafe_text(c(n)), c(n)) for n in ("address", "state", "postcode")],
+        *[Rule("NUMBER", n, ~F.coalesce(c(f"{n}_type") == "number", F.lit(False)), c(n), "finite number") for n in ("lat", "lng")],
         Rule("PRECISION", "precision", R.not_in(c("precision"), P.PRECISIONS), c("precision")), Rule("BOX", "lat/lng", R.outside_box(c("country"), c("lat"), c("lng"))),
         Rule("ADDRESS", "address", R.required_when(c("precision") == "exact", c("address"))), Rule("POSTCODE", "postcode", R.required_when(c("precision") == "postcode", c("postcode"))),
         Rule("STATE", "state", R.forbidden_when(nz, c("state")) | (au & R.not_in(c("state"), list(P.POSTCODE_RANGES))), c("state")),

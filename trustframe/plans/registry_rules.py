@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.functions import dates, urls
 from trustframe.operators import ranking, rules
 from trustframe.operators.issues import Rule, issue_counts, issue_rows, run_rules, union_issues
+from trustframe.operators.registries import claim_issues, directory_issues
 from trustframe.plans.registry import plan
 from trustframe.session import load_table
 
@@ -255,3 +256,58 @@ def path_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(t == "PROMO", F.concat(F.lit("a/../b/"), "p_name")).otherwise(F.concat(F.lit("nz/./"), "p_name"))
     )
     return p.select("p_partkey", rules.path_escapes(path).alias("escapes"))
+
+
+def registry_rows(df: DataFrame, text: Column) -> DataFrame:
+    """Rows as the strict reader gives them: ord, row VARIANT, row_json."""
+    return df.select(F.col("ord"), F.try_parse_json(text).alias("row"), text.alias("row_json"))
+
+
+_ENTRY = (
+    '{"id":"nz-%s","country":"NZ","name":"Acme","location":{"label":"Te Puke","region":"Bay of Plenty","lat":%s,"lng":176.3,"precision":"town"%s},"workTypes":["packhouse"],'
+    '"source":{"kind":"industry-association","url":"https://www.nzkgi.org.nz/list","checkedAt":"2026-07-19"%s},"contact":{"kind":"none"%s},"status":"active",'
+    '"nextReviewAt":"2026-08-18","vacancyStatus":"directory-only","eligibility":{"scheme":"nz-whv-extension","classification":"conditional",%s"requiresLocationCheck":false}}'
+)
+
+
+@plan("directory_registry", """
+WITH c AS (SELECT c_custkey AS k, 'nz-' || c_custkey AS entity_id FROM customer)
+SELECT entity_id, 'LOCATION_KEYS' AS code, 'location' AS field FROM c WHERE k % 8 = 1 UNION ALL SELECT entity_id, 'BOX', 'lat/lng' FROM c WHERE k % 8 = 2
+UNION ALL SELECT entity_id, 'TEXT', 'address' FROM c WHERE k % 8 = 3 UNION ALL SELECT entity_id, 'CONTACT_KEYS', 'contact' FROM c WHERE k % 8 = 4
+UNION ALL SELECT entity_id, 'NUMBER', 'lat' FROM c WHERE k % 8 = 5 UNION ALL SELECT entity_id, 'ELIGIBILITY_KEYS', 'eligibility' FROM c WHERE k % 8 = 6
+UNION ALL SELECT entity_id, 'ELIGIBILITY', 'eligibility' FROM c WHERE k % 8 = 6 UNION ALL SELECT entity_id, 'SOURCE_KEYS', 'source' FROM c WHERE k % 8 = 7
+""")
+def directory_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An entry per customer; seven in eight break a key or text rule of one of its parts."""
+    k = F.col("c_custkey")
+    odd = lambda n, text, rest="": F.when(k % 8 == n, F.lit(text)).otherwise(F.lit(rest))
+    lat = F.when(k % 8 == 2, F.lit("-10.5")).when(k % 8 == 5, F.lit('"-37.7"')).otherwise(F.lit("-37.7"))
+    more = F.when(k % 8 == 1, F.lit(',"zip":"1"')).when(k % 8 == 3, F.lit(',"address":" "')).otherwise(F.lit(""))
+    text = F.format_string(_ENTRY, k.cast("string"), lat, more, odd(7, ',"note":1'), odd(4, ',"tel":"1"'), odd(6, "", '"requiresRoleCheck":true,'))
+    c = load_table(spark, sf_dir, "customer").select(k.alias("ord"), k)
+    rows = registry_rows(c, text)
+    return directory_issues(rows, F.lit("2026-07-19").cast("date")).select("entity_id", "code", "field")
+
+
+_CLAIM = (
+    '{"id":"c%s","country":"%s","locale":"ko","category":"fee","label":"Fee","value":%s,"unit":"NZD","status":"official","verifiedAt":"%s","effectiveFrom":"2026-01-01",'
+    '"sourceUrl":"https://%s/x","pages":["nz/index.html"],"severity":"critical","parityKey":"k%s"}'
+)
+
+
+@plan("claim_registry", """
+WITH p AS (SELECT p_partkey AS k, 'c' || p_partkey AS entity_id FROM part)
+SELECT entity_id, 'STALE' AS code, 'verifiedAt' AS field FROM p WHERE k % 7 = 1 UNION ALL SELECT entity_id, 'HOST', 'sourceUrl' FROM p WHERE k % 7 = 2 UNION ALL SELECT entity_id, 'VALUE', 'value' FROM p WHERE k % 7 = 3
+UNION ALL SELECT entity_id, 'COUNTRY', 'country' FROM p WHERE k % 7 = 4 UNION ALL SELECT entity_id, 'NO_MARKER', 'pages' FROM p WHERE k % 7 = 5
+UNION ALL SELECT p.entity_id, 'PARITY', 'parityKey' FROM p JOIN (SELECT k // 20 AS g, min(k) AS first FROM p WHERE k % 7 <> 3 GROUP BY 1) f ON p.k // 20 = f.g WHERE p.k % 7 <> 3 AND (p.k % 7 = 6) <> (f.first % 7 = 6)
+""")
+def claim_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A claim per part, checked against the markers of its page; twenty parts share a parity key."""
+    k = F.col("p_partkey")
+    pick = lambda n, text, rest: F.when(k % 7 == n, F.lit(text)).otherwise(F.lit(rest))
+    value = F.when(k % 7 == 3, F.lit("[1]")).when(k % 7 == 6, F.lit("901")).otherwise(F.lit("900.0"))
+    text = F.format_string(
+        _CLAIM, k.cast("string"), pick(4, "ZZ", "NZ"), value, pick(1, "2026-06-03", "2026-06-04"), pick(2, "immigration.govt.nz.evil.com", "www.immigration.govt.nz"), F.floor(k / 20).cast("string"))
+    p = load_table(spark, sf_dir, "part").select(k.alias("ord"), k)
+    markers = p.filter(k % 7 != 5).select(F.lit("nz/index.html").alias("page"), F.concat(F.lit("c"), k.cast("string")).alias("marker"))
+    return claim_issues(registry_rows(p, text), markers, F.lit("2026-07-19").cast("date")).select("entity_id", "code", "field")

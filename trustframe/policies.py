@@ -39,8 +39,6 @@ SOURCE_KINDS = (
 CONTACT_KINDS = ("recruitment", "company", "email", "none")
 DIRECTORY_STATUSES = ("active", "uncertain", "expired")
 VACANCY_STATUSES = ("directory-only",)
-SCHEMES = ("nz-whv-extension", "au-417-specified-work", "none")
-CLASSIFICATIONS = ("conditional", "not-applicable")
 WORK_TYPES = (
     "construction", "farm-packing", "farm-processing", "food-processing",
     "grain-processing", "horticulture", "job-gateway", "labour-contracting",
@@ -55,6 +53,9 @@ ENTRY_KEYS = (
 )
 LOCATION_KEYS = ("label", "region", "lat", "lng", "precision")
 LOCATION_OPTIONAL_KEYS = ("address", "state", "postcode")
+SOURCE_KEYS, SOURCE_OPTIONAL_KEYS = ("kind", "url", "checkedAt"), ("effectiveTo",)
+CONTACT_KEYS, CONTACT_OPTIONAL_KEYS = ("kind",), ("url",)
+ELIGIBILITY_KEYS = ("scheme", "classification", "requiresRoleCheck", "requiresLocationCheck")
 ELIGIBILITY_BY_COUNTRY = {
     "NZ": ("nz-whv-extension", "conditional", True, False),
     "AU": ("au-417-specified-work", "conditional", True, True),
@@ -188,7 +189,6 @@ CATEGORY_BY_ID = {
 }
 
 # --- fixed values: responses and trend -----------------------------------------------
-RESPONSE_STATUSES = ("match", "changed", "blocked", "transient", "unsupported")
 REQUEST_STATUSES = ("ready", "transient", "blocked", "changed", "unsupported")
 HTML_MEDIA = ("text/html", "application/xhtml+xml")
 PDF_MEDIA = ("application/pdf",)
@@ -197,14 +197,6 @@ CSV_MEDIA = ("text/csv", "application/csv")
 XML_MEDIA = ("application/xml", "text/xml", "application/xhtml+xml")
 MAX_TREND_EVENTS = 8
 MAX_POINTER_DEPTH = 24
-CAPS = {"attestations": 256, "targets": 16, "claims": 64, "requests": 128, "events": 8}
-EDITIONS = {
-    "nz": ("nz/index.html", "NZ", "ko"),
-    "ja": ("ja/index.html", "NZ", "ja"),
-    "ca": ("ca/index.html", "CA", "ko"),
-    "au": ("au/index.html", "AU", "ko"),
-}
-BINDING_TYPES = ("number", "string", "array", "object", "boolean", "null")
 BOUNDARY_KINDS = ("rate", "insurance", "age", "duration")
 
 # --- fixed values: reviewed rate constants ---------------------------------------------

@@ -35,15 +35,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+#: Classes whose counts are few enough for the driver and a broadcast.
+MOST_CLASSES = 10_000
+
+
 def bounded_sample(df: DataFrame, by: str, per_class: int, identity: Iterable[str]) -> DataFrame:
     """About ``per_class`` rows of each value of ``by``, chosen by a hash of ``identity``.
 
     All rows are counted; the share kept of a class is ``per_class`` over its count, so the sample's size is
-    bounded whatever the input, and a rerun takes the same rows. Classes that are smaller stay whole.
+    bounded whatever the input, and a rerun takes the same rows. Classes that are smaller stay whole, NULL is none. Up to
+    ``MOST_CLASSES`` counts are sent to the rows; with more of them the rows go to the counts.
     """
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
+    (n,) = fresh(df, "n")
+    counts = df.where(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias(n))
+    few = counts.limit(MOST_CLASSES + 1).collect()
+    if len(few) <= MOST_CLASSES:
+        counts = F.broadcast(df.sparkSession.createDataFrame(few, counts.schema))
     unit = F.pmod(F.xxhash64(*[F.col(c) for c in identity], F.lit(20240229)), F.lit(1 << 30)) / float(1 << 30)
-    return df.join(counts, by).where(unit < F.lit(float(per_class)) / F.col("__n")).drop("__n")
+    return df.join(counts, by).where(unit < F.lit(float(per_class)) / F.col(n)).select(*df.columns)
 
 
 #: Bits of a table of hashes; fixed, so it is broadcast whatever the input is.

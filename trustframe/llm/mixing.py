@@ -34,25 +34,40 @@ def sainte_lague(units: DataFrame, group: list[str], order: list[str], votes: Co
                  out: str) -> DataFrame:
     """``units`` with ``out``: seats by the highest quotients votes / (2k + 1) in each group, ``most`` at most.
 
-    Rounded shares are off by half a seat per unit at most, so only the next quotients of each unit, about one and
-    a half times its share of the units, can move: a number of rows linear in the units.
+    Shares are taken of what the full units (those at ``most``) leave: sorted by most over votes they are a prefix, so
+    running sums give the level at once. Rounded shares are off by half a seat per unit at most, so only the next
+    quotients of each unit, about one and a half times its share of the units, can move: a number of rows linear in the units.
+    Seats that no unit may take are left.
     """
-    whole = Window.partitionBy(*(group or [F.lit(0)]))
-    v, s, m, first, off, reach, k, q, at = fresh(units, "v", "s", "m", "first", "off", "reach", "k", "q", "at")
-    base = units.withColumns({v: votes.cast("double"), s: seats.cast("long"), m: most.cast("long")})
-    share = F.when(F.sum(v).over(whole) > 0, F.col(v) / F.sum(v).over(whole)).otherwise(0.0)
-    base = base.withColumns({k: share, at: F.count(F.lit(1)).over(whole)})
-    base = base.withColumn(first, F.least(F.col(m), F.floor(F.col(k) * F.col(s) + 0.5)).cast("long"))
-    base = base.withColumns({off: F.col(s) - F.sum(first).over(whole), reach: (F.ceil(F.col(k) * F.col(at) * 1.5) + 2).cast("int")})
+    part = group or [F.lit(0)]
+    whole = Window.partitionBy(*part)
+    named = units if out.lower() in {c.lower() for c in units.columns} else units.withColumn(out, F.lit(0))
+    v, s, m, first, off, reach, k, q, at = fresh(named, "v", "s", "m", "first", "off", "reach", "k", "q", "at")
+    base = units.withColumns({v: votes.cast("double"), s: seats.cast("long"), m: F.greatest(most.cast("long"), F.lit(0))})
+    base = base.withColumn(k, F.when(F.col(v) > 0, F.col(m) / F.col(v)).otherwise(F.lit(float("inf"))))
+    before = Window.partitionBy(*part).orderBy(k, *order).rowsBetween(Window.unboundedPreceding, -1)
+    rest = F.sum(v).over(whole) - F.coalesce(F.sum(v).over(before), F.lit(0.0))
+    level = F.when(rest > 0, (F.col(s) - F.coalesce(F.sum(m).over(before), F.lit(0))) / rest)
+    base = base.withColumn(q, level)
+    open_ = F.col(k) >= F.col(q)
+    base = base.withColumn(q, F.min_by(F.when(open_, F.col(q)), F.when(open_, F.struct(k, *order))).over(whole))
+    share = F.when(F.col(v) <= 0, F.lit(0)).when(F.col(q).isNull(), F.col(m)).otherwise(F.floor(F.col(q) * F.col(v) + 0.5))
+    base = base.withColumn(first, F.greatest(F.lit(0), F.least(F.col(m), share)).cast("long"))
+    # the votes and the number of units below their most
+    below = F.col(first) < F.col(m)
+    base = base.withColumns({at: F.count(F.lit(1)).over(whole), k: F.sum(F.when(below, F.col(v))).over(whole)})
+    base = base.withColumns({off: F.col(s) - F.sum(first).over(whole), q: F.row_number().over(Window.partitionBy(*part).orderBy(*order))})
+    base = base.withColumn(reach, (F.ceil(F.coalesce(F.try_divide(F.col(v), F.col(k)), F.lit(0.0)) * F.col(at) * 1.5) + 2).cast("int"))
     up = F.col(off) > 0
     moves = base.where(F.col(off) != 0).select(
-        *group, *order, off, m, v, F.explode(F.sequence(F.lit(0), F.col(reach))).alias(k), first).withColumn(
+        *group, *order, off, m, v, F.when(up, F.col(q)).otherwise(-F.col(q)).alias(at), F.explode(F.sequence(F.lit(0), F.col(reach))).alias(k), first).withColumn(
         k, F.when(up, F.col(first) + F.col(k)).otherwise(F.col(first) - 1 - F.col(k)))
-    moves = moves.where((F.col(k) >= 0) & (F.col(k) < F.col(m))).withColumn(
+    moves = moves.where((F.col(k) >= 0) & (F.col(k) < F.col(m)) & (F.col(v) > 0)).withColumn(
         q, F.when(up, -F.col(v)).otherwise(F.col(v)) / (2 * F.col(k) + 1))
-    ranked = moves.withColumn(at, F.row_number().over(Window.partitionBy(*(group or [F.lit(0)])).orderBy(q, *order, k)))
+    # of equal quotients the first unit gets a seat, the last one gives it back
+    ranked = moves.withColumn(at, F.row_number().over(Window.partitionBy(*part).orderBy(q, at, k)))
     moved = ranked.where(F.col(at) <= F.abs(off)).groupBy(*group, *order).agg(F.sum(F.signum(off)).cast("long").alias(q))
-    return base.join(moved, [*group, *order], "left").withColumn(
+    return base.drop(q).join(moved, [*group, *order], "left").withColumn(
         out, F.col(first) + F.coalesce(F.col(q), F.lit(0))).drop(v, s, m, first, off, reach, k, q, at)
 
 

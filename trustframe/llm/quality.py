@@ -112,7 +112,11 @@ def vote(x: np.ndarray, basis: np.ndarray, known: np.ndarray, labels: np.ndarray
     z = x @ basis
     near = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)) @ known.T
     k = min(NEIGHBOURS, near.shape[1])
-    top = np.argsort(-near, axis=1, kind="stable")[:, :k] if near.shape[1] <= 64 else np.argpartition(-near, k - 1, axis=1)[:, :k]
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(near, top, axis=1).min(axis=1)
+    # where more vectors than k reach the k-th similarity, the smaller rows come first
+    for row in np.flatnonzero((near >= least[:, None]).sum(axis=1) > k):
+        top[row] = np.argsort(-near[row], kind="stable")[:k]
     weights = np.maximum(np.take_along_axis(near, top, axis=1), 1e-6) ** 8
     return (weights * labels[top]).sum(axis=1) / weights.sum(axis=1)
 

@@ -14,7 +14,8 @@ first n - ceil(t n) + k. The order puts rare tokens first:
 
 Sets that share an index key are candidates. They are joined in rounds: every set of a key with the key's leader; then, where
 a key still spans several components, with its neighbour in a seeded order that differs from key to key, so that a set
-meets as many others as it has keys; at last every set outside a key's largest component with all others. Only pairs inside one component are never compared, so no link between components is lost, while a group
+meets as many others as it has keys; at last every set outside a key's largest component with all others that sketches of 256 bits
+do not tell apart from it. Only pairs inside one component are never compared, so no link between components is lost, while a group
 of thousands of near copies costs a few comparisons per copy. Candidates are pruned by the overlap of their stored low
 hashes, which is exact, and verified on all tokens.
 
@@ -128,12 +129,25 @@ def all_keys(tokens: np.ndarray, percent: int, frequent: np.ndarray, frequent_he
     return np.unique(np.concatenate(keys))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """256 bits of a set, one for each token: a bit that another set lacks is a token that it lacks."""
+    bits = np.zeros(256, bool)
+    bits[(tokens >> np.uint64(8)).astype(np.int64) & 255] = True
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+def most_shared(a: str, b: str, na: Column, nb: Column) -> Column:
+    """Bound of the overlap of two sets from their sketches."""
+    lacks = lambda x, y: sum((F.bit_count(F.get(x, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(y, F.lit(i))))) for i in range(4)), F.lit(0))
+    return F.least(na - lacks(a, b), nb - lacks(b, a))
+
+
 def _signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
 
 def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """docs(doc_id, text, text_key) -> (doc_id, text_key, n, d1, d2, whole, tokens): digest of each set and its (low) tokens."""
+    """docs(doc_id, text, text_key) -> (doc_id, text_key, n, d1, d2, whole, tokens, bits): digest of each set, its (low) tokens and its sketch."""
     limit = low_limit(percent)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,10 +161,10 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 sizes = np.array([len(s) for s in made], np.int64)
                 yield pdf[["doc_id", "text_key"]].iloc[at : at + 1000].assign(
                     n=sizes, d1=pairs[:, 0], d2=pairs[:, 1], whole=sizes <= SMALL,
-                    tokens=[_signed(s if len(s) <= SMALL else s[s < limit]) for s in made])
+                    tokens=[_signed(s if len(s) <= SMALL else s[s < limit]) for s in made], bits=[sketch(s) for s in made])
 
     kind = "string" if docs.schema["doc_id"].dataType.simpleString() == "string" else "long"
-    return docs.mapInPandas(measure, f"doc_id {kind}, text_key string, n long, d1 long, d2 long, whole boolean, tokens array<long>")
+    return docs.mapInPandas(measure, f"doc_id {kind}, text_key string, n long, d1 long, d2 long, whole boolean, tokens array<long>, bits array<long>")
 
 
 def tokens_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -274,7 +288,7 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
     docs = docs.select("doc_id", "text", F.md5("text").alias("text_key"))
     signed = cut_lineage(signatures(docs, width, percent))
     sets = cut_lineage(signed.where("n > 0").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("whole").alias("whole"), F.first("tokens").alias("tokens"), F.min("text_key").alias("text_key"),
+        F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("whole").alias("whole"), F.first("tokens").alias("tokens"), F.first("bits").alias("bits"), F.min("text_key").alias("text_key"),
     ).withColumn("sid", F.monotonically_increasing_id()))
     wide, signed = signed, cut_lineage(signed.select("doc_id", "text_key", "n", "d1", "d2"))
     release(wide)
@@ -321,10 +335,13 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             order = Window.partitionBy("key").orderBy(F.xxhash64("sid", "key", F.lit(turn)))
             paired = now.select("sid", "n", "root", *[F.lag(c).over(order).alias(c + "2") for c in ("sid", "n", "root")]).where("sid2 is not null")
         else:
+            now = now.join(held.select("sid", "bits"), "sid")
             per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            few = now.join(main, "key").where("root <> main").select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-            paired = now.join(few, "key")
+            few = now.join(main, "key").where("root <> main").select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+            # sets that their sketches tell apart are no pair
+            far = ~similar(most_shared("bits", "bits2", F.col("n"), F.col("n2")), F.col("n"), F.col("n2"), percent)
+            paired = now.join(few, "key").where(~far)
         pairs = paired.where((F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

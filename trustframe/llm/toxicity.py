@@ -56,7 +56,8 @@ class Trie:
     ``near`` intersects the trie with the Levenshtein automaton of a word for distance 1 (insertion, deletion, replacement, swap of
     neighbours). The automaton's states are (letters read, edits made). Those without an edit lie along the word's own
     path in the trie; each leaves it by one edit and is deterministic from there on. The edits that do not depend on the word
-    are compiled: ``skip`` leads from a node past any one child by the letter behind it, ``below`` lists the children that end a term.
+    are compiled: ``skip`` leads from a node past any one child by the letter behind it, or, near the root, where most edits come
+    to nothing and no term ends, by the three letters behind it; ``below`` lists the children that end a term.
     """
 
     def __init__(self, terms: list[str]):
@@ -91,6 +92,17 @@ class Trie:
             self.skip.append(past)
             self.below.append([c for c in own.values() if self.depth[c] >= LEAST_FUZZY and (self.word[c] >= 0 or self.stem[c] >= 0)])
 
+        # the first nodes: past a child and three letters, at most at depth 5, which is the first where a term is found by an edit
+        self.jump: dict[int, dict[str, list[int]]] = {}
+        for node in [0, *self.children[0].values()] if LEAST_FUZZY >= 5 else []:
+            far: dict[str, list[int]] = {}
+            for child in self.children[node].values():
+                for c, x in self.children[child].items():
+                    for d, y in self.children[x].items():
+                        for e, z in self.children[y].items():
+                            far.setdefault(c + d + e, []).append(z)
+            self.jump[node] = far
+
     def exact(self, word: str) -> int:
         """Term that the word is or starts with; -1: none."""
         at = 0
@@ -160,13 +172,21 @@ class Trie:
                 if at < n:
                     self._ends(child, at + 1, n, word, usual, found)
             if at < n:
-                c, skip = word[at], self.skip[node]
-                for past in skip.get(c, ()):
-                    self._follow(past, at + 1, n, word, usual, found)
+                c, far = word[at], self.jump.get(node)
                 after = children[node].get(word[at + 1], -1) if at + 1 < n else -1
+                if far is not None:
+                    for past in far.get(word[at : at + 3], ()):
+                        self._follow(past, at + 3, n, word, usual, found)
+                    for past in far.get(word[at + 1 : at + 4], ()):
+                        self._follow(past, at + 4, n, word, usual, found)
+                else:
+                    skip = self.skip[node]
+                    for past in skip.get(c, ()):
+                        self._follow(past, at + 1, n, word, usual, found)
+                    if at + 1 < n:
+                        for past in skip.get(word[at + 1], ()):
+                            self._follow(past, at + 2, n, word, usual, found)
                 if at + 1 < n:
-                    for past in skip.get(word[at + 1], ()):
-                        self._follow(past, at + 2, n, word, usual, found)
                     if after >= 0:
                         self._follow(after, at + 2, n, word, usual, found)  # a letter too many
                         swapped = children[after].get(c, -1)
@@ -315,10 +335,9 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
     # a stem is new to its document where the word before, in order, does not share it
     used = labelled.select("text", "toxic").mapInPandas(words, "word string, toxic int, n long, shared int")
     k = F.char_length("word")
-    stems = F.transform(
-        F.when(k >= STEMS[0], F.sequence(F.lit(STEMS[0]), F.least(k, F.lit(STEMS[-1])))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.concat(F.substr("word", F.lit(1), i), F.lit("*")).alias("term"), (i > F.col("shared")).cast("int").alias("held")))
-    terms = used.select("toxic", "n", F.explode(F.concat(F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("held"))), stems)).alias("t")).select("toxic", "n", "t.term", "t.held")
+    stems = [F.when(k >= i, F.struct(F.concat(F.substr("word", F.lit(1), F.lit(i)), F.lit("*")).alias("term"), (F.lit(i) > F.col("shared")).cast("int").alias("held"))) for i in STEMS]
+    own = F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("held")), *stems)
+    terms = used.select("toxic", "n", F.explode(own).alias("t")).where("t is not null").select("toxic", "n", "t.term", "t.held")
     counts = cut_lineage(terms.groupBy("term").agg(
         of("held", 1).alias("a"), of("held", 0).alias("b"), of("n", 1).alias("ua"), of("n", 0).alias("ub")).where(
         (F.col("term") == "") | (F.col("a") >= LEAST_DOCUMENTS)))

@@ -57,8 +57,8 @@ MARKS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], d
 FACTORS = (np.random.default_rng(5).integers(1, 1 << 62, size=64, dtype=np.int64) * 2 + 1).astype(np.uint64)
 #: Added to the ids of the exact reading, so that they equal no template's.
 EXACT_MARK = np.uint64(0xD6E8FEB86659FD93)
-#: Words that a worker keeps the class of; beyond them it starts anew.
-MOST_KEPT = 400_000
+#: Words that a partition keeps the class of; beyond them it starts anew.
+MOST_KEPT = 200_000
 #: Kinds of windows: enough literal tokens, exact tokens, too few literal tokens.
 TEMPLATE, EXACT, SPARSE = range(3)
 
@@ -85,13 +85,13 @@ class _Classes(dict):
         return value
 
 
-_CLASSES = _Classes()
+def templates(text: str, known: _Classes | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Tokens, and for both readings and the exact one the template ids and the literal flags (3 x n each).
 
-
-def templates(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Tokens, and for both readings and the exact one the template ids and the literal flags (3 x n each)."""
+    ``known`` keeps the classes of words for a partition.
+    """
     found = TOKEN.findall(text)
-    codes = np.fromiter(map(_CLASSES.__getitem__, found), dtype=np.uint64, count=len(found))
+    codes = np.fromiter(map((_Classes() if known is None else known).__getitem__, found), dtype=np.uint64, count=len(found))
     kind = (codes & np.uint64(7)).astype(np.int8)
     before = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
     keep = kind != STOP
@@ -130,10 +130,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """benchmark(item_id, text) -> its windows: templates in both readings, exact ones where a reading has too few literal tokens."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Classes()
         for pdf in batches:
             out = []
             for item, text in zip(pdf["item_id"], pdf["text"], strict=True):
-                tokens, ids, literal = templates(text)
+                tokens, ids, literal = templates(text, known)
                 width = min(WINDOW, len(tokens))
                 if not width:
                     continue
@@ -176,11 +177,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     any_sparse = any(kind == SPARSE for _, kind in counts)
 
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flags = np.unpackbits(table.value).astype(bool)
+        flags, known = np.unpackbits(table.value).astype(bool), _Classes()
         for pdf in batches:
             out = []
             for doc, key, text in zip(pdf["doc_id"], pdf["text_key"], pdf["text"], strict=True):
-                tokens, ids, literal = templates(text)
+                tokens, ids, literal = templates(text, known)
                 for width in widths:
                     seen, sparse, strong = set(), [], False
                     for r in (0, 1, EXACT_READING) if (width, EXACT) in counts else (0, 1):

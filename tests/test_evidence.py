@@ -108,6 +108,13 @@ def test_nested_differences(spark):
     assert {(r.pointer, r.expected_value, r.actual_value) for r in got.collect()} == {("/b/0", "2.2", "2"), ("/c", "1", "true"), ("/d", None, None)}
 
 
+def test_nested_differences_broadcast_no_leaves(spark):
+    """A short table may have any number of leaves: its estimate is no reason to send them all to the driver."""
+    leaves = lambda j: variants.explode_leaves(variant(spark.createDataFrame([(1, j)], "id int, j string")), "v", ["id"], 4)
+    plan = variants.nested_differences(leaves('{"a":1}'), leaves('{"a":2}'), ["id"], 0.01)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_interval_cover_equals_prefixes(spark):
     rnd = random.Random(8)
     names = ["a", "b", "a0", "10", "9", "z"]

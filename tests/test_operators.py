@@ -413,3 +413,33 @@ def test_unknown_overrides(spark):
     base = spark.createDataFrame([(1, "a")], "id int, v string")
     over = spark.createDataFrame([(1, "b"), (2, "c")], "id int, v string")
     assert [r.entity_id for r in R.unknown_overrides(base, over, "id").collect()] == ["2"]
+
+
+def test_plain_pages_read_as_by_the_parser():
+    """Plain markup is read by one pattern; the lists must be those of the parser, and anything else must be left to it."""
+    bits = ["<p>", "</p>", "<li>", "<ul>", "</ul>", '<div id="a">', "</div>", '<p data-claim-id="x">', "<p hidden>", "<table>", "</table>", "<tr>", "<td>", "</td>", "<br>",
+            '<a href="/x">', "</a>", "<script>", "</script>", "<script>if(a<b) '</p>'</script>", "<style>p{}</style>", "text", "\n", "1 &amp; 2", "<!DOCTYPE html>"]
+    odd = ["<br/>", "<P>", "<!-- c -->", "<a href=/b>", "& x", "<", "<p class='q'>", '<p a="1>2">', "<script>a</b</script>"]
+    rnd, plain = random.Random(4), 0
+    for i in range(3000):
+        body = "".join(rnd.choice(bits + odd * (i % 2)) for _ in range(rnd.randrange(1, 20)))
+        whole, got = pages._Tree(), pages._parsed(body)
+        whole.feed(body)
+        whole.close()
+        plain += pages._Tree().read_plain(body)
+        assert [(whole.tags, whole.given, whole.parent, whole.line, whole.closed, whole.text(k)) for k in range(len(whole.tags))] == [
+            (got.tags, got.given, got.parent, got.line, got.closed, got.text(k)) for k in range(len(got.tags))], body
+    assert plain > 800
+
+
+def test_order_pages_are_dealt_to_all_tasks(spark, small):
+    """A small compressed table is one split; its pages are not parsed by one task."""
+    from trustframe.plans.pages import order_pages
+
+    assert order_pages(spark, small).rdd.getNumPartitions() == 4
+
+
+def test_page_elements_of_some_tags(spark):
+    whole = pages.page_elements(spark.createDataFrame([("p1", PAGE)], "page string, html string"), "page", "html")
+    some = pages.page_elements(spark.createDataFrame([("p1", PAGE)], "page string, html string"), "page", "html", tags=("td", "th"))
+    assert sorted(map(str, some.collect())) == sorted(str(r) for r in whole.collect() if r.tag in ("td", "th") or r.own_mark is not None)

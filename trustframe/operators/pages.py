@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections import Counter, defaultdict
+from collections.abc import Container, Iterable, Iterator, Sequence
+from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ ELEMENTS = (
     "section_h3 string, table_no int, row_no int, cell_no int, caption string, summary string, label string, "
     "text string, marked boolean, own_mark string, ignored boolean, hidden boolean, href string"
 )
-_COLUMNS = [part.split()[0] for part in ELEMENTS.split(", ")]
+_ARROW = pa.schema([
+    (name, {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind]) for name, kind in (part.split() for part in ELEMENTS.split(", "))
+])
 FLUSH_ROWS = 20_000
+#: Pages that are Python objects at the same time.
+PAGES_AT_ONCE = 256
 _EMIT = frozenset(P.SEMANTIC_TAGS) | {"td", "th", "dt", "dd", "a", "caption", "title"}
 #: Open tags that a start tag ends when their end tag is left out, and the tags that bound the search for them.
 _IMPLIED = {
@@ -29,6 +34,13 @@ _IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
+#: A text and the plain tag, document type or comment after it: text, slash, name, attributes.
+_PLAIN = re.compile(r'([^<]*)<(?:(/?)([a-z][a-z0-9]*)((?: [a-z][a-z0-9-]*(?:="[^"<>&]*")?)*)|!(?i:doctype) html|!-- [^<>-]*--)>')
+_ATTRIBUTE = re.compile(r' ([a-z][a-z0-9-]*)(?:="([^"]*)")?')
+#: Elements whose content ends at their end tag alone, and others that parsers of some versions read in another way.
+_RAW = frozenset({"script", "style"})
+_RAW_TEXT = re.compile(r"(?:[^<]+|<(?!/|!--)|</[a-z][a-z0-9]*>)*+")
+_SPECIAL = (frozenset(HTMLParser.CDATA_CONTENT_ELEMENTS) | frozenset(getattr(HTMLParser, "RCDATA_CONTENT_ELEMENTS", ())) | {"plaintext"}) - _RAW
 
 
 class _Tree(HTMLParser):
@@ -48,9 +60,12 @@ class _Tree(HTMLParser):
         self.closed: list[int] = []  # number of nodes that had started when this one ended
         self.pieces: list[str] = []
         self.now = -1
-        self.unclosed: Counter[str] = Counter()
+        self.unclosed: defaultdict[str, int] = defaultdict(int)
 
     def handle_starttag(self, tag, attrs):
+        self._start(tag, {name: value or "" for name, value in attrs}, self.getpos()[0])
+
+    def _start(self, tag: str, given: dict[str, str], line: int) -> None:
         ended, bounds = _IMPLIED.get(tag, ((), ()))
         if any(self.unclosed[t] for t in ended):
             at = self.now
@@ -59,9 +74,9 @@ class _Tree(HTMLParser):
             if at >= 0 and self.tags[at] in ended:
                 self._close_through(at)
         self.tags.append(tag)
-        self.given.append({name: value or "" for name, value in attrs})
+        self.given.append(given)
         self.parent.append(self.now)
-        self.line.append(self.getpos()[0])
+        self.line.append(line)
         self.begin.append(len(self.pieces))
         self.end.append(-1)
         self.closed.append(-1)
@@ -80,6 +95,41 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.pieces.append(data)
 
+    def read_plain(self, body: str) -> bool:
+        """Read a page of plain markup with the parser's result, in a fraction of its time; False, half read, for any other.
+
+        Plain are lower-case tags, attributes in double quotes without references, text, the usual document type, comments without dashes and scripts without comments.
+        """
+        at, counted, line, lines = 0, 0, 1, "\n" in body
+        while token := _PLAIN.match(body, at):
+            text, end, tag, attributes = token.groups()
+            if text:
+                self.pieces.append(unescape(text) if "&" in text else text)
+            if tag in _SPECIAL:
+                return False
+            if end:
+                self.handle_endtag(tag)
+            elif tag:
+                if lines:
+                    line += body.count("\n", counted, token.end(1))
+                    counted = token.end(1)
+                self._start(tag, dict(_ATTRIBUTE.findall(attributes)) if attributes else {}, line)
+            at = token.end()
+            if not end and tag in _RAW:
+                stop = body.find(f"</{tag}", at)
+                if not body.startswith(f"</{tag}>", stop) or not _RAW_TEXT.fullmatch(body, at, stop):
+                    return False
+                if at < stop:
+                    self.pieces.append(body[at:stop])
+                self.handle_endtag(tag)
+                at = stop + len(tag) + 3
+        rest = body[at:]
+        if "<" in rest:
+            return False
+        if rest:
+            self.pieces.append(unescape(rest))
+        return True
+
     def close(self):
         super().close()
         self._close_through(0)
@@ -95,50 +145,64 @@ class _Tree(HTMLParser):
         return " ".join("".join(self.pieces[self.begin[at]:self.end[at]]).split())
 
 
-def _inherited(tree: _Tree, own: list[bool]) -> list[bool]:
-    """True for nodes that have the property or sit below one that has it (parents come first)."""
-    out: list[bool] = []
-    for up, mine in zip(tree.parent, own):
-        out.append(mine or (up >= 0 and out[up]))
-    return out
+def _parsed(body: str) -> _Tree:
+    """The tree of a page: plain markup by one pattern, anything else by the parser."""
+    tree = _Tree()
+    if not tree.read_plain(body):
+        tree = _Tree()
+        tree.feed(body)
+    tree.close()
+    return tree
 
 
 def _nearest(tree: _Tree, tag: str) -> list[int]:
     """Per node the closest node of that tag on its path, itself included; -1 without one."""
     out: list[int] = []
-    for at, up in enumerate(tree.parent):
-        out.append(at if tree.tags[at] == tag else out[up] if up >= 0 else -1)
+    for mine, up in zip(tree.tags, tree.parent):
+        out.append(len(out) if mine == tag else out[up] if up >= 0 else -1)
     return out
 
 
 def _is_away(tag: str, given: dict[str, str]) -> bool:
+    if tag in P.SUPPRESSED_TAGS:
+        return True
+    if not given:
+        return False
     styles = {"".join(part.split()).lower() for part in given.get("style", "").split(";")}
     return (
-        tag in P.SUPPRESSED_TAGS or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
+        "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
         or given.get("id", "").startswith(P.HIDDEN_ID_PREFIX) or not styles.isdisjoint(P.HIDDEN_STYLES)
     )
 
 
-def _element_rows(page: str, tree: _Tree, mark: str, skip_context: re.Pattern) -> Iterator[tuple]:
+def _is_ignored(tag: str, given: dict[str, str], skip_context: re.Pattern) -> bool:
+    return tag in P.IGNORED_TAGS or (bool(given) and bool(skip_context.search(f"{given.get('id', '')} {given.get('class', '')}")))
+
+
+def _element_rows(page: str, tree: _Tree, mark: str, skip_context: re.Pattern, emit: Container[str] = _EMIT) -> Iterator[tuple]:
     """One row per element of interest, from the finished node lists."""
-    tags, given, size = tree.tags, tree.given, len(tree.tags)
-    hidden = _inherited(tree, [_is_away(t, g) for t, g in zip(tags, given)])
-    marked = _inherited(tree, [mark in g for g in given])
-    ignored = _inherited(tree, [
-        t in P.IGNORED_TAGS or (bool(g) and bool(skip_context.search(f"{g.get('id', '')} {g.get('class', '')}")))
-        for t, g in zip(tags, given)
-    ])
+    tags, given, parents, size = tree.tags, tree.given, tree.parent, len(tree.tags)
+    # true for nodes that have the property or sit below one that has it (parents come first)
+    hidden: list[bool] = []
+    marked: list[bool] = []
+    ignored: list[bool] = []
+    for tag, own, up in zip(tags, given, parents):
+        below = up >= 0
+        hidden.append((below and hidden[up]) or _is_away(tag, own))
+        marked.append((below and marked[up]) or mark in own)
+        ignored.append((below and ignored[up]) or _is_ignored(tag, own, skip_context))
     table, details = _nearest(tree, "table"), _nearest(tree, "details")
-    order: Counter[tuple[int, str]] = Counter()  # position among the siblings of one tag
-    nth, place = [0] * size, [(None, None, None)] * size
+    order: dict[tuple[int, str], int] = {}  # position among the siblings of one tag
+    nth, place = [1] * size, [(None, None, None)] * size
     table_no: dict[int, int] = {}
     row_no: Counter[int] = Counter()
     cell_no: dict[int, int] = {}
     caption: dict[int, str] = {}
     summary: dict[int, str] = {}
     for at, tag in enumerate(tags):
-        order[tree.parent[at], tag] += 1
-        nth[at] = order[tree.parent[at], tag] if tree.parent[at] >= 0 else 1
+        up = parents[at]
+        if up >= 0:
+            nth[at] = order[up, tag] = order.get((up, tag), 0) + 1
         inside = table[at]
         if tag == "table":
             table_no[at] = len(table_no) + 1
@@ -155,24 +219,35 @@ def _element_rows(page: str, tree: _Tree, mark: str, skip_context: re.Pattern) -
                 cell = cell_no[inside] = cell_no.get(inside, 0) + 1
             place[at] = (table_no[inside], row_no[inside], cell)
 
+    paths: dict[int, str] = {-1: ""}  # selectors of the nodes that have children in the result, each with its final ">"
+
+    def step_of(at: int) -> tuple[str, bool]:
+        """A node's own step, and whether a path starts with it."""
+        ident = given[at].get("id", "") if given[at] else ""
+        if not ident:
+            return f"{tags[at]}:nth-of-type({nth[at]})", False
+        if re.fullmatch(P.SIMPLE_ID, ident):
+            return f"#{ident}", True
+        return f"""[id="{re.sub(P.QUOTED_IN_SELECTOR, lambda m: chr(92) + m.group(), ident)}"]""", True
+
     def selector(at: int) -> str:
-        steps: list[str] = []
-        while at >= 0:
-            ident = given[at].get("id", "")
-            if re.fullmatch(P.SIMPLE_ID, ident):
-                steps.append(f"#{ident}")
-                break
-            if ident:
-                steps.append(f"""[id="{re.sub(P.QUOTED_IN_SELECTOR, lambda m: chr(92) + m.group(), ident)}"]""")
-                break
-            steps.append(f"{tags[at]}:nth-of-type({nth[at]})")
-            at = tree.parent[at]
-        return f"{page}::" + ">".join(reversed(steps))
+        own, whole = step_of(at)
+        if whole:
+            return f"{page}::{own}"
+        up = above = parents[at]
+        if up not in paths:
+            steps = []
+            while above not in paths:
+                step, whole = step_of(above)
+                steps.append(step)
+                above = -1 if whole else parents[above]
+            paths[up] = paths[above] + ">".join(reversed(steps)) + ">"
+        return f"{page}::{paths[up]}{own}"
 
     def summary_of(at: int) -> str:
         at = details[at]
         while at >= 0 and at not in summary:
-            at = details[tree.parent[at]] if tree.parent[at] >= 0 else -1
+            at = details[parents[at]] if parents[at] >= 0 else -1
         return summary.get(at, "")
 
     # headings and terms take effect for what starts after their end
@@ -190,43 +265,47 @@ def _element_rows(page: str, tree: _Tree, mark: str, skip_context: re.Pattern) -
                 continue
             path = [h for h in path if h[0] < kind] + [(kind, body)]
             h3 = body if kind == "h3" else h3
-        if tag not in _EMIT and mark not in given[at]:
+        if tag not in emit and mark not in given[at]:
             continue
         yield (
             page, at, tag, selector(at), tree.line[at], path[-1][1] if path else "", path[-2][1] if len(path) > 1 else "",
-            h3, *place[at], caption.get(table[at], "") if place[at][0] else "", summary_of(at),
+            h3, *place[at], caption.get(table[at], "") if place[at][0] else "", summary_of(at) if summary else "",
             term if tag == "dd" else "", tree.text(at), marked[at], given[at].get(mark), ignored[at], hidden[at],
             given[at].get("href"),
         )
 
 
-def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id") -> DataFrame:
-    """Element rows of every page, with inherited marks and hidden or ignored ancestry.
+def page_elements(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id", tags: Iterable[str] = _EMIT) -> DataFrame:
+    """Element rows of every page, with inherited marks and hidden or ignored ancestry: elements of ``tags`` and marked ones.
 
     The one Python stage of the library: Arrow batches through the standard HTML parser, reading only
-    the page key and its text.
+    the page key and its text, a few pages at a time.
     """
-    skip = re.compile(P.IGNORED_CONTEXT)
+    skip, emit = re.compile(P.IGNORED_CONTEXT), frozenset(tags)
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            for key, body in zip(batch["page"], batch["html"]):
-                if body is None:
-                    continue
-                tree = _Tree()
-                tree.feed(body)
-                tree.close()
-                for row in _element_rows(key, tree, mark, skip):
-                    rows.append(row)
-                    if len(rows) >= FLUSH_ROWS:
-                        yield pd.DataFrame(rows, columns=_COLUMNS)
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=_COLUMNS)
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(start, PAGES_AT_ONCE)
+                for key, body in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    if body is None:
+                        continue
+                    for row in _element_rows(key, _parsed(body), mark, skip, emit):
+                        rows.append(row)
+                        if len(rows) >= FLUSH_ROWS:
+                            yield _as_batch(rows)
+                            rows = []
+                if rows:
+                    yield _as_batch(rows)
+                    rows = []
 
     narrow = pages.select(F.col(page).cast("string").alias("page"), F.col(html).alias("html"))
-    return narrow.mapInPandas(parse, ELEMENTS)
+    return narrow.mapInArrow(parse, ELEMENTS)
+
+
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
 
 
 def page_markers(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id") -> DataFrame:

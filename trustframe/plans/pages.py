@@ -11,7 +11,7 @@ from trustframe.operators import pages as G
 from trustframe.operators import reconcile as R
 from trustframe.operators import rules
 from trustframe.plans.registry import plan
-from trustframe.session import load_table
+from trustframe.session import cut_lineage, load_table, spread
 from trustframe.sources.readers import named_links
 
 LANG = "^[a-z]+://[^/]*/([a-z]+)/"
@@ -106,7 +106,7 @@ def page_fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per order: a heading, a definition list, a hidden paragraph and a table."""
-    o = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    o = spread(load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     qty, more = F.col("o_custkey").cast("string"), (F.col("o_custkey") + 1).cast("string")
     extra = F.when(F.col("o_orderstatus") == "P", F.lit("<td>extra</td>")).otherwise(F.lit(""))
     html = F.concat(
@@ -121,8 +121,8 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT o_orderkey, CAST(CASE WHEN o_orderstatus='P' THEN 1 ELSE 2 END AS BIGINT) AS rows, CAST(CASE WHEN o_orderstatus='P' THEN o_custkey ELSE 2 * o_custkey + 1 END AS BIGINT) AS quantity, CAST(CASE WHEN o_orderstatus='P' THEN 1 ELSE 0 END AS BIGINT) AS partial FROM orders
 """)
 def table_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = G.page_elements(order_pages(spark, sf_dir), "o_orderkey", "html")
-    rows = G.table_rows(e).persist()  # parsed once, read by several joins
+    e = G.page_elements(order_pages(spark, sf_dir), "o_orderkey", "html", tags=("td", "th"))
+    rows = cut_lineage(G.table_rows(e))  # parsed once, read by several joins
     good, problems = G.typed_table(rows, ["No", "Qty", "Rate"], ["integer", "integer", "percent-to-decimal"])
     both = good.select("page", F.col("values")[1].alias("q"), F.lit(None).cast("string").alias("code")).unionByName(
         problems.select("page", F.lit(None).cast("double").alias("q"), "code")

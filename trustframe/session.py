@@ -32,6 +32,15 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal the rows over all shuffle partitions before much work is done on each of them.
+
+    A reader cuts a table by its bytes, and a compressed table of millions of short rows is a handful of tasks. Call it
+    on the few columns that the work needs, not on what the work makes of them.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the session's setting, or a fresh local one on local masters."""
     context = spark.sparkContext

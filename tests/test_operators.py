@@ -443,3 +443,18 @@ def test_page_elements_of_some_tags(spark):
     whole = pages.page_elements(spark.createDataFrame([("p1", PAGE)], "page string, html string"), "page", "html")
     some = pages.page_elements(spark.createDataFrame([("p1", PAGE)], "page string, html string"), "page", "html", tags=("td", "th"))
     assert sorted(map(str, some.collect())) == sorted(str(r) for r in whole.collect() if r.tag in ("td", "th") or r.own_mark is not None)
+
+
+def test_page_fact_coverage_of_long_numbers(spark, tmp_path):
+    """Numbers of eight digits are no facts: pages with long numbers count in the SQL as they do in the query."""
+    import duckdb
+
+    from trustframe.plans.registry import all_plans
+
+    rows = [(n, "<html><body><article></article></body></html>") for n in (5, 99_999, 100_000, 999_999, 1_000_000)]
+    spark.createDataFrame(rows, "page_id bigint, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    plan = all_plans()["page_fact_coverage"]
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(con.execute(plan.sql).fetchall())
+    assert rowset(plan.run(spark, str(tmp_path)), "category", "outcome", "n") == want == [("fee", "marked", 12), ("quota", "uncovered", 2)]

@@ -11,7 +11,7 @@ from trustframe.operators import coverage as C
 from trustframe.operators import ranking, rules
 from trustframe.functions.dates import cohort_date
 from trustframe.plans.registry import plan
-from trustframe.session import load_table
+from trustframe.session import load_table, spread
 
 TOKEN = r"\b(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?[kKmM]?\b"
 NUMBER_SQL = rf"""
@@ -48,7 +48,7 @@ UNION ALL SELECT o_orderkey, 'age', '18' FROM o
 """)
 def category_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of a sentence written for every order: dates, points and other clauses must not leak in."""
-    o = load_table(spark, sf_dir, "orders")
+    o = spread(load_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_custkey"), "o_orderkey")
     body = F.concat(
         F.lit("Visa application fee NZD $"), F.floor("o_totalprice").cast("string"), F.lit(" from 2026-07-01. Processing time "),
         (F.col("o_orderkey") % 40 + 1).cast("string"), F.lit(" weeks + quota "), F.col("o_custkey").cast("string"), F.lit("; age 18 years old"),

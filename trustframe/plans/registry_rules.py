@@ -10,7 +10,7 @@ from trustframe.operators import ranking, rules
 from trustframe.operators.issues import Rule, issue_counts, issue_rows, run_rules, union_issues
 from trustframe.operators.registries import claim_issues, directory_issues
 from trustframe.plans.registry import plan
-from trustframe.session import load_table
+from trustframe.session import load_table, spread
 
 SEVERITY = """CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'medium'
   WHEN '3-MEDIUM' THEN 'medium' ELSE 'minor' END"""
@@ -284,7 +284,7 @@ def directory_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     lat = F.when(k % 8 == 2, F.lit("-10.5")).when(k % 8 == 5, F.lit('"-37.7"')).otherwise(F.lit("-37.7"))
     more = F.when(k % 8 == 1, F.lit(',"zip":"1"')).when(k % 8 == 3, F.lit(',"address":" "')).otherwise(F.lit(""))
     text = F.format_string(_ENTRY, k.cast("string"), lat, more, odd(7, ',"note":1'), odd(4, ',"tel":"1"'), odd(6, "", '"requiresRoleCheck":true,'))
-    c = load_table(spark, sf_dir, "customer").select(k.alias("ord"), k)
+    c = spread(load_table(spark, sf_dir, "customer").select(k.alias("ord"), k), "c_custkey")
     rows = registry_rows(c, text)
     return directory_issues(rows, F.lit("2026-07-19").cast("date")).select("entity_id", "code", "field")
 
@@ -308,6 +308,6 @@ def claim_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.when(k % 7 == 3, F.lit("[1]")).when(k % 7 == 6, F.lit("901")).otherwise(F.lit("900.0"))
     text = F.format_string(
         _CLAIM, k.cast("string"), pick(4, "ZZ", "NZ"), value, pick(1, "2026-06-03", "2026-06-04"), pick(2, "immigration.govt.nz.evil.com", "www.immigration.govt.nz"), F.floor(k / 20).cast("string"))
-    p = load_table(spark, sf_dir, "part").select(k.alias("ord"), k)
+    p = spread(load_table(spark, sf_dir, "part").select(k.alias("ord"), k), "p_partkey")
     markers = p.filter(k % 7 != 5).select(F.lit("nz/index.html").alias("page"), F.concat(F.lit("c"), k.cast("string")).alias("marker"))
     return claim_issues(registry_rows(p, text), markers, F.lit("2026-07-19").cast("date")).select("entity_id", "code", "field")

@@ -12,7 +12,7 @@ from trustframe.operators import filters, ranking, rules
 from trustframe.operators import reconcile as R
 from trustframe.operators.entities import exact_duplicates
 from trustframe.plans.registry import plan
-from trustframe.session import load_table
+from trustframe.session import load_table, spread
 
 
 @plan("parity_groups", """
@@ -336,7 +336,7 @@ SELECT code, count(*) AS n FROM (
  UNION ALL SELECT 'UNSCOPED_BINDING' FROM j WHERE NOT has) GROUP BY 1
 """)
 def bindings_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load_table(spark, sf_dir, "orders")
+    o = spread(load_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice", "o_orderdate"), "o_orderkey")
     pr, st = F.col("o_orderpriority"), F.col("o_orderstatus")
     whole = F.floor("o_totalprice")
     day = F.date_format("o_orderdate", "yyyy-MM-dd")

@@ -252,3 +252,13 @@ def test_a_dense_cell_lists_one_row(spark):
     df = spark.range(20_000).select(F.col("id"), F.lit("n").alias("name_key"), F.lit("").alias("contact_key"), (F.lit(-36.8) + F.col("id") * 1e-9).alias("lat"), F.lit(174.7).alias("lng"))
     (row,) = entities.near_duplicate_cells(df).collect()
     assert (row.first_id, row.second_id, row.pairs) == (0, None, 20_000 * 19_999 // 2)
+
+
+@pytest.mark.parametrize("name", ["category_facts", "claim_registry", "directory_registry", "bindings_check", "selector_values", "parts", "suppliers"])
+def test_rows_are_dealt_before_work_on_each(spark, small, name):
+    """A small compressed table is one split; the work on its rows is not one task's."""
+    from trustframe.plans.evidence import part_documents, supplier_documents
+    from trustframe.plans.registry import all_plans
+
+    run = {"parts": part_documents, "suppliers": supplier_documents}.get(name) or all_plans()[name].run
+    assert "REPARTITION_BY_NUM" in run(spark, small)._jdf.queryExecution().executedPlan().toString()

@@ -16,13 +16,13 @@ from trustframe.operators import lineage as L
 from trustframe.operators import pages as G
 from trustframe.operators import rates, rules
 from trustframe.plans.registry import plan
-from trustframe.session import checkpoint_root, cut_lineage, load_table
+from trustframe.session import checkpoint_root, cut_lineage, load_table, spread
 from trustframe.sources import readers
 
 
 def part_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run-time constants of every part: (page, size, document)."""
-    p = load_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = spread(load_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
     text = F.concat(
         F.lit('{"rates":[{"id":"a","v":'), size, F.lit('},{"id":"b","v":'), key, F.lit('.50},{"v":0},{"id":"dup","v":1},{"id":"dup","v":2}],"span":"'), size, F.lit("-"),
@@ -125,7 +125,7 @@ UNION ALL SELECT event_id, '/c', 'true', '1' FROM events WHERE event_type='click
 """)
 def nested_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested results against expected ones: a number off by one, one that is lacking, and true in place of 1."""
-    e = load_table(spark, sf_dir, "events").select("event_id", "event_type")
+    e = spread(load_table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
     n, kind = F.col("event_id").cast("string"), F.col("event_type")
     wanted = F.concat(F.lit('{"b":[{"x":'), n, F.lit("}],\"c\":"), F.when(kind == "click", "true").otherwise("1"), F.lit("}"))
     got = F.concat(F.lit('{"b":[{"x":'), F.when(kind == "error", (F.col("event_id") + 1).cast("string")).when(kind == "signup", F.lit('0},{"y":0')).otherwise(F.concat(n, F.lit(".0000000000001"))), F.lit('}],"c":1,"more":[1]}'))
@@ -145,7 +145,7 @@ UNION ALL SELECT 'UNMAPPED', CAST(p_partkey AS VARCHAR), NULL, 'C' || p_partkey,
 """)
 def input_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A calculator's inputs per part: leaves owned by none or twice, other values, units and numbers of leaves, and lost mappings."""
-    p = load_table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    p = spread(load_table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     k, key = F.col("p_partkey"), F.col("p_partkey").cast("string")
     size = F.col("p_size").cast("string")
     doc = F.concat(F.lit('{"rates":['), key, F.lit(',7],"cap":'), size, F.lit("}"))
@@ -232,7 +232,7 @@ def attestation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def supplier_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page, a CSV, an XML and a JSON document per supplier."""
-    s = load_table(spark, sf_dir, "supplier").select("s_suppkey")
+    s = spread(load_table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
     key = F.col("s_suppkey").cast("string")
     page = F.concat(
         F.lit("<html><body><h2>Fees</h2><dl><dt>Fee</dt><dd>"), key, F.lit("</dd></dl><h3>Wait</h3><p>about "), key, F.lit(" weeks</p><p hidden>about 1 week</p>"

@@ -458,3 +458,12 @@ def test_page_fact_coverage_of_long_numbers(spark, tmp_path):
     con.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
     want = sorted(con.execute(plan.sql).fetchall())
     assert rowset(plan.run(spark, str(tmp_path)), "category", "outcome", "n") == want == [("fee", "marked", 12), ("quota", "uncovered", 2)]
+
+
+def test_links_leave_the_parser_alone(spark, monkeypatch):
+    """Texts of other elements are not made for the links of a page."""
+    asked = []
+    whole = pages.page_elements
+    monkeypatch.setattr(pages, "page_elements", lambda *args, **more: asked.append(set(more["tags"])) or whole(*args, **more))
+    df = spark.createDataFrame([(1, '<p>x <a href="/y">z</a></p>')], "id int, html string")
+    assert [(r.href, r["name"]) for r in pages.page_links(df, "id", "html").collect()] == [("/y", "z")] and asked == [{"a"}]

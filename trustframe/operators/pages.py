@@ -311,14 +311,14 @@ def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
 def page_markers(pages: DataFrame, page: str, html: str, mark: str = "data-claim-id") -> DataFrame:
     """Distinct marker values per page: (page, marker). Pages without the word are not parsed."""
     some = pages.filter(F.contains(F.lower(F.col(html)), F.lit(mark)))
-    found = page_elements(some, page, html, mark).filter(F.col("own_mark").isNotNull())
+    found = page_elements(some, page, html, mark, tags=()).filter(F.col("own_mark").isNotNull())
     key = F.col("page").cast(pages.schema[page].dataType).alias(page)
     return found.select(key, F.col("own_mark").alias("marker")).distinct()
 
 
 def page_links(pages: DataFrame, page: str, html: str) -> DataFrame:
     """Anchors per page in document order: (page, seq, href, name)."""
-    links = page_elements(pages, page, html).filter((F.col("tag") == "a") & (F.col("href") != ""))
+    links = page_elements(pages, page, html, tags=("a",)).filter((F.col("tag") == "a") & (F.col("href") != ""))
     key = F.col("page").cast(pages.schema[page].dataType).alias(page)
     return links.select(key, "seq", "href", F.col("text").alias("name"))
 

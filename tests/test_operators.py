@@ -399,6 +399,21 @@ def test_range_of_any_length(spark):
     assert sorted(x.v for x in left.collect()) == [-1, 10**11 + 1]
 
 
+def test_range_join_deals_a_full_bucket(spark, tmp_path):
+    # 3,000 points and 5,000 ranges of one key and bucket, each read by one task: no task makes more than a part of the pairs
+    p = spark.createDataFrame([("k", i % 5, i) for i in range(3000)], "k string, v bigint, point bigint")
+    r = spark.createDataFrame([("k", i % 5, i % 5 + 1, i) for i in range(5000)], "k string, lo bigint, hi bigint, n bigint")
+    for name, df in (("p", p), ("r", r)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    p, r = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("p", "r"))
+    got = R.range_join(p, r, ["k"], "v", "lo", "hi", 25)
+    assert got.columns == ["k", "v", "point", "lo", "hi", "n"]
+    parts = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in parts) == 600 * 1000 * 9 and max(x["count"] for x in parts) < 600 * 1000 * 9 * 0.8
+    assert got.select("point", "n").distinct().count() == 600 * 1000 * 9
+    assert got.filter(~F.col("v").between(F.col("lo"), F.col("hi"))).isEmpty()
+
+
 def test_page_tree_is_linear_and_reads_markers(spark):
     tree = pages._Tree()
     tree.feed("<div>" + "<br>x" * 8000 + "<li>y" * 8000)

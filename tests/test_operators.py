@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import pathlib
 import random
 
 import pytest
@@ -274,6 +275,37 @@ def test_trend_stream_equals_batch(spark, tmp_path):
     assert trend_rows(S.finished_state(spark, q, str(tmp_path / "state"))) == reference_trend(log)
 
 
+def test_trend_stream_stretches_of_many_files(spark):
+    from trustframe.plans.drifting import stream_in_stretches
+
+    log = make_log(5, keys=40, n=300)
+    stretches = [spark.createDataFrame(log[i * 100:(i + 1) * 100], LOG).repartition(3) for i in range(3)]
+    q, state = stream_in_stretches(spark, stretches)
+    folder = pathlib.Path(state.removeprefix("file:"))
+    assert len(list(folder.parent.glob("log/*.parquet"))) == 9 and {p.name for p in folder.glob("batch=*")} == {f"batch={i}" for i in range(-1, 3)}
+    assert trend_rows(S.finished_state(spark, q, state)) == reference_trend(log)
+
+
+def test_trend_processor_takes_many_keys_at_once():
+    import pandas as pd
+
+    class States(dict):
+        getValue, updateValue = dict.get, dict.__setitem__
+
+    kept = States()
+    processor = S.TrendProcessor(8, None)
+    processor.init(type("Handle", (), {"getMapState": lambda *_: kept})())
+    columns = ["bucket", "request_key", "observation_id", "at", "status"]
+
+    def call(*rows):
+        (out,) = processor.handleInputRows((0,), iter([pd.DataFrame([(0, *r) for r in rows], columns=columns)]), None)
+        return [(r.request_key, r.kind, r.last_observation_id) for r in out.itertuples()]
+
+    assert call(("a", "1", 10, "transient"), ("b", "2", 11, "match"), ("c", "3", 12, "transient")) == [("a", "state", "1"), ("c", "state", "3")]
+    assert call(("b", "4", 5, "transient"), ("a", "5", 20, "ready")) == [("b", "late", "4"), ("a", "state", "5")]
+    assert set(kept) == {("a",), ("b",), ("c",)}
+
+
 def test_fallback_policies(spark):
     def run(policy, *statuses):
         df = spark.createDataFrame([("k", i, s) for i, s in enumerate(statuses)], "k string, i int, s string")

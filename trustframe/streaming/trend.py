@@ -1,4 +1,4 @@
-"""Transient trend as a stream: one keyed state per request, kept by Spark's state store."""
+"""Transient trend as a stream: one state per request, kept by Spark's state store in maps of buckets of requests."""
 
 from __future__ import annotations
 
@@ -21,6 +21,14 @@ _MOVED = (
     f"{KEY} string, kind string, streak bigint, first_seen bigint, last_seen bigint, recovered_at bigint, last_status string, "
     "last_observation_id string, events array<struct<observed_at:bigint,observation_id:string,status:string>>"
 )
+#: the newest observation, the trend (NULL: never transient) and its events
+_STATE = (
+    "at bigint, observation_id string, streak bigint, first_seen bigint, last_seen bigint, recovered_at bigint, last_status string, "
+    "last_observation_id string, events array<struct<observed_at:bigint,observation_id:string,status:string>>"
+)
+_COLUMNS = [KEY, "kind", "streak", "first_seen", "last_seen", "recovered_at", "last_status", "last_observation_id", "events"]
+#: Buckets of keys; a checkpoint keeps their number.
+_BUCKETS = 1024
 _EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 _ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -38,35 +46,40 @@ class TrendProcessor(StatefulProcessor):
 
     A micro-batch's rows of a key are applied in order of time. A row older than the newest one of an earlier batch
     comes out as ``late`` and changes nothing; an observation among the kept events is a replay. Only keys whose state changed come
-    out, so a batch writes as many keys as it touches.
+    out, so a batch writes as many keys as it touches. Rows come by bucket of keys, because a call costs far more than a key;
+    a key is one entry of the bucket's map, read once and written once a batch.
     """
 
     def __init__(self, keep_events: int, ttl_ms: int | None):
         self.keep_events, self.ttl_ms = keep_events, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.newest = handle.getValueState("newest", "at bigint, observation_id string", self.ttl_ms)
-        self.trend = handle.getValueState(
-            "trend", "streak bigint, first_seen bigint, last_seen bigint, recovered_at bigint, last_status string, last_observation_id string", self.ttl_ms)
-        self.events = handle.getListState("events", "observed_at bigint, observation_id string, status string", self.ttl_ms)
+        self.states = handle.getMapState("states", f"{KEY} string", _STATE, self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        seen: dict[str, tuple[int, str]] = {}  # an observation counts once, at its earliest
+        seen: dict[str | None, dict[str, tuple[int, str]]] = {}  # an observation of a key counts once, at its earliest
         for pdf in rows:
-            for at, observation, status in zip(pdf["at"].tolist(), pdf["observation_id"].tolist(), pdf["status"].tolist(), strict=True):
-                if observation not in seen or (at, status) < seen[observation]:
-                    seen[observation] = (at, status)
-        newest = self.newest.get() if self.newest.exists() else None
-        trend = tuple(self.trend.get()) if self.trend.exists() else None
-        events = [tuple(e) for e in self.events.get()] if trend else []
-        known, late, changed = {e[1] for e in events}, [], False
-        last = newest and (newest[0], newest[1])
-        for at, observation, status in sorted((at, o, s) for o, (at, s) in seen.items()):
+            for name, at, observation, status in zip(*(pdf[c].tolist() for c in (KEY, "at", "observation_id", "status")), strict=True):
+                own = seen.setdefault(name, {})
+                if observation not in own or (at, status) < own[observation]:
+                    own[observation] = (at, status)
+        out: list[tuple] = []
+        for name, own in seen.items():
+            self._apply(name, sorted((at, o, s) for o, (at, s) in own.items()), out)
+        yield pd.DataFrame(out, columns=_COLUMNS).astype(dict.fromkeys(["streak", "first_seen", "last_seen", "recovered_at"], "Int64"))
+
+    def _apply(self, name: str | None, observations: list[tuple[int, str, str]], out: list[tuple]) -> None:
+        kept = self.states.getValue((name,))
+        newest = tuple(kept[:2]) if kept else None
+        trend = tuple(kept[2:8]) if kept and kept[6] is not None else None
+        events = [tuple(e) for e in kept[8]] if trend else []
+        known, changed, last = {e[1] for e in events}, False, newest
+        for at, observation, status in observations:
             if observation in known:
                 continue
-            if newest and (at, observation) <= (newest[0], newest[1]):
-                if (at, observation) != (newest[0], newest[1]):
-                    late.append((at, observation, status))
+            if newest and (at, observation) <= newest:
+                if (at, observation) != newest:
+                    out.append((name, "late", None, None, at, None, status, observation, None))
                 continue
             last = (at, observation)
             running = trend is not None and trend[4] == "transient"
@@ -81,15 +94,10 @@ class TrendProcessor(StatefulProcessor):
                 continue
             events, changed = events[-self.keep_events :], True
             known = {e[1] for e in events}
-        if last:
-            self.newest.update(last)
-        out = [(key[0], "late", None, None, at, None, status, observation, None) for at, observation, status in late]
+        if last != newest:
+            self.states.updateValue((name,), (*last, *(trend or [None] * 6), events))
         if changed:
-            self.trend.update(trend)
-            self.events.put(events)
-            out.append((key[0], "state", *trend, [{"observed_at": a, "observation_id": o, "status": s} for a, o, s in events]))
-        yield pd.DataFrame(out, columns=[KEY, "kind", "streak", "first_seen", "last_seen", "recovered_at", "last_status", "last_observation_id", "events"]).astype(
-            dict.fromkeys(["streak", "first_seen", "last_seen", "recovered_at"], "Int64"))
+            out.append((name, "state", *trend, [{"observed_at": a, "observation_id": o, "status": s} for a, o, s in events]))
 
     def close(self) -> None:
         pass
@@ -99,13 +107,14 @@ def start_trend_stream(log: DataFrame, state_path: str, checkpoint: str, ttl_ms:
                        keep_events: int = MAX_TREND_EVENTS, **trigger) -> StreamingQuery:
     """Run the trend over a streaming log (request_key, observation_id, observed_at, status).
 
-    State lives in the state store, with the checkpoint; with ``ttl_ms`` that of a key goes when it was not written for so long.
+    State lives in the state store, with the checkpoint (one of an older layout is not read); with ``ttl_ms`` that of a key goes when it was not written for so long.
     Batch ``n`` writes the changed keys and the late rows to ``state_path/batch=n``; a repeated batch writes the
     same folder again. Both folders must be shared ones.
     """
     spark = log.sparkSession
     rows = log.select(KEY, "observation_id", F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, observed_at)").alias("at"), "status")
-    changes = rows.groupBy(KEY).transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64(KEY), F.lit(_BUCKETS)).alias("bucket")
+    changes = rows.select(bucket, "*").groupBy("bucket").transformWithStateInPandas(
         TrendProcessor(keep_events, ttl_ms), _MOVED, "Update", "ProcessingTime" if ttl_ms else "None")
 
     def write(batch: DataFrame, batch_id: int) -> None:

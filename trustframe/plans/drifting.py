@@ -148,13 +148,16 @@ def transient_trend_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_in_stretches(spark: SparkSession, stretches: list[DataFrame]) -> tuple[StreamingQuery, str]:
-    """Run the trend over stretches of a log that arrive one after another, a micro-batch each; the folder of its state."""
+    """Run the trend over stretches of a log that arrive one after another, a micro-batch each; the folder of its state.
+
+    A stretch is written by as many tasks as read it; the query then takes all its files as one batch, from where it stopped.
+    """
     work = f"{checkpoint_root(spark)}/trend-{uuid.uuid4().hex}"
     for stretch in stretches:
-        stretch.coalesce(1).write.mode("append").parquet(f"{work}/log")
-    source = spark.readStream.schema(stretches[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/log")
-    query = S.start_trend_stream(source, f"{work}/state", f"{work}/checkpoint")
-    query.awaitTermination()
+        stretch.write.mode("append").parquet(f"{work}/log")
+        source = spark.readStream.schema(stretch.schema).parquet(f"{work}/log")
+        query = S.start_trend_stream(source, f"{work}/state", f"{work}/checkpoint")
+        query.awaitTermination()
     return query, f"{work}/state"
 
 

@@ -446,6 +446,14 @@ def test_range_join_deals_a_full_bucket(spark, tmp_path):
     assert got.filter(~F.col("v").between(F.col("lo"), F.col("hi"))).isEmpty()
 
 
+def test_near_duplicates_deal_a_full_cell(spark):
+    # 3,000 sites of one name within some metres: the pairs of the one cell are not one task's
+    df = spark.range(3000).select(F.col("id"), F.concat(F.lit("n"), F.col("id") * 0).alias("name_key"), F.lit("").alias("contact_key"),
+                                  (F.lit(-36.8) + F.col("id") * 1e-9).alias("lat"), F.lit(174.7).alias("lng"))
+    parts = E.near_duplicates(df).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in parts) == 3000 * 2999 // 2 and max(x["count"] for x in parts) < 3000 * 2999 // 2 * 0.8
+
+
 def test_page_tree_is_linear_and_reads_markers(spark):
     tree = pages._Tree()
     tree.feed("<div>" + "<br>x" * 8000 + "<li>y" * 8000)

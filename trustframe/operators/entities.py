@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from trustframe import policies as P
 from trustframe.functions import classify, dates, fingerprints, geo, text
+from trustframe.operators.blocks import in_blocks, same_blocks
 from trustframe.operators.ranking import join_back, occurrence_number
-from trustframe.session import cut_lineage
+from trustframe.session import cut_lineage, spread
 
 MAX_LITERAL_CENTRES = 1000
 
@@ -26,19 +27,23 @@ def _axes(lat: Column, lng: Column) -> list[Column]:
 
 
 def _close_pairs(sites: DataFrame, key: str, radius_m: float) -> DataFrame:
-    """Pairs of sites with an equal key within the radius; only neighbouring grid cells are compared."""
+    """Pairs of sites with an equal key within the radius; only neighbouring grid cells are compared.
+
+    Full cells are cut into blocks. Chords are no longer than arcs, so that most pairs need no arc.
+    """
     size, reach = 4.0 * radius_m, radius_m * 1.001 + 0.01
-    axes = _axes(F.col("lat"), F.col("lng"))
-    names = ("cx", "cy", "cz")
-    home = sites.select("*", *[F.floor(a / size).alias(n) for a, n in zip(axes, names)])
+    names, places = ("cx", "cy", "cz"), ("px", "py", "pz")
+    sites = spread(sites).withColumns(dict(zip(places, _axes(F.col("lat"), F.col("lng")))))
+    home = sites.select("*", *[F.floor(F.col(p) / size).alias(n) for p, n in zip(places, names)])
     around = sites
-    for a, n in zip(axes, names):
-        around = around.withColumn(n, F.explode(F.sequence(F.floor((a - reach) / size), F.floor((a + reach) / size))))
-    a, b = around.alias("a"), home.alias("b")
+    for p, n in zip(places, names):
+        around = around.withColumn(n, F.explode(F.sequence(F.floor((F.col(p) - reach) / size), F.floor((F.col(p) + reach) / size))))
+    a, b = in_blocks(around, home, [key, *names], [key, *names], ["site_id"], ["site_id"])
     cond = F.col(f"a.{key}") == F.col(f"b.{key}")
     for n in names:
         cond = cond & (F.col(f"a.{n}") == F.col(f"b.{n}"))
-    cond = cond & (F.col("a.site_id") < F.col("b.site_id"))
+    chord = sum(((F.col(f"a.{p}") - F.col(f"b.{p}")) * (F.col(f"a.{p}") - F.col(f"b.{p}")) for p in places), F.lit(0.0))
+    cond = cond & same_blocks() & (F.col("a.site_id") < F.col("b.site_id")) & (chord <= reach * reach)
     far = geo.haversine_m(F.col("a.lat"), F.col("a.lng"), F.col("b.lat"), F.col("b.lng"))
     return a.join(b, cond).withColumn("distance", far).filter(F.col("distance") <= radius_m)
 
@@ -77,7 +82,7 @@ def near_duplicates(df: DataFrame, radius_m: float = 200.0) -> DataFrame:
     and every pair of close sites through their first rows, with the number of rows on each side. A
     hot site costs as many rows as it has members, never all pairs.
     """
-    sites = _sites(df)
+    sites = cut_lineage(_sites(df))  # read by each side of both joins
     inside = join_back(
         df.select("id", "name_key", "contact_key", "lat", "lng"), sites.filter("site_rows > 1"),
         ["name_key", "contact_key", "lat", "lng"],

@@ -3,21 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustframe.functions import urls
 from trustframe.functions.variants import pointer_ancestors
+from trustframe.operators.blocks import BLOCKS, in_blocks, same_blocks
 from trustframe.operators.issues import Rule, run_rules
 from trustframe.operators.ranking import join_back
 from trustframe.session import spread
 
-#: Rows of a side that meet in one task of a range join, on average; a merge holds so many of one key without a sorter.
-_BLOCK = 2048
-
 
 def _rename(df: DataFrame, columns: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in columns])
@@ -176,8 +172,7 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], value:
     ``how``: inner or left_anti. Buckets are ``width`` times a power of two; a range takes the power that
     is no smaller than itself, so it lies in at most two buckets, whatever its length. The powers that
     occur (some sixty at most for doubles of one unit) are read first: a point asks one bucket of each.
-    A full bucket is cut into blocks of points and of ranges, and each two blocks meet in a task of their own, so
-    that few keys with many rows use all tasks. Rows that are equal in all columns share a block.
+    Full buckets are cut into blocks.
     """
     span = F.greatest((F.col(high) - F.col(low)).cast("double") / width, F.lit(1.0))
     leveled = ranges.filter(F.col(low) <= F.col(high)).withColumn("__lv", F.ceil(F.log2(span)).cast("int"))
@@ -202,28 +197,12 @@ def range_join(points: DataFrame, ranges: DataFrame, keys: Sequence[str], value:
         return points
     powers = F.array(*map(F.lit, levels)).cast("array<int>")
     asked = spread(points).withColumn("__pl", F.explode(powers)).withColumn("__pb", bucket(F.col(value), F.col("__pl")))
-    asked_keys, met_keys = [*keys, "__pl", "__pb"], [*[f"__r_{k}" for k in keys], "__lv", "__b"]
-    in_points = asked.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(asked_keys)]).agg(F.count(F.lit(1)).alias("__pn"))
-    in_ranges = renamed.groupBy(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(met_keys)]).agg(F.count(F.lit(1)).alias("__rn"))
-    bucket_keys = [f"__k{i}" for i in range(len(met_keys))]
-    blocks = in_points.join(in_ranges, bucket_keys).withColumns({n: F.ceil(F.col(n) / _BLOCK) for n in ("__pn", "__rn")})
-    full = F.broadcast(blocks.filter((F.col("__pn") > 1) | (F.col("__rn") > 1)))  # bounded: a row for thousands of theirs
-
-    def dealt(rows: DataFrame, own: list[str], columns: list[str], mine: str, other: str) -> DataFrame:
-        """Rows with the number of their block in the bucket, once for every block of the other side."""
-        same = reduce(and_, [F.col(c) == F.col(k) for c, k in zip(own, bucket_keys, strict=True)])
-        mine_n, other_n = (F.coalesce(F.col(f"__{side}n"), F.lit(1)) for side in (mine, other))
-        hashed = [c for c in columns if not any(t in rows.schema[c].dataType.simpleString() for t in ("map<", "variant"))]
-        block = F.pmod(F.xxhash64(*hashed), mine_n).alias(f"__{mine}{mine}")
-        others = F.explode(F.sequence(F.lit(0).cast("bigint"), other_n - 1)).alias(f"__{mine}{other}")
-        return spread(rows.join(full, same, "left").select(*rows.columns, block, others), *own, f"__{mine}p", f"__{mine}r")
-
-    p = dealt(asked, asked_keys, points.columns, "p", "r")
-    r = dealt(renamed, met_keys, [low, high, *[c for c in ranges.columns if c not in (*keys, low, high)]], "r", "p")
-    met = (F.col("__pl") == F.col("__lv")) & (F.col("__pb") == F.col("__b"))
-    met = met & (F.col("__pp") == F.col("__rp")) & (F.col("__pr") == F.col("__rr"))
-    # a merge: a broadcast would leave all pairs to the few tasks that read the other table
-    return p.join(r.hint("merge"), met & inside, how).drop(*drop, "__pp", "__pr", "__rp", "__rr")
+    p, r = in_blocks(
+        asked, renamed, [*keys, "__pl", "__pb"], [*[f"__r_{k}" for k in keys], "__lv", "__b"],
+        points.columns, [low, high, *[c for c in ranges.columns if c not in (*keys, low, high)]],
+    )
+    met = (F.col("__pl") == F.col("__lv")) & (F.col("__pb") == F.col("__b")) & same_blocks()
+    return p.join(r, met & inside, how).select("a.*", "b.*").drop(*drop, *BLOCKS)
 
 
 def evidence_window_problems(evidence_verified: Column, evidence_from: Column, evidence_to: Column,

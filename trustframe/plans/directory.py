@@ -11,7 +11,7 @@ from trustframe.operators import entities as E
 from trustframe.operators import filters, rules
 from trustframe.operators import reconcile as R
 from trustframe.plans.registry import plan
-from trustframe.session import load_table
+from trustframe.session import load_table, spread
 from trustframe.sources.readers import unnest_field_list, url_roles, url_summary
 
 DIRECTORY_SQL = """
@@ -126,7 +126,7 @@ p AS (SELECT a.site AS first_id, b.site AS second_id, {_hav('a.lat', 'a.lng', 'b
 
 
 def near_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = load_table(spark, sf_dir, "customer")
+    c = spread(load_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal"))
     k = F.col("c_custkey")
     return c.select(
         k.alias("id"), F.concat_ws(" ", text.norm_name(F.col("c_mktsegment")), F.col("c_nationkey").cast("string")).alias("name_key"),

@@ -114,6 +114,10 @@ class Trie:
                 return self.stem[at]
         return self.word[at]
 
+    def may_be_near(self, word: str) -> bool:
+        """Whether the word can be or begin with a term, or be near one; most words are ruled out by their first four letters."""
+        return len(word) < 4 or self.may_follow(word[:4])
+
     def may_follow(self, start: str) -> bool:
         """Whether a word of four letters or more with this start of four can be or begin a term, or be near one.
 
@@ -253,7 +257,7 @@ class Matcher(dict):
         if len(self) > MOST_KEPT:
             self.clear()
         word, out = clean_word(chunk), 0
-        if word and (len(word) < 4 or self.trie.may_follow(word[:4])):
+        if word and self.trie.may_be_near(word):
             term = self.trie.exact(word)
             if term >= 0:
                 out = term + 1

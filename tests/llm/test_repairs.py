@@ -73,3 +73,40 @@ def test_a_passage_of_many_unlike_documents_makes_few_pairs(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_components(docs).collect()}
     assert {d for d, c in got.items() if d != c} == {500, 501, 502} and (got[500], got[501], got[502]) == (0, 1, 1)
     assert sum(pairs) < 5000
+
+
+def near_copies(seed, n):
+    """Copies of one text with 0 to 16 words replaced, some of them in the same places, and a few that continue another copy."""
+    rnd = random.Random(seed)
+    base = [f"b{i}" for i in range(230)]
+    texts = [list(base)]
+    for _ in range(n):
+        own = list(base if rnd.random() < 0.8 else texts[rnd.randrange(len(texts))])
+        for _ in range(rnd.randrange(17)):
+            own[rnd.randrange(len(base))] = f"x{rnd.randrange(10**6) if rnd.random() < 0.7 else rnd.randrange(30)}"
+        texts.append(own)
+    return texts
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_outsiders_of_a_group_of_near_copies_make_few_pairs(spark, monkeypatch, seed):
+    texts = near_copies(seed, 240)
+    sets = [{tuple(t[k : k + 4]) for k in range(len(t) - 3)} for t in texts]
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= 85 * len(a | sets[j]) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    pairs = []
+    keep = jaccard.Verifier.links
+    monkeypatch.setattr(jaccard.Verifier, "links", lambda self, p: (pairs.append(p.count()), keep(self, p))[1])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_components(docs).collect()}
+    assert got == {i: find(i) for i in range(len(sets))} and 20 < len(set(got.values())) < 240
+    assert sum(pairs) < 10 * len(sets), pairs  # of 28,920

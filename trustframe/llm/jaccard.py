@@ -12,12 +12,14 @@ first n - ceil(t n) + k. The order puts rare tokens first:
   that fall in the same of G groups; G + 1 shared tokens put two in one group. G grows with the size of a set, so the
   pairs stay linear in it.
 
-Sets that share an index key are candidates. They are joined in rounds: every set of a key with the key's leader; then, where
-a key still spans several components, with its neighbour in a seeded order that differs from key to key, so that a set
-meets as many others as it has keys; at last every set outside a key's largest component with all others that sketches of 256 bits
-do not tell apart from it. Only pairs inside one component are never compared, so no link between components is lost, while a group
-of thousands of near copies costs a few comparisons per copy. Candidates are pruned by the overlap of their stored low
-hashes, which is exact, and verified on all tokens.
+Sets that share an index key are candidates; of keys that the same sets hold one is kept. They are joined in two rounds. First every
+set of a key meets the key's leader. Then, where a key still spans several components, its sets meet across components: in
+a key of few sets (single tokens have no others) all that sketches of 256 bits do not tell apart; in a larger one those that
+share a difference from the leader. Of two similar sets in different components one is not similar to the leader, so both
+differ from it in some of the same tokens (``differences``); the more of its own differences a set must share, the fewer of them are
+indexed. Only pairs inside one component are never compared, so no link between components is lost, while a group of thousands of near
+copies costs a few comparisons per copy. Candidates are pruned by the overlap of their stored low hashes, which is exact,
+and verified on all tokens.
 
 Low tokens, those with a low hash, are counted over all documents. The classes of tokens
 only steer the order; a mistake there (the table of frequent tokens has a fixed size) costs time, not links.
@@ -34,7 +36,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustframe.llm.common import BITS, WORD, flags_of, fresh, read_flags
@@ -251,6 +253,31 @@ def similar(overlap: Column, na: Column, nb: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (na + nb)
 
 
+def differences(sets: DataFrame, percent: int) -> DataFrame:
+    """sets(c, tc, sid, n, tokens): sets under leaders c with tokens tc -> with far, and the differences by which a set is found.
+
+    For a leader C, let r be the tokens of C that a set lacks, d those it has beside C and i what it shares with C. If A and B are similar and
+    A is not similar to C (far), they share at least s of their differences r and d together, and of d alone at least u:
+
+    * s > (100 |r of B| + percent |d of B|) / (100 + percent), from |A and B| = |C| - |r of A| - |r of B| + s;
+    * s >= percent |A| / 100 - i of A, and u >= percent |X| / 100 - i of X for either set X, as similar sets share percent of each.
+
+    All differences are in one order, d before r. The first that A and B share is among the first |r| + |d| - s + 1 of either, and, if u > 0,
+    among its first |d| - u + 1. ``seek`` has them for a far set as A, ``found`` for any set as B.
+    """
+    more, less = F.sort_array(F.array_except("tokens", "tc")), F.sort_array(F.array_except("tc", "tokens"))
+    parts = sets.select("c", "sid", "n", F.size("tc").cast("long").alias("nc"), more.alias("d"), less.alias("r"))
+    nd, nr = F.size("d").cast("long"), F.size("r").cast("long")
+    both = F.col("nc") - nr
+    lacks = F.expr(f"(n * {percent} + 99) div 100") - both
+    far = ~similar(both, F.col("n"), F.col("nc"), percent)
+    alone = F.when(lacks >= 1, nd - lacks + 1).otherwise(nd + nr)
+    as_a = F.least(nd + nr - F.greatest(F.lit(1), lacks) + 1, alone)
+    as_b = F.least(nd + nr - F.floor((100 * nr + percent * nd) / (100 + percent)), alone)
+    of = lambda k: F.slice(F.concat("d", "r"), F.lit(1), F.greatest(F.lit(0), k).cast("int"))
+    return parts.select("c", "sid", "n", far.alias("far"), F.when(far, of(as_a)).alias("seek"), of(as_b).alias("found"))
+
+
 class Verifier:
     """Tests candidate pairs; texts are read again only for sets whose low tokens cannot decide."""
 
@@ -310,17 +337,24 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
         # only these sets are indexed by other than low tokens, so rare among them will do
         table_here = often(full.select(F.explode("tokens").alias("t")).where(~is_low))
         more = cut_lineage(all_postings(full, percent, table, table_here))
-        index = index.union(more)
-    several = index.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    shared = cut_lineage(index.join(several, "key", "left_semi"))
+        index = index.withColumn("read", F.lit(False)).union(more.withColumn("read", F.lit(True)))
+    else:
+        index = index.withColumn("read", F.lit(False))
+    of_key = index.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *[F.bit_xor(F.xxhash64("sid", F.lit(i))).alias(f"h{i}") for i in (1, 2)], F.min("read").alias("read"))
+    # one of the keys that the same sets hold; one that more than RARE sets hold is a pair of tokens, so all tokens of its sets are at hand
+    several = of_key.where("c > 1").groupBy("c", "h1", "h2").agg(F.min("key").alias("key"), F.min("read").alias("read"))
+    held_by = cut_lineage(index.drop("read").join(several.select("key", "c", (F.col("read") & (F.col("c") > RARE)).alias("large")), "key"))
+    # the leader of a key is the set whose keys are held most: in the middle of a group of near copies
+    weights = held_by.groupBy("sid").agg(F.sum("c").alias("weight"))
+    shared = cut_lineage(held_by.drop("c").join(weights, "sid"))
     # only sets that share a key are compared
     held = cut_lineage(sets.join(shared.select("sid").distinct(), "sid", "left_semi"))
     wide, sets = sets, cut_lineage(sets.select("sid", "d1", "d2", "rep"))
-    release(first, more, full, lacking, wide)
+    release(first, more, lacking, wide, held_by)
     check = Verifier(docs, held, width, percent)
     fits = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     links = tested = roots = None
-    for turn in ("leader", "chain", "chain again", "rest"):
+    for turn in ("leader", "rest"):
         now = shared
         if roots is not None:
             now = shared.join(roots.toDF("sid", "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -328,20 +362,26 @@ def near_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataF
             now = cut_lineage(now.join(split, "key", "left_semi"))
         else:
             now = now.withColumn("root", F.col("sid"))
+        lead = now.groupBy("key").agg(F.max(F.struct("weight", "sid", "n", "root")).alias("l"))
         if turn == "leader":
-            lead = now.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("p"), "sid", "n", "root")).alias("l"))
             paired = now.join(lead, "key").select("sid", "n", "root", F.col("l.sid").alias("sid2"), F.col("l.n").alias("n2"), F.col("l.root").alias("root2"))
-        elif turn != "rest":
-            order = Window.partitionBy("key").orderBy(F.xxhash64("sid", "key", F.lit(turn)))
-            paired = now.select("sid", "n", "root", *[F.lag(c).over(order).alias(c + "2") for c in ("sid", "n", "root")]).where("sid2 is not null")
         else:
-            now = now.join(held.select("sid", "bits"), "sid")
-            per = now.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+            small = now.where("not large").join(held.select("sid", "bits"), "sid")
+            per = small.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
             main = per.groupBy("key").agg(F.max(F.struct("c", "root")).alias("m")).select("key", F.col("m.root").alias("main"))
-            few = now.join(main, "key").where("root <> main").select("key", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
+            few = small.join(main, "key").where("root <> main").select("key", "main", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.col("bits").alias("bits2"))
             # sets that their sketches tell apart are no pair
             far = ~similar(most_shared("bits", "bits2", F.col("n"), F.col("n2")), F.col("n"), F.col("n2"), percent)
-            paired = now.join(few, "key").where(~far)
+            once = (F.col("root") == F.col("main")) | (F.col("sid") < F.col("sid2"))
+            paired = small.join(few, "key").where(once & ~far).select("sid", "n", "root", "sid2", "n2", "root2")
+            if full is not None:
+                led = now.where("large").join(lead, "key").select(F.col("l.sid").alias("c"), "sid", "root").distinct()
+                tokens = full.select("sid", "n", "tokens")
+                apart = differences(led.select("c", "sid").join(tokens, "sid").join(tokens.select(F.col("sid").alias("c"), F.col("tokens").alias("tc")), "c"), percent)
+                apart = cut_lineage(apart.join(led, ["c", "sid"]))
+                seek = apart.where("far").select("c", "sid", "n", "root", F.explode("seek").alias("t"))
+                found = apart.select("c", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("root").alias("root2"), F.explode("found").alias("t"))
+                paired = paired.union(seek.join(found, ["c", "t"]).select("sid", "n", "root", "sid2", "n2", "root2"))
         pairs = paired.where((F.col("root") != F.col("root2")) & fits(F.col("n"), F.col("n2"))).select(F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")

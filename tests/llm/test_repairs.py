@@ -110,3 +110,26 @@ def test_outsiders_of_a_group_of_near_copies_make_few_pairs(spark, monkeypatch,
     got = {r.doc_id: r.component_id for r in jaccard.near_components(docs).collect()}
     assert got == {i: find(i) for i in range(len(sets))} and 20 < len(set(got.values())) < 240
     assert sum(pairs) < 10 * len(sets), pairs  # of 28,920
+
+
+def test_new_words_of_some_texts_are_encoded_at_once(monkeypatch):
+    import public_tokenizers
+
+    from trustframe.llm import tokens
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEÀÉßöÿÑ" + ".,;!#" + "'0½_ªİ\x85\x0b<|>/"
+    texts = [" ".join("".join(rnd.choice(letters[: rnd.choice([26, 37, 42, len(letters)])]) for _ in range(rnd.randrange(1, 12))) for _ in range(60)) for _ in range(40)]
+    texts += ["", " ", "</w> a", "a<|endoftext|>b", "x" * 3000, "à̀ é"]
+    encoder = tokens._Encoder(path)
+    want = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    learned = []
+    keep = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda new: (learned.append(len(new)), keep(new))[1])
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want == [ids.tolist() for ids in encoder.encode(texts)]
+    assert len(learned) == 1 and learned[0] > 1000
+    # a model that marks no end of a word is asked word by word
+    encoder = tokens._Encoder(path)
+    encoder.ends = np.zeros_like(encoder.ends)
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want

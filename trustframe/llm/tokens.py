@@ -36,7 +36,9 @@ SHARD_TOKENS = 1 << 21
 STEP = 512
 MAGIC = b"WVM2"
 #: Words whose ids a partition keeps; beyond them it starts anew.
-MOST_KEPT = 150_000
+MOST_KEPT = 400_000
+#: New words that the model takes in a line.
+LINE = 50
 
 
 class WaveletMatrix:
@@ -171,57 +173,79 @@ def select_bit(plane: np.ndarray, counts: np.ndarray, size: int, n: int, one: in
 
 #: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
-_PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+)*")
+#: What is neither, nor parts lines.
+_ODD = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,;:!?#$%&*|\n]")
 
 
 @functools.lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer and every id packed: of fixed size, so a worker keeps them."""
+    """The tokenizer, its model behind blanks alone and the ids that end a word: of fixed size, so a worker keeps them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer, pre_tokenizers
 
     own = Tokenizer.from_file(path)
-    # the letter that stands for a byte in the vocabulary
-    letters = {}
-    for c in map(chr, range(192, 256)):
-        if c not in "×÷":
-            (piece, _), = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)
-            letters[ord(c)] = piece
-    return own, [struct.pack("<I", i) for i in range(max(own.get_vocab().values()) + 1)], letters
+    words = Tokenizer(own.model)
+    words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    suffix = getattr(own.model, "end_of_word_suffix", None)
+    vocabulary = own.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    if suffix:
+        ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+    return own, words, ends
 
 
 class _Encoder:
     """Ids of texts, kept for a partition by run of text between blanks and by word, as little-endian bytes.
 
     The tokenizer never joins across blanks, nor a run of letters with a run of other signs, so a text's ids are those
-    of its parts. New plain parts go straight to the tokenizer's model, other runs through the whole tokenizer.
+    of its parts. New plain parts go straight to the tokenizer's model, all of some texts at once; other runs through the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.packed, self.letters = _tokenizer(path)
+        self.tokenizer, self.model, self.ends = _tokenizer(path)
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _one(self, text: str) -> bytes:
-        return b"".join([self.packed[i] for i in self.tokenizer.encode(text, add_special_tokens=False).ids])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of words in lower case; a word's last id, and no other, is one that ends a word."""
+        lines = [" ".join(new[at : at + LINE]) for at in range(0, len(new), LINE)]
+        ids = np.array([i for made in self.model.encode_batch_fast(lines, add_special_tokens=False) for i in made.ids], "<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(new):
+            self.words.update((word, self._one(word)) for word in new)
+            return
+        raw, at = ids.tobytes(), 0
+        for word, end in zip(new, cuts.tolist(), strict=True):
+            self.words[word] = raw[at:end]
+            at = end
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         for kept in (self.runs, self.words):
             if len(kept) > MOST_KEPT:
                 kept.clear()
-        words, packed, tokens, letters = self.words, self.packed, self.tokenizer.model.tokenize, self.letters
-        for chunk in set().union(*split).difference(self.runs):
-            if not _PLAIN.fullmatch(chunk):
-                self.runs[chunk] = self._one(chunk)
-                continue
-            parts = _PARTS.findall(chunk.lower())
-            for word in parts:
-                if word not in words:
-                    words[word] = b"".join([packed[t.id] for t in tokens(word if word.isascii() else word.translate(letters))])
-            self.runs[chunk] = words[parts[0]] if len(parts) == 1 else b"".join([words[w] for w in parts])
-        get = self.runs.__getitem__
-        return [np.frombuffer(b"".join(map(get, chunks)), "<u4") for chunks in split]
+        words, runs = self.words, self.runs
+        known = [list(map(runs.get, own)) for own in split]
+        chunks = list({c for own, made in zip(split, known, strict=True) if None in made for c, ids in zip(own, made, strict=True) if ids is None})
+        lines = "\n".join(chunks)
+        odd = {lines[lines.rfind("\n", 0, m.start()) + 1 : end if (end := lines.find("\n", m.start())) >= 0 else len(lines)] for m in _ODD.finditer(lines)}
+        for chunk in odd:
+            runs[chunk] = self._one(chunk)
+        if odd:
+            chunks = [c for c in chunks if c not in odd]
+        # plain runs: each letter has one lower case, so the lines stay as they are
+        low = "\n".join(chunks).lower().split("\n") if chunks else []
+        parts = [None if c.isalpha() else _PARTS.findall(c) for c in low]
+        new = {c for c, own in zip(low, parts, strict=True) if own is None}.union(*filter(None, parts)).difference(words)
+        if new:
+            self._learn(list(new))
+        for chunk, word, own in zip(chunks, low, parts, strict=True):
+            runs[chunk] = words[word] if own is None else b"".join([words[w] for w in own])
+        whole = ([runs[c] if ids is None else ids for c, ids in zip(own, made, strict=True)] for own, made in zip(split, known, strict=True))
+        return [np.frombuffer(b"".join(made), "<u4") for made in whole]
 
 
 def write_wavelet_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:

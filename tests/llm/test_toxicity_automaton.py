@@ -92,3 +92,19 @@ def test_counts_of_terms_by_hand(spark, monkeypatch):
     every = set(held[0]) | set(held[1])
     want = {t: (held[1].get(t, 0), held[0].get(t, 0), uses[1].get(t, 0), uses[0].get(t, 0)) for t in every}
     assert got == {t: x for t, x in want.items() if x[0] >= toxicity.LEAST_DOCUMENTS}
+
+
+def test_a_batch_is_read_in_pieces(spark, monkeypatch):
+    # a reader that takes whole batches holds the texts of thousands of rows as strings
+    model = (["idiot"], [3.0], [], [2.0, 0.0, 0.0, 2.0, -4.0])
+    docs = spark.createDataFrame([(i if i % 7 else None, f"one {'idiot' if i % 3 == 0 else 'word'} more", [i]) for i in range(1003)], "doc_id long, text string, tags array<long>").coalesce(1)
+    whole = [tuple(r) for r in toxicity.score_documents(docs, model).collect()]
+    monkeypatch.setattr(toxicity, "PIECE", 10)
+    assert [tuple(r) for r in toxicity.score_documents(docs, model).collect()] == whole and len(whole) == 1003
+    kept = toxicity.score_documents(docs, model, 0.3)
+    assert kept.schema == docs.schema and [tuple(r) for r in kept.collect()] == [tuple(r) for r in docs.collect() if "idiot" not in r.text]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(95)]})
+    parts = list(toxicity.pieces(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 10 and [t for p in parts for t in p.column("text").to_pylist()] == [str(i) for i in range(95)]

@@ -17,7 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +41,9 @@ LEAST_FUZZY = 5
 #: Words before and after a hit that make its context.
 CONTEXT = 6
 #: Words that a partition keeps; beyond them it starts anew.
-MOST_KEPT = 200_000
+MOST_KEPT = 100_000
+#: Rows whose texts a task has as Python strings at a time; its batches hold thousands.
+PIECE = 200
 THRESHOLD = 0.3
 # fixed values: characters read as letters inside words, marks that open or close a quotation, words of reporting
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -268,6 +270,12 @@ class Matcher(dict):
         return out
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, PIECE):
+            yield batch.slice(begin, PIECE)
+
+
 def is_quoted(chunks: list[str], at: int) -> bool:
     """The hit stands between quotation marks, or a word of reporting stands near it."""
     before, after = chunks[max(0, at - CONTEXT) : at + 1], chunks[at : at + CONTEXT + 1]
@@ -307,29 +315,29 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
     admitted by a binomial tail (Chernoff bound), corrected for the number of terms.
     """
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"word": pa.string(), "toxic": pa.int32(), "n": pa.int64(), "shared": pa.int32()}
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, toxic, n, shared): distinct words of each document in order, with the letters shared with the one before."""
         clean = CleanWords()
-        for pdf in batches:
-            for begin in range(0, len(pdf), 200):
-                part = pdf.iloc[begin : begin + 200]
-                found: tuple[list, list, list, list] = ([], [], [], [])
-                for text, toxic in zip(part["text"], part["toxic"], strict=True):
-                    own: Counter = Counter()
-                    for chunk, n in Counter(text.lower().split()).items():
-                        own[clean[chunk]] += n
-                    own.pop("", None)
-                    last = ""
-                    found[0].append(""), found[1].append(toxic), found[2].append(sum(own.values())), found[3].append(0)
-                    for word in sorted(own):
-                        shared = 0
-                        for x, y in zip(word, last):
-                            if x != y or shared == STEMS[-1]:
-                                break
-                            shared += 1
-                        found[0].append(word), found[1].append(toxic), found[2].append(own[word]), found[3].append(shared)
-                        last = word
-                yield pd.DataFrame(dict(zip(("word", "toxic", "n", "shared"), found, strict=True)))
+        for part in pieces(batches):
+            found: tuple[list, list, list, list] = ([], [], [], [])
+            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+                own: Counter = Counter()
+                for chunk, n in Counter(text.lower().split()).items():
+                    own[clean[chunk]] += n
+                own.pop("", None)
+                last = ""
+                found[0].append(""), found[1].append(toxic), found[2].append(sum(own.values())), found[3].append(0)
+                for word in sorted(own):
+                    shared = 0
+                    for x, y in zip(word, last):
+                        if x != y or shared == STEMS[-1]:
+                            break
+                        shared += 1
+                    found[0].append(word), found[1].append(toxic), found[2].append(own[word]), found[3].append(shared)
+                    last = word
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds.values(), strict=True)], list(kinds))
 
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
@@ -337,7 +345,7 @@ def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
         return [], []
     of = lambda c, label: F.sum(F.when(F.col("toxic") == label, F.col(c)).otherwise(0))
     # a stem is new to its document where the word before, in order, does not share it
-    used = labelled.select("text", "toxic").mapInPandas(words, "word string, toxic int, n long, shared int")
+    used = labelled.select("text", "toxic").mapInArrow(words, "word string, toxic int, n long, shared int")
     k = F.char_length("word")
     stems = [F.when(k >= i, F.struct(F.concat(F.substr("word", F.lit(1), F.lit(i)), F.lit("*")).alias("term"), (F.lit(i) > F.col("shared")).cast("int").alias("held"))) for i in STEMS]
     own = F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("held")), *stems)
@@ -388,15 +396,15 @@ def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
     """Words of documents that aren't toxic within one edit of a term, and (with ``*``) their starts of the stems' lengths: no misspellings."""
     shared = sample.sparkSession.sparkContext.broadcast(terms)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(shared.value)
-        for pdf in batches:
-            chunks = {c for t in pdf["text"] for c in t.lower().split()}
-            words = {clean_word(c) for c in chunks if matcher[c] < 0}
-            yield pd.DataFrame({"word": np.array(sorted(words | {w[:k] + "*" for w in words for k in STEMS}), dtype=object)})
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, words = Matcher(shared.value), set()
+        for part in pieces(batches):
+            chunks = {c for t in part.column("text").to_pylist() for c in t.lower().split()}
+            words |= {clean_word(c) for c in chunks if matcher[c] < 0}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(words | {w[:k] + "*" for w in words for k in STEMS}), pa.string())], ["word"])
 
     # bounded by the words of the sample
-    return [r["word"] for r in sample.where("toxic = 0").select("text").mapInPandas(near, "word string").distinct().collect()]
+    return [r["word"] for r in sample.where("toxic = 0").select("text").mapInArrow(near, "word string").distinct().collect()]
 
 
 #: Terms, their weights, words that are no misspellings, weights of the counts.
@@ -408,13 +416,14 @@ def with_features(df: DataFrame, model: Model) -> DataFrame:
     """df(toxic, text) -> (toxic, f): the counts of each document."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, rates, usual, _ = shared.value
         matcher = Matcher(terms, frozenset(usual))
-        for pdf in batches:
-            yield pdf[["toxic"]].assign(f=[features(t, matcher, rates) for t in pdf["text"]])
+        for part in pieces(batches):
+            f = [features(t, matcher, rates) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("toxic").cast(pa.int32()), pa.array(f, pa.list_(pa.float64()))], ["toxic", "f"])
 
-    return df.select("toxic", "text").mapInPandas(measure, "toxic int, f array<double>")
+    return df.select("toxic", "text").mapInArrow(measure, "toxic int, f array<double>")
 
 
 def fit(labelled: DataFrame, sample: DataFrame) -> Model:
@@ -452,16 +461,19 @@ def score_documents(docs: DataFrame, model: Model, keep_below: float | None = No
     name = fresh(docs, "score")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, rates, usual, weights = shared.value
         matcher = Matcher(terms, frozenset(usual))
-        for pdf in batches:
-            f = np.array([features(t, matcher, rates) if t else [0.0] * FEATURES for t in pdf["text"]]).reshape(len(pdf), FEATURES)
-            score = scores(f, weights) if weights else np.zeros(len(pdf))
-            yield pdf[kept].assign(**{name: score}) if keep_below is None else pdf[score < keep_below]
+        for part in pieces(batches):
+            f = np.array([features(t, matcher, rates) if t else [0.0] * FEATURES for t in part.column("text").to_pylist()]).reshape(part.num_rows, FEATURES)
+            score = scores(f, weights) if weights else np.zeros(part.num_rows)
+            if keep_below is None:
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(score)], [*kept, name])
+            else:
+                yield part.filter(pa.array(score < keep_below))
 
     fields = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema if x.name != "text")
-    return docs.mapInPandas(measure, f"{fields}, `{name}` double" if keep_below is None else docs.schema)
+    return docs.mapInArrow(measure, f"{fields}, `{name}` double" if keep_below is None else docs.schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

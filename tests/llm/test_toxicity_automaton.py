@@ -108,3 +108,19 @@ def test_a_batch_is_read_in_pieces(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"text": [str(i) for i in range(95)]})
     parts = list(toxicity.pieces(iter([batch])))
     assert max(p.num_rows for p in parts) <= 10 and [t for p in parts for t in p.column("text").to_pylist()] == [str(i) for i in range(95)]
+
+
+def test_equal_words_of_documents_leave_in_one_row(monkeypatch):
+    # a row a word and document has Spark make ten stems of each
+    import pyarrow as pa
+
+    texts, toxic = ["stupid stone stupid", "Stone, stupid", "stone", "  ", "a stone"] * 60, [1, 0, 0, 1, 1] * 60
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(toxic, pa.int32())], ["text", "toxic"])
+    rows = [tuple(r.values()) for made in toxicity.word_rows(iter([batch])) for r in made.to_pylist()]
+    # (word, toxic, letters shared with the word before, documents, uses)
+    assert sorted(rows) == sorted([
+        ("", 1, 0, 180, 300), ("", 0, 0, 120, 180), ("stone", 1, 0, 120, 120), ("stupid", 1, 2, 60, 120), ("stone", 0, 0, 120, 120),
+        ("stupid", 0, 2, 60, 60), ("a", 1, 0, 60, 60)])
+    monkeypatch.setattr(toxicity, "MOST_ROWS", 1)
+    parts = [made.to_pylist() for made in toxicity.word_rows(iter([batch]))]
+    assert len(parts) == 2 and sum(r["held"] for p in parts for r in p) == sum(r[3] for r in rows)

@@ -44,6 +44,8 @@ CONTEXT = 6
 MOST_KEPT = 100_000
 #: Rows whose texts a task has as Python strings at a time; its batches hold thousands.
 PIECE = 200
+#: Different rows of word counts that a task collects before it passes them on.
+MOST_ROWS = 50_000
 THRESHOLD = 0.3
 # fixed values: characters read as letters inside words, marks that open or close a quotation, words of reporting
 LEET = str.maketrans("013457@$!", "oieastasi")
@@ -308,47 +310,68 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
     return [math.log1p(plain), math.log1p(quoted), math.log1p(len(terms)), math.log1p(100 * plain / len(chunks))]
 
 
+#: Columns of ``word_rows``.
+KINDS = {"word": pa.string(), "toxic": pa.int32(), "shared": pa.int32(), "held": pa.int64(), "n": pa.int64()}
+
+
+def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, toxic) -> (word, toxic, shared, held, n): distinct words of each document in order, with the letters shared with the one before.
+
+    Documents that say the same of a word are counted in one row (held: documents, n: uses), some ``MOST_ROWS`` rows at a time, so that
+    Spark makes stems of far fewer rows. The word "" counts the documents and all their words.
+    """
+    clean = CleanWords()
+    counts: dict[tuple[int, int], tuple[dict[str, int], dict[str, int]]] = {}
+
+    def batch() -> pa.RecordBatch:
+        found: tuple[list, ...] = ([], [], [], [], [])
+        for (toxic, shared), (held, uses) in counts.items():
+            for column, values in zip(found, (held, [toxic] * len(held), [shared] * len(held), held.values(), uses.values()), strict=True):
+                column.extend(values)
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, KINDS.values(), strict=True)], list(KINDS))
+
+    for part in pieces(batches):
+        for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
+            own: Counter = Counter()
+            for chunk, n in Counter(text.lower().split()).items():
+                own[clean[chunk]] += n
+            own.pop("", None)
+            last, found = "", [("", 0, sum(own.values()))]
+            for word in sorted(own):
+                shared = 0
+                for x, y in zip(word, last):
+                    if x != y or shared == STEMS[-1]:
+                        break
+                    shared += 1
+                found.append((word, shared, own[word]))
+                last = word
+            for word, shared, n in found:
+                held, uses = counts.get((toxic, shared)) or counts.setdefault((toxic, shared), ({}, {}))
+                held[word] = held.get(word, 0) + 1
+                uses[word] = uses.get(word, 0) + n
+        if sum(len(held) for held, _ in counts.values()) >= MOST_ROWS:
+            yield batch()
+    if counts:
+        yield batch()
+
+
 def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
     """labelled(text, toxic) -> words and stems (with ``*``) that mark toxic documents, and their weights.
 
     A term's weight is the log ratio of its rates among the words of toxic and of other documents. Rare terms are
     admitted by a binomial tail (Chernoff bound), corrected for the number of terms.
     """
-
-    kinds = {"word": pa.string(), "toxic": pa.int32(), "n": pa.int64(), "shared": pa.int32()}
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(word, toxic, n, shared): distinct words of each document in order, with the letters shared with the one before."""
-        clean = CleanWords()
-        for part in pieces(batches):
-            found: tuple[list, list, list, list] = ([], [], [], [])
-            for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                own: Counter = Counter()
-                for chunk, n in Counter(text.lower().split()).items():
-                    own[clean[chunk]] += n
-                own.pop("", None)
-                last = ""
-                found[0].append(""), found[1].append(toxic), found[2].append(sum(own.values())), found[3].append(0)
-                for word in sorted(own):
-                    shared = 0
-                    for x, y in zip(word, last):
-                        if x != y or shared == STEMS[-1]:
-                            break
-                        shared += 1
-                    found[0].append(word), found[1].append(toxic), found[2].append(own[word]), found[3].append(shared)
-                    last = word
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, kinds.values(), strict=True)], list(kinds))
-
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return [], []
     of = lambda c, label: F.sum(F.when(F.col("toxic") == label, F.col(c)).otherwise(0))
     # a stem is new to its document where the word before, in order, does not share it
-    used = labelled.select("text", "toxic").mapInArrow(words, "word string, toxic int, n long, shared int")
+    used = labelled.select("text", "toxic").mapInArrow(word_rows, "word string, toxic int, shared int, held long, n long")
     k = F.char_length("word")
-    stems = [F.when(k >= i, F.struct(F.concat(F.substr("word", F.lit(1), F.lit(i)), F.lit("*")).alias("term"), (F.lit(i) > F.col("shared")).cast("int").alias("held"))) for i in STEMS]
-    own = F.array(F.struct(F.col("word").alias("term"), F.lit(1).alias("held")), *stems)
+    stems = [F.when(k >= i, F.struct(F.concat(F.substr("word", F.lit(1), F.lit(i)), F.lit("*")).alias("term"), F.when(F.lit(i) > F.col("shared"), F.col("held")).otherwise(F.lit(0).cast("long")).alias("held"))) for i in STEMS]
+    own = F.array(F.struct(F.col("word").alias("term"), F.col("held")), *stems)
     terms = used.select("toxic", "n", F.explode(own).alias("t")).where("t is not null").select("toxic", "n", "t.term", "t.held")
     counts = cut_lineage(terms.groupBy("term").agg(
         of("held", 1).alias("a"), of("held", 0).alias("b"), of("n", 1).alias("ua"), of("n", 0).alias("ub")).where(

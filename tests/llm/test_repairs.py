@@ -133,3 +133,29 @@ def test_new_words_of_some_texts_are_encoded_at_once(monkeypatch):
     encoder = tokens._Encoder(path)
     encoder.ends = np.zeros_like(encoder.ends)
     assert [ids.tolist() for ids in encoder.encode(texts)] == want
+
+
+def test_slices_of_texts_are_cut_and_gathered_by_arrow(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    from trustframe.llm import tokens
+
+    rnd = random.Random(5)
+    signs = ["a", "Z", "É", "ß", "ÿ", "×", "İ", "K", "'s", "1", " ", "  ", "\n", "\t", "\r", "\x0b", "　", ".", ",!", "-", "<|endoftext|>", "日本", "the", "\x00", "|"]
+    texts = ["", None, *("".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(2000)), "long " * 500]
+    column = pa.array(texts, pa.string())
+    monkeypatch.setattr(tokens, "SLICE", 4000)
+    bounds = list(tokens.slices(column))
+    assert len(bounds) > 10 and [b for b, _ in bounds] == [0, *(e for _, e in bounds[:-1])] and bounds[-1][1] == len(texts)
+    encoder = tokens._Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for most in (tokens.MOST_KEPT, 300):
+        monkeypatch.setattr(tokens, "MOST_KEPT", most)
+        got, kept = [], []
+        for begin, end in bounds:
+            got += [ids.tolist() for ids in encoder.encode(column[begin:end].fill_null(""))]
+            kept.append(len(encoder.words))
+        assert got == want and len(set(encoder.words.to_pylist())) == kept[-1]
+        assert (sorted(kept) == kept) == (most > 300)
+    assert encoder.encode([]) == [] and tokens.gather(np.arange(9), np.array([7, 0, 3]), np.array([2, 0, 4])).tolist() == [7, 8, 3, 4, 5, 6]

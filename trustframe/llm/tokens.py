@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -23,6 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ STEP = 512
 MAGIC = b"WVM2"
 #: Words whose ids a partition keeps; beyond them it starts anew.
 MOST_KEPT = 400_000
+#: Bytes of the texts that are encoded at once, about.
+SLICE = 8 << 20
 #: New words that the model takes in a line.
 LINE = 50
 
@@ -57,11 +60,13 @@ class WaveletMatrix:
         symbols = np.flatnonzero(flags).astype(np.uint32)
         places = np.cumsum(flags, dtype=np.int64) - 1
         kind = np.uint16 if len(symbols) <= 1 << 16 else np.uint32
-        now, planes = places[ids].astype(kind), []
+        now, planes = places.astype(kind)[ids], []
         for bit in reversed(range(max(1, int(len(symbols) - 1).bit_length()))):
-            ones = (now >> kind(bit) & kind(1)).astype(bool)
-            planes.append(np.packbits(ones, bitorder="little"))
-            now = np.concatenate([now[~ones], now[ones]])
+            planes.append(np.packbits(now & kind(1 << bit) != 0, bitorder="little"))
+            if bit:
+                # a plane is an Arrow array of flags as it is
+                own, ones = pa.array(now), pa.Array.from_buffers(pa.bool_(), len(now), [None, pa.py_buffer(planes[-1])])
+                now = np.concatenate([own.filter(pc.invert(ones)).to_numpy(), own.filter(ones).to_numpy()])
         return cls(symbols, starts, doc_ids, known, planes, len(ids))
 
     def to_bytes(self) -> bytes:
@@ -171,105 +176,163 @@ def select_bit(plane: np.ndarray, counts: np.ndarray, size: int, n: int, one: in
     return low
 
 
-#: Letters whose lower case is one letter whatever stands beside them, and signs without a meaning of their own.
-_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?#$%&*|]+")
-#: What is neither, nor parts lines.
-_ODD = re.compile(r"[^A-Za-zÀ-ÖØ-öø-ÿ.,;:!?#$%&*|\n]")
+#: Signs without a meaning of their own.
+_SIGNS = "([.,;:!?#$%&*|]+)"
+#: What is neither such a sign nor a letter whose lower case is one letter whatever stands beside it.
+_ODD = "[^A-Za-zÀ-ÖØ-öø-ÿ.,;:!?#$%&*|]"
 
 
 @functools.lru_cache(maxsize=1)
 def _tokenizer(path: str):
-    """The tokenizer, its model behind blanks alone and the ids that end a word: of fixed size, so a worker keeps them."""
+    """The tokenizer, its model behind blanks (for ASCII, and for all letters) and the ids that end a word: of fixed size, so a worker keeps them."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer, pre_tokenizers
 
     own = Tokenizer.from_file(path)
-    words = Tokenizer(own.model)
+    # the letters that stand for the bytes of ASCII letters and signs are themselves
+    ascii_words, words = Tokenizer(own.model), Tokenizer(own.model)
+    ascii_words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
     words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     suffix = getattr(own.model, "end_of_word_suffix", None)
     vocabulary = own.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     if suffix:
         ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-    return own, words, ends
+    return own, ascii_words, words, ends
+
+
+def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of values, one behind the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    return values[np.arange(total, dtype=kind) + np.repeat((starts - (ends - sizes)).astype(kind), sizes)]
 
 
 class _Encoder:
-    """Ids of texts, kept for a partition by run of text between blanks and by word, as little-endian bytes.
+    """Ids of texts; those of words are kept for a partition.
 
     The tokenizer never joins across blanks, nor a run of letters with a run of other signs, so a text's ids are those
-    of its parts. New plain parts go straight to the tokenizer's model, all of some texts at once; other runs through the whole tokenizer.
+    of its parts. A slice of texts is cut into its different runs between blanks, and these into their different words, by Arrow; new plain words
+    go straight to the tokenizer's model, all at once, other runs through the whole tokenizer; and ids are gathered along the cuts.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.model, self.ends = _tokenizer(path)
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words in lower case; a word's last id, and no other, is one that ends a word."""
-        lines = [" ".join(new[at : at + LINE]) for at in range(0, len(new), LINE)]
-        ids = np.array([i for made in self.model.encode_batch_fast(lines, add_special_tokens=False) for i in made.ids], "<u4")
-        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
-        if len(cuts) != len(new):
-            self.words.update((word, self._one(word)) for word in new)
-            return
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(new, cuts.tolist(), strict=True):
-            self.words[word] = raw[at:end]
-            at = end
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        for kept in (self.runs, self.words):
-            if len(kept) > MOST_KEPT:
-                kept.clear()
-        words, runs = self.words, self.runs
-        known = [list(map(runs.get, own)) for own in split]
-        chunks = list({c for own, made in zip(split, known, strict=True) if None in made for c, ids in zip(own, made, strict=True) if ids is None})
-        lines = "\n".join(chunks)
-        odd = {lines[lines.rfind("\n", 0, m.start()) + 1 : end if (end := lines.find("\n", m.start())) >= 0 else len(lines)] for m in _ODD.finditer(lines)}
-        for chunk in odd:
-            runs[chunk] = self._one(chunk)
-        if odd:
-            chunks = [c for c in chunks if c not in odd]
-        # plain runs: each letter has one lower case, so the lines stay as they are
-        low = "\n".join(chunks).lower().split("\n") if chunks else []
-        parts = [None if c.isalpha() else _PARTS.findall(c) for c in low]
-        new = {c for c, own in zip(low, parts, strict=True) if own is None}.union(*filter(None, parts)).difference(words)
-        if new:
-            self._learn(list(new))
-        for chunk, word, own in zip(chunks, low, parts, strict=True):
-            runs[chunk] = words[word] if own is None else b"".join([words[w] for w in own])
-        whole = ([runs[c] if ids is None else ids for c, ids in zip(own, made, strict=True)] for own, made in zip(split, known, strict=True))
-        return [np.frombuffer(b"".join(made), "<u4") for made in whole]
+        self.tokenizer, self.ascii_words, self.other_words, self.ends = _tokenizer(path)
+        self._forget()
+
+    def _forget(self) -> None:
+        #: words and odd runs; of each the first place in the ids, and how many it has
+        self.words, self.starts, self.sizes = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def _keep(self, new: pa.Array, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        self.words = pa.concat_arrays([self.words, new])
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.ids) + starts]), np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _whole(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of runs by the whole tokenizer, and how many each has."""
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(new.to_pylist(), add_special_tokens=False)]
+        return np.array([i for own in made for i in own], "<u4"), np.array([len(own) for own in made], np.int64)
+
+    def _plain(self, new: pa.Array, model) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in lower case, and how many each has; a word's last id, and no other, is one that ends a word."""
+        bounds = pa.array([*range(0, len(new), LINE), len(new)], pa.int32())
+        lines = pc.binary_join(pa.ListArray.from_arrays(bounds, new), " ").to_pylist()
+        ids = np.array([i for made in model.encode_batch_fast(lines, add_special_tokens=False) for i in made.ids], "<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(cuts, prepend=0)) if len(cuts) == len(new) else self._whole(new)
+
+    def _learn(self, new: pa.Array) -> None:
+        starts, sizes, found, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), [], 0
+        letters = pc.string_is_ascii(new).to_numpy(zero_copy_only=False)
+        filled = pc.not_equal(new, "").to_numpy(zero_copy_only=False)  # "" stands beside signs
+        for some, model in ((letters & filled, self.ascii_words), (~letters, self.other_words)):
+            if some.any():
+                ids, own = self._plain(new.filter(pa.array(some)), model)
+                starts[some], sizes[some] = at + np.cumsum(own) - own, own
+                found.append(ids)
+                at += len(ids)
+        self._keep(new, np.concatenate([np.zeros(0, "<u4"), *found]), starts, sizes)
+
+    def _numbers(self, words: pa.Array, odd: np.ndarray) -> np.ndarray:
+        numbers = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
+        unknown = numbers < 0
+        for some in (unknown & ~odd, unknown & odd):
+            if some.any():
+                new = words.filter(pa.array(some))
+                numbers[some] = len(self.words) + np.arange(len(new))
+                if odd[some][0]:
+                    ids, own = self._whole(new)
+                    self._keep(new, ids, np.cumsum(own) - own, own)
+                else:
+                    self._learn(new)
+        return numbers
+
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        if len(self.words) > MOST_KEPT:
+            self._forget()
+        cut = pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.string()), "[\\n\\t\\r]", " "), " ")
+        counts = cut.value_lengths().to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        runs, codes = coded.dictionary, coded.indices.to_numpy()
+        odd = pc.match_substring_regex(runs, _ODD)
+        # plain runs: each letter has one lower case
+        parts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(runs.filter(pc.invert(odd))), _SIGNS, " \\1 "), " ")
+        words = parts.flatten().dictionary_encode()
+        n = len(words.dictionary)
+        numbers = self._numbers(pa.concat_arrays([words.dictionary, runs.filter(odd)]), np.arange(n + odd.true_count) >= n)
+        numbers = np.concatenate([numbers[words.indices.to_numpy()], numbers[n:]])
+        # of all runs, plain ones before odd ones: their parts, then their ids
+        sizes = self.sizes[numbers]
+        ids = gather(self.ids, self.starts[numbers], sizes)
+        held = np.concatenate([parts.value_lengths().to_numpy().astype(np.int64), np.ones(odd.true_count, np.int64)])
+        ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])[np.cumsum(held)]
+        run_sizes = np.diff(ends, prepend=0)
+        order = np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable")
+        at = np.empty(len(order), np.int64)
+        at[order] = np.arange(len(order))
+        at = at[codes]
+        own = run_sizes[at]
+        made = gather(ids, (ends - run_sizes)[at], own)
+        last = np.concatenate([np.zeros(1, np.int64), np.cumsum(own)])[np.cumsum(counts)]
+        return np.split(made, last[:-1]) if len(last) else []
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of rows with about ``SLICE`` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        before = int(total[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(total, before + SLICE, "right")))
+        yield begin, end
+        begin = end
 
 
 def write_wavelet_shards(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS) -> None:
     """docs(doc_id, text) -> files of shards in ascending doc_id order; names of records hold their order."""
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(tokenizer)
         partition, number = TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list[int | None] = []
         held, end = 0, np.array([END], "<u4")
 
-        def pack() -> pd.DataFrame:
+        def pack() -> pa.RecordBatch:
             sizes = np.array([len(x) for x in ids], np.int64)
             starts = np.cumsum(sizes) - sizes
             known = np.array([n is not None for n in names])
             shard = WaveletMatrix.build(np.concatenate(ids), starts, np.array([n or 0 for n in names], np.int64), known)
-            return pd.DataFrame({"payload": [struct.pack("<QQ", partition, number) + shard.to_bytes()]})
+            return pa.RecordBatch.from_arrays([pa.array([struct.pack("<QQ", partition, number) + shard.to_bytes()], pa.binary())], ["payload"])
 
-        for pdf in batches:
-            texts, own = pdf["text"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for begin in range(0, len(texts), 200):
-                for name, made in zip(own[begin : begin + 200], encoder.encode([t or "" for t in texts[begin : begin + 200]]), strict=True):
-                    ids.append(np.concatenate([made, end]))
+        for batch in batches:
+            texts, own = batch.column("text"), [None if x is None or x != x else int(x) for x in batch.column("doc_id").to_pylist()]
+            for begin, until in slices(texts):
+                for name, made in zip(own[begin:until], encoder.encode(pc.fill_null(texts[begin:until], "")), strict=True):
+                    ids.append(np.append(made, end))
                     names.append(name)
                     held += len(made) + 1
                     if held >= shard_tokens:
@@ -281,7 +344,7 @@ def write_wavelet_shards(docs: DataFrame, tokenizer: str, path: str, shard_token
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    records = ordered.mapInPandas(shards, "payload binary")
+    records = ordered.mapInArrow(shards, "payload binary")
     # one record per file, its bytes as they are
     records.select(F.col("payload").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("compression", "none").text(path)
 

@@ -159,3 +159,23 @@ def test_slices_of_texts_are_cut_and_gathered_by_arrow(monkeypatch):
         assert got == want and len(set(encoder.words.to_pylist())) == kept[-1]
         assert (sorted(kept) == kept) == (most > 300)
     assert encoder.encode([]) == [] and tokens.gather(np.arange(9), np.array([7, 0, 3]), np.array([2, 0, 4])).tolist() == [7, 8, 3, 4, 5, 6]
+
+
+def test_a_worker_gives_back_what_a_partition_freed():
+    import re
+    from pathlib import Path
+
+    from trustframe.llm import common
+
+    held = lambda: int(re.search(r"\nAnonymous:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+    pins, during = [], []
+
+    def work(batches):
+        made = [bytes(800) for _ in range(150_000)]
+        pins.extend(made[::1000])  # else the allocator shrinks by itself
+        for batch in batches:
+            yield batch
+        during.append(held())
+
+    assert list(common.releasing(work)(iter([1, 2, 3]))) == [1, 2, 3] and len(pins) == 150
+    assert held() < during[0] - 60

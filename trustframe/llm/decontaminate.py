@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import fresh
+from trustframe.llm.common import fresh, releasing
 from trustframe.session import cut_lineage, load_table
 
 WINDOW = 6
@@ -129,6 +129,7 @@ def slot_values(tokens: list[str], literal: np.ndarray, at: int, width: int) ->
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """benchmark(item_id, text) -> its windows: templates in both readings, exact ones where a reading has too few literal tokens."""
 
+    @releasing
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Classes()
         for pdf in batches:
@@ -176,6 +177,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     widths = sorted({w for w, _ in counts})
     any_sparse = any(kind == SPARSE for _, kind in counts)
 
+    @releasing
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, known = np.unpackbits(table.value).astype(bool), _Classes()
         for pdf in batches:

@@ -39,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import BITS, WORD, flags_of, fresh, read_flags
+from trustframe.llm.common import BITS, WORD, flags_of, fresh, read_flags, releasing
 from trustframe.session import cut_lineage, load_table, release
 
 #: Sets that hold a token, up to which it is rare.
@@ -152,6 +152,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """docs(doc_id, text, text_key) -> (doc_id, text_key, n, d1, d2, whole, tokens, bits): digest of each set, its (low) tokens and its sketch."""
     limit = low_limit(percent)
 
+    @releasing
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for pdf in batches:
@@ -174,6 +175,7 @@ def tokens_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(flags_of(keys.select(F.xxhash64("text_key").alias("h")), "h"))
 
+    @releasing
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flags, known = read_flags(wanted.value), _Words()
         for pdf in batches:
@@ -190,6 +192,7 @@ def tokens_of(docs: DataFrame, keys: DataFrame, width: int) -> DataFrame:
 def _index(sets: DataFrame, keys_of: Callable[[], Callable[[np.ndarray, int], np.ndarray | None]]) -> DataFrame:
     """sets(sid, n, tokens) -> (key, sid, n); key NULL: the set needs all its tokens. ``keys_of`` is called once a partition."""
 
+    @releasing
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys_for = keys_of()
         for pdf in batches:

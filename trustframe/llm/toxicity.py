@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trustframe.llm.common import bounded_sample, fresh, may_hold, remainder
+from trustframe.llm.common import bounded_sample, fresh, may_hold, releasing, remainder
 from trustframe.session import cut_lineage, load_table
 
 #: Labelled rows of either class that the weights of the counts are fitted on.
@@ -314,6 +314,7 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
 KINDS = {"word": pa.string(), "toxic": pa.int32(), "shared": pa.int32(), "held": pa.int64(), "n": pa.int64()}
 
 
+@releasing
 def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (word, toxic, shared, held, n): distinct words of each document in order, with the letters shared with the one before.
 
@@ -419,6 +420,7 @@ def usual_words(sample: DataFrame, terms: list[str]) -> list[str]:
     """Words of documents that aren't toxic within one edit of a term, and (with ``*``) their starts of the stems' lengths: no misspellings."""
     shared = sample.sparkSession.sparkContext.broadcast(terms)
 
+    @releasing
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher, words = Matcher(shared.value), set()
         for part in pieces(batches):
@@ -439,6 +441,7 @@ def with_features(df: DataFrame, model: Model) -> DataFrame:
     """df(toxic, text) -> (toxic, f): the counts of each document."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, rates, usual, _ = shared.value
         matcher = Matcher(terms, frozenset(usual))
@@ -484,6 +487,7 @@ def score_documents(docs: DataFrame, model: Model, keep_below: float | None = No
     name = fresh(docs, "score")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @releasing
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, rates, usual, weights = shared.value
         matcher = Matcher(terms, frozenset(usual))

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,6 +92,12 @@ def test_tokens_in_context(spark):
     assert got[4].clause == " Valid 2026-07-01 for 12 months"
 
 
+def test_neighbourhoods_count_characters(spark):
+    """A character beyond U+FFFF before a number counts once, and the number keeps its place among the others."""
+    got = run(spark, ["a \U0001F600 fee $12 and 345 days"], numbers.tokens_in_context(X))[0]
+    assert [(t.token, t.left, t.right) for t in got] == [("12", " \U0001F600 fee $", " and 345 day"), ("345", "$12 and ", " days")]
+
+
 def test_text_transforms(spark):
     t = numbers.text_transform
     cases = {
@@ -221,3 +228,13 @@ def test_serialized_brackets(spark):
     got = [df.select(arrays.transform_value(F.lit("serializeBrackets"), F.array().cast("array<decimal(38,18)>"), none.cast("string"),
                                             none.cast("decimal(38,18)"), F.col("b"), label, scale)).collect() for label, scale in (("above", False), ("rest", True))]
     assert [[r[0] for r in rows] for rows in got] == [["10@0.3;above@0.45", None, None], ["10@0.30;rest@0.45", None, None]]
+def test_category_words_say_what_the_patterns_say(spark):
+    words = [w for some in P.CATEGORY_WORDS.values() for w in some] + ["age", "Ages", "5 – 6세", "7세다", "30歳", "세", "tax rate", "\u0130", "\u212a", "x", " "]
+    rnd = random.Random(3)
+    texts = ["".join(rnd.choice((str, str.upper, str.title))(rnd.choice(words)[: rnd.choice((1, 3, 99))]) + rnd.choice(("", " ", "9")) for _ in range(rnd.randrange(1, 4))) for _ in range(600)]
+    names = F.array(*map(F.lit, P.CATEGORY_PATTERNS))
+    by_words = run(spark, texts, classify.clause_categories(X, names))
+    by_patterns = run(spark, texts, F.array_compact(F.array(*[F.when(X.rlike(p), F.lit(name)) for name, p in P.CATEGORY_PATTERNS.items()])))
+    assert by_words == by_patterns and all(any(name in found for found in by_words) for name in P.CATEGORY_PATTERNS)
+
+

@@ -515,6 +515,15 @@ def test_page_fact_coverage_of_long_numbers(spark, tmp_path):
     assert rowset(plan.run(spark, str(tmp_path)), "category", "outcome", "n") == want == [("fee", "marked", 12), ("quota", "uncovered", 2)]
 
 
+def test_numbers_of_a_category_are_made_once(spark):
+    """The test for rows without numbers does not make them a second time, and tokens are not cut twice from a clause."""
+    df = spark.createDataFrame([("Visa fee NZD $900; age 18 years old",)], "body string")
+    facts = C.numeric_facts(df, "body")
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(") == 1 and plan.count("split(body") == 1
+    assert rowset(facts, "category", "numbers") == [("age", ["18"]), ("fee", ["900"])]
+
+
 def test_links_leave_the_parser_alone(spark, monkeypatch):
     """Texts of other elements are not made for the links of a page."""
     asked = []

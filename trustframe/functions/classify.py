@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -131,12 +135,32 @@ def response_class(
     raise ValueError(f"unknown response profile {profile!r}")
 
 
+def _has_any(lowered: Column, words: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.contains(lowered, F.lit(word)) for word in words])
+
+
+def _wording(text: Column, lowered: Column) -> dict[str, Column]:
+    """Whether a text has the wording of a category: ``CATEGORY_PATTERNS``, by words, which are found in less time than by a pattern."""
+    has = {name: _has_any(lowered, words) for name, words in P.CATEGORY_WORDS.items()}
+    for name, (words, pattern) in P.CATEGORY_FORMS.items():
+        has[name] = has[name] | (_has_any(lowered, words) & text.rlike(pattern))
+    return has
+
+
+def _lowered(text: Column, work: Callable[[Column], Column]) -> Column:
+    """What ``work`` makes of the text in lower case, which is made once."""
+    return F.transform(F.array(F.lower(text)), work)[0]
+
+
 def text_categories(text: Column) -> Column:
     """Categories whose wording occurs in the text, in fixed order."""
-    has = {name: text.rlike(pattern) for name, pattern in P.CATEGORY_PATTERNS.items()}
-    timed = text.rlike(P.TIME_UNIT) & text.rlike(P.IMMIGRATION_WORDS)
-    has["duration"] = has["duration"] & ~has["processing"] & timed
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in has.items()]))
+    def found(lowered: Column) -> Column:
+        has = _wording(text, lowered)
+        timed = text.rlike(P.TIME_UNIT) & text.rlike(P.IMMIGRATION_WORDS)
+        has["duration"] = has["duration"] & ~has["processing"] & timed
+        return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in has.items()]))
+
+    return _lowered(text, found)
 
 
 def id_categories(claim_id: Column) -> Column:
@@ -146,11 +170,22 @@ def id_categories(claim_id: Column) -> Column:
     )
 
 
-def clause_categories(clause: Column) -> Column:
-    """Categories a clause gives its numbers: its own wording, or a price next to a visa word (fee)."""
-    has = {name: clause.rlike(pattern) for name, pattern in P.CATEGORY_PATTERNS.items()}
-    has["fee"] = has["fee"] | (clause.rlike(r"(?i)(?:NZD|CAD|AUD|\$)") & clause.rlike(P.IMMIGRATION_WORDS))
-    return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for name, hit in has.items()]))
+def _of_category(category: Column, rules: dict[str, Column]) -> Column:
+    """The rule of one category; the others are not evaluated."""
+    cases = F
+    for name, rule in rules.items():
+        cases = cases.when(category == name, rule)
+    return cases.otherwise(F.lit(False))
+
+
+def clause_categories(clause: Column, categories: Column) -> Column:
+    """Those of ``categories`` that a clause gives its numbers: its own wording, or a price next to a visa word (fee)."""
+    def found(lowered: Column) -> Column:
+        has = _wording(clause, lowered)
+        has["fee"] = has["fee"] | (_has_any(lowered, P.CURRENCY_WORDS) & clause.rlike(P.IMMIGRATION_WORDS))
+        return F.filter(categories, lambda c: _of_category(c, has))
+
+    return _lowered(clause, found)
 
 
 def countable(value: Column, in_date: Column) -> Column:
@@ -160,8 +195,8 @@ def countable(value: Column, in_date: Column) -> Column:
     return F.coalesce(~in_date & ~special & (value < 10_000_000), F.lit(False))
 
 
-def fitting_categories(value: Column, left: Column, right: Column) -> Column:
-    """Categories whose unit and size rules a number passes in its neighbourhood (8 left, 12 right)."""
+def fits_category(category: Column, value: Column, left: Column, right: Column) -> Column:
+    """Whether a number passes the unit and size rules of a category in its neighbourhood (8 left, 12 right)."""
     near = F.concat_ws("#", left, right)
     points = right.rlike(r"(?i)\A\s*(?:점|points?\b)")
     age = (value <= 100) & near.rlike(r"(?i)(?:세|歳|years?\s*old|age|연령|나이)") & ~points
@@ -174,7 +209,7 @@ def fitting_categories(value: Column, left: Column, right: Column) -> Column:
         "fee": F.lit(True), "age": age, "quota": large, "wage": ~span & ~points, "tax": F.lit(True),
         "funds": large, "processing": timed | F.contains(near, F.lit("%")), "duration": timed,
     }
-    return F.array_compact(F.array(*[F.when(ok, F.lit(name)) for name, ok in rules.items()]))
+    return _of_category(category, rules)
 
 
 def evidence_level(source_class: Column) -> Column:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from trustframe import policies as P
 
 DECIMAL = "decimal(38,18)"
+#: A number token; most places of a text are ruled out before anything is looked at around them.
+NUMBER = r"(?=\d)" + P.NUMBER_TOKEN
 
 
 def canonical_decimal(value: Column) -> Column:
@@ -32,39 +34,40 @@ def canonical_token(token: Column) -> Column:
     part = F.rpad(part, F.greatest(F.length(part), shift), F.lit("0"))
     whole = F.regexp_replace(F.concat(whole, F.substring(part, F.lit(1), shift)), r"\A0+(?=\d)", "")
     part = F.rtrim(F.substring(part, shift + 1, F.length(part)), F.lit("0"))
-    return F.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
+    # most tokens are digits alone, for which only zeros before them go
+    plain = F.when(token.rlike(r"\A\d+\z"), F.regexp_replace(token, r"\A0+(?=\d)", ""))
+    return plain.when(part == "", whole).otherwise(F.concat(whole, F.lit("."), part))
 
 
 def token_value(token: Column) -> Column:
     """Number of a token for comparisons only; its exact digits are those of ``canonical_token``."""
-    return canonical_token(token).cast("double")
+    return F.when(token.rlike(r"\A[\d.]+\z"), token.cast("double")).otherwise(canonical_token(token).cast("double"))
 
 
 def number_tokens(text: Column) -> Column:
     """All number tokens in order, as written."""
-    return F.regexp_extract_all(text, F.lit("(" + P.NUMBER_TOKEN + ")"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit("(" + NUMBER + ")"), F.lit(1))
 
 
 def tokens_in_context(text: Column, clause_note: Callable[[Column], Column] | None = None) -> Column:
     """``array<struct<token,value,left,right,clause,in_date>>``: tokens with clause and neighbourhood.
 
-    All regular expressions run once per text (or clause) and are zipped: the token list over the whole
+    All regular expressions run once per text (or clause) and are zipped: the neighbourhoods over the whole
     text and the token lists of its clauses have the same order because no clause break can fall
     inside a token. ``clause_note`` replaces the clause text by something computed once per clause.
     """
-    token = P.NUMBER_TOKEN
-    left = r"(?:(?<=(.{8}))|(?<=^(.{0,7})))"
-    raw = number_tokens(text)
-    head = F.regexp_extract_all(text, F.lit("(?s)" + left + token), F.lit(1))
-    start = F.regexp_extract_all(text, F.lit("(?s)" + left + token), F.lit(2))
-    tail = F.regexp_extract_all(text, F.lit("(?s)" + token + r"(?=(.{0,12}))"), F.lit(1))
+    # the last alternative never matches: a character beyond U+FFFF in a pattern makes Java look behind by characters, not UTF-16 units
+    left = F.regexp_extract_all(text, F.lit("(?s)(?=\\d)(?<=(^.{0,7}|.{8}|(?!)\U0010FFFF))" + P.NUMBER_TOKEN), F.lit(1))
+    right = F.regexp_extract_all(text, F.lit("(?s)" + NUMBER + "(?=(.{0,12}))"), F.lit(1))
     note = clause_note or (lambda c: c)
     per_clause = F.transform(
         F.split(text, P.CLAUSE_BREAK), lambda c: F.struct(number_tokens(c).alias("t"), note(c).alias("n"))
     )
-    clause = F.flatten(F.transform(per_clause, lambda c: F.transform(c["t"], lambda _t: c["n"])))
+    found = F.flatten(F.transform(per_clause, lambda c: F.transform(
+        c["t"], lambda t: F.struct(t.alias("token"), token_value(t).alias("value"), c["n"].alias("clause"))
+    )))
     # tokens inside a date span, found by marking date spans and tokens in one pass
-    marked = F.regexp_replace(text, "(" + P.DATE_SPAN + ")|(" + token + ")", "\u0001$1\u0002$2\u0003")
+    marked = F.regexp_replace(text, r"(?=\d)(?:(" + P.DATE_SPAN + ")|(" + P.NUMBER_TOKEN + "))", "\u0001$1\u0002$2\u0003")
     pieces = F.regexp_extract_all(marked, F.lit("(?s)\u0001([^\u0002]*)\u0002[^\u0003]*\u0003"), F.lit(1))
     in_date = F.flatten(
         F.transform(
@@ -74,17 +77,12 @@ def tokens_in_context(text: Column, clause_note: Callable[[Column], Column] | No
             ),
         )
     )
-    zipped = F.arrays_zip(
-        raw.alias("token"), F.transform(raw, token_value).alias("value"), head.alias("head"), start.alias("start"),
-        tail.alias("tail"), clause.alias("clause"), in_date.alias("in_date"),
-    )
+    zipped = F.arrays_zip(found.alias("found"), left.alias("left"), right.alias("right"), in_date.alias("in_date"))
     return F.transform(
         zipped,
         lambda z: F.struct(
-            z["token"].alias("token"), z["value"].alias("value"),
-            # a lookbehind group can keep a stale value, so the full-width one decides
-            F.when(F.length(z["head"]) == 8, z["head"]).otherwise(z["start"]).alias("left"),
-            z["tail"].alias("right"), z["clause"].alias("clause"), z["in_date"].alias("in_date"),
+            z["found"]["token"].alias("token"), z["found"]["value"].alias("value"), z["left"].alias("left"),
+            z["right"].alias("right"), z["found"]["clause"].alias("clause"), z["in_date"].alias("in_date"),
         ),
     )
 

@@ -14,24 +14,17 @@ from trustframe.operators.rules import blank
 from trustframe.functions.dates import strict_date
 
 
-def facts_in(body: Column) -> Column:
-    """``array<struct<number,worded,fitting>>`` of the countable numbers of a text."""
-    tokens = numbers.tokens_in_context(body, classify.clause_categories)
-    kept = F.filter(tokens, lambda t: classify.countable(t["value"], t["in_date"]))
-    return F.transform(
-        kept,
-        lambda t: F.struct(
-            numbers.canonical_token(t["token"]).alias("number"), t["clause"].alias("worded"),
-            classify.fitting_categories(t["value"], t["left"], t["right"]).alias("fitting"),
-        ),
-    )
+def facts_in(body: Column, categories: Column) -> Column:
+    """Countable number tokens of a text in context; ``clause`` has those of ``categories`` that the token's clause gives it."""
+    tokens = numbers.tokens_in_context(body, lambda clause: classify.clause_categories(clause, categories))
+    return F.filter(tokens, lambda t: classify.countable(t["value"], t["in_date"]))
 
 
 def numeric_facts(df: DataFrame, body: str, own_mark: str | None = None) -> DataFrame:
     """(…, category, numbers) for every category with at least one number; ``body`` is normalised text.
 
     Categories come from the wording of the text; a mark adds the categories of its identifier, and
-    for those the clause needs no keyword.
+    for those the clause needs no keyword. A category's patterns run only where the text or the mark has it.
     """
     text_has = classify.text_categories(F.col(body))
     by_id = F.array().cast("array<string>")
@@ -39,16 +32,21 @@ def numeric_facts(df: DataFrame, body: str, own_mark: str | None = None) -> Data
         by_id = F.coalesce(classify.id_categories(F.col(own_mark)), by_id)
     staged = df.filter(F.col(body).rlike(r"\d")).withColumns({"__w": text_has, "__i": by_id})
     some = (F.size("__w") > 0) | (F.size("__i") > 0)
-    staged = staged.withColumn("__f", F.when(some, facts_in(F.col(body))))
-    rows = staged.withColumn("category", F.explode(F.array_union("__w", "__i")))
-    worded, marked = F.array_contains("__w", F.col("category")), F.array_contains("__i", F.col("category"))
-    kept = F.filter(
-        "__f",
-        lambda f: F.array_contains(f["fitting"], F.col("category"))
-        & (marked | (worded & F.array_contains(f["worded"], F.col("category")))),
-    )
-    out = rows.withColumn("numbers", F.array_distinct(F.transform(kept, lambda f: f["number"])))
-    return out.filter(F.size("numbers") > 0).drop("__w", "__i", "__f")
+    staged = staged.withColumn("__f", F.when(some, facts_in(F.col(body), F.col("__w"))))
+
+    def facts_of(category: Column) -> Column:
+        marked = F.array_contains("__i", category)
+        kept = F.filter(
+            "__f",
+            lambda f: (marked | F.array_contains(f["clause"], category))
+            & classify.fits_category(category, f["value"], f["left"], f["right"]),
+        )
+        found = F.array_distinct(F.transform(kept, lambda f: numbers.canonical_token(f["token"])))
+        return F.struct(category.alias("category"), found.alias("numbers"))
+
+    # the numbers are made and tested inside one array: a filter above them would be pushed down with a copy of its own
+    rows = F.filter(F.transform(F.array_union("__w", "__i"), facts_of), lambda r: F.size(r["numbers"]) > 0)
+    return staged.select(*df.columns, F.inline(rows))
 
 
 def page_candidates(elements: DataFrame) -> DataFrame:

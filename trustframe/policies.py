@@ -175,6 +175,29 @@ CATEGORY_PATTERNS = {
         r"滞在期間|有効期間|勤務期間|期間)"
     ),
 }
+# the words of CATEGORY_PATTERNS in lower case; a pattern adds what words alone don't say
+CATEGORY_WORDS = {
+    "fee": ("신청비", "수수료", "비자비", "fee", "application cost", "申請費", "手数料", "料金"),
+    "age": ("연령", "나이"),
+    "quota": ("쿼터", "정원", "선발권", "quota", "定員", "枠"),
+    "wage": (
+        "최저임금", "중위임금", "시급", "연봉", "급여", "minimum wage", "median wage",
+        "hourly wage", "salary", "最低賃金", "中央値賃金", "時給", "年収", "給与",
+    ),
+    "tax": ("세율", "소득세", "원천징수", "tax", "税率", "所得税"),
+    "funds": (
+        "자금증명", "생활비 증명", "proof of funds", "financial support",
+        "settlement funds", "資金証明", "生活費証明",
+    ),
+    "processing": ("처리", "processing", "処理"),
+    "duration": (
+        "체류기간", "유효기간", "근무기간", "기간", "만료", "stay", "duration", "valid for",
+        "滞在期間", "有効期間", "勤務期間", "期間",
+    ),
+}
+# words that a pattern goes on from: (words, pattern)
+CATEGORY_FORMS = {"age": (("age", "세", "歳"), r"(?i)(?:age\b|\d[\d\s–~〜～-]*(?:세\b|歳))")}
+CURRENCY_WORDS = ("nzd", "cad", "aud", "$")
 CATEGORY_BY_ID = {
     "fee": r"(?:^|-)(?:fee|fees|ivl)(?:-|$)",
     "age": r"(?:^|-)age(?:-|$)",

@@ -60,6 +60,32 @@ def test_automaton_equals_edit_distances():
     assert hits > 2000
 
 
+def test_moves_of_the_automaton_are_kept():
+    """Words with the same start take the moves that the first of them had worked out, and a word is read no further than places are left."""
+    trie = toxicity.Trie(["grandiose", "grumble*", "idiot"])
+    assert [trie.near(w) for w in ("grandoise", "grmbles", "idaot", "grand", "xyzxyzxyz")] == [0, 1, 2, -1, -1]
+    known = len(trie.places), sum(map(len, trie.moves))
+    assert [trie.near(w) for w in ("grandoise", "grmbles", "idaot", "grand", "xyzabcabc")] == [0, 1, 2, -1, -1]
+    assert (len(trie.places), sum(map(len, trie.moves))) == known
+    trie.forget()
+    assert len(trie.places) == 2 and trie.near("grmbles") == 1
+
+
+def test_kept_states_are_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_STATES", 5)
+    terms = ["grandiose", "grumble*", "idiot"]
+    matcher, whole = toxicity.Matcher(terms), toxicity.Trie(terms)
+    for word in ("grandoise", "grmbles", "idaot", "grand", "grumbled", "iditos", "gandiose"):
+        exact, near = whole.exact(word), whole.near(word)
+        assert matcher[word] == (exact + 1 or -(near + 1)), word
+        assert len(matcher.trie.places) < 60
+
+
+def test_shared_letters_by_hand():
+    words = ["", "ab", "abc", "b", "", "", "éa", "éab", "grandiosely", "grandioselyest"]
+    assert toxicity.shared_letters(words).to_pylist() == [0, 0, 2, 0, 0, 0, 0, 2, 0, 10]
+
+
 def test_a_column_named_score_is_kept(spark):
     docs = spark.createDataFrame([(1, "text", "mine")], "doc_id long, text string, score string")
     row = toxicity.score_documents(docs, toxicity.NOTHING).first()

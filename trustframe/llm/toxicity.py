@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ LEAST_FUZZY = 5
 CONTEXT = 6
 #: Words that a partition keeps; beyond them it starts anew.
 MOST_KEPT = 100_000
+#: States of the automaton that a partition keeps.
+MOST_STATES = 20_000
 #: Rows whose texts a task has as Python strings at a time; its batches hold thousands.
 PIECE = 200
 #: Different rows of word counts that a task collects before it passes them on.
@@ -54,14 +57,21 @@ REPORTING = frozenset("said says quoted quote called word words term wrote write
 EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”„«»‘’…–—¡¿"
 
 
+#: The edit made on the way to a node of the trie; a letter stands for a swap of which the word must still have that letter.
+NO_EDIT, EDIT, SWAP = "none", "edit", "swap"
+#: A node and an edit.
+Place = tuple[int, str]
+#: States without a place, and before the first letter.
+NOWHERE, BEGINNING = 0, 1
+
+
 class Trie:
     """Lexicon terms; a stem ends in ``*`` and covers every word that starts with it.
 
     ``near`` intersects the trie with the Levenshtein automaton of a word for distance 1 (insertion, deletion, replacement, swap of
-    neighbours). The automaton's states are (letters read, edits made). Those without an edit lie along the word's own
-    path in the trie; each leaves it by one edit and is deterministic from there on. The edits that do not depend on the word
-    are compiled: ``skip`` leads from a node past any one child by the letter behind it, or, near the root, where most edits come
-    to nothing and no term ends, by the three letters behind it; ``below`` lists the children that end a term.
+    neighbours). A place of the intersection is a node and the edit made on the way to it: none, a swap, any other, or a swap's second
+    letter that the word must have next. The places that words with the same start can be at make a state; a state's moves are worked
+    out when a word first takes them and then kept, so that a word is read by one look-up a letter, up to the letter that leaves no place.
     """
 
     def __init__(self, terms: list[str]):
@@ -69,9 +79,8 @@ class Trie:
         self.word: list[int] = [-1]
         self.stem: list[int] = [-1]
         self.depth: list[int] = [0]
-        #: short terms and stems after a swap of neighbours
-        self.swapped: dict[str, int] = {}
-        self.stem_swapped: dict[str, int] = {}
+        #: letters of a stem, or of the start that a short term is held against, by the term's number; 0: none, for other whole words
+        self.start_of: list[int] = []
         for i, term in enumerate(terms):
             text, at, stem = term.rstrip("*"), 0, term.endswith("*")
             for c in text:
@@ -80,32 +89,19 @@ class Trie:
                     self.children.append({}), self.word.append(-1), self.stem.append(-1), self.depth.append(self.depth[at] + 1)
                 at = self.children[at][c]
             (self.stem if stem else self.word)[at] = i
-            if len(text) < LEAST_FUZZY:
-                for k in range(len(text) - 1):
-                    if text[k] != text[k + 1]:
-                        (self.stem_swapped if stem else self.swapped).setdefault(text[:k] + text[k + 1] + text[k] + text[k + 2 :], i)
-        self.short_sizes = sorted({len(x) for x in self.stem_swapped})
-        self.starts: dict[str, bool] = {}
-        self.skip: list[dict[str, list[int]]] = []
-        self.below: list[list[int]] = []
-        for own in self.children:
-            past: dict[str, list[int]] = {}
-            for child in own.values():
-                for c, node in self.children[child].items():
-                    past.setdefault(c, []).append(node)
-            self.skip.append(past)
-            self.below.append([c for c in own.values() if self.depth[c] >= LEAST_FUZZY and (self.word[c] >= 0 or self.stem[c] >= 0)])
-
-        # the first nodes: past a child and three letters, at most at depth 5, which is the first where a term is found by an edit
-        self.jump: dict[int, dict[str, list[int]]] = {}
-        for node in [0, *self.children[0].values()] if LEAST_FUZZY >= 5 else []:
-            far: dict[str, list[int]] = {}
-            for child in self.children[node].values():
-                for c, x in self.children[child].items():
-                    for d, y in self.children[x].items():
-                        for e, z in self.children[y].items():
-                            far.setdefault(c + d + e, []).append(z)
-            self.jump[node] = far
+            self.start_of.append(LEAST_FUZZY - 1 if len(text) < LEAST_FUZZY else len(text) if stem else 0)
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the kept states anew, with the empty one and the one before any letter."""
+        self.states: dict[frozenset[Place], int] = {}
+        self.places: list[frozenset[Place]] = []
+        self.moves: list[dict[str, int]] = []
+        #: terms that a word ends with in a state, and stems that it then starts with
+        self.ends: list[list[int]] = []
+        self.begins: list[list[int]] = []
+        self._state(frozenset())
+        self._state(frozenset([(0, NO_EDIT)]))
 
     def exact(self, word: str) -> int:
         """Term that the word is or starts with; -1: none."""
@@ -119,117 +115,69 @@ class Trie:
         return self.word[at]
 
     def may_be_near(self, word: str) -> bool:
-        """Whether the word can be or begin with a term, or be near one; most words are ruled out by their first four letters."""
+        """Whether the word can be or begin with a term, or be near one, by its first four letters."""
         return len(word) < 4 or self.may_follow(word[:4])
 
     def may_follow(self, start: str) -> bool:
-        """Whether a word of four letters or more with this start of four can be or begin a term, or be near one.
-
-        The states that are left after the start: the word's own path short of its last letter, where any edit may come, or a
-        path behind an edit that reads the whole start or a stem. Terms found by edits have five letters, so none ends before.
-        """
-        kept = self.starts
-        if start not in kept:
-            if len(kept) > MOST_KEPT:
-                kept.clear()
-            kept[start] = self._reaches(start)
-        return kept[start]
-
-    def _reaches(self, start: str) -> bool:
-        children, node, last = self.children, 0, len(start) - 1
-
-        def reads(at_node: int, at: int) -> bool:
-            while at_node >= 0 and at <= last:
-                if self.stem[at_node] >= 0:
-                    return True
-                at_node = children[at_node].get(start[at], -1)
-                at += 1
-            return at_node >= 0
-
-        for at in range(last):
-            c, d, skip = start[at], start[at + 1], self.skip[node]
-            after = children[node].get(d, -1)
-            if any(reads(x, at + 1) for x in skip.get(c, ())) or any(reads(x, at + 2) for x in skip.get(d, ())) or reads(after, at + 2):
-                return True
-            if after >= 0 and reads(children[after].get(c, -1), at + 2):
-                return True
-            node = children[node].get(c, -1)
-            if node < 0 or self.stem[node] >= 0:
-                return node >= 0
-        return True
+        """Whether a word of four letters or more with this start of four can be or begin a term, or be near one."""
+        state, found = self._read(start)
+        return state != NOWHERE or bool(found) or self.exact(start) >= 0
 
     def near(self, word: str, usual: frozenset[str] = frozenset()) -> int:
         """Term within one edit; the smallest number wins.
 
         A stem is held against every prefix of the word, unless the word's start of its length is in ``usual``.
         """
-        n, children = len(word), self.children
-        found = self._short_swaps(word)
-        if found and word[: LEAST_FUZZY - 1] + "*" in usual:
-            found = []
-        node, at = 0, 0
-        while True:
-            # states without an edit: a letter may lack at the end; what ends here needs none of the word's rest
-            if at >= n - 1:
-                self._ends(node, n, n, word, usual, found)
-            elif self.stem[node] >= 0:
-                self._ends(node, at, n, word, usual, found)
-            # an edit that ends a term: a letter of the term lacks in the word, or another stands for it
-            for child in self.below[node]:
-                self._ends(child, at, n, word, usual, found)
-                if at < n:
-                    self._ends(child, at + 1, n, word, usual, found)
-            if at < n:
-                c, far = word[at], self.jump.get(node)
-                after = children[node].get(word[at + 1], -1) if at + 1 < n else -1
-                if far is not None:
-                    for past in far.get(word[at : at + 3], ()):
-                        self._follow(past, at + 3, n, word, usual, found)
-                    for past in far.get(word[at + 1 : at + 4], ()):
-                        self._follow(past, at + 4, n, word, usual, found)
-                else:
-                    skip = self.skip[node]
-                    for past in skip.get(c, ()):
-                        self._follow(past, at + 1, n, word, usual, found)
-                    if at + 1 < n:
-                        for past in skip.get(word[at + 1], ()):
-                            self._follow(past, at + 2, n, word, usual, found)
-                if at + 1 < n:
-                    if after >= 0:
-                        self._follow(after, at + 2, n, word, usual, found)  # a letter too many
-                        swapped = children[after].get(c, -1)
-                        if swapped >= 0:
-                            self._follow(swapped, at + 2, n, word, usual, found)
-                node = children[node].get(c, -1)
-                at += 1
-                if node >= 0:
-                    continue
-            return min(found, default=-1)
-
-    def _follow(self, node: int, at: int, n: int, word: str, usual: frozenset[str], found: list[int]) -> None:
-        """The rest of the word after its one edit."""
-        children = self.children
-        while node >= 0:
-            if self.word[node] >= 0 or self.stem[node] >= 0:
-                self._ends(node, at, n, word, usual, found)
-            if at >= n:
-                return
-            node = children[node].get(word[at], -1)
-            at += 1
-
-    def _ends(self, node: int, at: int, n: int, word: str, usual: frozenset[str], found: list[int]) -> None:
-        """Note the term of a node, if ``at`` letters of the word are enough for it."""
-        depth = self.depth[node]
-        if depth >= LEAST_FUZZY:
-            if at == n and self.word[node] >= 0:
-                found.append(self.word[node])
-            if self.stem[node] >= 0 and word[:depth] + "*" not in usual:
-                found.append(self.stem[node])
-
-    def _short_swaps(self, word: str) -> list[int]:
-        """Short terms that the word is, or short stems that it starts with, after a swap of neighbours."""
-        found = [self.swapped.get(word, -1), *(self.stem_swapped.get(word[:k], -1) for k in self.short_sizes)]
-        return [x for x in found if x >= 0]
+        state, found = self._read(word)
+        found = found + self.ends[state]
+        return min((i for i in found if not self.start_of[i] or word[: self.start_of[i]] + "*" not in usual), default=-1) if found else -1
+
+    def _read(self, word: str) -> tuple[int, list[int]]:
+        """The state after the word, and the stems that it starts with or is near to starting with."""
+        moves, begins, state, found = self.moves, self.begins, BEGINNING, []
+        for c in word:
+            after = moves[state].get(c)
+            state = self._move(state, c) if after is None else after
+            if state == NOWHERE:
+                break
+            if begins[state]:
+                found = found + begins[state]
+        return state, found
+
+    def _move(self, state: int, c: str) -> int:
+        """Where the letter leads from a state."""
+        after: set[Place] = set()
+        for node, edit in self.places[state]:
+            own = self.children[node]
+            if edit == NO_EDIT:
+                after.add((node, EDIT))  # a letter too many
+                for d, child in own.items():
+                    below = self.children[child]
+                    after.add((child, NO_EDIT if c == d else EDIT))
+                    if c in below:
+                        after.add((below[c], EDIT))  # a letter lacks
+                        if c != d:
+                            after.add((below[c], d))
+            elif edit in (EDIT, SWAP):
+                if c in own:
+                    after.add((own[c], edit))
+            elif edit == c:
+                after.add((node, SWAP))
+        to = self.moves[state][c] = self._state(frozenset(after))
+        return to
+
+    def _state(self, places: frozenset[Place]) -> int:
+        if places not in self.states:
+            self.states[places] = len(self.places)
+            self.places.append(places)
+            self.moves.append({})
+            # what a word has that ends here or before a letter that lacks; terms under LEAST_FUZZY letters only by a swap
+            here = {(node, edit) for node, edit in places if edit in (NO_EDIT, EDIT, SWAP)}
+            here |= {(child, EDIT) for node, edit in places if edit == NO_EDIT for child in self.children[node].values()}
+            reached = {node for node, edit in here if edit == SWAP or self.depth[node] >= LEAST_FUZZY}
+            self.ends.append(sorted(self.word[node] for node in reached if self.word[node] >= 0))
+            self.begins.append(sorted(self.stem[node] for node in reached if self.stem[node] >= 0))
+        return self.states[places]
 
 
 def clean_word(chunk: str) -> str:
@@ -260,8 +208,10 @@ class Matcher(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) > MOST_KEPT:
             self.clear()
+        if len(self.trie.places) > MOST_STATES:
+            self.trie.forget()
         word, out = clean_word(chunk), 0
-        if word and self.trie.may_be_near(word):
+        if word:
             term = self.trie.exact(word)
             if term >= 0:
                 out = term + 1
@@ -299,14 +249,14 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
         return [0.0] * FEATURES
     plain = quoted = 0.0
     terms = set()
-    for at, term in enumerate(found):
-        if term:
-            weight = weights[abs(term) - 1] * (1.0 if term > 0 else FUZZY)
-            if is_quoted(chunks, at):
-                quoted += weight
-            else:
-                terms.add(abs(term))
-                plain += weight
+    for at in [at for at, term in enumerate(found) if term]:
+        term = found[at]
+        weight = weights[abs(term) - 1] * (1.0 if term > 0 else FUZZY)
+        if is_quoted(chunks, at):
+            quoted += weight
+        else:
+            terms.add(abs(term))
+            plain += weight
     return [math.log1p(plain), math.log1p(quoted), math.log1p(len(terms)), math.log1p(100 * plain / len(chunks))]
 
 
@@ -314,47 +264,55 @@ def features(text: str, matcher: Matcher, weights: list[float]) -> list[float]:
 KINDS = {"word": pa.string(), "toxic": pa.int32(), "shared": pa.int32(), "held": pa.int64(), "n": pa.int64()}
 
 
+def shared_letters(words: list[str]) -> pa.Array:
+    """Letters that each word shares with the one before, as far as stems go."""
+    own, before = pa.array(words, pa.string()), pa.array(["", *words[:-1]], pa.string())
+    size, shared = pc.utf8_length(own), pa.repeat(pa.scalar(0, pa.int32()), len(words))
+    for k in range(1, STEMS[-1] + 1):
+        same = pc.and_(pc.greater_equal(size, k), pc.equal(pc.utf8_slice_codeunits(own, 0, k), pc.utf8_slice_codeunits(before, 0, k)))
+        shared = pc.add(shared, same.cast(pa.int32()))
+    return shared
+
+
+def summed(rows: pa.Table) -> pa.Table:
+    """Rows of ``KINDS`` with those of the same word in one."""
+    sums = rows.group_by(["word", "toxic", "shared"], use_threads=False).aggregate([("held", "sum"), ("n", "sum")])
+    return sums.rename_columns({"held_sum": "held", "n_sum": "n"}).select(list(KINDS))
+
+
 @releasing
 def word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, toxic) -> (word, toxic, shared, held, n): distinct words of each document in order, with the letters shared with the one before.
 
     Documents that say the same of a word are counted in one row (held: documents, n: uses), some ``MOST_ROWS`` rows at a time, so that
-    Spark makes stems of far fewer rows. The word "" counts the documents and all their words.
+    Spark makes stems of far fewer rows. The word "" counts the documents and all their words; it comes first in each document.
     """
     clean = CleanWords()
-    counts: dict[tuple[int, int], tuple[dict[str, int], dict[str, int]]] = {}
-
-    def batch() -> pa.RecordBatch:
-        found: tuple[list, ...] = ([], [], [], [], [])
-        for (toxic, shared), (held, uses) in counts.items():
-            for column, values in zip(found, (held, [toxic] * len(held), [shared] * len(held), held.values(), uses.values()), strict=True):
-                column.extend(values)
-        counts.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, KINDS.values(), strict=True)], list(KINDS))
-
+    kept = pa.schema(KINDS.items()).empty_table()
     for part in pieces(batches):
-        for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-            own: Counter = Counter()
+        words: list[str] = []
+        uses: list[int] = []
+        sizes: list[int] = []
+        for text in part.column("text").to_pylist():
+            own: dict[str, int] = {}
             for chunk, n in Counter(text.lower().split()).items():
-                own[clean[chunk]] += n
+                word = clean[chunk]
+                own[word] = own.get(word, 0) + n
             own.pop("", None)
-            last, found = "", [("", 0, sum(own.values()))]
-            for word in sorted(own):
-                shared = 0
-                for x, y in zip(word, last):
-                    if x != y or shared == STEMS[-1]:
-                        break
-                    shared += 1
-                found.append((word, shared, own[word]))
-                last = word
-            for word, shared, n in found:
-                held, uses = counts.get((toxic, shared)) or counts.setdefault((toxic, shared), ({}, {}))
-                held[word] = held.get(word, 0) + 1
-                uses[word] = uses.get(word, 0) + n
-        if sum(len(held) for held, _ in counts.values()) >= MOST_ROWS:
-            yield batch()
-    if counts:
-        yield batch()
+            own[""] = sum(own.values())
+            ordered = sorted(own)
+            words.extend(ordered)
+            uses.extend(map(own.__getitem__, ordered))
+            sizes.append(len(ordered))
+        toxic = np.repeat(part.column("toxic").to_numpy(zero_copy_only=False), sizes)
+        made = [words, toxic, shared_letters(words), np.ones(len(words), np.int64), uses]
+        made = pa.table([pa.array(x, kind) for x, kind in zip(made, KINDS.values(), strict=True)], list(KINDS))
+        kept = summed(pa.concat_tables([kept, made]))
+        if kept.num_rows >= MOST_ROWS:
+            yield from kept.combine_chunks().to_batches()
+            kept = kept.schema.empty_table()
+    if kept.num_rows:
+        yield from kept.combine_chunks().to_batches()
 
 
 def learn_terms(labelled: DataFrame) -> tuple[list[str], list[float]]:
